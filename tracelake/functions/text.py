@@ -6,6 +6,9 @@ Lengths count code points (Spark's ``length``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # --- fixed values: character classes -------------------------------------------------------------
@@ -69,6 +72,23 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body`` (keeps expression trees linear)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def bound(fn):
+    """Bind a computed first argument with :func:`let`; a plain column name needs no binding."""
+
+    @wraps(fn)
+    def wrapper(c, *args, **kwargs):
+        if isinstance(c, str):
+            return fn(F.col(c), *args, **kwargs)
+        return let(c, lambda v: fn(v, *args, **kwargs))
+
+    return wrapper
+
+
 def nz(c: Column | str) -> Column:
     """Empty text is missing text."""
     return F.nullif(col(c), F.lit(""))
@@ -92,24 +112,31 @@ def mask_secrets(c: Column | str) -> Column:
     return out
 
 
-def safe_text(c: Column | str, limit: int) -> Column:
+@bound
+def safe_text(c: Column | str, limit: int | Column) -> Column:
     """Mask, then cut to ``limit`` characters with a note of how many were left out."""
-    c = col(c)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
     n = F.length(c)
-    masked = mask_secrets(F.when(n > limit + PRECUT_SLACK, F.substring(c, 1, limit + PRECUT_SLACK)).otherwise(c))
-    keep = (F.length(masked) <= limit) & (n <= limit)
+    pre = F.when(n > limit + PRECUT_SLACK, F.substr(c, F.lit(1), limit + PRECUT_SLACK)).otherwise(c)
     # a short original can outgrow the limit through its own mask; the note then counts from the original
-    note = F.concat(F.lit("\n… [truncated "), (n - F.lit(limit)).cast("string"), F.lit(" chars]"))
-    return F.when(keep, masked).otherwise(F.concat(F.substring(masked, 1, limit), note))
+    note = F.concat(F.lit("\n… [truncated "), (n - limit).cast("string"), F.lit(" chars]"))
+    return let(
+        mask_secrets(pre),
+        lambda m: F.when((F.length(m) <= limit) & (n <= limit), m).otherwise(F.concat(F.substr(m, F.lit(1), limit), note)),
+    )
 
 
-def clip_line(c: Column | str, limit: int) -> Column:
+@bound
+def clip_line(c: Column | str, limit: int | Column) -> Column:
     """Mask, collapse to one line and cut with an ellipsis."""
-    c = col(c)
-    pre = F.when(F.length(c) > limit + PRECUT_SLACK, F.substring(c, 1, limit + PRECUT_SLACK)).otherwise(c)
-    one = one_line(mask_secrets(pre))
-    cut = F.concat(F.rtrim(F.substring(one, 1, limit - 1)), F.lit("…"))
-    return F.when(F.length(one) > limit, cut).otherwise(one)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    pre = F.when(F.length(c) > limit + PRECUT_SLACK, F.substr(c, F.lit(1), limit + PRECUT_SLACK)).otherwise(c)
+    return let(
+        one_line(mask_secrets(pre)),
+        lambda one: F.when(
+            F.length(one) > limit, F.concat(F.rtrim(F.substr(one, F.lit(1), limit - 1)), F.lit("…"))
+        ).otherwise(one),
+    )
 
 
 def mask_table(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -135,6 +162,7 @@ def mask_report(df: DataFrame, text: str, by: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------ paths
+@bound
 def short_path(p: Column | str, keep: int = 3) -> Column:
     """The last ``keep`` segments of a path; short paths stay as they are."""
     p = col(p)
@@ -148,6 +176,7 @@ def under_root(p: Column | str, root: Column | str) -> Column:
     return (p == root) | F.startswith(p, F.when(F.endswith(root, F.lit("/")), root).otherwise(F.concat(root, F.lit("/"))))
 
 
+@bound
 def display_home(p: Column | str, home: str) -> Column:
     p = col(p)
     short = F.concat(F.lit("~"), F.substring(p, len(home) + 1, 2_147_483_647))
@@ -166,6 +195,7 @@ def denied_path(p: Column | str) -> Column:
     return out
 
 
+@bound
 def safe_path(p: Column | str, roots: list[str]) -> Column:
     """Not credential-like and inside one of ``roots`` (paths that climb with ``..`` are refused)."""
     p = col(p)
@@ -190,6 +220,7 @@ def session_key(layout: Column | str, native_id: Column | str, default: str = "l
     return F.when(layout == default, native_id).otherwise(F.concat(layout, F.lit(":"), native_id))
 
 
+@bound
 def parse_session_key(c: Column | str, default: str = "line_log") -> Column:
     c = col(c)
     prefixed = F.instr(c, ":") > 0
@@ -209,14 +240,16 @@ _CD = f"{WS}*cd{WS}+(\"[^\"]*\"|'[^']*'|{NOT_WS}+){WS}*(?:&&|;){WS}*"
 _CD_PREFIX = f"^(?:{_CD}){{1,4}}"
 
 
+@bound
 def split_cd(c: Column | str) -> Column:
     """``struct(dir, rest)``: leading ``cd <dir> &&`` parts (up to four) split off; the last dir wins."""
-    c = col(c)
-    rest = F.regexp_replace(c, _CD_PREFIX, "")
-    raw = F.regexp_extract(c, _CD_PREFIX, 1)
-    dir_ = F.regexp_replace(raw, "^([\"'])(.*)\\1$", "$2")
-    split = (rest != c) & (js_trim(rest) != "")
-    return F.struct(F.when(split, dir_).alias("dir"), F.when(split, rest).otherwise(c).alias("rest"))
+    dir_ = F.regexp_replace(F.regexp_extract(c, _CD_PREFIX, 1), "^([\"'])(.*)\\1$", "$2")
+
+    def parts(rest: Column) -> Column:
+        split = (rest != c) & (js_trim(rest) != "")
+        return F.struct(F.when(split, dir_).alias("dir"), F.when(split, rest).otherwise(c).alias("rest"))
+
+    return let(F.regexp_replace(c, _CD_PREFIX, ""), parts)
 
 
 _TOK = "[^\\s'\"`;|&<>()]"
@@ -241,14 +274,15 @@ def _shorten_marked(c: Column, home: Column | None, cwd: Column | None) -> Colum
         f"(?:(/{_TOK}+)|/)?(?!{_TOK})"
     )
     out = F.regexp_replace(out, tmp, f"tmp:{_HOLD}$1")
+
+    def replace(text: Column, folder: Column, tail: str, by: str) -> Column:
+        pattern = F.concat(F.lit(_MARK), _quoted(folder), F.lit(tail))
+        return let(text, lambda t: F.coalesce(F.regexp_replace(t, pattern, F.lit(by)), t))
+
     if cwd is not None:
-        q = _quoted(cwd)
-        hit = F.regexp_replace(out, F.concat(F.lit(_MARK), q, F.lit(f"(?:(/{_TOK}+)|/)?(?!{_TOK})")), F.lit(".$1"))
-        out = F.coalesce(hit, out)
+        out = replace(out, cwd, f"(?:(/{_TOK}+)|/)?(?!{_TOK})", ".$1")
     if home is not None:
-        q = _quoted(home)
-        hit = F.regexp_replace(out, F.concat(F.lit(_MARK), q, F.lit(f"(?=/|(?!{_TOK}))")), F.lit("~"))
-        out = F.coalesce(hit, out)
+        out = replace(out, home, f"(?=/|(?!{_TOK}))", "~")
     out = F.regexp_replace(out, f"tmp:{_HOLD}(?!/)", "tmp:/")
     return F.translate(out, _MARK + _HOLD, "")
 
@@ -265,25 +299,32 @@ def shorten_path(c: Column | str, home: Column | None = None, cwd: Column | None
     return _shorten_marked(marked, home, cwd)
 
 
+@bound
 def humanize_command(
     cmd: Column | str, home: Column | None = None, cwd: Column | None = None, dir_hint: Column | None = None
 ) -> Column:
     """``struct(dir, raw_dir, head, body, full, changed)`` of a shell command."""
     full = F.coalesce(col(cmd), F.lit(""))
-    sp = split_cd(full)
-    raw_dir = F.coalesce(sp["dir"], dir_hint) if dir_hint is not None else sp["dir"]
-    body = shorten_paths(js_trim(sp["rest"]), home, cwd)
-    lines = F.filter(F.split(body, "\n"), lambda x: js_trim(x) != "")
-    first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
-    head = F.concat(one_line(first), F.when(F.size(lines) > 1, F.lit(" …")).otherwise(F.lit("")))
-    return F.struct(
-        F.nullif(shorten_path(nz(raw_dir), home, cwd), F.lit(".")).alias("dir"),
-        raw_dir.alias("raw_dir"),
-        head.alias("head"),
-        body.alias("body"),
-        full.alias("full"),
-        ((body != js_trim(full)) | raw_dir.isNotNull()).alias("changed"),
-    )
+
+    def parts(sp: Column) -> Column:
+        raw_dir = F.coalesce(sp["dir"], dir_hint) if dir_hint is not None else sp["dir"]
+
+        def view(body: Column) -> Column:
+            lines = F.filter(F.split(body, "\n"), lambda x: js_trim(x) != "")
+            first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+            head = F.concat(one_line(first), F.when(F.size(lines) > 1, F.lit(" …")).otherwise(F.lit("")))
+            return F.struct(
+                F.nullif(shorten_path(nz(raw_dir), home, cwd), F.lit(".")).alias("dir"),
+                raw_dir.alias("raw_dir"),
+                head.alias("head"),
+                body.alias("body"),
+                full.alias("full"),
+                ((body != js_trim(full)) | raw_dir.isNotNull()).alias("changed"),
+            )
+
+        return let(shorten_paths(js_trim(sp["rest"]), home, cwd), view)
+
+    return let(split_cd(full), parts)
 
 
 # fixed values: tools whose invocation is the interesting part of a one-liner
@@ -305,6 +346,7 @@ ACTION_VERBS = {
 }
 
 
+@bound
 def bash_core(c: Column | str) -> Column:
     """The interesting part of a one-liner: known tool call without redirects and trailing flags."""
     base = F.regexp_replace(F.regexp_replace(col(c), f"^cd{WS}+{NOT_WS}+{WS}*&&{WS}*", ""), f"{WS}\\d?>&?\\d*", " >")
@@ -322,12 +364,13 @@ def describe_action(kind: Column | str, target: Column | str, tool: Column | str
     verbs = verbs or ACTION_VERBS
     kind = col(kind)
     text = one_line(F.coalesce(nz(target), nz(tool), F.lit("")))
-    text = F.when(kind == "bash", bash_core(text)).otherwise(text)
-    text = F.when(F.length(text) > 60, F.concat(F.substring(text, 1, 59), F.lit("…"))).otherwise(text)
+    text = let(text, lambda t: F.when(kind == "bash", bash_core(t)).otherwise(t))
+    text = let(text, lambda t: F.when(F.length(t) > 60, F.concat(F.substring(t, 1, 59), F.lit("…"))).otherwise(t))
     verb = F.coalesce(F.try_element_at(literal_map(verbs), kind), F.lit(verbs["other"]))
     return F.trim(F.concat(verb, F.lit(" "), text))
 
 
+@bound
 def shell_argv(argv: Column | str) -> Column:
     """An argument vector as command text: ``["bash","-lc",script]`` is the script, else joined."""
     argv = col(argv)
@@ -363,6 +406,7 @@ def local_day(ms: Column | str, tz: str = "UTC") -> Column:
 MIN_TIME_MS = 631_152_000_000  # 1990-01-01T00:00:00Z; anything earlier is a placeholder
 
 
+@bound
 def parse_time_any(c: Column | str) -> Column:
     """ISO text, or an epoch number in seconds, milliseconds or microseconds, to epoch ms."""
     t = js_trim(col(c).cast("string"))
@@ -376,6 +420,7 @@ def parse_time_any(c: Column | str) -> Column:
 
 
 # ------------------------------------------------------------------------------------ stored titles and URIs
+@bound
 def _decode_entities(c: Column, pattern: str, base: int) -> Column:
     """Replace numeric character references: split around them, then join with the decoded characters."""
     digits = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
@@ -406,6 +451,7 @@ def clean_stored_title(c: Column | str, limit: int = 90) -> Column:
     return nz(clip_line(decode_entities(nz(c)), limit))
 
 
+@bound
 def _uri_to_path(u: Column) -> Column:
     u = js_trim(u)
     local = F.regexp_extract(u, "^file://(?:localhost)?(/.*)$", 1)
@@ -417,6 +463,7 @@ def _uri_to_path(u: Column) -> Column:
     )
 
 
+@bound
 def workspace_path(c: Column | str) -> Column:
     """The first workspace of a JSON list (of texts or objects) or of a plain separated list, as a path."""
     raw = nz(js_trim(col(c)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracelake.functions.text import NOT_WS, WS, WS_CHARS, col, js_trim
+from tracelake.functions.text import WS, WS_CHARS, bound, col, js_trim, let
 
 # --- fixed values: word lists -----------------------------------------------------------------------
 #: Prefixes that look like ticket keys but are standards, algorithms or versions.
@@ -65,6 +65,7 @@ def loose_ticket_candidates(c: Column | str) -> Column:
     return F.array_distinct(F.transform(keys, F.upper))
 
 
+@bound
 def prs_from_text(c: Column | str) -> Column:
     """Pull request numbers named in text: every ``PR n`` first, then every ``#n``."""
     c = col(c)
@@ -74,6 +75,7 @@ def prs_from_text(c: Column | str) -> Column:
     return F.array_distinct(F.filter(numbers, lambda n: n > 0))
 
 
+@bound
 def pr_from_command(c: Column | str) -> Column:
     """The pull request a shell command is about, or null."""
     c = col(c)
@@ -104,25 +106,35 @@ def _drop_worktree(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "/+\\z", ""), "/\\.claude/worktrees/[^/]+\\z", "")
 
 
+@bound
 def module_of(file_path: Column | str, cwd: Column | str | None = None, home: str = "") -> Column:
     """Folder of an edited file relative to its repository, at most five segments; null when there is none."""
-    raw = js_trim(col(file_path))
-    p = F.replace(raw, F.lit("\\"), F.lit("/"))
-    stripped = F.regexp_replace(p, "^(?:.*?/)?\\.claude/worktrees/[^/]+/", "")
+    raw = js_trim(file_path)
     c = _drop_worktree(F.coalesce(col(cwd), F.lit(""))) if cwd is not None else F.lit("")
-    in_cwd = (c != "") & F.startswith(p, F.concat(c, F.lit("/")))
-    rel = F.when(stripped != p, stripped).when(in_cwd, F.substr(p, F.length(c) + 2))
-    if home:
-        rel = rel.when(F.startswith(p, F.lit(home + "/")), F.concat(F.lit("~/"), F.substring(p, len(home) + 2, 2_147_483_647)))
-    rel = rel.otherwise(F.regexp_replace(p, "^/", ""))
-    segs = F.filter(F.split(rel, "/"), lambda s: ~s.isin("", ".", ".."))
-    dirs = F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0)))
-    joined = F.array_join(dirs, "/")
-    kept = F.regexp_replace(joined, "(?:(?:^|/)(?:" + "|".join(MODULE_TAIL) + "))+\\z", "")
-    module = F.array_join(F.slice(F.split(kept, "/"), 1, 5), "/")
-    return F.when((raw != "") & ~F.contains(raw, F.lit("\n")), F.nullif(module, F.lit("")))
+
+    def relative(p: Column, stripped: Column) -> Column:
+        in_cwd = (c != "") & F.startswith(p, F.concat(c, F.lit("/")))
+        rel = F.when(stripped != p, stripped).when(in_cwd, F.substr(p, F.length(c) + 2))
+        if home:
+            tail = F.substring(p, len(home) + 2, 2_147_483_647)
+            rel = rel.when(F.startswith(p, F.lit(home + "/")), F.concat(F.lit("~/"), tail))
+        return rel.otherwise(F.regexp_replace(p, "^/", ""))
+
+    def folder(rel: Column) -> Column:
+        segs = F.filter(F.split(rel, "/"), lambda s: ~s.isin("", ".", ".."))
+        dirs = let(segs, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))))
+        kept = F.regexp_replace(F.array_join(dirs, "/"), "(?:(?:^|/)(?:" + "|".join(MODULE_TAIL) + "))+\\z", "")
+        return F.nullif(F.array_join(F.slice(F.split(kept, "/"), 1, 5), "/"), F.lit(""))
+
+    in_tree = "^(?:.*?/)?\\.claude/worktrees/[^/]+/"
+    rel = let(
+        F.replace(raw, F.lit("\\"), F.lit("/")),
+        lambda p: let(F.regexp_replace(p, in_tree, ""), lambda stripped: relative(p, stripped)),
+    )
+    return F.when((raw != "") & ~F.contains(raw, F.lit("\n")), folder(rel))
 
 
+@bound
 def short_module(module: Column | str) -> Column:
     segs = F.split(col(module), "/")
     kept = F.filter(segs, lambda s: ~s.isin(MODULE_SKIP))
@@ -130,6 +142,7 @@ def short_module(module: Column | str) -> Column:
     return F.array_join(F.slice(use, -F.least(F.lit(2), F.size(use)), F.lit(2)), "/")
 
 
+@bound
 def project_of(cwd: Column | str, home: str = "") -> Column:
     """Last folder of the working directory; the home folder is ``~``."""
     c = _drop_worktree(F.coalesce(col(cwd), F.lit("")))
@@ -160,6 +173,7 @@ def subject_tokens(title: Column | str) -> Column:
     return F.filter(title_tokens(title), lambda t: ~t.isin(DEV_STEMS) & ~t.isin(GENERIC_STEMS))
 
 
+@bound
 def informative_title(title: Column | str) -> Column:
     t = js_trim(col(title))
     words = F.filter(title_tokens(t), lambda x: ~x.isin(GENERIC_STEMS))
@@ -171,11 +185,11 @@ def clean_title(title: Column | str, keys: list[Column] | None = None) -> Column
     t = F.regexp_replace(col(title), f"^(?i:/goal)(?!\\w){WS}*", "")
     t = js_trim(F.regexp_replace(t, f"{WS}+", " "))
     for k in keys or []:
-        t = F.coalesce(F.replace(t, k, F.lit(" ")), t)
+        t = F.replace(t, F.coalesce(k, F.lit("")), F.lit(" "))  # an empty key leaves the text as it is
     t = F.regexp_replace(t, f"^[{WS_CHARS}:–—\\-·|,.()\\[\\]]+", "")
     t = F.regexp_replace(t, f"[{WS_CHARS}:–—\\-·|,.(\\[]+\\z", "")
     t = F.regexp_replace(t, f"{WS}+", " ")
-    return F.when(F.length(t) > 90, F.concat(F.substring(t, 1, 89), F.lit("…"))).otherwise(t)
+    return let(t, lambda x: F.when(F.length(x) > 90, F.concat(F.substring(x, 1, 89), F.lit("…"))).otherwise(x))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
@@ -185,5 +199,3 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     union = F.size(a) + F.size(b) - inter
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(inter / union)
 
-
-_ = NOT_WS  # re-exported for callers that split commands the same way

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelake.functions import json as J
-from tracelake.functions.text import clip_line, literal_map, nz, one_line, safe_text, shell_argv, short_path, split_cd
+from tracelake.functions.text import clip_line, let, literal_map, nz, one_line, safe_text, shell_argv, short_path, split_cd
 
 # --- fixed values: tool names -> action kinds, per layout ------------------------------------------
 KINDS = {
@@ -92,17 +92,39 @@ def classify_action(layout: str, tool: Column) -> Column:
     return F.coalesce(hit(tool), F.when(mcp, F.lit("mcp")), F.lit("other"))
 
 
-def _detail(pairs: list[tuple[str, Column]]) -> Column:
-    """A map of the fields that have a value; null when there is none."""
-    entries = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda e: e["value"].isNotNull()
+def _detail(fields: list[tuple[str, Column, int]]) -> Column:
+    """Raw ``(name, value, limit)`` fields that have a value, as an array of structs."""
+    return F.filter(
+        F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"), F.lit(n).alias("max")) for k, v, n in fields]),
+        lambda e: e["value"].isNotNull(),
     )
-    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
 
 
-def _call(tool: Column, kind: Column, target: Column, dir_: Column, summary: Column, detail: Column) -> Column:
+def _finish(raw: Column) -> Column:
+    """Mask and cut the chosen texts of a raw call, once, whatever branch they come from."""
+    text = lambda name: clip_line(raw[name]["text"], raw[name]["max"])
+    fields = F.transform(raw["detail"], lambda e: F.struct(e["key"].alias("key"), safe_text(e["value"], e["max"]).alias("value")))
     return F.struct(
-        tool.alias("tool"), kind.alias("kind"), target.alias("target"), nz(dir_).alias("dir"), summary.alias("summary"), detail.alias("detail")
+        raw["tool"].alias("tool"),
+        raw["kind"].alias("kind"),
+        text("target").alias("target"),
+        nz(text("dir")).alias("dir"),
+        text("summary").alias("summary"),
+        F.when(F.size(fields) > 0, F.map_from_entries(fields)).alias("detail"),
+    )
+
+
+def _raw(tool: Column, kind: Column, target: Column, tmax, dir_: Column | None, dmax: int, summary: Column, smax: int, detail: Column | None) -> Column:
+    limited = lambda c, n: F.struct(c.cast("string").alias("text"), (F.lit(n) if isinstance(n, int) else n).cast("int").alias("max"))
+    none = F.lit(None).cast("string")
+    fields = "array<struct<key:string,value:string,max:int>>"
+    return F.struct(
+        tool.cast("string").alias("tool"),
+        kind.cast("string").alias("kind"),
+        limited(target, tmax).alias("target"),
+        limited(none if dir_ is None else dir_, dmax).alias("dir"),
+        limited(summary, smax).alias("summary"),
+        (F.lit(None) if detail is None else detail).cast(fields).alias("detail"),
     )
 
 
@@ -112,54 +134,83 @@ def _mcp(tool: Column, arg: Column) -> Column:
     return F.concat(at(2), F.lit(" · "), at(3), F.coalesce(F.concat(F.lit(": "), nz(arg)), F.lit("")))
 
 
-def tool_summary(tool: Column, input_text: Column, m: Column, limit: int = 240) -> Column:
+def tool_summary_text(tool: Column, input_text: Column, m: Column) -> Column:
     """The meaningful field of a line-log call, else its first text, else its JSON; text inputs as they are."""
     keyed = J.any_text(m, F.coalesce(F.try_element_at(literal_map(SUMMARY_KEYS), tool), F.lit("")))
     picked = F.when(m.isNotNull(), F.coalesce(keyed, J.first_text(m), input_text)).otherwise(
         F.when(~F.coalesce(input_text, F.lit("")).rlike("^[\\[{]"), input_text)
     )
-    return safe_text(one_line(F.coalesce(picked, F.lit(""))), limit)
+    return F.coalesce(picked, F.lit(""))
 
 
-def _line_log_detail(tool: Column, m: Column) -> Column:
-    out = F.lit(None).cast("map<string,string>")
-    for name, fields in DETAIL_FIELDS.items():
-        pairs = [(k, safe_text(J.any_text(m, k), n)) for k, n in fields.items()]
-        out = F.when(tool == name, _detail(pairs)).otherwise(out)
-    edits = F.filter(F.from_json(J.json_text(m, "edits"), "array<string>"), lambda e: F.startswith(e, F.lit("{")))
-    first = F.try_element_at(edits, F.lit(1))
-    multi = _detail(
-        [
-            ("file_path", safe_text(J.text(m, "file_path"), 500)),
-            ("edits", F.coalesce(F.size(edits), F.lit(0)).cast("string")),
-            ("old_string", safe_text(nz(F.get_json_object(first, "$.old_string")), 3000)),
-            ("new_string", safe_text(nz(F.get_json_object(first, "$.new_string")), 3000)),
+def tool_summary(tool: Column, input_text: Column, limit: int = 240) -> Column:
+    return let(J.obj(input_text), lambda m: safe_text(one_line(tool_summary_text(tool, input_text, m)), limit))
+
+
+def _line_log_fields(tool: Column, m: Column) -> Column:
+    """The fields of a tool from the (tool, field, limit) table; a multi-edit shows its first edit and their number."""
+    table = F.create_map(
+        *[
+            x
+            for name, fields in DETAIL_FIELDS.items()
+            for x in (F.lit(name), F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("max")) for k, n in fields.items()]))
         ]
     )
-    return F.when(m.isNotNull(), F.when(tool == "MultiEdit", multi).otherwise(out))
+    rows = F.transform(
+        F.try_element_at(table, tool),
+        lambda f: F.struct(f["key"].alias("key"), J.any_text(m, f["key"]).alias("value"), f["max"].alias("max")),
+    )
+    edits = F.filter(F.from_json(J.json_text(m, "edits"), "array<string>"), lambda e: F.startswith(e, F.lit("{")))
+    multi = let(
+        edits,
+        lambda e: _detail(
+            [
+                ("file_path", J.text(m, "file_path"), 500),
+                ("edits", F.coalesce(F.size(e), F.lit(0)).cast("string"), 20),
+                ("old_string", nz(F.get_json_object(F.try_element_at(e, F.lit(1)), "$.old_string")), 3000),
+                ("new_string", nz(F.get_json_object(F.try_element_at(e, F.lit(1)), "$.new_string")), 3000),
+            ]
+        ),
+    )
+    return F.when(tool == "MultiEdit", multi).otherwise(F.filter(rows, lambda r: r["value"].isNotNull()))
 
 
 def line_log_call(tool: Column, input_text: Column, detail: bool = True) -> Column:
-    m = J.obj(input_text)
-    kind = classify_action("line_log", tool)
-    path = J.text(m, "file_path", "notebook_path", "path")
-    where = J.text(m, "path", "glob")
-    pattern = F.coalesce(J.text(m, "pattern", "query"), F.lit(""))
-    cmd = J.text(m, "command")
-    sp = split_cd(cmd)
-    short = tool_summary(tool, input_text, m, 160)
-    longer = tool_summary(tool, input_text, m, 160 + 512)
-    target = (
-        F.when(kind.isin("edit", "write", "read"), F.coalesce(short_path(path), short))
-        .when(kind == "search", F.when(where.isNotNull(), F.concat(pattern, F.lit(" · "), short_path(where, 2))).otherwise(pattern))
-        .when(kind == "mcp", _mcp(tool, short))
-        .when(kind == "bash", F.coalesce(sp["rest"], longer))
-        .otherwise(longer)
+    def build(m: Column, kind: Column, sp: Column, said: Column) -> Column:
+        path = J.text(m, "file_path", "notebook_path", "path")
+        where = J.text(m, "path", "glob")
+        pattern = F.coalesce(J.text(m, "pattern", "query"), F.lit(""))
+        target = (
+            F.when(kind.isin("edit", "write", "read"), F.coalesce(short_path(path), said))
+            .when(kind == "search", F.concat(pattern, F.coalesce(F.concat(F.lit(" · "), short_path(where, 2)), F.lit(""))))
+            .when(kind == "mcp", _mcp(tool, said))
+            .when(kind == "bash", F.coalesce(sp["rest"], said))
+            .otherwise(said)
+        )
+        tmax = F.when(kind == "bash", F.lit(400)).otherwise(F.lit(160))
+        dir_ = F.when(kind == "bash", sp["dir"])
+        return _raw(tool, kind, target, tmax, dir_, 300, said, 240, _line_log_fields(tool, m) if detail else None)
+
+    call = let(
+        J.obj(input_text),
+        lambda m: let(
+            classify_action("line_log", tool),
+            lambda kind: let(
+                split_cd(J.text(m, "command")),
+                lambda sp: let(tool_summary_text(tool, input_text, m), lambda said: build(m, kind, sp, said)),
+            ),
+        ),
+    )
+    # the summary of a call keeps the note of how much was cut
+    done = let(call, _finish)
+    return let(
+        done,
+        lambda c: F.struct(
+            *[c[f].alias(f) for f in ("tool", "kind", "target", "dir")],
+            tool_summary(tool, input_text, 240).alias("summary"),
+            c["detail"].alias("detail"),
+        ),
     )
-    clipped = F.when(kind == "bash", clip_line(target, 400)).otherwise(clip_line(target, 160))
-    dir_ = F.when(kind == "bash", clip_line(sp["dir"], 300))
-    fields = _line_log_detail(tool, m) if detail else F.lit(None).cast("map<string,string>")
-    return _call(tool, kind, clipped, dir_, tool_summary(tool, input_text, m, 240), fields)
 
 
 # ------------------------------------------------------------------------------------------------ rollouts
@@ -195,54 +246,52 @@ def find_patch(src: Column) -> Column:
 
 
 def _patch_call(tool: Column, patch: Column) -> Column:
-    files = F.transform(F.regexp_extract_all(patch, F.lit(_FILE), F.lit(1)), lambda p: F.trim(p))
-    names = F.transform(F.slice(files, 1, 3), lambda p: F.coalesce(nz(F.substring_index(p, "/", -1)), p))
-    listed = F.array_join(names, ", ")
-    target = (
-        F.when(F.size(files) == 1, short_path(F.try_element_at(files, F.lit(1))))
-        .when(F.size(files) > 3, F.concat(listed, F.lit(" +"), (F.size(files) - 3).cast("string")))
-        .otherwise(listed)
-    )
-    shown = clip_line(F.coalesce(nz(target), F.lit("patch")), 200)
-    detail = _detail(
-        [
-            ("patch", safe_text(patch, 6000)),
-            ("file_path", safe_text(F.try_element_at(files, F.lit(1)), 500)),
-            ("files", F.when(F.size(files) > 1, F.size(files).cast("string"))),
-        ]
-    )
-    return _call(tool, F.lit("edit"), shown, F.lit(None).cast("string"), shown, detail)
+    def build(files: Column) -> Column:
+        names = F.transform(F.slice(files, 1, 3), lambda p: F.coalesce(nz(F.substring_index(p, "/", -1)), p))
+        first = F.try_element_at(files, F.lit(1))
+        extra = F.when(F.size(files) > 3, F.concat(F.lit(" +"), (F.size(files) - 3).cast("string"))).otherwise(F.lit(""))
+        listed = F.when(F.size(files) == 1, short_path(first)).otherwise(F.concat(F.array_join(names, ", "), extra))
+        target = F.coalesce(nz(listed), F.lit("patch"))
+        count = F.when(F.size(files) > 1, F.size(files).cast("string"))
+        detail = _detail([("patch", patch, 6000), ("file_path", first, 500), ("files", count, 20)])
+        return _raw(tool, F.lit("edit"), target, 200, None, 300, target, 200, detail)
+
+    return let(F.transform(F.regexp_extract_all(patch, F.lit(_FILE), F.lit(1)), lambda p: F.trim(p)), build)
 
 
 def _shell_call(tool: Column, cmd: Column, workdir: Column, more: Column | None = None, whole: Column | None = None) -> Column:
-    sp = split_cd(cmd)
-    target = clip_line(sp["rest"], 400)
-    if more is not None:
-        extra = F.concat(target, F.lit(" (+"), more.cast("string"), F.lit(" commands)"))
-        target = F.when(more > 0, clip_line(extra, 400)).otherwise(target)
-    detail = _detail([("command", safe_text(whole if whole is not None else cmd, 4000)), ("workdir", safe_text(workdir, 500))])
-    return _call(tool, F.lit("bash"), target, clip_line(F.coalesce(sp["dir"], workdir), 300), clip_line(cmd, 240), detail)
+    def build(sp: Column) -> Column:
+        target = sp["rest"]
+        if more is not None:
+            note = F.concat(F.lit(" (+"), more.cast("string"), F.lit(" commands)"))
+            target = F.when(more > 0, F.concat(clip_line(target, 400), note)).otherwise(target)
+        detail = _detail([("command", whole if whole is not None else cmd, 4000), ("workdir", workdir, 500)])
+        return _raw(tool, F.lit("bash"), target, 400, F.coalesce(sp["dir"], workdir), 300, cmd, 240, detail)
+
+    return let(split_cd(cmd), build)
 
 
 def _named_call(tool: Column, m: Column) -> Column:
-    kind = classify_action("rollout", tool)
+    def build(kind: Column, base: Column) -> Column:
+        arg = F.coalesce(J.text(m, "title", "query"), J.first_text(m, ("message", "code")))
+        seconds = F.round(F.coalesce(J.number(m, "duration_ms"), F.lit(0.0)) / 1000).cast("bigint").cast("string")
+        target = F.coalesce(
+            F.when(kind == "agent", J.text(m, "task_name", "agent_nickname", "name"))
+            .when(kind == "message", F.concat(F.lit("→ "), J.text(m, "target")))
+            .when(base.isin("wait_agent", "wait"), F.lit("waiting for sub-agents"))
+            .when(base == "sleep", F.concat(F.lit("waiting "), seconds, F.lit(" s")))
+            .when(base == "list_agents", F.lit("listing agents"))
+            .when(kind == "read", short_path(J.text(m, "path", "file_path")))
+            .when(kind == "web", J.text(m, "query", "q", "url"))
+            .when(kind == "mcp", _mcp(tool, arg))
+            .otherwise(F.coalesce(J.text(m, "title"), J.first_text(m, ("message",)))),
+            F.lit(""),
+        )
+        detail = _detail([("code", J.text(m, "code"), 3000)])
+        return let(target, lambda t: _raw(tool, kind, F.coalesce(nz(t), tool), 160, None, 300, t, 240, detail))
+
     base = F.element_at(F.split(tool, "\\.|__"), -1)
-    arg = F.coalesce(J.text(m, "title", "query"), J.first_text(m, ("message", "code")))
-    seconds = F.round(F.coalesce(J.number(m, "duration_ms"), F.lit(0.0)) / 1000).cast("bigint").cast("string")
-    target = F.coalesce(
-        F.when(kind == "agent", J.text(m, "task_name", "agent_nickname", "name"))
-        .when(kind == "message", F.concat(F.lit("→ "), J.text(m, "target")))
-        .when(base.isin("wait_agent", "wait"), F.lit("waiting for sub-agents"))
-        .when(base == "sleep", F.concat(F.lit("waiting "), seconds, F.lit(" s")))
-        .when(base == "list_agents", F.lit("listing agents"))
-        .when(kind == "read", short_path(J.text(m, "path", "file_path")))
-        .when(kind == "web", J.text(m, "query", "q", "url"))
-        .when(kind == "mcp", _mcp(tool, arg))
-        .otherwise(F.coalesce(J.text(m, "title"), J.first_text(m, ("message",)))),
-        F.lit(""),
-    )
-    detail = _detail([("code", safe_text(J.text(m, "code"), 3000))])
-    return _call(tool, kind, clip_line(F.coalesce(nz(target), tool), 160), F.lit(None).cast("string"), clip_line(target, 240), detail)
+    return let(classify_action("rollout", tool), lambda kind: let(base, lambda b: build(kind, b)))
 
 
 def _script_field(src: Column, key: str) -> Column:
@@ -251,193 +300,222 @@ def _script_field(src: Column, key: str) -> Column:
 
 def script_call(src: Column) -> Column:
     """The first meaningful call inside a tool script: a patch, else its shell commands, else a named call."""
-    patch = find_patch(src)
     names = F.regexp_extract_all(src, F.lit("tools\\.([A-Za-z_]\\w*)\\s*\\("), F.lit(1))
     shell = F.regexp_extract_all(
-        src, F.lit("tools\\.(?:exec_command|shell|shell_command)\\s*\\([\\s\\S]*?[\"']?(?:cmd|command)[\"']?\\s*:\\s*" + _LITERAL), F.lit(1)
+        src,
+        F.lit("tools\\.(?:exec_command|shell|shell_command)\\s*\\([\\s\\S]*?[\"']?(?:cmd|command)[\"']?\\s*:\\s*" + _LITERAL),
+        F.lit(1),
     )
-    cmds = F.filter(F.transform(shell, unescape_literal), lambda x: x != "")
-    first = F.try_element_at(cmds, F.lit(1))
     workdir = F.try_element_at(_script_field(src, "workdir"), F.lit(1))
-    name = F.coalesce(F.try_element_at(F.filter(names, lambda n: n != "exec_command"), F.lit(1)), F.try_element_at(names, F.lit(1)))
     none = F.from_json(F.lit("{}"), "map<string,variant>")
-    code = _detail([("code", safe_text(src, 3000))])
-    named = _named_call(name, none)
-    stdin = F.lit("sending input to the running command")
-    generic = _call(
-        named["tool"],
-        F.when(name == "write_stdin", F.lit("bash")).otherwise(named["kind"]),
-        F.when(name == "write_stdin", stdin).otherwise(named["target"]),
-        F.lit(None).cast("string"),
-        named["summary"],
-        code,
-    )
-    raw = _call(F.lit("exec"), F.lit("other"), clip_line(src, 160), F.lit(None).cast("string"), clip_line(src, 240), code)
-    many = _shell_call(F.lit("exec_command"), first, workdir, F.size(cmds) - 1, F.array_join(cmds, "\n"))
-    return (
-        F.when(patch.isNotNull(), _patch_call(F.lit("apply_patch"), patch))
-        .when(F.size(cmds) > 0, many)
-        .when(name.isNotNull(), generic)
-        .otherwise(raw)
+
+    def build(patch: Column, cmds: Column, name: Column) -> Column:
+        code = _detail([("code", src, 3000)])
+        stdin = name == "write_stdin"
+
+        def generic(n: Column) -> Column:
+            kind = F.when(stdin, F.lit("bash")).otherwise(n["kind"])
+            target = F.when(stdin, F.lit("sending input to the running command")).otherwise(n["target"]["text"])
+            return _raw(n["tool"], kind, target, 160, None, 300, n["summary"]["text"], 240, code)
+
+        shell_call = _shell_call(
+            F.lit("exec_command"), F.try_element_at(cmds, F.lit(1)), workdir, F.size(cmds) - 1, F.array_join(cmds, "\n")
+        )
+        return (
+            F.when(patch.isNotNull(), _patch_call(F.lit("apply_patch"), patch))
+            .when(F.size(cmds) > 0, shell_call)
+            .when(name.isNotNull(), let(_named_call(name, none), generic))
+            .otherwise(_raw(F.lit("exec"), F.lit("other"), src, 160, None, 300, src, 240, code))
+        )
+
+    picked = lambda n: F.coalesce(F.try_element_at(F.filter(n, lambda x: x != "exec_command"), F.lit(1)), F.try_element_at(n, F.lit(1)))
+    return let(
+        find_patch(src),
+        lambda patch: let(
+            F.filter(F.transform(shell, unescape_literal), lambda x: x != ""),
+            lambda cmds: let(let(names, picked), lambda name: build(patch, cmds, name)),
+        ),
     )
 
 
 def rollout_call(ptype: Column, name: Column, namespace: Column, args_text: Column, input_text: Column) -> Column:
     """``custom_tool_call`` takes ``input_text``; ``function_call`` takes ``args_text`` (JSON or plain)."""
     name = F.coalesce(nz(name), F.lit("tool"))
-    m = J.obj(args_text)
-    as_input = F.from_json(F.to_json(F.struct(F.coalesce(input_text, F.lit("")).alias("input"))), "map<string,variant>")
-    plain = F.from_json(F.to_json(F.struct(args_text.alias("input"))), "map<string,variant>")
-    args = F.coalesce(m, F.when(args_text.isNotNull(), plain))
+    wrap = lambda c: F.from_json(F.to_json(F.struct(c.alias("input"))), "map<string,variant>")
+    inp = F.coalesce(input_text, F.lit(""))
+    args = F.when(ptype == "custom_tool_call", wrap(inp)).otherwise(
+        F.coalesce(J.obj(args_text), F.when(args_text.isNotNull(), wrap(args_text)))
+    )
     spaced = F.when(
-        nz(namespace).isNotNull() & ~F.startswith(name, F.lit("mcp__")),
+        (ptype == "function_call") & nz(namespace).isNotNull() & ~F.startswith(name, F.lit("mcp__")),
         F.concat(namespace, F.when(F.startswith(namespace, F.lit("mcp__")), F.lit("__")).otherwise(F.lit(".")), name),
     ).otherwise(name)
 
-    def argv(key: str) -> Column:
-        return F.coalesce(J.text(args, key), F.when(F.size(J.texts(args, key)) > 0, shell_argv(J.texts(args, key))))
+    def build(m: Column) -> Column:
+        def argv(key: str) -> Column:
+            return F.coalesce(J.text(m, key), let(J.texts(m, key), lambda a: F.when(F.size(a) > 0, shell_argv(a))))
+
+        body = F.when(ptype == "custom_tool_call", inp).otherwise(F.coalesce(J.text(m, "input", "patch"), F.lit("")))
+        patch = _patch_call(F.lit("apply_patch"), let(body, lambda b: F.coalesce(find_patch(b), b)))
+        named = let(spaced, lambda t: _named_call(t, m))
+        return let(
+            nz(F.coalesce(argv("cmd"), argv("command"))),
+            lambda cmd: F.when(name == "apply_patch", patch)
+            .when((ptype == "custom_tool_call") & (name == "exec"), let(inp, script_call))
+            .when(
+                (ptype == "function_call") & name.isin(*SHELL_TOOLS) & cmd.isNotNull(),
+                _shell_call(name, cmd, J.text(m, "workdir", "cwd")),
+            )
+            .otherwise(named),
+        )
 
-    cmd = nz(F.coalesce(argv("cmd"), argv("command")))
-    patch_arg = F.coalesce(J.text(args, "input", "patch"), F.lit(""))
-    inp = F.coalesce(input_text, F.lit(""))
-    custom = (
-        F.when(name == "apply_patch", _patch_call(F.lit("apply_patch"), F.coalesce(find_patch(inp), inp)))
-        .when(name == "exec", script_call(inp))
-        .otherwise(_named_call(name, as_input))
-    )
-    function = (
-        F.when(name.isin(*SHELL_TOOLS) & cmd.isNotNull(), _shell_call(name, cmd, J.text(args, "workdir", "cwd")))
-        .when(name == "apply_patch", _patch_call(F.lit("apply_patch"), F.coalesce(find_patch(patch_arg), patch_arg)))
-        .otherwise(_named_call(spaced, args))
-    )
-    return F.when(ptype == "custom_tool_call", custom).when(ptype == "function_call", function)
+    return F.when(ptype.isin("custom_tool_call", "function_call"), let(let(args, build), _finish))
 
 
 # ------------------------------------------------------------------------------------------------ part store
 def part_call(tool: Column, input_text: Column) -> Column:
-    m = J.obj(input_text)
-    kind = classify_action("part_store", tool)
-    path = J.text(m, "filePath", "file_path", "path")
-    workdir = J.text(m, "workdir", "cwd")
-    cmd = F.coalesce(J.text(m, "command", "cmd"), F.lit(""))
-    sp = split_cd(cmd)
-    pattern = J.text(m, "pattern", "query")
-    url = J.text(m, "url", "query")
-    task = J.text(m, "description", "prompt")
-    desc = J.text(m, "description")
-    target = F.coalesce(
-        F.when(kind == "bash", clip_line(sp["rest"], 400))
-        .when(kind.isin("edit", "write", "read"), short_path(clip_line(path, 300)))
-        .when(kind == "search", clip_line(F.coalesce(pattern, path), 200))
-        .when(kind == "web", clip_line(url, 240))
-        .when(kind == "agent", clip_line(task, 200))
-        .when(kind == "skill", clip_line(J.text(m, "name", "skill"), 120))
-        .otherwise(clip_line(J.first_text(m), 160)),
-        F.lit(""),
-    )
-    summary = F.when(kind == "bash", clip_line(F.coalesce(nz(cmd), desc, tool), 240)).otherwise(F.coalesce(nz(target), tool))
-    file_ = ("file_path", safe_text(path, 500))
-    none = F.lit(None).cast("map<string,string>")
-    web_key = J.any_text(m, "url").isNotNull()
-    detail = (
-        F.when(kind == "bash", _detail([("command", safe_text(nz(cmd), 4000)), ("description", safe_text(desc, 300)), ("workdir", safe_text(workdir, 500))]))
-        .when(
-            kind == "edit",
-            _detail(
-                [
-                    file_,
-                    ("old_string", safe_text(J.text(m, "oldString", "old_string"), 3000)),
-                    ("new_string", safe_text(J.text(m, "newString", "new_string"), 3000)),
-                    ("patch", safe_text(J.text(m, "patchText", "patch"), 6000)),
-                ]
-            ),
+    def build(m: Column, kind: Column, sp: Column) -> Column:
+        path = J.text(m, "filePath", "file_path", "path")
+        workdir = J.text(m, "workdir", "cwd")
+        cmd = J.text(m, "command", "cmd")
+        pattern = J.text(m, "pattern", "query")
+        url = J.text(m, "url", "query")
+        task = J.text(m, "description", "prompt")
+        desc = J.text(m, "description")
+        target = F.coalesce(
+            F.when(kind == "bash", sp["rest"])
+            .when(kind.isin("edit", "write", "read"), short_path(clip_line(path, 300)))
+            .when(kind == "search", F.coalesce(pattern, path))
+            .when(kind == "web", url)
+            .when(kind == "agent", task)
+            .when(kind == "skill", J.text(m, "name", "skill"))
+            .otherwise(J.first_text(m)),
+            F.lit(""),
         )
-        .when(kind == "write", _detail([file_, ("content", safe_text(J.text(m, "content"), 3000))]))
-        .when(kind == "read", _detail([file_]))
-        .when(kind == "search", _detail([("pattern", safe_text(pattern, 500)), ("path", safe_text(path, 500))]))
-        .when(kind == "web", _detail([("url", F.when(web_key, safe_text(url, 500))), ("query", F.when(~web_key, safe_text(url, 500)))]))
-        .when(
-            kind == "agent",
-            _detail(
-                [
-                    ("subagent_type", safe_text(J.text(m, "subagent_type"), 80)),
-                    ("description", safe_text(task, 300)),
-                    ("prompt", safe_text(J.text(m, "prompt"), 2000)),
-                ]
+        tmax = F.coalesce(
+            F.try_element_at(
+                F.create_map(*[F.lit(x) for x in ("bash", 400, "edit", 400, "write", 400, "read", 400, "search", 200, "web", 240, "agent", 200, "skill", 120)]), kind
             ),
+            F.lit(160),
+        )
+        file_ = ("file_path", path, 500)
+        web_key = J.any_text(m, "url").isNotNull()
+        fields = (
+            F.when(kind == "bash", _detail([("command", cmd, 4000), ("description", desc, 300), ("workdir", workdir, 500)]))
+            .when(
+                kind == "edit",
+                _detail(
+                    [
+                        file_,
+                        ("old_string", J.text(m, "oldString", "old_string"), 3000),
+                        ("new_string", J.text(m, "newString", "new_string"), 3000),
+                        ("patch", J.text(m, "patchText", "patch"), 6000),
+                    ]
+                ),
+            )
+            .when(kind == "write", _detail([file_, ("content", J.text(m, "content"), 3000)]))
+            .when(kind == "read", _detail([file_]))
+            .when(kind == "search", _detail([("pattern", pattern, 500), ("path", path, 500)]))
+            .when(kind == "web", _detail([("url", F.when(web_key, url), 500), ("query", F.when(~web_key, url), 500)]))
+            .when(
+                kind == "agent",
+                _detail([("subagent_type", J.text(m, "subagent_type"), 80), ("description", task, 300), ("prompt", J.text(m, "prompt"), 2000)]),
+            )
         )
-        .otherwise(none)
+        dir_ = F.when(kind == "bash", F.coalesce(sp["dir"], workdir))
+
+        def raw(t: Column) -> Column:
+            said = F.when(kind == "bash", F.coalesce(cmd, desc, tool)).otherwise(F.coalesce(nz(t), tool))
+            return _raw(tool, kind, t, tmax, dir_, 300, said, 240, fields)
+
+        return let(target, raw)
+
+    call = let(
+        J.obj(input_text),
+        lambda m: let(
+            classify_action("part_store", tool),
+            lambda kind: let(split_cd(F.coalesce(J.text(m, "command", "cmd"), F.lit(""))), lambda sp: build(m, kind, sp)),
+        ),
     )
-    dir_ = F.when(kind == "bash", clip_line(F.coalesce(sp["dir"], workdir), 300))
-    return _call(tool, kind, target, dir_, summary, detail)
+    return let(call, _finish)
 
 
 # ------------------------------------------------------------------------------------------------ documents
 def document_call(tool: Column, args_text: Column) -> Column:
-    m = J.obj(args_text)
-    kind = classify_action("document", tool)
-    raw = F.coalesce(J.text(m, "command"), F.lit(""))
-    sp = split_cd(raw)
-    path = J.text(m, "file_path", "absolute_path", "path")
-    folder = J.text(m, "dir_path", "path")
-    listed = lambda k: F.array_join(J.texts(m, k), ", ")
-    include = F.coalesce(J.text(m, "include"), nz(listed("include")), J.text(m, "paths"), nz(listed("paths")))
-    is_file = tool.isin("replace", "write_file", "read_file")
-    is_find = tool.isin("glob", "search_file_content")
-    target = F.coalesce(
-        F.when(tool == "run_shell_command", sp["rest"])
-        .when(is_file, short_path(path))
-        .when(tool == "read_many_files", include)
-        .when(is_find, J.text(m, "pattern"))
-        .when(tool == "list_directory", short_path(folder))
-        .when(tool == "google_web_search", J.text(m, "query"))
-        .when(tool == "web_fetch", J.text(m, "prompt", "url"))
-        .otherwise(J.text(m, "description", "query", "prompt", "command", "file_path", "path")),
-        F.lit(""),
-    )
-    shown = clip_line(target, 160)
-    detail = (
-        F.when(tool == "run_shell_command", _detail([("command", safe_text(nz(raw), 1200)), ("description", safe_text(J.text(m, "description"), 300))]))
-        .when(is_file, _detail([("file_path", safe_text(path, 300))]))
-        .when(is_find, _detail([("pattern", safe_text(J.text(m, "pattern"), 300)), ("path", safe_text(folder, 300))]))
+    def build(m: Column, sp: Column) -> Column:
+        path = J.text(m, "file_path", "absolute_path", "path")
+        folder = J.text(m, "dir_path", "path")
+        listed = lambda k: nz(F.array_join(J.texts(m, k), ", "))
+        include = F.coalesce(J.text(m, "include"), listed("include"), J.text(m, "paths"), listed("paths"))
+        is_shell = tool == "run_shell_command"
+        is_file = tool.isin("replace", "write_file", "read_file")
+        is_find = tool.isin("glob", "search_file_content")
+        target = F.coalesce(
+            F.when(is_shell, sp["rest"])
+            .when(is_file, short_path(path))
+            .when(tool == "read_many_files", include)
+            .when(is_find, J.text(m, "pattern"))
+            .when(tool == "list_directory", short_path(folder))
+            .when(tool == "google_web_search", J.text(m, "query"))
+            .when(tool == "web_fetch", J.text(m, "prompt", "url"))
+            .otherwise(J.text(m, "description", "query", "prompt", "command", "file_path", "path")),
+            F.lit(""),
+        )
+        fields = (
+            F.when(is_shell, _detail([("command", J.text(m, "command"), 1200), ("description", J.text(m, "description"), 300)]))
+            .when(is_file, _detail([("file_path", path, 300)]))
+            .when(is_find, _detail([("pattern", J.text(m, "pattern"), 300), ("path", folder, 300)]))
+        )
+        dir_ = F.when(is_shell, F.coalesce(sp["dir"], J.text(m, "dir_path", "directory")))
+        kind = classify_action("document", tool)
+        return let(target, lambda t: _raw(tool, kind, t, 160, dir_, 200, t, 160, fields))
+
+    call = let(
+        J.obj(args_text),
+        lambda m: let(split_cd(F.coalesce(J.text(m, "command"), F.lit(""))), lambda sp: build(m, sp)),
     )
-    dir_ = F.when(tool == "run_shell_command", clip_line(F.coalesce(sp["dir"], J.text(m, "dir_path", "directory")), 200))
-    return _call(tool, kind, shown, dir_, shown, detail)
+    return let(call, _finish)
 
 
 # ------------------------------------------------------------------------------------------------ chain store
 def chain_call(tool: Column, args_text: Column) -> Column:
-    m = J.obj(args_text)
     tool = F.coalesce(nz(tool), F.lit("tool"))
-    kind = classify_action("chain_store", tool)
-    path = J.text(m, "path")
-    cmd = F.coalesce(J.text(m, "command"), F.lit(""))
-    sp = split_cd(cmd)
-    workdir = J.text(m, "workdir")
-    first_of = lambda k: F.coalesce(J.text(m, k), F.try_element_at(J.texts(m, k), F.lit(1)))
-    moved = F.concat(
-        F.coalesce(short_path(J.text(m, "old_path")), F.lit("")), F.lit(" → "), F.coalesce(short_path(J.text(m, "new_path")), F.lit(""))
-    )
-    needle = F.when(tool == "search_file_line", J.text(m, "search_term")).otherwise(J.text(m, "glob"))
-    target = F.coalesce(
-        F.when(tool == "shell_command", sp["rest"])
-        .when(kind == "search", needle)
-        .when(tool == "move", moved)
-        .when(tool == "web_search", F.coalesce(first_of("objective"), first_of("searchQueries")))
-        .when(tool == "web_extract", F.coalesce(first_of("urls"), first_of("objective")))
-        .when(tool == "open_url_in_app_browser", J.text(m, "url"))
-        .when(tool == "agentic_find", first_of("queries"))
-        .when(tool == "run_python", F.lit("running Python"))
-        .when(tool == "bionic_tool", J.text(m, "name"))
-        .when(kind.isin("read", "edit", "write"), short_path(path))
-        .otherwise(J.first_text(m)),
-        F.lit(""),
-    )
-    detail = (
-        F.when(tool == "shell_command", _detail([("command", safe_text(cmd, 4000)), ("workdir", safe_text(workdir, 500))]))
-        .when(kind == "search", _detail([("pattern", safe_text(needle, 300)), ("path", safe_text(path, 500))]))
-        .when(tool == "run_python", _detail([("code", safe_text(J.text(m, "code"), 3000))]))
-        .when((tool != "move") & kind.isin("read", "edit", "write"), _detail([("file_path", safe_text(path, 500))]))
+
+    def build(m: Column, kind: Column, sp: Column) -> Column:
+        path = J.text(m, "path")
+        workdir = J.text(m, "workdir")
+        first_of = lambda k: F.coalesce(J.text(m, k), F.try_element_at(J.texts(m, k), F.lit(1)))
+        side = lambda k: F.coalesce(short_path(J.text(m, k)), F.lit(""))
+        needle = F.when(tool == "search_file_line", J.text(m, "search_term")).otherwise(J.text(m, "glob"))
+        is_shell = tool == "shell_command"
+        target = F.coalesce(
+            F.when(is_shell, sp["rest"])
+            .when(kind == "search", needle)
+            .when(tool == "move", F.concat(side("old_path"), F.lit(" → "), side("new_path")))
+            .when(tool == "web_search", F.coalesce(first_of("objective"), first_of("searchQueries")))
+            .when(tool == "web_extract", F.coalesce(first_of("urls"), first_of("objective")))
+            .when(tool == "open_url_in_app_browser", J.text(m, "url"))
+            .when(tool == "agentic_find", first_of("queries"))
+            .when(tool == "run_python", F.lit("running Python"))
+            .when(tool == "bionic_tool", J.text(m, "name"))
+            .when(kind.isin("read", "edit", "write"), short_path(path))
+            .otherwise(J.first_text(m)),
+            F.lit(""),
+        )
+        fields = (
+            F.when(is_shell, _detail([("command", J.text(m, "command"), 4000), ("workdir", workdir, 500)]))
+            .when(kind == "search", _detail([("pattern", needle, 300), ("path", path, 500)]))
+            .when(tool == "run_python", _detail([("code", J.text(m, "code"), 3000)]))
+            .when((tool != "move") & kind.isin("read", "edit", "write"), _detail([("file_path", path, 500)]))
+        )
+        dir_ = F.when(is_shell, F.coalesce(sp["dir"], workdir))
+        return let(target, lambda t: _raw(tool, kind, F.coalesce(nz(t), tool), 300, dir_, 300, t, 240, fields))
+
+    call = let(
+        J.obj(args_text),
+        lambda m: let(
+            classify_action("chain_store", tool),
+            lambda kind: let(split_cd(F.coalesce(J.text(m, "command"), F.lit(""))), lambda sp: build(m, kind, sp)),
+        ),
     )
-    dir_ = F.when(tool == "shell_command", clip_line(F.coalesce(sp["dir"], workdir), 300))
-    return _call(tool, kind, clip_line(F.coalesce(nz(target), tool), 300), dir_, clip_line(target, 240), detail)
+    return let(call, _finish)
