@@ -98,7 +98,7 @@ def test_sessions(spark, lines, tree):
     assert [(r.session_id[-1], r.live, r.has_transcript) for r in out] == [("a", True, True), ("b", True, False)]
     s = out[0]
     assert (s.session_name, s.status, s.agent_count, s.running_agents, s.total_tokens, s.cwd) == ("Demo Live", "busy", 4, 1, 961, "/w/demo")
-    assert sum(s.activity.counts) == 17 and len(s.activity.counts) == 30 and s.activity.end == fx.NOW // 60000 * 60000
+    assert sum(s.activity.counts) == 18 and len(s.activity.counts) == 30 and s.activity.end == fx.NOW // 60000 * 60000
     dead = L.sessions(lines, tree, fx.NOW).first()
     assert dead.session_name == "Demo Session"
 
