@@ -119,6 +119,12 @@ def price_models(df: DataFrame, prices: DataFrame, model: str = "model", layout:
     return df.join(first, keys, "left")
 
 
+def with_counters(usage: DataFrame) -> DataFrame:
+    """Fill in the counters a source does not have."""
+    missing = [c for c in COUNTERS if c not in usage.columns]
+    return usage.withColumns({c: F.lit(0).cast("bigint") for c in missing}) if missing else usage
+
+
 def token_total(cols: Sequence[str] = COUNTERS[:4]) -> Column:
     """Input, output, cache read and cache creation; the one-hour share is part of the latter."""
     out = F.lit(0).cast("bigint")
@@ -158,11 +164,8 @@ def cost(
     The usage is first summed per (group, model), which is the small table the prices are joined to.
     """
     keys = [*by, *[c for c in ([model] + ([layout] if layout else [])) if c not in by]]
-    counters = [c for c in COUNTERS if c in usage.columns]
-    sums = usage.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters])
+    sums = with_counters(usage).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
     priced = price_models(sums, prices, model, layout)
-    if one_hour not in counters:
-        one_hour = None
     total = token_total()
     priced = priced.select(
         *by,

@@ -46,18 +46,18 @@ def carry_last(
     span: int = SPAN,
 ) -> DataFrame:
     """Add ``as_``: the latest non-null ``value`` at or before (``inclusive``) or strictly before each row."""
-    seg = _with_segment(df.withColumn("__value", value), order, span)
+    seg = _with_segment(df.withColumn("__seg_value", value), order, span)
     inner = Window.partitionBy(*by, _SEG).orderBy(order, *ties)
     inner = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = seg.withColumn("__local", F.last("__value", ignorenulls=True).over(inner))
+    local = seg.withColumn("__seg_local", F.last("__seg_value", ignorenulls=True).over(inner))
     ends = seg.groupBy(*by, _SEG).agg(
-        F.max_by("__value", F.when(F.col("__value").isNotNull(), _order_key(order, ties))).alias("__end")
+        F.max_by("__seg_value", F.when(F.col("__seg_value").isNotNull(), _order_key(order, ties))).alias("__seg_end")
     )
     outer = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*by, _SEG, F.last("__end", ignorenulls=True).over(outer).alias("__start"))
-    starts = starts.where(F.col("__start").isNotNull())
-    out = _attach(local, starts, by).withColumn(as_, F.coalesce("__local", "__start"))
-    return out.drop("__value", "__local", "__start", _SEG)
+    starts = ends.select(*by, _SEG, F.last("__seg_end", ignorenulls=True).over(outer).alias("__seg_start"))
+    starts = starts.where(F.col("__seg_start").isNotNull())
+    out = _attach(local, starts, by).withColumn(as_, F.coalesce("__seg_local", "__seg_start"))
+    return out.drop("__seg_value", "__seg_local", "__seg_start", _SEG)
 
 
 def previous_row(
@@ -72,15 +72,15 @@ def running_total(
     df: DataFrame, by: Sequence[str], order: str, value: Column, as_: str, *, ties: Sequence[str] = (), span: int = SPAN
 ) -> DataFrame:
     """Add ``as_``: the sum of ``value`` over this and all earlier rows of the key."""
-    seg = _with_segment(df.withColumn("__value", value), order, span)
+    seg = _with_segment(df.withColumn("__seg_value", value), order, span)
     inner = Window.partitionBy(*by, _SEG).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    local = seg.withColumn("__local", F.sum("__value").over(inner))
-    sums = seg.groupBy(*by, _SEG).agg(F.sum("__value").alias("__sum"))
+    local = seg.withColumn("__seg_local", F.sum("__seg_value").over(inner))
+    sums = seg.groupBy(*by, _SEG).agg(F.sum("__seg_value").alias("__seg_sum"))
     outer = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, _SEG, F.sum("__sum").over(outer).alias("__start")).where(F.col("__start").isNotNull())
+    starts = sums.select(*by, _SEG, F.sum("__seg_sum").over(outer).alias("__seg_start")).where(F.col("__seg_start").isNotNull())
     out = _attach(local, starts, by)
-    out = out.withColumn(as_, F.coalesce("__local", F.lit(0)) + F.coalesce("__start", F.lit(0)))
-    return out.drop("__value", "__local", "__start", _SEG)
+    out = out.withColumn(as_, F.coalesce("__seg_local", F.lit(0)) + F.coalesce("__seg_start", F.lit(0)))
+    return out.drop("__seg_value", "__seg_local", "__seg_start", _SEG)
 
 
 def position(

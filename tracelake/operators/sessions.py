@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.functions.text import local_day, nz
-from tracelake.operators.pricing import COUNTERS, cost, micro_usd, price_models, token_total, usd
+from tracelake.operators.pricing import COUNTERS, cost, micro_usd, price_models, token_total, usd, with_counters
 
 # --- fixed values ---------------------------------------------------------------------------------
 #: States that count as "finished today", per layout.
@@ -104,8 +104,7 @@ def registry_latest(registry: DataFrame, order: str = "file_ord") -> DataFrame:
 
 
 def usage_totals(usage: DataFrame, by: Sequence[str]) -> DataFrame:
-    counters = [c for c in COUNTERS if c in usage.columns]
-    sums = usage.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counters])
+    sums = with_counters(usage).groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS])
     return sums.withColumn("total_tokens", token_total().cast("bigint"))
 
 
@@ -205,16 +204,15 @@ def machine_summary(
             registry.where("alive").groupBy(F.lit("line_log").alias("layout")).agg(F.count(F.lit(1)).alias("live_sessions"))
         )
     spent = price_models(
-        usage.where(F.col("day") == today)
+        with_counters(usage).where(F.col("day") == today)
         .groupBy("layout", "model")
-        .agg(*[F.sum(c).alias(c) for c in COUNTERS if c in usage.columns]),
+        .agg(*[F.sum(c).alias(c) for c in COUNTERS]),
         prices,
         layout="layout",
     )
-    hour = "cache_create_1h" if "cache_create_1h" in usage.columns else None
     money = spent.groupBy("layout").agg(
         F.sum("output").cast("bigint").alias("output_today"),
-        F.coalesce(F.sum(micro_usd(hour)), F.lit(0)).cast("decimal(38,6)").alias("__micro"),
+        F.coalesce(F.sum(micro_usd()), F.lit(0)).cast("decimal(38,6)").alias("__micro"),
     )
     joined = agents.join(sessions, "layout", "full_outer").join(money, "layout", "full_outer")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
@@ -256,7 +254,7 @@ def provider_status(sessions: DataFrame, usage: DataFrame, prices: DataFrame, sh
         F.count(F.lit(1)).alias("sessions"), F.count_if("live").alias("active"), F.max("last_activity_at").alias("last_activity_at")
     )
     models = price_models(
-        usage.where(token_total() > 0).groupBy("layout", "model").agg(F.lit(1).alias("__one")), prices, layout="layout"
+        with_counters(usage).where(token_total() > 0).groupBy("layout", "model").agg(F.lit(1).alias("__one")), prices, layout="layout"
     )
     kind = (
         F.when(F.col("p_input").isNull(), "unpriced").when(F.col("verified"), "verified").otherwise("estimated").alias("kind")

@@ -185,11 +185,11 @@ def scan_turns(
     t = turns.withColumn("__turn", F.coalesce(F.col(turn), F.when(F.col(started), F.concat(F.lit("o"), F.col(order).cast("string")))))
     t = previous_row(t, [*keys, "__turn"], order, [order, started], "__before")
     matched = F.when(F.col("__before")[started], F.col("__before")[order])
-    t = t.withColumn("__start", F.when(~F.col(started) & F.col("__turn").isNotNull(), matched))
-    t = cut_lineage(t.withColumn("is_clear", ~F.col(started) & F.col("__start").isNull()).drop("__before"))
+    t = t.withColumn("__opened", F.when(~F.col(started) & F.col("__turn").isNotNull(), matched))
+    t = cut_lineage(t.withColumn("is_clear", ~F.col(started) & F.col("__opened").isNull()).drop("__before"))
     while True:
         seen = carry_last(t, by, order, F.when(F.col("is_clear"), F.col(order)), "__clear", inclusive=False)
-        again = F.col("is_clear") | (~F.col(started) & F.coalesce(F.col("__clear") > F.col("__start"), F.lit(False)))
+        again = F.col("is_clear") | (~F.col(started) & F.coalesce(F.col("__clear") > F.col("__opened"), F.lit(False)))
         nxt = cut_lineage(seen.withColumn("__next", again))
         changed = nxt.where(F.col("__next") & ~F.col("is_clear")).limit(1).count()
         t = nxt.withColumn("is_clear", F.col("__next")).drop("__next", "__clear")
@@ -202,7 +202,7 @@ def scan_turns(
     was_open = F.coalesce(F.col("__same")[started], F.lit(False))
     change = F.when(F.col(started) & ~was_open, 1).when(~F.col(started) & ~F.col("is_clear") & was_open, -1).otherwise(0)
     t = running_total(t, epoch, order, change.cast("bigint"), "open_after")
-    return t.drop("__turn", "__start", "__epoch", "__same")
+    return t.drop("__turn", "__opened", "__epoch", "__same")
 
 
 def open_turns(turns: DataFrame, by: Sequence[str] = ("file",), order: str = "ord", **names: str) -> DataFrame:

@@ -607,7 +607,7 @@ def page_group(spark, sf):
     e = event_lines(spark, sf)
     n = F.when(F.col("event_type") == "click", 2).otherwise(1)
     p = e.select(
-        "user_id", F.floor(F.col("ts_ms") / 3_600_000).alias("created_ms"), F.col("event_id").alias("part_id"), F.explode(F.sequence(F.lit(0), n - 1)).cast("bigint").alias("i")
+        "user_id", F.floor(F.col("ts_ms") / 3_600_000).alias("created_ms"), F.col("event_id").alias("part_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("i")
     )
     return E.part_page(p, ["user_id"], tail=12).select("user_id", "part_id", "i", "page_start", "truncated")
 
