@@ -8,7 +8,6 @@ joins, without listing the pairs of a group.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -472,8 +471,13 @@ def window_agents(agents: DataFrame, now: int, window_ms: int) -> DataFrame:
 
 
 def assign_topics(agents: DataFrame, prs: DataFrame | None = None, home: str = "") -> DataFrame:
-    """The agents with their final topic slot."""
-    return cluster_loose(title_slots(assign_main_topics(classify_agents(agents, prs, home))))
+    """The agents with their final topic slot.
+
+    The classified agents (texts already read) and the merged slots are written once, because the steps
+    after them use their input several times.
+    """
+    classified = cut_lineage(classify_agents(agents, prs, home))
+    return cut_lineage(cluster_loose(cut_lineage(title_slots(assign_main_topics(classified)))))
 
 
 def build_topics(
@@ -579,5 +583,3 @@ def summarize_with(prompts: DataFrame, fn, as_: str = "text") -> DataFrame:
 def calls_last_hour(calls: DataFrame, now: int) -> DataFrame:
     return calls.where(F.col("at") > now - 3_600_000).agg(F.count(F.lit(1)).alias("calls_last_hour"))
 
-
-_ = reduce

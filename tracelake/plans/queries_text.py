@@ -507,9 +507,9 @@ def topic_facts(spark, sf):
 
 @query(
     f"""WITH {EVENTS_SQL}, {_TOPICS}, first AS (SELECT *, row_number() OVER (ORDER BY (kind = 'other'), (running > 0) DESC, last_at DESC, topic_id) AS rk FROM topic),
-    calls AS (SELECT substr(sha1('t|p' || CAST(k % 2 AS VARCHAR) || '|T-' || CAST(k % 2 AS VARCHAR)), 1, 10) AS topic_id, ts_ms AS at FROM ev WHERE event_type = 'purchase' AND k = 0),
-    used AS (SELECT count(*) AS n FROM calls WHERE at > {NOW} - 3600000),
-    ok AS (SELECT first.*, row_number() OVER (ORDER BY (running > 0) DESC, last_at DESC, first.topic_id) AS place FROM first LEFT JOIN (SELECT topic_id, max(at) AS tried FROM calls GROUP BY 1) t ON t.topic_id = first.topic_id
+    calls AS (SELECT substr(sha1('t|p' || CAST(k % 2 AS VARCHAR) || '|T-' || CAST(k % 2 AS VARCHAR)), 1, 10) AS topic_id, ts_ms AS tried_at FROM ev WHERE event_type = 'purchase' AND k = 0),
+    used AS (SELECT count(*) AS n FROM calls WHERE tried_at > {NOW} - 3600000),
+    ok AS (SELECT first.*, row_number() OVER (ORDER BY (running > 0) DESC, last_at DESC, first.topic_id) AS place FROM first LEFT JOIN (SELECT topic_id, max(tried_at) AS tried FROM calls GROUP BY 1) t ON t.topic_id = first.topic_id
       WHERE rk <= 12 AND kind <> 'other' AND (running > 0 OR {NOW} - last_at <= 7200000) AND (tried IS NULL OR {NOW} - tried >= 600000))
     SELECT topic_id, CAST(place AS INTEGER) AS place FROM ok WHERE place <= 20 - (SELECT n FROM used)"""
 )
