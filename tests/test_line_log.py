@@ -7,6 +7,7 @@ from tests import fixtures as fx
 from tracelake.operators import events as E
 from tracelake.operators import sessions as S
 from tracelake.operators.pricing import price_table
+from tracelake.operators.state import infer_state
 from tracelake.plans import line_log as L
 
 
@@ -72,13 +73,18 @@ def test_failed_and_resumed_agents(spark):
     failed = fx.say("user", 190, fx.note("a2", "failed", "API error"), "n1")
     resumed = fx.say("assistant", 230, [fx.use("z", "Bash", command="ls")], "z9", "m99", "claude-haiku-4-5", "tool_use", (1, 1, 0, 0))
 
-    def state(extra, now=fx.NOW):
-        rows = spark.createDataFrame(fx.line_log_rows(extra), fx.LINE_SCHEMA)
-        return by_key(L.nodes(L.parse_lines(rows), now))["a2"]
-
-    assert (state([("main", failed)]).state, state([("main", failed)]).end_reason) == ("failed", "API error")
-    assert state([("main", failed), ("a2", resumed)]).state == "running"
-    assert state([], fx.NOW + 3 * 3_600_000).state == "stalled"
+    def renamed(rows, sid):
+        return [(f"{sid}/{k}", sid, k, o, v, m) for _, _, k, o, v, m in rows]
+
+    rows = (
+        renamed(fx.line_log_rows([("main", failed)]), "failed") + renamed(fx.line_log_rows([("main", failed), ("a2", resumed)]), "resumed") + renamed(fx.line_log_rows(), "plain")
+    )
+    tree = L.nodes(L.parse_lines(spark.createDataFrame(rows, fx.LINE_SCHEMA)), fx.NOW)
+    got = {r.session_id: (r.state, r.end_reason) for r in tree.where("agent_key = 'a2'").collect()}
+    assert got == {"failed": ("failed", "API error"), "resumed": ("running", None), "plain": ("running", None)}
+    facts = tree.where("session_id = 'plain'").select("*", F.lit(False).alias("alive"), *[F.lit(None).cast(t).alias(c) for c, t in (("reg_status", "string"), ("note_status", "string"), ("note_ts", "bigint"))])
+    late = infer_state(facts.drop("state"), "line_log", fx.NOW + 3 * 3_600_000)
+    assert by_key(late)["a2"].state == "stalled"
 
 
 def test_parent_cycle_hangs_under_main(spark):

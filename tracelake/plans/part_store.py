@@ -18,7 +18,7 @@ MAX_TEXT, MAX_RESULT = 4000, 2000
 # --- end of fixed values --------------------------------------------------------------------------
 DATA = (
     "type string, text string, synthetic boolean, ignored boolean, tool string, callID string, time struct<end:double>, "
-    "state struct<status:string,input:string,output:string,error:string,title:string,metadata:struct<sessionId:string,sessionID:string>>"
+    "state struct<status:string,input:string,output:string,error:string,title:string,metadata:string>"
 )
 MESSAGE_DATA = (
     "role string, modelID string, time struct<created:double,completed:double>, error struct<name:string,data:struct<message:string>>"
@@ -119,7 +119,8 @@ def nodes(sessions: DataFrame, messages: DataFrame, parts: DataFrame, now: int)
     prompts = p.where(shown).join(roles, "message_id", "left_semi").groupBy("session_id").agg(
         F.max_by("d.text", F.struct("time_created", "id")).alias("last_prompt")
     )
-    kid = F.coalesce(nz("d.state.metadata.sessionId"), nz("d.state.metadata.sessionID"))
+    meta = lambda k: nz(F.get_json_object("d.state.metadata", f"$.{k}"))
+    kid = F.coalesce(meta("sessionId"), meta("sessionID"))
     calls = p.where((F.col("d.tool") == "task") & kid.isNotNull() & nz("d.callID").isNotNull()).groupBy(
         F.col("session_id").alias("__owner"), kid.alias("__child")
     ).agg(F.max_by("d.callID", "time_updated").alias("tool_use_id"))
