@@ -104,14 +104,60 @@ def one_line(c: Column | str) -> Column:
 
 
 # ------------------------------------------------------------------------------------ masking
-def mask_secrets(c: Column | str) -> Column:
-    """Replace every known secret shape; the rules run in their fixed order."""
-    out = col(c)
-    for _, pattern, replacement in SECRET_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
+# fixed values: literals without which a rule cannot match: (as written, in lower case)
+RULE_NEEDLES = {
+    "private_key": (["-----BEGIN "], []),
+    "bearer": ([], ["bearer"]),
+    "sk_key": (["sk-"], []),
+    "github": (["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], []),
+    "github_pat": (["github_pat_"], []),
+    "aws": (["AKIA", "ASIA"], []),
+    "google": (["AIza"], []),
+    "slack": (["xox"], []),
+    "jwt": (["eyJ"], []),
+    "url_password": (["://"], []),
+    "cli_password": ([], ["--pass", "--pwd"]),
+    "assignment": ([], ["api", "secret", "token", "passw", "private", "access", "credential"]),
+}
+
+
+def _may_match(name: str, text: Column, lower: Column) -> Column:
+    as_is, folded = RULE_NEEDLES[name]
+    hits = [F.contains(text, F.lit(n)) for n in as_is] + [F.contains(lower, F.lit(n)) for n in folded]
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
     return out
 
 
+def may_hold_secret(text: Column, lower: Column) -> Column:
+    """False only when no rule can match: plain substring tests, far cheaper than the patterns."""
+    out = F.lit(False)
+    for name, _, _ in SECRET_RULES:
+        out = out | _may_match(name, text, lower)
+    return out
+
+
+def mask_secrets(c: Column | str) -> Column:
+    """Replace every known secret shape; the rules run in their fixed order.
+
+    A replacement never creates a literal another rule looks for, so the substring tests that guard the
+    patterns are made once, on the original text.
+    """
+
+    def apply(text: Column, lower: Column) -> Column:
+        def step(before: Column, name: str, pattern: str, replacement: str) -> Column:
+            guard = _may_match(name, text, lower)
+            return let(before, lambda o: F.when(guard, F.regexp_replace(o, pattern, replacement)).otherwise(o))
+
+        out = text
+        for rule in SECRET_RULES:
+            out = step(out, *rule)
+        return F.when(may_hold_secret(text, lower), out).otherwise(text)
+
+    return let(col(c), lambda text: let(F.lower(text), lambda lower: apply(text, lower)))
+
+
 @bound
 def safe_text(c: Column | str, limit: int | Column) -> Column:
     """Mask, then cut to ``limit`` characters with a note of how many were left out."""
@@ -150,15 +196,15 @@ def mask_report(df: DataFrame, text: str, by: list[str]) -> DataFrame:
     A rule counts what is left after the earlier rules ran, so a secret is counted once.  One pass over
     the table: every row yields its per-rule counts, which are summed map-side.
     """
-    rest = F.col(text)
-    counts: dict[str, Column] = {}
+    rows = df.select(*by, F.col(text).alias("__text"), F.lower(text).alias("__lower"))
+    rows = rows.where(may_hold_secret(F.col("__text"), F.col("__lower"))).withColumn("__rest", F.col("__text"))
+    names = [name for name, _, _ in SECRET_RULES]
     for name, pattern, replacement in SECRET_RULES:
-        counts[name] = F.regexp_count(rest, F.lit(pattern))
-        rest = F.regexp_replace(rest, pattern, replacement)
-    sums = df.select(*by, *[c.alias(n) for n, c in counts.items()]).groupBy(*by).agg(
-        *[F.sum(F.col(n)).cast("bigint").alias(n) for n in counts]
-    )
-    return sums.unpivot(list(by), list(counts), "rule", "hits").where(F.col("hits") > 0)
+        guard = _may_match(name, F.col("__text"), F.col("__lower"))
+        rows = rows.withColumn(name, F.when(guard, F.regexp_count("__rest", F.lit(pattern))).otherwise(0))
+        rows = rows.withColumn("__rest", F.when(guard, F.regexp_replace("__rest", pattern, replacement)).otherwise(F.col("__rest")))
+    sums = rows.groupBy(*by).agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
+    return sums.unpivot(list(by), names, "rule", "hits").where(F.col("hits") > 0)
 
 
 # ------------------------------------------------------------------------------------ paths
