@@ -163,7 +163,7 @@ def title_words(title: Column | str) -> Column:
 def title_tokens(title: Column | str) -> Column:
     """Distinct five-letter stems of the title's words, in order."""
     words = F.filter(
-        title_words(title), lambda w: (F.length(w) >= 3) & ~w.isin(TITLE_STOP) & w.rlike("[aeıioöuüy]")
+        F.array_distinct(title_words(title)), lambda w: (F.length(w) >= 3) & ~w.isin(TITLE_STOP) & w.rlike("[aeıioöuüy]")
     )
     return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, STEM)))
 

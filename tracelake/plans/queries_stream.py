@@ -77,12 +77,16 @@ def stream_dedup(spark, sf):
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS groups, CAST(0 AS BIGINT) AS different FROM ({_DEDUP})")
 def stream_equals_batch(spark, sf):
-    """The summed stream deltas against the batch result of the same rows."""
+    """The streamed latest row of every message against the batch result of the same rows."""
     from tracelake.plans.binding import event_lines
 
-    streamed = _sums(_drain(spark, jobs.stream_usage(_usage_rows(_stream(spark, sf)))))
+    where, key = _run_dir(spark), ["file", "epoch", "message_key"]
+    q = jobs.write_versions(jobs.stream_latest_usage(_usage_rows(_stream(spark, sf)), key), f"{where}/out", f"{where}/ckpt", {"availableNow": True})
+    q.awaitTermination()
+    one = F.lit(1).cast("bigint")
+    streamed = _sums(jobs.latest_versions(spark.read.parquet(f"{where}/out"), key).withColumn("messages", one))
     won = dedup_usage(_usage_rows(event_lines(spark, sf)), "message_key", "ord", "last", ["file"])
-    batch = won.withColumn("messages", F.lit(1).cast("bigint"))
+    batch = won.withColumn("messages", one)
     both = streamed.withColumn("side", F.lit(0)).unionByName(_sums(batch).withColumn("side", F.lit(1)))
     g = both.groupBy("session_id", "model", "messages", "input", "output").agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") != 2).alias("different"))

@@ -10,6 +10,7 @@ from tracelake.operators import topics as TP
 from tracelake.plans import chain_store, document, line_log, part_store, rollout
 from tracelake.plans.binding import DAY_MS, EVENTS_SQL, NOW, event_lines, table
 from tracelake.plans.tool_calls import classify_action
+from tracelake.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -168,6 +169,7 @@ def classify_actions(spark, sf):
 
 
 # ---------------------------------------------------------------------------------------------- layout events
+# The raw rows below are written once before they are parsed, as a log on disk would hold them.
 def _conv_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as line logs: each turn holds its text and a call (assistant) or a result (user)."""
     c = table(spark, sf, "conversations")
@@ -198,7 +200,7 @@ _BODY = f"b AS (SELECT conv_id, turn, role, text, {trim_sql('text')} AS body FRO
     UNION ALL SELECT {_UID} || ':1', 'tool_result', NULL, {safe_sql('text', 2048)} FROM b WHERE role = 'user'"""
 )
 def line_events(spark, sf):
-    ev = line_log.events(line_log.parse_lines(_conv_lines(spark, sf)))
+    ev = line_log.events(line_log.parse_lines(cut_lineage(_conv_lines(spark, sf))))
     return ev.select("event_id", "kind", "action", "text")
 
 
@@ -220,7 +222,7 @@ def rollout_events(spark, sf):
     rows = c.select(*base, F.col("turn").alias("ord"), wrap(said).alias("value")).unionByName(
         c.where(F.col("role") == "assistant").select(*base, (F.col("turn") + 100).alias("ord"), wrap(call).alias("value"))
     )
-    ev = rollout.events(rows)
+    ev = rollout.events(cut_lineage(rows))
     text = F.when(F.col("kind") == "tool_use", F.col("target")).otherwise(F.col("text"))
     return ev.select("session_id", "event_id", "kind", text.alias("text"))
 
@@ -246,7 +248,7 @@ def part_events(spark, sf):
         uid.alias("id"), mid.alias("message_id"), F.col("conv_id").cast("string").alias("session_id"), t, t.alias("time_updated"), F.when(F.col("turn") % 4 == 3, tool).otherwise(plain).alias("data")
     )
     msgs = c.select(mid.alias("id"), F.to_json(F.struct("role")).alias("data"))
-    return part_store.events((msgs, parts)).select("event_id", "kind", "text", "is_error")
+    return part_store.events((msgs, cut_lineage(parts))).select("event_id", "kind", "text", "is_error")
 
 
 @query(
@@ -286,7 +288,7 @@ def doc_events(spark, sf):
     docs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(msg)).alias("ms"))
     sid = F.col("conv_id").cast("string")
     body = F.to_json(F.struct(sid.alias("sessionId"), F.transform("ms", lambda m: m["msg"]).alias("messages")))
-    ev = document.events(docs.select(sid.alias("file"), F.lit(1).cast("bigint").alias("mtime"), body.alias("value")))
+    ev = document.events(cut_lineage(docs.select(sid.alias("file"), F.lit(1).cast("bigint").alias("mtime"), body.alias("value"))))
     return ev.select("session_id", "event_id", "kind", "text")
 
 
@@ -310,7 +312,7 @@ def chain_events(spark, sf):
     rows = c.select(F.lit("p").alias("project_id"), "conv_id", "turn", uid.alias("id"), F.lag(uid).over(w).alias("previous_id"), entry.alias("entry_json"))
     heads = rows.groupBy("project_id", "conv_id").agg(F.max_by("id", "turn").alias("committed_head_entry_id"))
     s = heads.select("project_id", F.col("conv_id").cast("string").alias("session_id"), "committed_head_entry_id")
-    ev = chain_store.events((s, rows))
+    ev = chain_store.events((s, cut_lineage(rows)))
     return ev.select("session_id", "event_id", "kind", "text")
 
 

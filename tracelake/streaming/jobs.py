@@ -57,6 +57,34 @@ def stream_usage(usage: DataFrame, key: Sequence[str] = ("file", "epoch", "messa
     )
 
 
+def stream_latest_usage(usage: DataFrame, key: Sequence[str] = ("file", "epoch", "message_key")) -> DataFrame:
+    """The latest row of every message as a streaming aggregation (update mode, JVM only).
+
+    This is the fast form for a sink that upserts by key, such as :func:`write_versions`; use
+    :func:`stream_usage` where the sink can only add.
+    """
+    cols = ["session_id", "model", "day", *_COUNTERS]
+    last = usage.groupBy(*key).agg(F.max_by(F.struct("ord", *cols), "ord").alias("r"))
+    return last.select(*key, "r.*")
+
+
+def write_versions(out: DataFrame, store: str, checkpoint: str, trigger: dict | None = None):
+    """Write every batch of an update-mode stream as its own version folder; a replayed batch overwrites it."""
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    writer = out.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(flush)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def latest_versions(versions: DataFrame, key: Sequence[str], batch: str = "batch") -> DataFrame:
+    """The newest version of every key."""
+    rest = [c for c in versions.columns if c not in (*key, batch)]
+    last = versions.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(batch).cast("bigint")).alias("r"))
+    return last.select(*key, "r.*")
+
+
 def stream_usage_first(usage: DataFrame, key: Sequence[str], event_time: str, delay: str = "1 day") -> DataFrame:
     """The first-wins variant: later lines of a response are dropped (inside the watermark)."""
     return usage.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
