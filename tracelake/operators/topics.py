@@ -34,6 +34,7 @@ from tracelake.session import cut_lineage
 MERGE_THRESHOLD = 0.6
 PROMPT_CHARS = 300
 MIN_CLUSTER, MIN_BUCKET, MAX_SHARE = 3, 5, 0.6
+COLLAPSE_GAIN = 0.5  # go on collapsing copies while a round settles half of what is open
 MEMBERS_SHOWN, MODULES_SHOWN, RECENT_SHOWN, TOPICS_OFFERED = 200, 3, 3, 12
 PROMPT_MAX, PROMPT_LABELS = 2000, 12
 #: English labels (pass another map to localise).
@@ -229,10 +230,10 @@ def merge_titles(
     """Greedy near-duplicate merge: each title joins the earliest leading title of its scope at or above
     the threshold, else it leads itself.  Adds ``leader`` (sorted tokens of the leading title).
 
-    Works on distinct token sets.  In each round the sets that come first under *all* their index keys
-    become leaders, and sets similar to an earlier leader become members.  A round compares a group with
-    its one new leader only, so a group of n copies costs n comparisons, and the result is the one of the
-    sequential rule.
+    Works on distinct token sets, in rounds, with the result of the sequential rule.  First the sets that
+    come first under *all* their index keys lead and take the sets similar to them, so a group of n near
+    copies costs n comparisons.  When that stops paying, the similar pairs that are left (few, as copies
+    are gone) decide the rest.
     """
     scope = list(scope)
     order_key = F.struct(*[F.col(x) for x in order])
@@ -243,18 +244,37 @@ def merge_titles(
     keys = cut_lineage(similarity_keys(sets, "id", "__tokens", scope, threshold).join(sets.select(*scope, "id", "ord", "__tokens"), [*scope, "id"]))
     leaders = sets.where(F.size("__tokens") == 0).select(*scope, "id", "ord", "__tokens")
     undecided = cut_lineage(sets.where(F.size("__tokens") > 0).select(*scope, "id"))
-    while not undecided.isEmpty():
+    left = undecided.count()
+    # 1) collapse groups of near copies: compare each index group with its first set only, while that pays
+    while left:
         live = keys.join(undecided, [*scope, "id"], "left_semi")
         first = live.groupBy(*scope, "key").agg(F.min("ord").alias("__first"))
         front = live.join(first, [*scope, "key"]).groupBy(*scope, "id").agg(F.bool_and(F.col("ord") == F.col("__first")).alias("__lead"))
-        new = cut_lineage(sets.join(front.where("__lead").select(*scope, "id"), [*scope, "id"], "left_semi").select(*scope, "id", "ord", "__tokens"))
-        leaders = cut_lineage(leaders.unionByName(new))
-        lead_keys = keys.join(new.select(*scope, "id"), [*scope, "id"], "left_semi")
+        new = cut_lineage(front.where("__lead").select(*scope, "id"))
+        leaders = leaders.unionByName(sets.join(new, [*scope, "id"], "left_semi").select(*scope, "id", "ord", "__tokens"))
+        lead_keys = keys.join(new, [*scope, "id"], "left_semi")
         hit = live.join(
             lead_keys.select(*scope, "key", F.col("ord").alias("__o"), F.col("__tokens").alias("__t")), [*scope, "key"]
         ).where((F.col("ord") > F.col("__o")) & (_set_jaccard(F.col("__tokens"), F.col("__t")) >= threshold))
-        gone = hit.select(*scope, "id").unionByName(new.select(*scope, "id")).distinct()
+        gone = hit.select(*scope, "id").unionByName(new).distinct()
         undecided = cut_lineage(undecided.join(gone, [*scope, "id"], "left_anti"))
+        before, left = left, undecided.count()
+        if left > before * COLLAPSE_GAIN:
+            break
+    # 2) what is left has few similar pairs: a set leads when no earlier similar set is undecided or leads
+    if left:
+        live = keys.join(undecided, [*scope, "id"], "left_semi")
+        other = live.select(*scope, "key", F.col("id").alias("__aid"), F.col("ord").alias("__o"), F.col("__tokens").alias("__t"))
+        near = (F.col("ord") > F.col("__o")) & (_set_jaccard(F.col("__tokens"), F.col("__t")) >= threshold)
+        pairs = cut_lineage(live.join(other, [*scope, "key"]).where(near).select(*scope, F.col("__aid").alias("a"), F.col("id").alias("b")).distinct())
+        while left:
+            waiting = pairs.join(undecided.withColumnRenamed("id", "a"), [*scope, "a"], "left_semi").select(*scope, F.col("b").alias("id"))
+            new = cut_lineage(undecided.join(waiting, [*scope, "id"], "left_anti"))
+            leaders = leaders.unionByName(sets.join(new, [*scope, "id"], "left_semi").select(*scope, "id", "ord", "__tokens"))
+            members = pairs.join(new.withColumnRenamed("id", "a"), [*scope, "a"], "left_semi").select(*scope, F.col("b").alias("id"))
+            undecided = cut_lineage(undecided.join(new.unionByName(members).distinct(), [*scope, "id"], "left_anti"))
+            left = undecided.count()
+    leaders = cut_lineage(leaders)
     lead_keys = keys.join(leaders.select(*scope, "id"), [*scope, "id"], "left_semi")
     lead_side = lead_keys.select(*scope, "key", F.col("id").alias("__lid"), F.col("ord").alias("__o"), F.col("__tokens").alias("__t"))
     member_keys = keys.join(leaders.select(*scope, "id"), [*scope, "id"], "left_anti")
