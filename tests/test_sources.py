@@ -90,3 +90,15 @@ def test_documents_rollouts_tables_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     raw = spark.createDataFrame(fx.line_log_rows(), fx.LINE_SCHEMA)
     assert S.normalize_events(raw, "line_log").count() == 18
+
+
+def test_chain_store_allow_list(spark, tmp_path):
+    pid = "0000000a-0000-4000-8000-000000000000"
+    for folder in (pid, "not-a-project"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "project.json").write_text('{"name":"Demo"}')
+    got = S.read_project_names(spark, str(tmp_path)).collect()
+    assert [(r.project_id, r.name) for r in got] == [(pid, "Demo")]
+    paths = [f"/r/{pid}/.internal/ng-sessions.sqlite", f"/r/{pid}/settings.json", f"/x/{pid}/project.json"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    assert [r[0] for r in df.orderBy("i").select(S.allowed_store_file("p", "/r")).collect()] == [True, False, False]

@@ -21,6 +21,8 @@ AGENT_FILE = "/([^/]+)/subagents/((?:[^/]+/){0,3})agent-([A-Za-z0-9_-]{1,64})\\.
 AGENT_META = "/([^/]+)/subagents/((?:[^/]+/){0,3})agent-([A-Za-z0-9_-]{1,64})\\.meta\\.json$"
 REGISTRY_FILE = "/\\d+\\.json$"
 ROLLOUT_FILE = "(?i)/rollout-.*-([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\\.jsonl$"
+#: The only files of a chain store that are ever read, below its projects folder.
+CHAIN_STORE_FILE = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}/(project\\.json|\\.internal/ng-sessions\\.sqlite)$"
 MAX_DOCUMENT_BYTES = 50 * 1024 * 1024
 RECENT_MS = 24 * 3_600_000
 BLOCK_BITS = 33
@@ -145,6 +147,21 @@ def read_title_files(spark: SparkSession, projects_dir: str) -> DataFrame:
     ).where(F.col("title").isNotNull())
 
 
+def allowed_store_file(path: Column | str, projects_dir: str) -> Column:
+    """A chain store file that may be read: project file or session store of a project, and no denied name."""
+    p = F.col(path) if isinstance(path, str) else path
+    root = projects_dir.rstrip("/") + "/"
+    rel = F.substring(p, len(root) + 1, 2_147_483_647)
+    return safe_path(p, [projects_dir]) & rel.rlike(CHAIN_STORE_FILE)
+
+
+def read_project_names(spark: SparkSession, projects_dir: str) -> DataFrame:
+    """Optional project names of a chain store: ``project_id, name``."""
+    files = _whole(spark, projects_dir, "project.json").where(allowed_store_file("file", projects_dir) & J.is_object_text("value"))
+    pid = F.regexp_extract("file", "/([^/]+)/project\\.json$", 1)
+    return files.select(pid.alias("project_id"), nz(F.get_json_object("value", "$.name")).alias("name")).where(F.col("name").isNotNull())
+
+
 def rollout_globs(root: str, now_ms: int, recent_ms: int = RECENT_MS) -> list[str]:
     """Date folders ``YYYY/MM/DD`` from a day before the window to a day after now."""
     day = datetime.fromtimestamp((now_ms - recent_ms) / 1000, timezone.utc).date() - timedelta(days=1)
