@@ -30,9 +30,11 @@ def _replace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     old = tuple(state.get) if state.exists else None
     new = old
     for pdf in batches:
-        row = pdf.loc[pdf["ord"].idxmax()]
-        if new is None or int(row["ord"]) > new[0]:
-            new = (int(row["ord"]), row["session_id"], row["model"], row["day"], *[int(row[c]) for c in _COUNTERS])
+        orders = pdf["ord"].to_numpy()
+        at = int(orders.argmax())
+        if new is None or int(orders[at]) > new[0]:
+            pick = lambda c, rows=pdf, i=at: rows[c].to_numpy()[i]
+            new = (int(orders[at]), pick("session_id"), pick("model"), pick("day"), *[int(pick(c)) for c in _COUNTERS])
     if new == old or new is None:
         return
     state.update(new)
@@ -122,9 +124,10 @@ def _lifecycle(quiet_ms: int, quiet_state: str, done_ms: int | None) -> Callable
             yield pd.DataFrame([(*key, new, at)], columns=["session_id", "agent_key", "state", "at"])
             return
         for pdf in batches:
-            row = pdf.loc[pdf["ts_ms"].idxmax()]
-            if int(row["ts_ms"]) >= last:
-                last, finished = int(row["ts_ms"]), bool(row["finished"])
+            times = pdf["ts_ms"].to_numpy()
+            at = int(times.argmax())
+            if int(times[at]) >= last:
+                last, finished = int(times[at]), bool(pdf["finished"].to_numpy()[at])
         # a late line never moves an agent back: only the newest time counts
         new = "done" if finished else "running"
         if not finished and state.getCurrentWatermarkMs() >= last + quiet_ms:
