@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelake.llm import exact_dedup, simhash
-from tracelake.llm.common import read
+from tracelake.llm import decontaminate, exact_dedup, language, packing, quality, simhash, warc
+from tracelake.llm.common import read, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,55 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    away = language.held_out(F.col("doc_id"))
+    net = language.train(docs, ~away)
+    rows = docs.select("doc_id", away.alias("held_out"), language.predicted(F.col("text"), net).alias("p"))
+    return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.train(docs, read(spark, sf, "labels"))
+    rows = stash(quality.graded(docs, model).drop("text", "source", "lang"), "graded")
+    return quality.decide(rows, quality.sites(rows, model.rate if model else 0.5))
+
+
+@query()
+def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs, benchmark = read(spark, sf, "documents"), read(spark, sf, "benchmark")
+    found = decontaminate.contamination(docs.select("doc_id", "text"), benchmark)
+    n_hit = decontaminate.hits(F.col("found"))
+    return found.select(
+        "doc_id", F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+        decontaminate.items_digest(F.col("found")).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "found.spans",
+    )
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS low FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > low THEN low END AS refers_to
+FROM f
+""")
+def op6_legacy_archive(spark: SparkSession, sf: str) -> DataFrame:
+    back = warc.archive(warc.arcs_of(read(spark, sf, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query()
 def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
