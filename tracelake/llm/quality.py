@@ -31,6 +31,9 @@ BROADCAST_ROWS = 100_000
 _UNIT = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+#: Characters whose features are computed at a time.
+PART_CHARS = 250_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0, *range(9, 14), 32]] = True
 STATS = 10
@@ -49,10 +52,10 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, base, np.uint64))) for base in (_BASE, _INVERSE)]
+    return _powers[0], _powers[1]
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +78,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     # signs are left out of a word, so that it is the same word before a comma
     letter = ~_SIGN[data] & word
     order = np.cumsum(letter)
-    up, down = _powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1)
+    up, down = _power_tables(len(data) + 1)
     np.cumsum(np.where(letter, folded * up[order], np.uint64(0)), out=total[1:])
     before = np.concatenate([[0], order])
     h = (total[ends] - total[starts]) * down[before[starts]]
@@ -118,7 +121,7 @@ class Model(NamedTuple):
         at, k = 0, 0
         while at < len(texts):  # bounded memory: some MB of text at a time
             size, k = 0, at
-            while k < len(texts) and (k == at or size < 2_000_000):
+            while k < len(texts) and (k == at or size < PART_CHARS):
                 size += len(texts[k] or "")
                 k += 1
             x, row, bucket = features(texts[at:k])
@@ -134,9 +137,9 @@ def fit(texts: list[str | None], good: np.ndarray, steps: int = 400, rate: float
     """Logistic regression by Adam on the whole sample; None unless both kinds are there."""
     if not 0 < good.sum() < len(good):
         return None
-    parts = [features(texts[k : k + 200]) for k in range(0, len(texts), 200)]
+    parts = [features(texts[k : k + 50]) for k in range(0, len(texts), 50)]
     x = np.concatenate([p[0] for p in parts])
-    row = np.concatenate([p[1] + 200 * k for k, p in enumerate(parts)])
+    row = np.concatenate([p[1] + 50 * k for k, p in enumerate(parts)])
     bucket = np.concatenate([p[2] for p in parts])
     n = len(x)
     count = np.maximum(1, np.bincount(row, minlength=n))
