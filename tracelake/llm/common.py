@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+BATCH_BYTES = 8 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach: ``spark.checkpoint.dir``.
 
@@ -26,8 +29,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at a time by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: cuts the lineage and survives lost executors."""
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
@@ -52,4 +61,5 @@ def empty_if_null(c: Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelake.llm.common import col, unused
 
-WIDTH, SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 10, 8, 4_000_000, 200_000
+WIDTH, SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 10, 8, 1_000_000, 200_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True

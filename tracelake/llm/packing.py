@@ -27,7 +27,7 @@ from tracelake.llm.common import col, stash
 
 MAX_TOKENS, END_ID = 4096, 1
 #: Words whose ids a task remembers, and rows of a length that are ranked together.
-CACHE_WORDS, RANK_ROWS = 400_000, 50_000
+CACHE_WORDS, RANK_ROWS = 200_000, 50_000
 
 
 class WordIds:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelake.llm import decontaminate, exact_dedup, language, packing, quality, simhash, warc
+from tracelake.llm import decontaminate, exact_dedup, language, line_dedup, packing, quality, secrets, simhash, suffix_dedup, warc
 from tracelake.llm.common import read, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return suffix_dedup.without_repeats(docs, carry=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -51,6 +57,19 @@ def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "source")
+    back = secrets.background(docs)
+    rows = secrets.scanned(docs, back, secrets.train(docs, back))
+    secret = F.filter("findings", lambda f: f["score"] >= secrets.THRESHOLD)
+    values = F.array_join(F.array_sort(F.transform(secret, lambda f: f["value"])), chr(10))
+    return rows.select(
+        "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(secret).cast("long").alias("n_secrets"), F.sha2(values.cast("binary"), 256).alias("secrets_sha256"),
+        F.transform(secret, lambda f: F.struct(f["start"].alias("start"), f["stop"].alias("stop"), f["score"].alias("score"))).alias("spans"),
+    )
+
+
 @query("""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS low FROM p)
@@ -78,6 +97,22 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_groups(docs, carry=["doc_id"]).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER p || chr(10) || lead(line, 2) OVER p AS k FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w WHERE k IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r WHERE n > 1),
+m AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM m)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM e GROUP BY doc_id
+""")
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = line_dedup.without_repeated_lines(read(spark, sf, "documents"), carry=["doc_id"])
+    return rows.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256)).drop("kept_text")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
