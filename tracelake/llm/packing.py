@@ -16,8 +16,12 @@ empty result.  Input columns beside id and text are not read.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,40 +30,97 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tracelake.llm.common import col, stash
 
 MAX_TOKENS, END_ID = 4096, 1
-#: Words whose ids a task remembers, and rows of a length that are ranked together.
-CACHE_WORDS, RANK_ROWS = 200_000, 50_000
+#: Words whose ids a task remembers, characters looked up at a time, and rows of a length that are ranked together.
+CACHE_WORDS, PART_CHARS, RANK_ROWS = 300_000, 500_000, 50_000
+
+
+def _classes() -> tuple[re.Pattern, re.Pattern]:
+    """Words of Latin characters whose lower case is one character, and their pieces as the tokenizer splits them."""
+    plain = [chr(c) for c in range(0x180) if c != 0x130 and not chr(c).isspace() and c not in (0x85, 0xA0)] + [chr(c) for c in range(0x1C, 0x20)]
+    kind = lambda k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k)
+    letters, digits = kind("L"), kind("N")
+    # fixed value: the tokenizer's pattern, with its classes spelled out for these characters
+    pieces = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}]+"
+    return re.compile("[" + "".join(map(re.escape, plain)) + "]+"), re.compile(pieces)
 
 
 class WordIds:
-    """Ids of a text by a tokenizer that never joins what white space separates, remembered word by word."""
+    """Ids of texts by a tokenizer that never joins what white space separates, remembered word by word.
+
+    The tokenizer lower-cases, splits words into runs of letters, single digits and runs of signs, and marks the last id
+    of each run.  So a new word is cut into its runs here, the unknown runs are encoded together, and the marks say where
+    each ends.  Words with other characters than Latin ones are encoded one by one.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.latin, self.pieces = _classes()
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-        if len(self.known) > 2 * CACHE_WORDS:  # a single text with very many words
-            out = b"".join(map(self.known.__getitem__, words))
-            self.known.clear()
-            return out
-        return b"".join(map(self.known.__getitem__, words))
+        self.runs: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
+                raw, cuts = ids.tobytes(), (4 * np.append(0, ends)).tolist()
+                self.runs.update((r, raw[a:b]) for r, a, b in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                self.runs.update(zip(some, self._encode(some), strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.runs) > CACHE_WORDS:
+            self.runs.clear()
+        parts, odd, new = [], [], set()
+        for w in words:
+            text = w.decode()
+            if self.latin.fullmatch(text) and "<|" not in text:
+                runs = self.pieces.findall(text.lower())
+                parts.append((w, runs))
+                new.update(runs)
+            else:
+                odd.append(w)
+        self._learn_runs([r for r in new if r not in self.runs])
+        get = self.runs.__getitem__
+        self.known.update((w, b"".join(map(get, runs))) for w, runs in parts)
+        self.known.update(zip(odd, self._encode([w.decode() for w in odd]), strict=True))
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        at = 0
+        while at < len(texts):
+            held, size = [], 0
+            while at < len(texts) and size < PART_CHARS:
+                words = (texts[at] or "").encode("utf-8", "replace").split()
+                held.append(words)
+                size += len(texts[at] or "")
+                at += 1
+            wanted = set().union(*held)
+            missing = wanted.difference(self.known)
+            if missing:
+                if len(self.known) > CACHE_WORDS:
+                    self.known.clear()
+                    missing = wanted
+                self._learn(missing)
+            get = self.known.__getitem__
+            for words in held:
+                yield b"".join(map(get, words))
+
+
+@cache
+def _words(path: str) -> WordIds:
+    """One for all tasks of a Python worker, so that what one has learned serves the next."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -68,11 +129,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
     rows = docs.select(col(id).alias("doc_id"), col(text).cast("string").alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer)
+        words = _words(tokenizer)
         for batch in batches:
             out: list[tuple] = []
-            for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = words.ids(body or "") + end
+            for doc, ids in zip(batch["doc_id"], words.ids(list(batch["text"])), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
