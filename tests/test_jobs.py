@@ -53,7 +53,8 @@ def test_line_delta(spark):
         a, b = (old.split("\n") if old else []), (new.split("\n") if new else [])
         k = lcs(a, b)
         assert got[i] == (len(b) - k, len(a) - k)
-    assert H._line_delta("a\nb", "c\nd", 1) == (2, 2)
+    old = [f"l{i}" for i in range(600)]
+    assert H._line_delta("\n".join(old), "\n".join(x if i % 2 else "new " + x for i, x in enumerate(old))) == (300, 300)
 
 
 def test_patches(spark):
@@ -73,7 +74,8 @@ def test_activity(spark):
     ticks = spark.createDataFrame([("a", 1000, t) for t in (900, 1499, 1500, 2500, 9000, 9100)], "k string, started_at bigint, ts_ms bigint")
     assert A.tick_offsets(ticks, ["k"]).first().ticks == [0, 1, 2, 8]
     many = spark.range(10_000).select(F.lit("a").alias("k"), F.lit(0).alias("started_at"), (F.col("id") * 1000).alias("ts_ms"))
-    out = A.tick_offsets(many, ["k"]).first().ticks
+    assert A.tick_offsets(many, ["k"]).first().ticks == list(range(10_000))
+    out = A.tick_offsets(many, ["k"], max_ticks=4000).first().ticks
     assert out == [int(i * 2.5) for i in range(4000)]
     spans = spark.createDataFrame([(0, 120_000), (60_000, 60_000), (400_000, 400_001)], "started_at bigint, ended_at bigint")
     got = {r.bucket_start // 60_000: r.alive for r in A.concurrency(spans).collect()}

@@ -67,6 +67,41 @@ def test_line_order_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_line_offsets_are_bytes_whatever_lies_beside(spark, tmp_path):
+    body = "".join(f"{i} " + "é" * (i % 7) + ("\r\n" if i % 3 else "\n") for i in range(500)) + "last, no line end"
+    (tmp_path / "one.jsonl").write_bytes(body.encode())
+    want, at = [], 0
+    for line in body.encode().split(b"\n"):
+        want.append((at, line.decode().removesuffix("\r")))
+        at += len(line) + 1
+
+    def read():
+        return [(r.ord, r.value) for r in S.read_lines(spark, str(tmp_path)).where("file like '%/one.jsonl'").orderBy("ord").collect()]
+
+    assert read() == want
+    for name in ("a", "z"):
+        (tmp_path / f"{name}.jsonl").write_text("x\n" * 700)
+    assert read() == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert read() == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rollout_folders_may_be_absent(spark, tmp_path):
+    now = 1_767_270_000_000
+    globs = S.rollout_globs(str(tmp_path), now)
+    assert S.read_rollouts(spark, globs).count() == 0
+    for day in ("2025/12/31", "2026/01/01"):
+        folder = tmp_path / "sessions" / day
+        folder.mkdir(parents=True)
+        tid = f"00000000-0000-4000-8000-0000000000{day[-2:]}"
+        (folder / f"rollout-x-{tid}.jsonl").write_text('{"type":"session_meta"}\n')
+    assert S.read_rollouts(spark, globs).count() == 2
+
+
 def test_documents_rollouts_tables_and_sinks(spark, tmp_path):
     (tmp_path / "chats").mkdir()
     (tmp_path / "chats" / "session-a.json").write_text('{"sessionId":"a","messages":[]}')

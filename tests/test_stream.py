@@ -1,54 +1,28 @@
 """Tail source and streaming jobs."""
 
-import os
-
 from pyspark.sql import functions as F
 
-from tracelake.streaming import jobs, tail
-
-
-def test_tail_offsets(tmp_path):
-    f = tmp_path / "a.jsonl"
-    f.write_bytes(b"one\r\ntwo\npart")
-    r = tail.TailReader({"path": str(tmp_path / "*.jsonl"), "chunkBytes": "4", "chunkbytes": "4"})
-    seen, start = [], r.initialOffset()
-
-    def pull():
-        nonlocal start
-        end = r.latestOffset()
-        got = [row[1:4] for p in r.partitions(start, end) for row in r.read(p)]
-        start = end
-        return got
+from tracelake.streaming import jobs, tail, versions
 
-    for _ in range(3):
-        seen += pull()
-    assert seen == [(0, 0, "one"), (0, 5, "two")]
-    with open(f, "ab") as h:
-        h.write(b"ial\n")
-    assert pull() == [(0, 9, "partial")]
-    f.write_bytes(b"new\n")  # shrunk: a new epoch from the start
-    assert pull() == [(1, 0, "new")]
-    os.remove(f)
-    assert pull() == []
 
-
-def test_tail_stream(spark, tmp_path):
+def test_chunks_give_lines_with_byte_offsets(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
-    (logs / "a.jsonl").write_text("x\ny\n")
-    (logs / "b.jsonl").write_text("z\nhalf")
+    first, second = "one\r\nzwei é\n", "drei\n"
+    (logs / "a.jsonl.0.0").write_bytes(first.encode())
+    (logs / "b.jsonl").write_bytes(b"plain\n\nlast, no line end")
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
 
     def run():
-        q = tail.read_tail(spark, str(logs / "*.jsonl")).writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).start()
-        q.processAllAvailable()
-        q.stop()
-        return sorted(r.value for r in spark.read.parquet(out).collect())
+        q = tail.read_chunks(spark, str(logs)).writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.file.rsplit("/", 1)[1], r.epoch, r.ord, r.value) for r in spark.read.parquet(out).collect())
 
-    assert run() == ["x", "y", "z"]
-    with open(logs / "b.jsonl", "a") as h:
-        h.write("way\n")
-    assert run() == ["halfway", "x", "y", "z"]
+    b = [("b.jsonl", 0, 0, "plain"), ("b.jsonl", 0, 6, ""), ("b.jsonl", 0, 7, "last, no line end")]
+    assert run() == [("a.jsonl", 0, 0, "one"), ("a.jsonl", 0, 5, "zwei é"), *b]
+    (logs / f"a.jsonl.0.{len(first.encode())}").write_bytes(second.encode())
+    (logs / "a.jsonl.1.0").write_bytes(b"anew\n")
+    assert run() == [("a.jsonl", 0, 0, "one"), ("a.jsonl", 0, 5, "zwei é"), ("a.jsonl", 0, len(first.encode()), "drei"), ("a.jsonl", 1, 0, "anew"), *b]
 
 
 def _stream(spark, path, rows, schema):
@@ -61,9 +35,8 @@ def test_usage_stream_replaces(spark, tmp_path):
     row = lambda k, o, m, i: ("f", 0, k, o, "s", m, "d", i, 1, 0, 0)
 
     def run():
-        q = jobs.stream_usage(spark.readStream.schema(schema).json(src)).writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
-        q.format("parquet").option("path", out).start().awaitTermination()
-        sums = spark.read.parquet(out).groupBy("model").agg(F.sum("input").alias("i"), F.sum("messages").alias("m"))
+        jobs.stream_usage(spark.readStream.schema(schema).json(src), out, str(tmp_path / "ck"), trigger={"availableNow": True}).awaitTermination()
+        sums = jobs.usage_deltas(spark, out).groupBy("model").agg(F.sum("input").alias("i"), F.sum("messages").alias("m"))
         return {r.model: (r.i, r.m) for r in sums.collect() if r.m}
 
     _stream(spark, src, [row("a", 1, "x", 10), row("a", 2, "x", 12), row("b", 3, "x", 5)], schema)
@@ -78,15 +51,44 @@ def test_lifecycle_turns_silent_agents_stalled(spark, tmp_path):
     ev = lambda a, ms, fin=False: ("s", a, __import__("datetime").datetime.fromtimestamp(ms / 1000, __import__("datetime").timezone.utc), ms, fin)
 
     def run():
-        q = jobs.stream_lifecycle(spark.readStream.schema(schema).json(src)).writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
-        q.format("parquet").option("path", out).start().awaitTermination()
-        return {(r.agent_key, r.state, r.at) for r in spark.read.parquet(out).collect()}
+        jobs.stream_lifecycle(spark.readStream.schema(schema).json(src), out, str(tmp_path / "ck"), trigger={"availableNow": True}).awaitTermination()
+        return {(r.agent_key, r.state, r.at) for r in spark.read.parquet(f"{out}/changes").collect()}
 
     _stream(spark, src, [ev("a", 1_000), ev("b", 2_000, True)], schema)
     run()
     _stream(spark, src, [ev("c", 700_000)], schema)
     got = run()
     assert {("a", "running", 1_000), ("b", "done", 2_000), ("c", "running", 700_000), ("a", "stalled", 601_000)} == got
+    _stream(spark, src, [ev("b", 1_500), ev("a", 650_000), ev("c", 900_000, True)], schema)  # b late, a speaks again
+    assert run() - got == {("a", "running", 650_000), ("c", "done", 900_000)}
+
+
+def test_versions_are_compacted_and_old_rows_leave(spark, tmp_path):
+    store, schema = str(tmp_path / "s"), "k string, n bigint"
+    for b in range(9):
+        rows = spark.createDataFrame([("x", b), (f"k{b}", b)], schema)
+        versions.write(rows, store, b, ["k"], F.col("n") >= b - 4, compact_every=3)
+        versions.write(rows, store, b, ["k"], F.col("n") >= b - 4, compact_every=3)  # a replay
+    got = {r.k: r.n for r in versions.current(spark, store, ["k"], schema).collect()}
+    assert got == {"x": 8, **{f"k{b}": b for b in range(4, 9)}}
+    assert sorted(p.name for p in (tmp_path / "s" / "base").iterdir()) == ["batch=5", "batch=8"]
+    before = {r.k: r.n for r in versions.current(spark, store, ["k"], schema, before=8).collect()}
+    assert before["x"] == 7 and "k8" not in before
+
+
+def test_counts_keep_late_rows(spark, tmp_path):
+    src, store = str(tmp_path / "in"), str(tmp_path / "out")
+    stamp = lambda minute: __import__("datetime").datetime(2026, 1, 1, 10, minute)
+    schema = "session_id string, ts timestamp"
+
+    def run():
+        jobs.stream_counts(spark.readStream.schema(schema).json(src), store, str(tmp_path / "ck"), trigger={"availableNow": True}).awaitTermination()
+        return sorted(r.n for r in jobs.window_counts(spark, store).collect())
+
+    _stream(spark, src, [("a", stamp(50)), ("a", stamp(50))], schema)
+    assert run() == [2]
+    _stream(spark, src, [("a", stamp(1)), ("a", stamp(50))], schema)
+    assert run() == [1, 3]
 
 
 def test_change_feed(spark, tmp_path):

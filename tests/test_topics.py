@@ -95,5 +95,9 @@ def test_jaccard_pairs_against_brute_force(spark):
     rnd = random.Random(4)
     sets = [(i, sorted(rnd.sample("abcdefghijkl", rnd.randint(1, 7)))) for i in range(120)]
     got = {(r.id_a, r.id_b) for r in TP.jaccard_pairs(spark.createDataFrame(sets, "id int, tokens array<string>")).collect()}
-    want = {(i, j) for i, a in sets for j, b in sets if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.6}
+    want = set()
+    for j, b in sets:
+        near = [(-len(set(a) & set(b)) / len(set(a) | set(b)), i) for i, a in sets if i < j]
+        if near and -min(near)[0] >= 0.6:
+            want.add((min(near)[1], j))
     assert got == want

@@ -65,6 +65,20 @@ def test_chain(spark):
     assert short.count() == 11
 
 
+def test_chain_with_a_cycle_gives_each_entry_once(spark):
+    entries = spark.createDataFrame([("h", "c"), ("c", "b"), ("b", "a"), ("a", "c"), ("s", "s")], "id string, previous_id string")
+    heads = spark.createDataFrame([("h",), ("b",), ("s",)], "head string")
+    got = {(r.head, r.hops): r.id for r in T.walk_chain(entries, heads).collect()}
+    assert got == {("h", 0): "h", ("h", 1): "c", ("h", 2): "b", ("h", 3): "a", ("b", 0): "b", ("b", 1): "a", ("s", 0): "s"}
+
+
+def test_all_missing_ancestors(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(12)] + [("x", "y"), ("y", "x")]
+    nodes = spark.createDataFrame(rows, "id string, parent string")
+    got = T.add_missing_ancestors(nodes.where("id in ('n11', 'x')"), nodes)
+    assert {r.id for r in got.collect()} == {f"n{i}" for i in range(12)} | {"x", "y"}
+
+
 def test_segmented_scans(spark):
     rnd = random.Random(5)
     rows = [("hot" if rnd.random() < 0.7 else rnd.choice("ab"), i, rnd.choice([None, "x", "y", "z"]), rnd.randrange(5)) for i in range(400)]

@@ -63,8 +63,6 @@ DENIED_NAMES = [
     "(?i)^id_(rsa|ecdsa|ed25519|dsa)",
     "(?i)^\\.netrc$",
 ]
-#: Extra characters read beyond a cut, so that a secret split by the cut cannot survive.
-PRECUT_SLACK = 512
 # --- end of fixed values -----------------------------------------------------------------------
 
 
@@ -159,26 +157,31 @@ def mask_secrets(c: Column | str) -> Column:
 
 
 @bound
-def safe_text(c: Column | str, limit: int | Column) -> Column:
-    """Mask, then cut to ``limit`` characters with a note of how many were left out."""
+def safe_text(c: Column | str, limit: int | Column | None = None) -> Column:
+    """Mask the whole text; with a ``limit``, then cut to so many characters with a note of how many were left out.
+
+    Masking comes before any cut: a secret that a cut would split is not recognised any more.
+    """
+    if limit is None:
+        return mask_secrets(c)
     limit = F.lit(limit) if isinstance(limit, int) else limit
     n = F.length(c)
-    pre = F.when(n > limit + PRECUT_SLACK, F.substr(c, F.lit(1), limit + PRECUT_SLACK)).otherwise(c)
     # a short original can outgrow the limit through its own mask; the note then counts from the original
     note = F.concat(F.lit("\n… [truncated "), (n - limit).cast("string"), F.lit(" chars]"))
     return let(
-        mask_secrets(pre),
+        mask_secrets(c),
         lambda m: F.when((F.length(m) <= limit) & (n <= limit), m).otherwise(F.concat(F.substr(m, F.lit(1), limit), note)),
     )
 
 
 @bound
-def clip_line(c: Column | str, limit: int | Column) -> Column:
-    """Mask, collapse to one line and cut with an ellipsis."""
+def clip_line(c: Column | str, limit: int | Column | None = None) -> Column:
+    """Mask the whole text and collapse it to one line; with a ``limit``, then cut with an ellipsis."""
+    if limit is None:
+        return one_line(mask_secrets(c))
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    pre = F.when(F.length(c) > limit + PRECUT_SLACK, F.substr(c, F.lit(1), limit + PRECUT_SLACK)).otherwise(c)
     return let(
-        one_line(mask_secrets(pre)),
+        one_line(mask_secrets(c)),
         lambda one: F.when(
             F.length(one) > limit, F.concat(F.rtrim(F.substr(one, F.lit(1), limit - 1)), F.lit("…"))
         ).otherwise(one),
@@ -283,7 +286,7 @@ def fallback_name(candidates: list[Column], id_col: Column | str, id_chars: int
 
 # ------------------------------------------------------------------------------------ commands
 _CD = f"{WS}*cd{WS}+(\"[^\"]*\"|'[^']*'|{NOT_WS}+){WS}*(?:&&|;){WS}*"
-_CD_PREFIX = f"^(?:{_CD}){{1,4}}"
+_CD_PREFIX = f"^(?:{_CD})+"
 
 
 @bound

@@ -108,7 +108,7 @@ def _drop_worktree(c: Column) -> Column:
 
 @bound
 def module_of(file_path: Column | str, cwd: Column | str | None = None, home: str = "") -> Column:
-    """Folder of an edited file relative to its repository, at most five segments; null when there is none."""
+    """Folder of an edited file relative to its repository, null when there is none."""
     raw = js_trim(file_path)
     c = _drop_worktree(F.coalesce(col(cwd), F.lit(""))) if cwd is not None else F.lit("")
 
@@ -124,7 +124,7 @@ def module_of(file_path: Column | str, cwd: Column | str | None = None, home: st
         segs = F.filter(F.split(rel, "/"), lambda s: ~s.isin("", ".", ".."))
         dirs = let(segs, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))))
         kept = F.regexp_replace(F.array_join(dirs, "/"), "(?:(?:^|/)(?:" + "|".join(MODULE_TAIL) + "))+\\z", "")
-        return F.nullif(F.array_join(F.slice(F.split(kept, "/"), 1, 5), "/"), F.lit(""))
+        return F.nullif(kept, F.lit(""))
 
     in_tree = "^(?:.*?/)?\\.claude/worktrees/[^/]+/"
     rel = let(

@@ -12,7 +12,6 @@ from tracelake.operators.segments import position
 MINUTE_MS = 60_000
 BUCKETS = 30
 KEEP_MINUTES = 60
-MAX_TICKS = 4_000
 #: Widths a concurrency histogram may use, in ms.
 CONCURRENCY_BUCKETS = tuple(s * 1000 for s in (60, 120, 300, 600, 900, 1800, 3600, 7200, 14400, 43200, 86400))
 # --- end of fixed values --------------------------------------------------------------------------
@@ -28,21 +27,19 @@ def activity_minutes(events: DataFrame, by: Sequence[str], ts: str = "ts_ms", no
 def activity_buckets(events: DataFrame, by: Sequence[str], ts: str = "ts_ms", now: int = 0, n: int = BUCKETS) -> DataFrame:
     """``counts``: one dense array of ``n`` minutes per key, ending with the minute of ``now`` (``end``).
 
-    The scan is cut to the window first; at most ``n`` map entries per key reach the last step.
+    At most ``n`` + 1 rows per key reach the last step.
     """
     end = now // MINUTE_MS
     lo, hi = (end - n + 1) * MINUTE_MS, (end + 1) * MINUTE_MS
-    minutes = activity_minutes(events.where((F.col(ts) >= lo) & (F.col(ts) < hi)), by, ts)
-    filled = F.map_from_entries(F.collect_list(F.struct("minute", "n")))
+    # one pass: what lies outside the window is counted under no minute, so that its key is known too
+    minute = F.when((F.col(ts) >= lo) & (F.col(ts) < hi), F.floor(F.col(ts) / MINUTE_MS).cast("bigint"))
+    minutes = events.groupBy(*by, minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    filled = F.map_from_entries(F.collect_list(F.when(F.col("minute").isNotNull(), F.struct("minute", "n"))))
     dense = F.transform(
         F.sequence(F.lit(end - n + 1), F.lit(end)), lambda m: F.coalesce(F.try_element_at(F.col("__m"), m), F.lit(0).cast("bigint"))
     )
-    seen = events.select(*by).distinct()
-    out = minutes.groupBy(*by).agg(filled.alias("__m")).select(*by, dense.alias("counts"))
-    zeros = F.array_repeat(F.lit(0).cast("bigint"), n)
-    return seen.join(out, list(by), "left").select(
-        *by, F.lit(end * MINUTE_MS).cast("bigint").alias("end"), F.coalesce("counts", zeros).alias("counts")
-    )
+    out = minutes.groupBy(*by).agg(filled.alias("__m"))
+    return out.select(*by, F.lit(end * MINUTE_MS).cast("bigint").alias("end"), dense.alias("counts"))
 
 
 def round_half_up(c: Column) -> Column:
@@ -50,14 +47,16 @@ def round_half_up(c: Column) -> Column:
 
 
 def tick_offsets(
-    ticks: DataFrame, by: Sequence[str], ts: str = "ts_ms", start: str = "started_at", max_ticks: int = MAX_TICKS
+    ticks: DataFrame, by: Sequence[str], ts: str = "ts_ms", start: str = "started_at", max_ticks: int | None = None
 ) -> DataFrame:
-    """Distinct whole seconds after ``start``, ascending, sampled to ``max_ticks`` by even steps.
+    """Distinct whole seconds after ``start``, ascending; with ``max_ticks``, sampled to so many by even steps.
 
     Sampling happens on positions before anything is collected, so an array never exceeds ``max_ticks``.
     """
     second = F.greatest(F.lit(0), round_half_up((F.col(ts) - F.col(start)) / 1000)).cast("bigint")
     distinct = ticks.where(F.col(start).isNotNull() & F.col(ts).isNotNull()).select(*by, second.alias("second")).distinct()
+    if max_ticks is None:
+        return distinct.groupBy(*by).agg(F.array_sort(F.collect_list("second")).alias("ticks"))
     placed = position(distinct, by, "second", "__p")
     total = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     placed = placed.join(total, list(by))

@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_CELLS = 250_000
 _HEADER = "\\*\\*\\* (Update|Add|Delete) File: ([^\\n\\r]+)"
 
 
@@ -43,7 +42,7 @@ def edit_churn(calls: DataFrame, by: Sequence[str], patch: str = "patch") -> Dat
     )
 
 
-def _line_delta(old: str, new: str, max_cells: int) -> tuple[int, int]:
+def _line_delta(old: str, new: str) -> tuple[int, int]:
     """Lines added and removed between two texts (common ends trimmed, then longest common subsequence)."""
     a = old.split("\n") if old else []
     b = new.split("\n") if new else []
@@ -53,7 +52,7 @@ def _line_delta(old: str, new: str, max_cells: int) -> tuple[int, int]:
     while hi_a > lo and hi_b > lo and a[hi_a - 1] == b[hi_b - 1]:
         hi_a, hi_b = hi_a - 1, hi_b - 1
     n, m = hi_a - lo, hi_b - lo
-    if n == 0 or m == 0 or n * m > max_cells:
+    if n == 0 or m == 0:
         return m, n
     # bit-parallel LCS: one big integer holds a row of the table
     seen: dict[str, int] = {}
@@ -68,23 +67,23 @@ def _line_delta(old: str, new: str, max_cells: int) -> tuple[int, int]:
     return m - common, n - common
 
 
-def with_line_delta(df: DataFrame, old: str = "old_string", new: str = "new_string", max_cells: int = MAX_CELLS) -> DataFrame:
+def with_line_delta(df: DataFrame, old: str = "old_string", new: str = "new_string") -> DataFrame:
     """Add ``added`` and ``removed`` lines of each old/new pair."""
 
     @F.pandas_udf("added bigint, removed bigint")
     def delta(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for olds, news in batches:
-            rows = [_line_delta(o or "", n or "", max_cells) for o, n in zip(olds, news)]
+            rows = [_line_delta(o or "", n or "") for o, n in zip(olds, news)]
             yield pd.DataFrame(rows, columns=["added", "removed"])
 
     return df.withColumn("__d", delta(old, new)).select(*df.columns, "__d.added", "__d.removed")
 
 
 def edit_line_delta(
-    calls: DataFrame, by: Sequence[str], old: str = "old_string", new: str = "new_string", max_cells: int = MAX_CELLS
+    calls: DataFrame, by: Sequence[str], old: str = "old_string", new: str = "new_string"
 ) -> DataFrame:
     """Lines added and removed per group over all old/new edits."""
-    rows = with_line_delta(calls.select(*by, old, new), old, new, max_cells)
+    rows = with_line_delta(calls.select(*by, old, new), old, new)
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("edits"), F.sum("added").alias("added"), F.sum("removed").alias("removed")
     )

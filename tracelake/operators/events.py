@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # --- fixed values: page sizes ---------------------------------------------------------------------
-TAIL_DEFAULT, TAIL_MAX, AFTER_MAX, GROUP_AFTER_MAX = 150, 1000, 500, 600
+TAIL_DEFAULT = 150
 # --- end of fixed values --------------------------------------------------------------------------
 
 
@@ -66,8 +66,9 @@ def event_page(
     tail: int | None = None,
     before: int | Column | None = None,
     after: int | Column | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """A page of every log at once, with ``page_start`` (pass it as ``before``) and ``truncated``.
+    """A page of every log at once (``after`` gives all newer events, or the newest ``limit``), with ``page_start`` (pass it as ``before``) and ``truncated``.
 
     Tail mode keeps the newest events without splitting a source line: a row stays when fewer than
     ``tail`` events lie on later lines.  That is a ``rank`` limit, which Spark applies per input task
@@ -77,10 +78,12 @@ def event_page(
     if after is not None:
         newer = events.where(F.col(order) >= after)
         n = newer.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-        kept = newer.withColumn("__r", F.row_number().over(_tie_break(w, events, by, order))).where(F.col("__r") <= AFTER_MAX)
-        out = kept.join(n, list(by)).withColumn("truncated", F.col("__n") > AFTER_MAX)
+        if limit is None:
+            return newer.withColumns({"truncated": F.lit(False), "page_start": F.lit(after).cast("bigint")})
+        kept = newer.withColumn("__r", F.row_number().over(_tie_break(w, events, by, order))).where(F.col("__r") <= limit)
+        out = kept.join(n, list(by)).withColumn("truncated", F.col("__n") > limit)
         return out.withColumn("page_start", F.lit(after).cast("bigint")).drop("__r", "__n")
-    want = max(1, min(tail if tail is not None else TAIL_DEFAULT, TAIL_MAX))
+    want = max(1, tail if tail is not None else TAIL_DEFAULT)
     older = events if before is None else events.where(F.col(order) < before)
     first = older.groupBy(*by).agg(F.min(order).alias("__first"))
     kept = older.withColumn("__r", F.rank().over(w)).where(F.col("__r") <= want)
@@ -103,6 +106,7 @@ def part_page(
     tail: int | None = None,
     before: int | None = None,
     after: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Pages of a part store: whole parts, and parts of one millisecond are never split.
 
@@ -111,11 +115,13 @@ def part_page(
     """
     if after is not None:
         changed = events.where(F.col(updated) > after)
+        if limit is None:
+            return changed
         parts = changed.select(*by, updated, part).distinct()
         w = Window.partitionBy(*by).orderBy(updated, part)
-        first = parts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= GROUP_AFTER_MAX)
+        first = parts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= limit)
         return changed.join(first.drop("__r"), [*by, updated, part], "left_semi")
-    want = max(1, min(tail if tail is not None else TAIL_DEFAULT, TAIL_MAX))
+    want = max(1, tail if tail is not None else TAIL_DEFAULT)
     older = events if before is None else events.where(F.col(group) < before)
     sizes = older.groupBy(*by, group, part).agg(F.count(F.lit(1)).alias("__n"))
     # at most ``want`` parts can be on the page; the rank limit keeps the running sum below short
@@ -129,17 +135,17 @@ def part_page(
     return kept.join(first, list(by)).withColumn("truncated", F.col("page_start") > F.col("__first")).drop("__first")
 
 
-def position_page(events: DataFrame, by: Sequence[str], position: str, tail: int | None = None, before: int | None = None, after: int | None = None) -> DataFrame:
+def position_page(events: DataFrame, by: Sequence[str], position: str, tail: int | None = None, before: int | None = None, after: int | None = None, limit: int | None = None) -> DataFrame:
     """Pages addressed by event position (0-based).  ``reset`` says the cursor lies beyond the end."""
     total = events.groupBy(*by).agg((F.max(position) + 1).alias("total"))
     e = events.join(total, list(by))
     if after is not None:
         reset = F.col("total") < after
         start = F.greatest(F.when(reset, F.lit(0)).otherwise(F.lit(after)), F.lit(0))
-        low = F.greatest(start, F.col("total") - AFTER_MAX)
+        low = start if limit is None else F.greatest(start, F.col("total") - limit)
         out = e.where(F.col(position) >= low)
         return out.withColumns({"page_start": low, "truncated": low > start, "reset": reset})
-    want = max(1, min(tail if tail is not None else TAIL_DEFAULT, TAIL_MAX))
+    want = max(1, tail if tail is not None else TAIL_DEFAULT)
     end = F.col("total") if before is None else F.least(F.col("total"), F.lit(before))
     low = F.greatest(F.lit(0), end - want)
     out = e.where((F.col(position) >= low) & (F.col(position) < end))

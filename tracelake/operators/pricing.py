@@ -12,6 +12,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tracelake.session import cut_lineage
+
 # --- fixed values: price table ----------------------------------------------------------------------
 # (model, pattern, input, output, cache write, cache write 1h, cache read, verified)
 _SNAPSHOT = "(?:-\\d{8})?"
@@ -100,13 +102,12 @@ def normalise_model(model: Column | str, layout: Column | str | None = None) ->
 def price_models(df: DataFrame, prices: DataFrame, model: str = "model", layout: str | None = None) -> DataFrame:
     """Left join the price of each row's model.
 
-    The pattern match runs over the *distinct* models only; the price table is the broadcast side (a
-    small dimension the caller owns).  The way back is an equi join that AQE sizes by itself.
+    The pattern match runs over the *distinct* models only.  Spark sizes both joins by itself.
     """
     keys = [model] + ([layout] if layout else [])
     models = df.select(*keys).distinct().withColumn("__name", normalise_model(model, F.col(layout) if layout else None))
     price_cols = ["price_model", "p_input", "p_output", "p_write", "p_write_1h", "p_read", "verified"]
-    p = F.broadcast(prices.withColumnRenamed("layout", "__layout"))
+    p = prices.withColumnRenamed("layout", "__layout")
     cond = F.expr("__name rlike pattern")
     if layout:
         cond = cond & (F.col(layout) == F.col("__layout"))
@@ -158,21 +159,25 @@ def cost(
     model: str = "model",
     layout: str | None = None,
     one_hour: str | None = "cache_create_1h",
+    tokens: bool = False,
 ) -> DataFrame:
-    """``cost_usd`` and ``cost_partial`` per group of a per-model usage table.
+    """``cost_usd`` and ``cost_partial`` (and on request ``total_tokens``) per group of a per-model usage table.
 
-    The usage is first summed per (group, model), which is the small table the prices are joined to.
+    The usage is first summed per (group, model); this small table is written once, and serves the prices, the
+    distinct models and the tokens.
     """
     keys = [*by, *[c for c in ([model] + ([layout] if layout else [])) if c not in by]]
-    sums = with_counters(usage).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    sums = cut_lineage(with_counters(usage).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS]))
     priced = price_models(sums, prices, model, layout)
     total = token_total()
     priced = priced.select(
         *by,
         F.when(total > 0, micro_usd(one_hour)).alias("__micro"),
         ((total > 0) & F.col("p_input").isNull()).alias("__unpriced"),
+        total.alias("__tokens"),
     )
     return priced.groupBy(*by).agg(
         usd(F.coalesce(F.sum("__micro"), F.lit(0).cast("decimal(38,6)"))).alias("cost_usd"),
         F.bool_or("__unpriced").alias("cost_partial"),
+        *([F.sum("__tokens").alias("total_tokens")] if tokens else []),
     )

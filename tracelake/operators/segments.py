@@ -9,31 +9,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SPAN = 65_536
 _SEG = "__segment"
 
 
-def _with_segment(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn(_SEG, F.floor(F.col(order) / F.lit(span)).cast("bigint"))
+def _with_segment(df: DataFrame, by: Sequence[str], order: str, span: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with a segment number and key columns without nulls, and the names of those.
+
+    A nullable key is kept as (is it null, value or a filler), so that windows, sums and the stitch all use the same
+    plain columns and the rows are shuffled once.
+    """
+    keys, extra = [], {}
+    for k, c in enumerate(by):
+        field = df.schema[c]
+        if not field.nullable:
+            keys.append(c)
+            continue
+        filler = F.lit("") if isinstance(field.dataType, T.StringType) else F.lit(0).cast(field.dataType)
+        extra |= {f"__seg_n{k}": F.col(c).isNull(), f"__seg_k{k}": F.coalesce(F.col(c), filler)}
+        keys += [f"__seg_n{k}", f"__seg_k{k}"]
+    return df.withColumns(extra | {_SEG: F.floor(F.col(order) / F.lit(span)).cast("bigint")}), keys
 
 
 def _order_key(order: str, ties: Sequence[str]) -> Column:
     return F.struct(F.col(order), *[F.col(t) for t in ties])
 
 
-def _attach(df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Left join on null-safe keys, keeping the columns of ``df`` first."""
-    on = [*by, _SEG]
-    right = summary.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in summary.columns if c not in on])
-    cond = None
-    for c in on:
-        eq = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-        cond = eq if cond is None else cond & eq
-    return df.join(right, cond, "left").drop(*[f"__r_{c}" for c in on])
-
-
 def carry_last(
     df: DataFrame,
     by: Sequence[str],
@@ -46,18 +49,18 @@ def carry_last(
     span: int = SPAN,
 ) -> DataFrame:
     """Add ``as_``: the latest non-null ``value`` at or before (``inclusive``) or strictly before each row."""
-    seg = _with_segment(df.withColumn("__seg_value", value), order, span)
-    inner = Window.partitionBy(*by, _SEG).orderBy(order, *ties)
+    seg, keys = _with_segment(df.withColumn("__seg_value", value), by, order, span)
+    inner = Window.partitionBy(*keys, _SEG).orderBy(order, *ties)
     inner = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = seg.withColumn("__seg_local", F.last("__seg_value", ignorenulls=True).over(inner))
-    ends = seg.groupBy(*by, _SEG).agg(
+    ends = seg.groupBy(*keys, _SEG).agg(
         F.max_by("__seg_value", F.when(F.col("__seg_value").isNotNull(), _order_key(order, ties))).alias("__seg_end")
     )
-    outer = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*by, _SEG, F.last("__seg_end", ignorenulls=True).over(outer).alias("__seg_start"))
+    outer = Window.partitionBy(*keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, _SEG, F.last("__seg_end", ignorenulls=True).over(outer).alias("__seg_start"))
     starts = starts.where(F.col("__seg_start").isNotNull())
-    out = _attach(local, starts, by).withColumn(as_, F.coalesce("__seg_local", "__seg_start"))
-    return out.drop("__seg_value", "__seg_local", "__seg_start", _SEG)
+    out = local.join(starts, [*keys, _SEG], "left").withColumn(as_, F.coalesce("__seg_local", "__seg_start"))
+    return out.select(*df.columns, as_)
 
 
 def previous_row(
@@ -72,15 +75,15 @@ def running_total(
     df: DataFrame, by: Sequence[str], order: str, value: Column, as_: str, *, ties: Sequence[str] = (), span: int = SPAN
 ) -> DataFrame:
     """Add ``as_``: the sum of ``value`` over this and all earlier rows of the key."""
-    seg = _with_segment(df.withColumn("__seg_value", value), order, span)
-    inner = Window.partitionBy(*by, _SEG).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    seg, keys = _with_segment(df.withColumn("__seg_value", value), by, order, span)
+    inner = Window.partitionBy(*keys, _SEG).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     local = seg.withColumn("__seg_local", F.sum("__seg_value").over(inner))
-    sums = seg.groupBy(*by, _SEG).agg(F.sum("__seg_value").alias("__seg_sum"))
-    outer = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, _SEG, F.sum("__seg_sum").over(outer).alias("__seg_start")).where(F.col("__seg_start").isNotNull())
-    out = _attach(local, starts, by)
+    sums = seg.groupBy(*keys, _SEG).agg(F.sum("__seg_value").alias("__seg_sum"))
+    outer = Window.partitionBy(*keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, _SEG, F.sum("__seg_sum").over(outer).alias("__seg_start")).where(F.col("__seg_start").isNotNull())
+    out = local.join(starts, [*keys, _SEG], "left")
     out = out.withColumn(as_, F.coalesce("__seg_local", F.lit(0)) + F.coalesce("__seg_start", F.lit(0)))
-    return out.drop("__seg_value", "__seg_local", "__seg_start", _SEG)
+    return out.select(*df.columns, as_)
 
 
 def position(

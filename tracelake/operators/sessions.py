@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.functions.text import local_day, nz
 from tracelake.operators.pricing import COUNTERS, cost, micro_usd, price_models, token_total, usd, with_counters
+from tracelake.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------------------------
 #: States that count as "finished today", per layout.
@@ -25,7 +26,6 @@ FINISHED_STATES = {
     "summary_table": ("done", "stopped"),
 }
 STATE_RANK = {"running": 0, "stalled": 1, "idle": 2, "failed": 3, "stopped": 4, "done": 5}
-FINISHED_TODAY_ITEMS = 200
 TOP_BARS = 12
 # --- end of fixed values --------------------------------------------------------------------------
 
@@ -165,7 +165,24 @@ def session_summary(nodes: DataFrame, fields: DataFrame, registry: DataFrame | N
 
 def order_sessions(sessions: DataFrame) -> DataFrame:
     """Live sessions first, then the latest activity."""
-    return sessions.orderBy(F.col("live").desc(), F.col("last_activity_at").desc(), F.col("session_id"))
+    return sessions.orderBy(*session_order())
+
+
+def session_order() -> list[Column]:
+    return [F.col("live").desc(), F.col("last_activity_at").desc(), F.col("session_id").asc()]
+
+
+def with_place(rows: DataFrame, order: Sequence[Column], as_: str = "place") -> DataFrame:
+    """Number all rows in display order without gathering them: sorted by range, counted per part, offsets added."""
+    mask = F.lit((1 << 33) - 1)
+    placed = rows.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(mask)})
+    placed = cut_lineage(placed)
+    # one row per partition
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    out = placed.join(sizes, "__part").withColumn(as_, (F.col("__before") + F.col("__row") + 1).cast("int"))
+    return out.drop("__part", "__row", "__before")
 
 
 def live_rail(sessions: DataFrame) -> DataFrame:
@@ -244,11 +261,11 @@ CAPABILITIES = {
 }
 
 
-def provider_status(sessions: DataFrame, usage: DataFrame, prices: DataFrame, shown: int = 4) -> DataFrame:
+def provider_status(sessions: DataFrame, usage: DataFrame, prices: DataFrame, shown: int | None = None) -> DataFrame:
     """One health row per layout: sessions, live ones, last activity, capabilities, model price lists.
 
-    Model lists are cut to ``shown`` names with the full number beside them; they are taken from the
-    distinct models only.
+    Model lists come from the distinct models, in order of their names; with ``shown`` they hold the first so
+    many, and the full number stands beside them.
     """
     health = sessions.groupBy("layout").agg(
         F.count(F.lit(1)).alias("sessions"), F.count_if("live").alias("active"), F.max("last_activity_at").alias("last_activity_at")
@@ -260,13 +277,16 @@ def provider_status(sessions: DataFrame, usage: DataFrame, prices: DataFrame, sh
         F.when(F.col("p_input").isNull(), "unpriced").when(F.col("verified"), "verified").otherwise("estimated").alias("kind")
     )
     named = models.select("layout", F.coalesce("price_model", "model").alias("name"), kind).distinct()
-    ranked = named.withColumn("__r", F.row_number().over(Window.partitionBy("layout", "kind").orderBy("name")))
+    if shown is None:
+        ranked = named.withColumn("__r", F.lit(0))
+    else:
+        ranked = named.withColumn("__r", F.row_number().over(Window.partitionBy("layout", "kind").orderBy("name")))
     lists = ranked.groupBy("layout").agg(
         *[
             agg
             for k in ("verified", "estimated", "unpriced")
             for agg in (
-                F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("__r") <= shown), F.col("name")))).alias(k),
+                F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("__r") <= F.lit(shown or 0)), F.col("name")))).alias(k),
                 F.count_if(F.col("kind") == k).alias(f"n_{k}"),
             )
         ]
@@ -277,7 +297,7 @@ def provider_status(sessions: DataFrame, usage: DataFrame, prices: DataFrame, sh
             F.concat(
                 F.lit("official prices · estimated: "),
                 F.array_join("estimated", ", "),
-                F.when(F.col("n_estimated") > shown, F.concat(F.lit(" +"), (F.col("n_estimated") - shown).cast("string"))).otherwise(F.lit("")),
+                F.when(F.col("n_estimated") > F.lit(shown), F.concat(F.lit(" +"), (F.col("n_estimated") - F.lit(shown)).cast("string"))).otherwise(F.lit("")),
             ),
         )
         .when(F.col("n_verified") > 0, F.lit("official prices"))
@@ -305,8 +325,8 @@ def running_now(nodes: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w))
 
 
-def finished_today(nodes: DataFrame, sessions: DataFrame, now: int, tz: str = "UTC", limit: int | None = FINISHED_TODAY_ITEMS) -> DataFrame:
-    """Sub-agents that ended today, newest first (top ``limit``)."""
+def finished_today(nodes: DataFrame, sessions: DataFrame, now: int, tz: str = "UTC", limit: int | None = None) -> DataFrame:
+    """Sub-agents that ended today, newest first (of these the first ``limit``, if given)."""
     day = local_day_of(nodes, now, tz)
     end = F.coalesce("ended_at", "last_activity_at")
     rows = nodes.where(~F.col("is_main") & F.col("state").isin("done", "stopped", "failed") & (local_day(end, tz) == day))

@@ -28,15 +28,14 @@ from tracelake.functions.topic_text import (
     title_tokens,
     title_words,
 )
+from tracelake.operators.changes import facts_hash
 from tracelake.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------------------------
 MERGE_THRESHOLD = 0.6
-PROMPT_CHARS = 300
 MIN_CLUSTER, MIN_BUCKET, MAX_SHARE = 3, 5, 0.6
 COLLAPSE_GAIN = 0.5  # go on collapsing copies while a round settles half of what is open
-MEMBERS_SHOWN, MODULES_SHOWN, RECENT_SHOWN, TOPICS_OFFERED = 200, 3, 3, 12
-PROMPT_MAX, PROMPT_LABELS = 2000, 12
+MODULES_SHOWN, RECENT_SHOWN, TOPICS_OFFERED = 3, 3, 12
 #: English labels (pass another map to localise).
 LABELS = {
     "other": "Other",
@@ -118,7 +117,7 @@ def classify_agents(agents: DataFrame, prs: DataFrame | None = None, home: str =
             "project": project_of("cwd", home),
             "__text": F.coalesce(text, F.lit("")),
             "__strict": F.coalesce(_first(extract_tickets(F.coalesce(text, F.lit("")))), _first(extract_tickets(F.coalesce(branch, F.lit(""))))),
-            "__prompt": F.when(~(main & (F.col("sub_count") > 0)), F.substring("last_prompt", 1, PROMPT_CHARS)),
+            "__prompt": F.when(~(main & (F.col("sub_count") > 0)), F.col("last_prompt")),
         }
     )
     need = a.where(F.col("__strict").isNull() & nz("__prompt").isNotNull())
@@ -290,7 +289,11 @@ def merge_titles(
 
 
 def jaccard_pairs(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope: Sequence[str] = (), threshold: float = MERGE_THRESHOLD) -> DataFrame:
-    """Pairs of token sets at or above the threshold, found through the prefix index."""
+    """Each token set (``id_b``) with the most similar earlier set at or above the threshold (the smallest id among equals).
+
+    Candidates come from the prefix index.  One partner per set says what groups with what; all pairs of a group of n
+    near copies would be n² rows.
+    """
     scope = list(scope)
     s = sets.withColumn(tokens, F.array_distinct(tokens))
     keys = similarity_keys(s, id, tokens, scope, threshold)
@@ -299,9 +302,11 @@ def jaccard_pairs(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope
     hits = a.join(b, [*scope, "key"]).where(F.col(id) < F.col("__id"))
     score = _set_jaccard(F.col(tokens), F.col("__t"))
     return (
-        hits.where(score >= threshold)
-        .groupBy(*scope, F.col(id).alias("id_a"), F.col("__id").alias("id_b"))
-        .agg(F.first(score).alias("jaccard"))
+        hits.withColumn("__score", score)
+        .where(F.col("__score") >= threshold)
+        .groupBy(*scope, F.col("__id").alias("id_b"))
+        .agg(F.min_by(F.struct(F.col(id).alias("id_a"), F.col("__score").alias("jaccard")), F.struct(-F.col("__score"), F.col(id))).alias("__best"))
+        .select(*scope, "__best.id_a", "id_b", "__best.jaccard")
     )
 
 
@@ -361,12 +366,14 @@ def cluster_loose(c: DataFrame) -> DataFrame:
     ).select(*c.columns)
 
 
-def topic_members(c: DataFrame, limit: int = MEMBERS_SHOWN, labels: dict[str, str] | None = None) -> DataFrame:
-    """The first ``limit`` agents of each topic: running ones first, then the latest activity."""
+def topic_members(c: DataFrame, limit: int | None = None, labels: dict[str, str] | None = None) -> DataFrame:
+    """The agents of each topic in order (of these the first ``limit``, if given): running ones first, then the latest activity."""
     labels = labels or LABELS
     busy = F.col("state").isin("running", "stalled")
     w = Window.partitionBy("slot").orderBy(busy.desc(), F.coalesce("last_activity_at", F.lit(0)).desc(), *ORDER)
-    rows = c.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    rows = c.withColumn("place", F.row_number().over(w))
+    if limit is not None:
+        rows = rows.where(F.col("place") <= limit)
     shown = F.when(F.col("is_main"), F.lit(labels["main"])).otherwise(F.col("label"))
     return rows.select(
         F.substring(F.sha1("slot"), 1, 10).alias("topic_id"),
@@ -517,22 +524,23 @@ def order_topics(topics: DataFrame) -> DataFrame:
 
 
 def topic_hash(topics: DataFrame, members: DataFrame) -> DataFrame:
-    """A digest of each topic's (at most 200 shown) agents, their states, its last activity and counts."""
-    who = members.groupBy("topic_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "session_id", "agent_key", "state"))), ",").alias("__who")
-    )
+    """A digest of all agents of each topic, their states, its last activity and counts.
+
+    Row digests are added up, so no topic's members are gathered.
+    """
+    who = facts_hash(members, ["topic_id"], ["session_id", "agent_key", "state"]).select("topic_id", F.col("facts_hash").alias("__who"))
     text = F.concat_ws("|", "__who", *[F.col(c).cast("string") for c in ("last_at", "running", "done", "failed")])
     return topics.join(who, "topic_id").withColumn("facts_hash", F.substring(F.sha1(text), 1, 16)).drop("__who")
 
 
-def prompt_rows(topics: DataFrame, members: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
-    """The masked facts of each topic as text of at most 2000 characters."""
+def prompt_rows(topics: DataFrame, members: DataFrame, labels: dict[str, str] | None = None, max_labels: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The masked facts of each topic as text; the number of tasks and the length can be limited for a model."""
     labels = labels or LABELS
     sub = members.where(~F.col("is_main"))
     w = Window.partitionBy("topic_id").orderBy("place")
     lines = (
         sub.withColumn("__r", F.row_number().over(w))
-        .where(F.col("__r") <= PROMPT_LABELS)
+        .where(F.col("__r") <= max_labels if max_labels is not None else F.lit(True))
         .groupBy("topic_id")
         .agg(
             F.transform(
@@ -556,8 +564,10 @@ def prompt_rows(topics: DataFrame, members: DataFrame, labels: dict[str, str] |
         F.when(F.size("modules") > 0, F.concat(F.lit("Touched modules: "), F.array_join("modules", ", "))),
     )
     masked = mask_secrets(facts)
-    room = PROMPT_MAX - len(labels["instruction"])
-    cut = F.when(F.length(masked) > room, F.concat(F.substring(masked, 1, room - 1), F.lit("…"))).otherwise(masked)
+    cut = masked
+    if max_chars is not None:
+        room = max_chars - len(labels["instruction"])
+        cut = F.when(F.length(masked) > room, F.concat(F.substring(masked, 1, room - 1), F.lit("…"))).otherwise(masked)
     return t.select("topic_id", F.concat(F.lit(labels["instruction"]), cut).alias("prompt"))
 
 
@@ -593,11 +603,13 @@ def attach_summaries(topics: DataFrame, cache: DataFrame) -> DataFrame:
     return topics.join(cache.select("topic_id", F.col("text").alias("summary_text"), F.col("at").alias("summary_at")), "topic_id", "left")
 
 
-def summarize_with(prompts: DataFrame, fn, as_: str = "text") -> DataFrame:
-    """Run a summary backend, given as a pandas UDF from prompt text to summary text."""
+def summarize_with(prompts: DataFrame, fn, as_: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Run a summary backend, given as a pandas UDF from prompt text to summary text; masked, then cut if asked for."""
     one = F.regexp_replace(F.trim(fn(F.col("prompt"))), "\\s+", " ")
     out = mask_secrets(one)
-    return prompts.withColumn(as_, F.when(F.length(out) > 400, F.concat(F.substring(out, 1, 399), F.lit("…"))).otherwise(out))
+    if max_chars is not None:
+        out = F.when(F.length(out) > max_chars, F.concat(F.substring(out, 1, max_chars - 1), F.lit("…"))).otherwise(out)
+    return prompts.withColumn(as_, out)
 
 
 def calls_last_hour(calls: DataFrame, now: int) -> DataFrame:

@@ -8,6 +8,7 @@ have not reached their root take part in the next join, and each round is checkp
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -159,13 +160,16 @@ def collapse_finished(
 
 
 def add_missing_ancestors(
-    selected: DataFrame, all_rows: DataFrame, id: str = "id", parent: str = "parent", passes: int = 6
+    selected: DataFrame, all_rows: DataFrame, id: str = "id", parent: str = "parent", passes: int | None = None
 ) -> DataFrame:
-    """The selected rows plus the ancestors they lack, up to ``passes`` levels up."""
+    """The selected rows plus all ancestors they lack (at most ``passes`` levels up, if given).
+
+    Each round goes one level up and stops where a row is known already, so cycles end too.
+    """
     ids = cut_lineage(selected.select(id).distinct())
     edges = all_rows.select(F.col(id).alias("__c"), F.col(parent).alias("__p")).where(F.col(parent).isNotNull())
     frontier = ids
-    for _ in range(passes):
+    for _ in range(passes) if passes is not None else count():
         up = frontier.join(edges, frontier[id] == F.col("__c")).select(F.col("__p").alias(id)).distinct()
         frontier = cut_lineage(up.join(ids, id, "left_anti").join(all_rows.select(id).distinct(), id, "left_semi"))
         if frontier.isEmpty():
@@ -181,14 +185,18 @@ def walk_chain(
     prev: str = "previous_id",
     head: str = "head",
     by: Sequence[str] = (),
-    max_hops: int = 50_000,
+    max_hops: int | None = None,
 ) -> DataFrame:
     """The entries reached from each head through ``prev``: (``by``, ``head``, ``id``, ``hops``), head at 0.
 
     List ranking by doubling: after round k all entries within 2**k hops are known and the jump table
-    spans 2**k hops, so 16 rounds cover 50,000 hops.
+    spans 2**k hops.  A cycle is cut behind its smallest id first, so a chain that runs into one ends there.
     """
     keys = list(by)
+    breakers = cycle_breakers(valid_parents(entries.select(*keys, id, prev), id, prev, keys), id, prev, keys)
+    cut = breakers.withColumnRenamed("id", id).withColumn("__cut", F.lit(True)) if id != "id" else breakers.withColumn("__cut", F.lit(True))
+    entries = entries.select(*keys, id, prev).join(cut, [*keys, id], "left")
+    entries = entries.withColumn(prev, F.when(F.col("__cut").isNull(), F.col(prev))).drop("__cut")
     one = entries.select(*keys, F.col(id).alias("__at"), F.col(prev).alias("__to"))
     known_ids = entries.select(*keys, F.col(id).alias("__to")).distinct()
     jump = cut_lineage(one.join(known_ids, [*keys, "__to"], "left_semi").select(*keys, "__at", "__to"))
@@ -200,16 +208,16 @@ def walk_chain(
         )
     )
     reach = 1
-    while reach <= max_hops:
+    while max_hops is None or reach <= max_hops:
         more = found.join(jump, [*keys, "__at"]).select(
             *keys, head, F.col("__to").alias("__at"), (F.col("hops") + reach).alias("hops")
         )
-        more = cut_lineage(more.where(F.col("hops") <= max_hops))
+        more = cut_lineage(more if max_hops is None else more.where(F.col("hops") <= max_hops))
         if more.isEmpty():
             break
         found = cut_lineage(found.unionByName(more))
         reach *= 2
-        if reach <= max_hops:
+        if max_hops is None or reach <= max_hops:
             nxt = jump.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__far"))
             jump = cut_lineage(jump.join(nxt, [*keys, "__to"]).select(*keys, "__at", F.col("__far").alias("__to")))
     return found.select(*keys, head, F.col("__at").alias(id), "hops")

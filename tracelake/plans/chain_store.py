@@ -12,11 +12,11 @@ from tracelake.operators.state import end_columns, infer_state
 from tracelake.operators.tree import resolve_tree, valid_parents, walk_chain
 from tracelake.plans.part_store import iso_text
 from tracelake.plans.tool_calls import chain_call
+from tracelake.session import cut_lineage
 
 LAYOUT = "chain_store"
 # --- fixed values ---------------------------------------------------------------------------------
 SIGNIFICANT = ("message", "turnSummary", "error", "interrupted", "elicitationRequest", "elicitationResponse")
-MAX_TEXT, MAX_RESULT = 6000, 4000
 # --- end of fixed values --------------------------------------------------------------------------
 ENTRY = (
     "id string, type string, createdTimestamp double, hidden boolean, sessionId string, doneTitle string, workingTitle string, errorCode string, "
@@ -38,7 +38,7 @@ def session_config(c: Column) -> Column:
     )
 
 
-def chains(sessions: DataFrame, entries: DataFrame, max_hops: int = 50_000) -> DataFrame:
+def chains(sessions: DataFrame, entries: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Parsed entries of every session, oldest first by ``pos``; corrupt entries are skipped after the walk."""
     heads = sessions.where(nz("committed_head_entry_id").isNotNull()).select("project_id", "session_id", F.col("committed_head_entry_id").alias("head"))
     walked = walk_chain(entries, heads, "id", "previous_id", "head", ["project_id"], max_hops)
@@ -108,12 +108,12 @@ def _seconds(ms: Column) -> Column:
     return F.when(s >= 60, F.concat(F.floor(s / 60).cast("string"), F.lit(" min "), (s % 60).cast("string"), F.lit(" s"))).otherwise(F.concat(s.cast("string"), F.lit(" s")))
 
 
-def events(raw: tuple[DataFrame, DataFrame], max_hops: int = 50_000) -> DataFrame:
+def events(raw: tuple[DataFrame, DataFrame], max_hops: int | None = None) -> DataFrame:
     """Neutral events of (sessions, entries); parts get a ``:<i>`` suffix to the entry id."""
     return chain_events(chains(*raw, max_hops))
 
 
-def chain_events(chain: DataFrame) -> DataFrame:
+def chain_events(chain: DataFrame, max_text: int | None = None, max_result: int | None = None) -> DataFrame:
     e, t = F.col("e"), F.col("e.type")
     eid = F.coalesce(nz(e["id"]), F.lit("?"))
     msg = chain.where((t == "message") & ~((F.col("role") == "user") & F.coalesce(e["hidden"], F.lit(False))))
@@ -126,10 +126,10 @@ def chain_events(chain: DataFrame) -> DataFrame:
     b = b.withColumn("kind", kind).where(F.col("kind").isNotNull())
     b = b.withColumn("call", F.when(F.col("kind") == "tool_use", chain_call(F.col("p.name"), F.col("p.parameters"))))
     body = F.when(pt == "image", F.lit("[image]")).when(F.col("kind") == "tool_result", result_text(F.col("p.result"))).otherwise(F.col("p.text"))
-    limit = F.when(F.col("kind") == "tool_result", F.lit(MAX_RESULT)).otherwise(F.lit(MAX_TEXT))
+    masked = F.when(F.col("kind") == "tool_result", safe_text(body, max_result)).otherwise(safe_text(body, max_text)) if max_result or max_text else safe_text(body)
     parts = b.select(
         "session_id", F.col("pos").alias("ord"), F.col("i").alias("pos"), F.concat("eid", F.lit(":"), F.col("i").cast("string")).alias("event_id"), "ts_ms", "kind",
-        F.when(F.col("kind") == "tool_use", F.coalesce(nz("call.summary"), F.col("call.target"))).otherwise(safe_text(body, limit)).alias("text"),
+        F.when(F.col("kind") == "tool_use", F.coalesce(nz("call.summary"), F.col("call.target"))).otherwise(masked).alias("text"),
         F.lit(False).alias("is_error"), F.col("call.tool").alias("tool"), F.col("call.kind").alias("action"),
         F.when(F.col("kind").isin("tool_use", "tool_result"), nz("p.uniqueToolCallId")).alias("tool_use_id"),
         F.col("call.target").alias("target"), F.col("call.dir").alias("dir"), F.col("call.detail").alias("detail"),
@@ -138,8 +138,8 @@ def chain_events(chain: DataFrame) -> DataFrame:
     files = F.when(F.size(e["files"]) > 0, F.concat(F.size(e["files"]).cast("string"), F.lit(" files")))
     note = (
         F.when(t == "turnSummary", F.concat(F.lit("Turn completed"), tail(" · ", _seconds(e["durationMs"])), tail(" · ", files)))
-        .when(t == "subSessionReference", F.concat(F.lit("Sub-session"), tail(": ", clip_line(F.coalesce(nz(e["doneTitle"]), nz(e["workingTitle"])), 160))))
-        .when(t == "error", F.concat(F.lit("Error"), tail(": ", clip_line(F.when(~F.startswith(e["message"], F.lit("{")), nz(e["message"])), 200))))
+        .when(t == "subSessionReference", F.concat(F.lit("Sub-session"), tail(": ", clip_line(F.coalesce(nz(e["doneTitle"]), nz(e["workingTitle"]))))))
+        .when(t == "error", F.concat(F.lit("Error"), tail(": ", clip_line(F.when(~F.startswith(e["message"], F.lit("{")), nz(e["message"]))))))
         .when(t == "interrupted", F.lit("Turn interrupted"))
         .when(t == "elicitationRequest", F.lit("Waiting for the user's approval or answer"))
     )
@@ -166,7 +166,7 @@ def nodes(sessions: DataFrame, entries: DataFrame, now: int, recent_ms: int = 86
         "in_scope", F.col("head").isNotNull() & ~F.col("temporary") & (F.col("__newest") >= now - recent_ms)
     )
     live = scoped.where("in_scope").select("project_id", F.col("native_id").alias("session_id"), F.col("head").alias("committed_head_entry_id"))
-    chain = chains(live, entries).persist()
+    chain = cut_lineage(chains(live, entries))
     an = analysis(chain).withColumnRenamed("session_id", "native_id")
     refs = sub_references(chain)
     owner = scoped.select(F.col("native_id").alias("session_id"), F.col("root").alias("__owner_root"), F.col("project_id").alias("__project"))
@@ -186,7 +186,7 @@ def nodes(sessions: DataFrame, entries: DataFrame, now: int, recent_ms: int = 86
     linked = infer_state(linked, LAYOUT, now).withColumn("last_activity_at", F.col("last_activity")).withColumns(end_columns(now, ("running", "idle")))
     tree = resolve_tree(linked, "native_id", "parent", ["project_id"], order=[F.col("started_at").isNull(), F.col("started_at")])
     main = F.col("parent").isNull()
-    clip = lambda c: nz(clip_line(c, 120))
+    clip = lambda c: nz(clip_line(c))
     call = chain_call(F.col("last_call.name"), F.col("last_call.parameters"))
     out = tree.withColumns(
         {
@@ -210,7 +210,7 @@ def nodes(sessions: DataFrame, entries: DataFrame, now: int, recent_ms: int = 86
 def sessions(tree: DataFrame, chain: DataFrame | None, now: int) -> DataFrame:
     """Listed sessions: roots in scope; a transient root only while live."""
     main = tree.where("is_main").select(
-        "session_id", F.col("label").alias("session_name"), "cwd", clip_line("last_prompt", 300).alias("last_prompt"), "in_scope", "transient"
+        "session_id", F.col("label").alias("session_name"), "cwd", clip_line("last_prompt").alias("last_prompt"), "in_scope", "transient"
     )
     if chain is not None:
         said = chain.where((F.col("e.type") == "message") & (F.coalesce("role", F.lit("")) != "tool")).select(F.col("session_id").alias("native_id"), F.col("e.createdTimestamp").cast("bigint").alias("ts_ms"))

@@ -21,7 +21,6 @@ LAYOUT = "document"
 TYPES = ("user", "gemini", "info", "error", "warning")
 PENDING = ("validating", "scheduled", "awaiting_approval", "executing")
 PATH_KEYS = ("file_path", "absolute_path", "dir_path", "path", "directory")
-MAX_TEXT, MAX_RESULT, MAX_NOTE, MAX_THOUGHT = 6000, 2000, 1000, 2000
 # --- end of fixed values --------------------------------------------------------------------------
 _TOKENS = "struct<input:double,output:double,cached:double,thoughts:double,tool:double,total:double>"
 MESSAGE = f"id string, timestamp string, type string, content string, toolCalls array<string>, thoughts array<string>, tokens {_TOKENS}, model string"
@@ -80,7 +79,7 @@ def tool_calls(msgs: DataFrame) -> DataFrame:
     )
 
 
-def events(raw: DataFrame) -> DataFrame:
+def events(raw: DataFrame, max_text: int | None = None, max_result: int | None = None) -> DataFrame:
     """Neutral events in document order (``ord`` is the message, ``pos`` the place inside it)."""
     msgs = messages(latest_documents(raw)).where(F.col("msg").isNotNull())
     msg = F.col("msg")
@@ -89,16 +88,15 @@ def events(raw: DataFrame) -> DataFrame:
     t = msg["type"]
     plain = msgs.select("session_id", F.col("m").alias("ord"), msg["timestamp"].alias("timestamp"), t.alias("t"), base.alias("event_id"), text.alias("body"))
     plain = plain.where((F.col("t") != "gemini") | (F.trim("body") != ""))
-    limit = F.when(F.col("t").isin("user", "gemini"), F.lit(MAX_TEXT)).otherwise(F.lit(MAX_NOTE))
     kind = F.when(F.col("t") == "user", "user").when(F.col("t") == "gemini", "assistant").otherwise("notification")
     spoken = plain.select(
-        "session_id", "ord", F.lit(100_000).alias("pos"), "event_id", "timestamp", kind.alias("kind"), safe_text("body", limit).alias("text"), (F.col("t") == "error").alias("is_error")
+        "session_id", "ord", F.lit(100_000).alias("pos"), "event_id", "timestamp", kind.alias("kind"), safe_text("body", max_text).alias("text"), (F.col("t") == "error").alias("is_error")
     )
     thought = msgs.where(t == "gemini").select("session_id", F.col("m").alias("ord"), msg["timestamp"].alias("timestamp"), base.alias("b"), F.posexplode("msg.thoughts").alias("i", "th"))
     said = F.concat_ws(": ", nz(F.get_json_object("th", "$.subject")), nz(F.get_json_object("th", "$.description")))
     thinking = thought.withColumn("said", said).where(F.col("said") != "").select(
         "session_id", "ord", F.col("i").alias("pos"), F.concat("b", F.lit("t"), F.col("i").cast("string")).alias("event_id"), "timestamp",
-        F.lit("thinking").alias("kind"), safe_text("said", MAX_THOUGHT).alias("text"), F.lit(False).alias("is_error"),
+        F.lit("thinking").alias("kind"), safe_text("said", max_text).alias("text"), F.lit(False).alias("is_error"),
     )
     calls = tool_calls(msgs)
     calls = calls.withColumn("call", document_call(F.col("tool"), F.col("args")))
@@ -112,7 +110,7 @@ def events(raw: DataFrame) -> DataFrame:
     body = F.coalesce("shown", nz(content_text(F.col("result"))), F.when(F.col("status") == "cancelled", F.lit("Cancelled")), F.lit(""))
     results = calls.where(~F.col("status").isin(*PENDING)).select(
         "session_id", F.col("m").alias("ord"), (F.col("k") * 2 + 200_001).alias("pos"), F.concat(b, F.lit("r"), F.col("k").cast("string")).alias("event_id"), F.col("msg_time").alias("timestamp"),
-        F.lit("tool_result").alias("kind"), safe_text(body, MAX_RESULT).alias("text"), F.col("status").isin("error", "cancelled").alias("is_error"), F.col("call_id").alias("tool_use_id"),
+        F.lit("tool_result").alias("kind"), safe_text(body, max_result).alias("text"), F.col("status").isin("error", "cancelled").alias("is_error"), F.col("call_id").alias("tool_use_id"),
     )
     out = spoken.unionByName(thinking, allowMissingColumns=True).unionByName(uses, allowMissingColumns=True).unionByName(results, allowMissingColumns=True)
     return out.withColumns({"agent_key": F.lit("main"), "ts_ms": iso_ms("timestamp"), "layout": F.lit(LAYOUT)})
@@ -164,8 +162,8 @@ def nodes(raw: DataFrame, now: int, prices: DataFrame | None = None) -> DataFram
     f = f.withColumns(
         {
             "last_action": F.when((F.col("state") == "running") & F.col("pending_call"), call),
-            "label": mask_secrets(F.coalesce(nz(clip_line("name", 90)), F.concat(F.lit("session "), F.substring("session_id", 1, 8)))),
-            "last_prompt": clip_line("last_prompt", 90),
+            "label": mask_secrets(F.coalesce(nz(clip_line("name")), F.concat(F.lit("session "), F.substring("session_id", 1, 8)))),
+            "last_prompt": clip_line("last_prompt"),
         }
     )
     ticks = calls.select("session_id", at.alias("ts_ms")).join(f.select("session_id", "started_at"), "session_id")

@@ -63,7 +63,7 @@ def parse_lines(raw: DataFrame) -> DataFrame:
         nz("j.entrypoint").alias("entrypoint"),
         F.when(kind == "custom-title", nz("j.customTitle")).alias("custom_title"),
         F.when(kind == "agent-name", nz("j.agentName")).alias("agent_name"),
-        F.when(kind == "last-prompt", safe_text(nz("j.lastPrompt"), 300)).alias("last_prompt"),
+        F.when(kind == "last-prompt", safe_text(nz("j.lastPrompt"))).alias("last_prompt"),
         F.when(spoken & role.isin("assistant", "user"), role).alias("role"),
         F.when(spoken, nz("j.message.id")).alias("message_id"),
         F.when(spoken & (model != "<synthetic>"), model).alias("model"),
@@ -108,7 +108,7 @@ def notifications(lines: DataFrame) -> DataFrame:
         tag("task-id").alias("task_id"),
         tag("tool-use-id").alias("tool_use_id"),
         tag("status").alias("status"),
-        safe_text(tag("summary"), 200).alias("summary"),
+        safe_text(tag("summary")).alias("summary"),
     )
     return out.where(F.col("task_id").isNotNull())
 
@@ -131,7 +131,7 @@ def result_text(content: Column) -> Column:
 EVENT = "struct<pos:int,kind:string,tool:string,action:string,tool_use_id:string,text:string,is_error:boolean,detail:map<string,string>>"
 
 
-def events(lines: DataFrame, max_text: int = 4000, max_result: int = 2048) -> DataFrame:
+def events(lines: DataFrame, max_text: int | None = None, max_result: int | None = None) -> DataFrame:
     """Neutral events: one row per visible block, or per notification for lines that carry some."""
     spoken = lines.where(F.col("type").isin("assistant", "user"))
     noted = (F.col("type") == "user") & F.regexp_like(
@@ -215,7 +215,7 @@ def spawns(lines: DataFrame) -> DataFrame:
     m = J.obj("b.input")
     rows = rows.where(F.col("b.name").isin("Agent", "Task") & nz("b.id").isNotNull())
     spawn = F.struct(
-        safe_text(J.text(m, "description"), 300).alias("description"),
+        safe_text(J.text(m, "description")).alias("description"),
         J.text(m, "subagent_type").alias("subagent_type"),
         J.text(m, "model").alias("model"),
         F.get_json_object("b.input", "$.run_in_background").cast("boolean").alias("background"),

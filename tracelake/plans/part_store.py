@@ -14,7 +14,6 @@ from tracelake.plans.tool_calls import part_call
 LAYOUT = "part_store"
 # --- fixed values ---------------------------------------------------------------------------------
 STALE_MS = 600_000
-MAX_TEXT, MAX_RESULT = 4000, 2000
 # --- end of fixed values --------------------------------------------------------------------------
 DATA = (
     "type string, text string, synthetic boolean, ignored boolean, tool string, callID string, time struct<end:double>, "
@@ -45,7 +44,7 @@ def settled_parts(parts: DataFrame, now: int) -> DataFrame:
     return p.where(settled(F.col("d"), F.col("time_updated"), now))
 
 
-def events(raw: tuple[DataFrame, DataFrame], now: int | None = None) -> DataFrame:
+def events(raw: tuple[DataFrame, DataFrame], now: int | None = None, max_text: int | None = None, max_result: int | None = None) -> DataFrame:
     """Events of (messages, parts); a finished tool part yields its call and its result.
 
     The join to the message brings the role only, so it moves two narrow columns.
@@ -90,11 +89,11 @@ def events(raw: tuple[DataFrame, DataFrame], now: int | None = None) -> DataFram
         F.when(is_tool, F.coalesce(nz(d["callID"]), F.col("id"))).alias("tool_use_id"),
         F.posexplode(F.filter(rows, lambda e: e.isNotNull())).alias("pos", "e"),
     )
-    limit = F.when(F.col("e.kind") == "tool_result", F.lit(MAX_RESULT)).otherwise(F.lit(MAX_TEXT))
+    masked = F.when(F.col("e.kind") == "tool_result", safe_text("e.text", max_result)).otherwise(safe_text("e.text", max_text)) if max_result or max_text else safe_text("e.text")
     return out.select(
         "session_id", F.lit("main").alias("agent_key"), "part_id", "created_ms", "updated_ms", F.col("created_ms").alias("ord"), "pos", "e.event_id",
         iso_text(F.col("created_ms")).alias("timestamp"), F.col("created_ms").alias("ts_ms"), "e.kind", "e.tool", "e.action", "tool_use_id",
-        F.when(F.col("e.kind") == "tool_use", F.col("e.text")).otherwise(safe_text("e.text", limit)).alias("text"), "e.is_error", "e.target", "e.dir", "e.detail",
+        F.when(F.col("e.kind") == "tool_use", F.col("e.text")).otherwise(masked).alias("text"), "e.is_error", "e.target", "e.dir", "e.detail",
         F.lit(LAYOUT).alias("layout"),
     )
 
@@ -147,13 +146,13 @@ def nodes(sessions: DataFrame, messages: DataFrame, parts: DataFrame, now: int)
     j = j.withColumns(
         {
             "last_action": F.when((F.col("state") == "running") & F.col("pending").isNotNull(), call),
-            "end_reason": F.when(F.col("state") == "stopped", F.lit("Cancelled")).when(F.col("state") == "failed", clip_line(message, 200)),
+            "end_reason": F.when(F.col("state") == "stopped", F.lit("Cancelled")).when(F.col("state") == "failed", clip_line(message)),
         }
     )
     tree = resolve_tree(j, "native_id", "parent", order=[F.col("started_at")])
     tree = tree.join(calls, (tree["parent"] == calls["__owner"]) & (tree["native_id"] == calls["__child"]), "left").drop("__owner", "__child")
     main = F.col("parent").isNull()
-    prompt = clip_line("last_prompt", 300)
+    prompt = clip_line("last_prompt")
     out = tree.withColumns(
         {
             "session_id": F.col("root"),

@@ -92,15 +92,23 @@ def collapse_finished(spark, sf):
 
 @query(
     f"""WITH {EVENTS_SQL} SELECT user_id, event_id, max(event_id) OVER (PARTITION BY user_id) AS head,
-      CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS BIGINT) AS hops FROM ev"""
+      CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS BIGINT) AS hops FROM ev
+    UNION ALL SELECT user_id, event_id, CAST(-1 AS BIGINT), row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) FROM ev WHERE user_id % 3 = 0
+    UNION ALL SELECT DISTINCT user_id, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM ev WHERE user_id % 3 = 0"""
 )
 def chain_walk(spark, sf):
     e = event_lines(spark, sf).select("user_id", "event_id")
     from tracelake.operators.segments import previous_row
 
     linked = previous_row(e, ["user_id"], "event_id", ["event_id"], "p").select("user_id", "event_id", F.col("p.event_id").alias("previous_id"))
-    heads = e.groupBy("user_id").agg(F.max("event_id").alias("head"))
-    return T.walk_chain(linked, heads, "event_id", by=["user_id"])
+    heads = e.groupBy("user_id").agg(F.max("event_id").alias("head"), F.min("event_id").alias("low"))
+    # every third chain is closed to a ring, which an entry -1 leads into; a ring is cut behind its smallest id
+    ring = heads.where("user_id % 3 = 0")
+    closed = linked.join(ring.select("user_id", F.col("low").alias("event_id"), F.col("head").alias("__to")), ["user_id", "event_id"], "left")
+    closed = closed.select("user_id", "event_id", F.coalesce("previous_id", "__to").alias("previous_id"))
+    entry = F.lit(-1).cast("bigint")
+    closed = closed.unionByName(ring.select("user_id", entry.alias("event_id"), F.col("head").alias("previous_id")))
+    return T.walk_chain(closed, heads.select("user_id", "head").union(ring.select("user_id", entry)), "event_id", by=["user_id"])
 
 
 @query(
@@ -331,14 +339,16 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("last_type") == "view", "done").when(F.col("last_type") == "click", "running").when(F.col("last_type") == "error", "failed")
         .when(F.col("last_type") == "purchase", "stopped").otherwise("idle")
     )
-    main = F.min("agent_key").over(Window.partitionBy("session_id")) == F.col("agent_key")
+    mains = a.groupBy("session_id").agg(F.min("agent_key").alias("main_key"))
+    a = a.join(mains, "session_id")
+    main = F.col("main_key") == F.col("agent_key")
     return a.withColumns(
         {
             "layout": _layout(F.col("session_id")), "state": state, "is_main": main, "last_activity_at": F.col("last_ts"),
             "ended_at": F.when(state != "running", F.col("last_ts")), "model": F.lit("m"), "input": F.col("units"), "total_tokens": F.col("units"),
             "cost_usd": F.col("units") / 100, "cost_partial": F.col("n") > 1,
         }
-    )
+    ).drop("main_key")
 
 
 _NODES = f"""{_AGENTS}, node AS (SELECT *, {_LAYOUT.format('session_id')} AS layout, min(agent_key) OVER (PARTITION BY session_id) = agent_key AS is_main,
@@ -360,8 +370,7 @@ def session_summary(spark, sf):
     return out.select(*cols.split())
 
 
-def _sessions(spark: SparkSession, sf: str) -> DataFrame:
-    n = _nodes(spark, sf)
+def _sessions(n: DataFrame) -> DataFrame:
     fields = n.select("session_id").distinct().withColumns({"cwd": F.lit("/w"), "session_name": F.concat(F.lit("s"), F.col("session_id").cast("string"))})
     return S.session_summary(n, fields)
 
@@ -372,9 +381,8 @@ def _sessions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sessions_order(spark, sf):
     # the display order itself is the result; the place makes it comparable
-    s = S.order_sessions(_sessions(spark, sf)).select("session_id", "live", "last_activity_at")
-    w = Window.orderBy(F.col("live").desc(), F.col("last_activity_at").desc(), "session_id")
-    return s.withColumn("place", F.row_number().over(w))
+    s = _sessions(_nodes(spark, sf)).select("session_id", "live", "last_activity_at")
+    return S.with_place(s, S.session_order())
 
 
 def _model_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,6 +393,7 @@ def _model_usage(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(_layout(F.col("user_id")).alias("layout"), model.alias("model"), local_day("ts_ms").alias("day"), F.col("k").alias("input"), F.col("units").alias("output"))
 
 
+# fixed values: dollars per million input and output tokens of three models, as in operators/pricing.py
 _SPENT = f"""spent AS (SELECT {_LAYOUT.format('user_id')} AS layout, event_type, sum(k) AS i, sum(units) AS o FROM ev WHERE ts_ms >= {{since}} GROUP BY 1, 2),
     money AS (SELECT layout, CAST(sum(o) AS BIGINT) AS output_today, sum(CASE
         WHEN event_type = 'view' AND layout = 'line_log' THEN i * 5 + o * 25
@@ -415,7 +424,7 @@ def machine_rollup(spark, sf):
       layout <> 'document' AS subagents FROM h"""
 )
 def provider_status(spark, sf):
-    out = S.provider_status(_sessions(spark, sf), _model_usage(spark, sf), price_table(spark))
+    out = S.provider_status(_sessions(_nodes(spark, sf)), _model_usage(spark, sf), price_table(spark), shown=4)
     joined = [F.array_join(c, ",").alias(c) for c in ("verified", "estimated", "unpriced")]
     return out.select("layout", "sessions", "active", "last_activity_at", *joined, "pricing_note", F.col("capabilities.subagents").alias("subagents"))
 
@@ -427,7 +436,8 @@ def provider_status(spark, sf):
       count(*) FILTER (WHERE NOT is_main AND state = 'failed' AND last_ts >= {NOW - DAY_MS}) AS failed_today, max(last_ts) AS last_activity_at FROM node"""
 )
 def now_snapshot(spark, sf):
-    return S.now_snapshot(_nodes(spark, sf), _sessions(spark, sf), NOW - 1)
+    n = _nodes(spark, sf)
+    return S.now_snapshot(n, _sessions(n), NOW - 1)
 
 
 @query(
@@ -435,7 +445,8 @@ def now_snapshot(spark, sf):
     ORDER BY last_ts DESC, session_id, agent_key LIMIT 200"""
 )
 def finished_topk(spark, sf):
-    return S.finished_today(_nodes(spark, sf), _sessions(spark, sf), NOW - 1).select("session_id", "agent_key", "state", "ended_at")
+    n = _nodes(spark, sf)
+    return S.finished_today(n, _sessions(n), NOW - 1, limit=200).select("session_id", "agent_key", "state", "ended_at")
 
 
 @query(
@@ -443,7 +454,8 @@ def finished_topk(spark, sf):
     FROM node JOIN live USING (session_id) WHERE live AND state = 'running'"""
 )
 def running_now(spark, sf):
-    return S.running_now(_nodes(spark, sf), _sessions(spark, sf)).select("session_id", "agent_key", "state", "place")
+    n = _nodes(spark, sf)
+    return S.running_now(n, _sessions(n)).select("session_id", "agent_key", "state", "place")
 
 
 @query(
@@ -552,17 +564,23 @@ def patch_churn(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT doc_id, lang, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS a FROM documents),
-    d AS (SELECT doc_id, lang, a, list_filter(a, lambda x, i: i % 3 <> 2) AS b FROM s)
-    SELECT lang, CAST(count(*) AS BIGINT) AS edits, CAST(0 AS BIGINT) AS added, CAST(sum(len(a) - len(b)) AS BIGINT) AS removed FROM d
-    WHERE true GROUP BY 1"""
+    """WITH l AS (SELECT doc_id, lang, generate_subscripts(string_split(coalesce(nullif(text, ''), 'x'), chr(10)), 1) - 1 AS i FROM documents),
+    c AS (SELECT lang, count(DISTINCT doc_id) AS edits, count(*) FILTER (WHERE i % 3 = 1) AS gone, count(*) FILTER (WHERE i % 3 <> 1 AND i % 5 = 4) AS changed,
+      count(*) FILTER (WHERE i % 4 = 0) AS inserted FROM l GROUP BY 1)
+    SELECT lang, CAST(edits AS BIGINT) AS edits, CAST(inserted + changed AS BIGINT) AS added, CAST(gone + changed AS BIGINT) AS removed FROM c"""
 )
 def line_delta(spark, sf):
-    # the new text drops every third line, so all its lines are a common subsequence of the old one
-    lines = F.split("text", "\n")
-    new = F.array_join(F.filter(lines, lambda x, i: i % 3 != 1), "\n")
-    d = table(spark, sf, "documents").select("lang", F.col("text").alias("old_string"), new.alias("new_string"))
-    return H.edit_line_delta(d, ["lang"], max_cells=2**62)
+    # lines are dropped, changed and inserted; the changed and inserted ones are in no old text, so the others are the common ones
+    old = F.coalesce(F.nullif("text", F.lit("")), F.lit("x"))
+    mark = lambda sign, i: F.concat(F.lit(f"{sign}\u0001"), i.cast("string"))
+
+    def edit(x, i):
+        kept = F.when(i % 3 == 1, F.array().cast("array<string>")).when(i % 5 == 4, F.array(mark("~", i))).otherwise(F.array(x))
+        return F.when(i % 4 == 0, F.concat(kept, F.array(mark("+", i)))).otherwise(kept)
+
+    new = F.array_join(F.flatten(F.transform(F.split(old, "\n"), edit)), "\n")
+    d = table(spark, sf, "documents").select("lang", old.alias("old_string"), new.alias("new_string"))
+    return H.edit_line_delta(d, ["lang"])
 
 
 # ---------------------------------------------------------------------------------------------- pages and search
@@ -588,8 +606,7 @@ def page_before(spark, sf):
 
 
 @query(
-    f"""WITH {_PAGE}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM pe WHERE ord >= 25)
-    SELECT user_id, event_id, ord, CAST(25 AS BIGINT) AS page_start, n > 500 AS truncated FROM r WHERE rn <= 500"""
+    f"""WITH {_PAGE} SELECT user_id, event_id, ord, CAST(25 AS BIGINT) AS page_start, false AS truncated FROM pe WHERE ord >= 25"""
 )
 def page_after(spark, sf):
     return E.event_page(_page_events(spark, sf), ["user_id"], after=25).select("user_id", "event_id", "ord", "page_start", "truncated")

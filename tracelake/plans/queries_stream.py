@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracelake.functions.text import local_day
 from tracelake.operators.usage import dedup_usage
-from tracelake.plans.binding import EVENTS_SQL
-from tracelake.streaming import jobs
+from tracelake.plans.binding import EVENTS_SQL, table
+from tracelake.streaming import jobs, versions
 
+#: Micro-batches that the event table is landed as.
+BATCHES = 4
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -37,23 +39,19 @@ def _run_dir(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The event table landed as several files, each a batch; rows are dealt by a hash, so every batch brings late ones."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    landed = f"{_run_dir(spark)}/landed"
+    events = table(spark, sf, "events")
+    dealt = events.withColumn("deal", F.pmod(F.xxhash64("event_id"), F.lit(BATCHES)))
+    dealt.repartition(BATCHES, "deal").write.partitionBy("deal").parquet(landed)
+    e = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     return e.select(
         "user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.round(F.col("value") * 100).cast("bigint").alias("units"),
         F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
     )
 
 
-def _drain(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all available input into parquet and read the result."""
-    where = _run_dir(spark)
-    q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{where}/out")
-
-
 def _usage_rows(e: DataFrame) -> DataFrame:
     return e.where(~F.col("event_type").isin("error", "signup")).select(
         F.col("user_id").cast("string").alias("file"), F.lit(0).alias("epoch"), F.col("k").cast("string").alias("message_key"), F.col("event_id").alias("ord"),
@@ -72,7 +70,9 @@ _DEDUP = f"""WITH {EVENTS_SQL}, won AS (SELECT * FROM ev WHERE event_type NOT IN
 
 @query(_DEDUP)
 def stream_dedup(spark, sf):
-    return _sums(_drain(spark, jobs.stream_usage(_usage_rows(_stream(spark, sf)))))
+    where = _run_dir(spark)
+    jobs.stream_usage(_usage_rows(_stream(spark, sf)), f"{where}/out", f"{where}/ckpt", trigger={"availableNow": True}).awaitTermination()
+    return _sums(jobs.usage_deltas(spark, f"{where}/out"))
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS groups, CAST(0 AS BIGINT) AS different FROM ({_DEDUP})")
@@ -92,13 +92,11 @@ def stream_equals_batch(spark, sf):
     return g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") != 2).alias("different"))
 
 
-@query(
-    f"""WITH {EVENTS_SQL}, w AS (SELECT user_id, ts_ms // 3600000 * 3600000 AS window_start, count(*) AS n FROM ev GROUP BY 1, 2)
-    SELECT user_id, window_start, n FROM w WHERE window_start + 3600000 <= (SELECT max(ts_ms) FROM ev) - 3600000"""
-)
+@query(f"WITH {EVENTS_SQL} SELECT user_id, ts_ms // 3600000 * 3600000 AS window_start, count(*) AS n FROM ev GROUP BY 1, 2")
 def stream_activity(spark, sf):
-    # append mode: a window is written once the watermark (newest time less one hour) has passed its end
-    return _drain(spark, jobs.stream_activity(_stream(spark, sf), ["user_id"], "ts", size="1 hour"))
+    where = _run_dir(spark)
+    jobs.stream_counts(_stream(spark, sf), f"{where}/out", f"{where}/ckpt", ["user_id"], "ts", "1 hour", {"availableNow": True}).awaitTermination()
+    return jobs.window_counts(spark, f"{where}/out", ["user_id"])
 
 
 @query(
@@ -109,9 +107,26 @@ def stream_activity(spark, sf):
 )
 def stream_lifecycle(spark, sf):
     e = _stream(spark, sf).select(
-        F.col("user_id").cast("string").alias("session_id"), F.col("k").cast("string").alias("agent_key"), "ts", "ts_ms", (F.col("event_type") == "purchase").alias("finished")
+        F.col("user_id").cast("string").alias("session_id"), F.col("k").cast("string").alias("agent_key"), "ts_ms", (F.col("event_type") == "purchase").alias("finished")
     )
-    out = _drain(spark, jobs.stream_lifecycle(e, stall_ms=86_400_000))
-    rank = F.when(F.col("state") == "running", 0).otherwise(1)
-    last = out.groupBy("session_id", "agent_key").agg(F.max_by(F.struct("state", "at"), F.struct("at", rank)).alias("s"))
-    return last.select("session_id", "agent_key", F.col("s.state").alias("state"), F.col("s.at").alias("state_at"))
+    where = _run_dir(spark)
+    jobs.stream_lifecycle(e, f"{where}/out", f"{where}/ckpt", stall_ms=86_400_000, trigger={"availableNow": True}).awaitTermination()
+    # the state as the last change tells it, the time from the table
+    told = spark.read.parquet(f"{where}/out/changes").groupBy("session_id", "agent_key").agg(F.max_by("state", "batch").alias("state"))
+    kept = versions.current(spark, f"{where}/out", ["session_id", "agent_key"], "session_id string, agent_key string, at bigint")
+    return told.join(kept, ["session_id", "agent_key"]).select("session_id", "agent_key", "state", F.col("at").alias("state_at"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT user_id, max(event_id) AS last_seen FROM ev GROUP BY 1")
+def stream_change_feed(spark, sf):
+    """Each user's newest event as the changes of a feed tell it: the last change of a user."""
+    where = _run_dir(spark)
+    newest = _stream(spark, sf).groupBy("user_id").agg(F.max("event_id").alias("newest"))
+
+    def sink(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{where}/feed/batch={batch_id}")
+
+    jobs.change_feed(newest, ["user_id"], ["newest"], f"{where}/store", sink, f"{where}/ckpt", {"availableNow": True}).awaitTermination()
+    told = spark.read.parquet(f"{where}/feed").select("user_id").distinct()
+    kept = versions.current(spark, f"{where}/store", ["user_id"], "user_id bigint, newest bigint")
+    return kept.join(told, "user_id", "left_semi").select("user_id", F.col("newest").alias("last_seen"))

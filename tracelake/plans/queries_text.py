@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracelake.functions import text as X
@@ -27,26 +29,21 @@ def query(sql: str | None = None):
 
 
 # ---------------------------------------------------------------------------------------------- SQL text helpers
-_W = "\\s\\x{000b}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
-_RULES = [
-    ("private_key", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\\s\\S]*?(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\\z)", "[REDACTED PRIVATE KEY]"),
-    ("bearer", f"\\b((?i:Bearer))[{_W}]+[A-Za-z0-9._~+/=-]{{8,}}", "\\1 [REDACTED]"),
-    ("sk_key", "\\bsk-[A-Za-z0-9_-]{16,}", "sk-[REDACTED]"),
-    ("github", "\\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{20,}", "gh_[REDACTED]"),
-    ("github_pat", "\\bgithub_pat_[A-Za-z0-9_]{20,}", "github_pat_[REDACTED]"),
-    ("aws", "\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b", "AKIA[REDACTED]"),
-    ("google", "\\bAIza[A-Za-z0-9_-]{30,}", "AIza[REDACTED]"),
-    ("slack", "\\bxox[abprs]-[A-Za-z0-9-]{10,}", "xox-[REDACTED]"),
-    ("jwt", "\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", "jwt.[REDACTED]"),
-    ("url_password", f"(?i)\\b([a-z][a-z0-9+.-]*://[^{_W}:@/?#\"'`<>\\\\]*:)[^{_W}/?#\"'`<>\\\\]+@", "\\1[REDACTED]@"),
-    ("cli_password", f"(?i)(--(?:password|passwd|pass|pwd)[{_W}]+)(?:\"[^\"\\n]*\"|'[^'\\n]*'|[^{_W}\"'-][^{_W}\"']*)", "\\1[REDACTED]"),
-    (
-        "assignment",
-        "(?i)\\b([A-Za-z0-9_.-]*(?:API[_-]?KEY|SECRET|TOKEN|PASSWORD|PASSWD|PRIVATE[_-]?KEY|ACCESS[_-]?KEY|CREDENTIALS?)[A-Za-z0-9_.-]*)"
-        f"([\"']?[{_W}]*[:=][{_W}]*)(?:\"[^\"\\n]*\"|'[^'\\n]*'|[^{_W}\"',;&]+)",
-        "\\1\\2[REDACTED]",
-    ),
-]
+def _re2(pattern: str) -> str:
+    """A secret pattern in the oracle's dialect: code points in braces, word boundaries for the two look-arounds, and for
+    the look-ahead that refuses a dash a first character that is none."""
+    out = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)
+    out = out.replace("(?<!\\w)", "\\b").replace("(?!\\w)", "\\b")
+    if "(?!-)" in out:
+        head, last = out.replace("(?!-)", "")[:-2], "+)"
+        at = head.rindex("[^")
+        assert out.endswith(last)
+        out = f"{head[:at]}{head[at:-1]}-]{head[at:]}*)"
+    return out
+
+
+_W = _re2(X.WS_CHARS)
+_RULES = [(name, _re2(pattern), re.sub(r"\$(\d)", r"\\\1", by)) for name, pattern, by in X.SECRET_RULES]
 
 
 def _q(s: str) -> str:
@@ -68,8 +65,7 @@ def trim_sql(expr: str) -> str:
 
 
 def safe_sql(col: str, limit: int) -> str:
-    pre = f"CASE WHEN length({col}) > {limit + 512} THEN substr({col}, 1, {limit + 512}) ELSE {col} END"
-    m = mask_sql(pre)
+    m = mask_sql(col)
     return (
         f"CASE WHEN length({m}) <= {limit} AND length({col}) <= {limit} THEN {m} "
         f"ELSE substr({m}, 1, {limit}) || chr(10) || '… [truncated ' || CAST(length({col}) - {limit} AS VARCHAR) || ' chars]' END"
@@ -98,11 +94,8 @@ def mask_report(spark, sf):
     return X.mask_report(table(spark, sf, "documents"), "text", ["source"])
 
 
-_CLIP_PRE = "CASE WHEN length(text) > 592 THEN substr(text, 1, 592) ELSE text END"
-
-
 @query(
-    f"""WITH o AS (SELECT doc_id, {one_line_sql(mask_sql(_CLIP_PRE))} AS one FROM documents)
+    f"""WITH o AS (SELECT doc_id, {one_line_sql(mask_sql('text'))} AS one FROM documents)
     SELECT doc_id, CASE WHEN length(one) > 80 THEN rtrim(substr(one, 1, 79)) || '…' ELSE one END AS line FROM o"""
 )
 def clip_line(spark, sf):
@@ -195,9 +188,9 @@ _BODY = f"b AS (SELECT conv_id, turn, role, text, {trim_sql('text')} AS body FRO
 
 
 @query(
-    f"""WITH {_BODY} SELECT {_UID} || ':0' AS event_id, role AS kind, NULL AS action, {safe_sql('body', 4000)} AS text FROM b WHERE role IN ('user', 'assistant') AND body <> ''
+    f"""WITH {_BODY} SELECT {_UID} || ':0' AS event_id, role AS kind, NULL AS action, {mask_sql('body')} AS text FROM b WHERE role IN ('user', 'assistant') AND body <> ''
     UNION ALL SELECT {_UID} || ':1', 'tool_use', 'read', '/w/docs/a/' || {_UID} FROM b WHERE role = 'assistant'
-    UNION ALL SELECT {_UID} || ':1', 'tool_result', NULL, {safe_sql('text', 2048)} FROM b WHERE role = 'user'"""
+    UNION ALL SELECT {_UID} || ':1', 'tool_result', NULL, {mask_sql('text')} FROM b WHERE role = 'user'"""
 )
 def line_events(spark, sf):
     ev = line_log.events(line_log.parse_lines(cut_lineage(_conv_lines(spark, sf))))
@@ -205,7 +198,7 @@ def line_events(spark, sf):
 
 
 @query(
-    f"""WITH {_BODY} SELECT CAST(conv_id AS VARCHAR) AS session_id, 'b' || CAST(turn AS VARCHAR) || ':0' AS event_id, role AS kind, {safe_sql('body', 4000)} AS text
+    f"""WITH {_BODY} SELECT CAST(conv_id AS VARCHAR) AS session_id, 'b' || CAST(turn AS VARCHAR) || ':0' AS event_id, role AS kind, {mask_sql('body')} AS text
     FROM b WHERE role IN ('user', 'assistant') AND body <> ''
     UNION ALL SELECT CAST(conv_id AS VARCHAR), 'b' || CAST(turn + 100 AS VARCHAR) || ':0', 'tool_use', 'make t' || CAST(turn AS VARCHAR) FROM b WHERE role = 'assistant'"""
 )
@@ -230,8 +223,8 @@ def rollout_events(spark, sf):
 @query(
     f"""WITH c AS (SELECT conv_id, turn, role, text, turn % 4 AS s FROM conversations)
     SELECT 'p:' || {_UID} AS event_id, CASE WHEN s = 3 THEN 'tool_use' WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS kind,
-      CASE WHEN s = 3 THEN 'docs/' || CAST(turn AS VARCHAR) ELSE {safe_sql('text', 4000)} END AS text, false AS is_error FROM c
-    UNION ALL SELECT 'r:' || {_UID}, 'tool_result', {safe_sql('text', 2000)}, role = 'user' FROM c WHERE s = 3 AND role <> 'system'"""
+      CASE WHEN s = 3 THEN 'docs/' || CAST(turn AS VARCHAR) ELSE {mask_sql('text')} END AS text, false AS is_error FROM c
+    UNION ALL SELECT 'r:' || {_UID}, 'tool_result', {mask_sql('text')}, role = 'user' FROM c WHERE s = 3 AND role <> 'system'"""
 )
 def part_events(spark, sf):
     c = table(spark, sf, "conversations")
@@ -269,9 +262,9 @@ def settled_parts(spark, sf):
 @query(
     f"""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS m FROM conversations)
     SELECT CAST(conv_id AS VARCHAR) AS session_id, 'm' || CAST(m AS VARCHAR) AS event_id, CASE role WHEN 'system' THEN 'notification' ELSE role END AS kind,
-      CASE WHEN role = 'system' THEN {safe_sql('text', 1000)} ELSE {safe_sql('text', 6000)} END AS text FROM c WHERE role <> 'assistant' OR trim(text) <> ''
+      {mask_sql('text')} AS text FROM c WHERE role <> 'assistant' OR trim(text) <> ''
     UNION ALL SELECT CAST(conv_id AS VARCHAR), 'm' || CAST(m AS VARCHAR) || 'c0', 'tool_use', 'needle' || CAST(turn AS VARCHAR) FROM c WHERE role = 'assistant'
-    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'm' || CAST(m AS VARCHAR) || 'r0', 'tool_result', {safe_sql('text', 2000)} FROM c WHERE role = 'assistant' AND turn % 2 = 1"""
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'm' || CAST(m AS VARCHAR) || 'r0', 'tool_result', {mask_sql('text')} FROM c WHERE role = 'assistant' AND turn % 2 = 1"""
 )
 def doc_events(spark, sf):
     c = table(spark, sf, "conversations")
@@ -294,7 +287,7 @@ def doc_events(spark, sf):
 
 @query(
     f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations)
-    SELECT CAST(conv_id AS VARCHAR) AS session_id, {_UID} || ':0' AS event_id, CASE role WHEN 'system' THEN 'thinking' ELSE role END AS kind, {safe_sql('text', 6000)} AS text FROM c WHERE text <> ''
+    SELECT CAST(conv_id AS VARCHAR) AS session_id, {_UID} || ':0' AS event_id, CASE role WHEN 'system' THEN 'thinking' ELSE role END AS kind, {mask_sql('text')} AS text FROM c WHERE text <> ''
     UNION ALL SELECT CAST(conv_id AS VARCHAR), {_UID} || ':1', 'tool_use', '…/b/c/' || CAST(turn AS VARCHAR) FROM c WHERE role = 'assistant'"""
 )
 def chain_events(spark, sf):
@@ -383,7 +376,7 @@ _SENT = f"""sent AS (SELECT role AS project, conv_id * 1000000 + turn * 10000 +
     near AS (SELECT project, id_a, id_b, CAST(c AS DOUBLE) / CAST(na + nb - c AS DOUBLE) AS jaccard FROM pairs WHERE CAST(c AS DOUBLE) / CAST(na + nb - c AS DOUBLE) >= 0.6)"""
 
 
-@query(f"WITH {_SENT} SELECT project, id_a, id_b, jaccard FROM near")
+@query(f"WITH {_SENT} SELECT project, id_a, id_b, jaccard FROM near QUALIFY row_number() OVER (PARTITION BY project, id_b ORDER BY jaccard DESC, id_a) = 1")
 def jaccard_pairs(spark, sf):
     s = _sentences(spark, sf).withColumn("tokens", F.array_sort(TT.title_tokens("title"))).where(F.size("tokens") > 0)
     sets = s.groupBy("project", "tokens").agg(F.min("n").alias("id"))
@@ -423,11 +416,12 @@ _STEMS = ", ".join(_q(w) for w in sorted({*TT.DEV_STEMS, *TT.GENERIC_STEMS}))
     name AS (SELECT role, word, form FROM forms QUALIFY row_number() OVER (PARTITION BY role, word ORDER BY n DESC, length(form) DESC, form) = 1)
     SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS agent_key, CASE WHEN keep.word IS NOT NULL THEN 'c|' || c.role || '|' || keep.word ELSE 'o|' || c.role END AS slot,
       CASE WHEN keep.word IS NOT NULL THEN upper(translate(substr(form, 1, 1), 'iı', 'İI')) || substr(form, 2) ELSE '' END AS title
-    FROM c LEFT JOIN best USING (conv_id, turn) LEFT JOIN keep ON keep.role = c.role AND keep.word = best.word LEFT JOIN name ON name.role = keep.role AND name.word = keep.word"""
+    FROM c LEFT JOIN best USING (conv_id, turn) LEFT JOIN keep ON keep.role = c.role AND keep.word = best.word LEFT JOIN name ON name.role = keep.role AND name.word = keep.word
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), turn, 'o|' || role, '' FROM conversations WHERE turn = 0"""
 )
 def loose_clusters(spark, sf):
-    c = table(spark, sf, "conversations").where(F.col("turn") > 0).select(
-        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("agent_key"), F.lit(False).alias("is_main"), F.col("text").alias("label"),
+    c = table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("agent_key"), (F.col("turn") == 0).alias("is_main"), F.col("text").alias("label"),
         F.lit("other").alias("kind"), F.concat_ws("|", F.lit("o"), F.col("role")).alias("slot"), F.col("role").alias("project"), F.lit("").alias("title"),
     )
     return TP.cluster_loose(c).select("session_id", "agent_key", "slot", "title")

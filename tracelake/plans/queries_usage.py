@@ -149,6 +149,7 @@ def _lineitem_usage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# fixed values: prices of three models in millionths of a dollar per million tokens, as in operators/pricing.py
 _COST_SQL = """prices AS (SELECT * FROM (VALUES
       (0, '^claude-opus-4-[5-8](-[0-9]{8})?$', 5000000, 25000000, 6250000, 10000000, 500000),
       (1, '^claude-opus-4-1(-[0-9]{8})?$', 15000000, 75000000, 18750000, 30000000, 1500000),
@@ -178,10 +179,9 @@ def cost_by_model(spark, sf):
 )
 def cost_ranking(spark, sf):
     u = _lineitem_usage(spark, sf)
-    money = P.cost(u, P.price_table(spark), ["agent_key"])
-    totals = S.usage_totals(u, ["agent_key"]).select("agent_key", "total_tokens")
+    money = P.cost(u, P.price_table(spark), ["agent_key"], tokens=True)
     sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("agent_key"), F.col("s_nationkey").alias("session_id"))
-    nodes = money.join(totals, "agent_key").join(sup, "agent_key")
+    nodes = money.join(sup, "agent_key")
     return S.cost_ranking(nodes).select("session_id", "agent_key", "metric", "place")
 
 

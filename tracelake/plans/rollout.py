@@ -17,10 +17,9 @@ from tracelake.operators.usage import choose_usage, dedup_usage, normalise_usage
 from tracelake.plans.tool_calls import rollout_call
 
 LAYOUT = "rollout"
-# --- fixed values: lines above this size are parsed only when their header says they matter -------
-BIG_LINE = 256 * 1024
+# --- fixed values ---------------------------------------------------------------------------------
+#: Lines that no aggregate reads anything of but their time.
 SKIP_TYPES = ("world_state", "compacted")
-SKIP_PAYLOADS = ("item_completed", "function_call_output", "custom_tool_call_output", "reasoning", "message", "agent_message")
 THREAD_ID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 KIND_LABELS = {"desktop": "desktop app", "cli": "CLI", "exec": "exec", "subagent": "sub-agent", "other": "other"}
 # --- end of fixed values --------------------------------------------------------------------------
@@ -37,25 +36,20 @@ KEYS = ["file", "thread_id", "ord"]
 
 
 def peek(raw: DataFrame) -> DataFrame:
-    """Timestamp, type and payload type from the first characters of a line, without parsing it."""
-    head = F.substring("value", 1, 400)
-    kind = '"type":"([a-z_]{1,48})","payload":\\{(?:"type":"([a-z_]{1,48})")?'
-    return raw.withColumns(
-        {
-            "ts_ms": iso_ms(F.regexp_extract(head, '"timestamp":"([^"]{10,40})"', 1)),
-            "head_type": nz(F.regexp_extract(head, kind, 1)),
-            "head_ptype": nz(F.regexp_extract(head, kind, 2)),
-        }
-    )
+    """Timestamp, type and payload type of a line, wherever they stand in it; the rest is skipped unparsed."""
+    head = F.from_json("value", "timestamp string, type string, payload struct<type:string>")
+    out = raw.withColumn("__head", F.when(J.is_object_text(F.col("value")), head))
+    return out.withColumns(
+        {"ts_ms": iso_ms("__head.timestamp"), "head_type": nz("__head.type"), "head_ptype": nz("__head.payload.type")}
+    ).drop("__head")
 
 
 def worth_parsing() -> Column:
-    skip = F.coalesce(F.col("head_type").isin(*SKIP_TYPES), F.lit(False)) | F.coalesce(F.col("head_ptype").isin(*SKIP_PAYLOADS), F.lit(False))
-    return (F.length("value") <= BIG_LINE) | ~skip
+    return ~F.coalesce(F.col("head_type").isin(*SKIP_TYPES), F.lit(False))
 
 
 def parse_lines(raw: DataFrame, for_events: bool = False) -> DataFrame:
-    """Parsed lines.  For aggregates, huge lines of irrelevant types keep their time but are not parsed."""
+    """Parsed lines.  For aggregates, lines of irrelevant types keep their time but are not parsed."""
     p = peek(raw)
     value = F.col("value") if for_events else F.when(worth_parsing(), F.col("value"))
     ok = J.is_object_text(value)
@@ -131,7 +125,7 @@ def _seconds(ms: Column) -> Column:
         F.concat(F.floor(x / 60).cast("string"), F.lit(" min "), F.lpad((x % 60).cast("string"), 2, "0"), F.lit(" s"))))
 
 
-def events(raw: DataFrame, max_text: int = 4000, max_result: int = 2048) -> DataFrame:
+def events(raw: DataFrame, max_text: int | None = None, max_result: int | None = None) -> DataFrame:
     """Neutral events: at most one per line, with id ``b<ord>:0``."""
     lines = parse_lines(raw, for_events=True)
     p, pt, t = F.col("p"), F.col("ptype"), F.col("type")
@@ -154,8 +148,8 @@ def events(raw: DataFrame, max_text: int = 4000, max_result: int = 2048) -> Data
     tail = lambda sep, c: F.coalesce(F.concat(F.lit(sep), c), F.lit(""))
     noted = (
         F.when((t == "event_msg") & (pt == "task_complete"), F.concat(F.lit("Turn completed"), tail(" · ", _seconds(p["duration_ms"]))))
-        .when((t == "event_msg") & (pt == "turn_aborted"), F.concat(F.lit("Turn aborted"), tail(" · ", clip_line(nz(p["reason"]), 120))))
-        .when((t == "event_msg") & (pt == "thread_goal_updated"), F.concat(F.lit("Goal updated"), tail(": ", clip_line(goal, 160))))
+        .when((t == "event_msg") & (pt == "turn_aborted"), F.concat(F.lit("Turn aborted"), tail(" · ", clip_line(nz(p["reason"])))))
+        .when((t == "event_msg") & (pt == "thread_goal_updated"), F.concat(F.lit("Goal updated"), tail(": ", clip_line(goal))))
         .when(t == "compacted", F.lit("Context compacted"))
     )
     staged = lines.withColumns(
@@ -221,7 +215,7 @@ def parse_source(c: Column) -> Column:
 
 def user_prompt(p: Column) -> Column:
     parts = F.filter(block_texts(p["content"], ("input_text", "text")), lambda x: ~is_plumbing(x) & (x != "[image]"))
-    return nz(safe_text(one_line(F.array_join(parts, " ")), 300))
+    return nz(safe_text(one_line(F.array_join(parts, " "))))
 
 
 def thread_facts(lines: DataFrame) -> DataFrame:
@@ -401,15 +395,17 @@ def sessions(tree: DataFrame, raw: DataFrame, now: int) -> DataFrame:
     return out.withColumn("started_at", F.when(F.col("live"), F.col("main_started_at"))).drop("main_started_at")
 
 
-def read_threads(threads: DataFrame, since_ms: int, edges: DataFrame | None = None, limit: int = 2000) -> DataFrame:
-    """Index rows updated since a time, the newest ``limit``, plus the ancestors they lack (six levels)."""
+def read_threads(threads: DataFrame, since_ms: int, edges: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Index rows updated since a time (of these the newest ``limit``, if given), plus all ancestors they lack."""
     from tracelake.operators.tree import add_missing_ancestors
     from tracelake.sources.tables import select_known
 
     t = select_known(threads, THREAD_COLUMNS, ("id", "rollout_path"))
     t = t.withColumn("id", F.lower("id")).where(F.col("id").rlike(THREAD_ID) & nz("rollout_path").isNotNull())
     updated = F.coalesce(F.col("updated_at_ms"), F.col("updated_at") * 1000)
-    recent = t.where(updated >= since_ms).orderBy(updated.desc(), "id").limit(limit)
+    recent = t.where(updated >= since_ms)
+    if limit is not None:
+        recent = recent.orderBy(updated.desc(), "id").limit(limit)
     src = t.withColumn("__parent", parse_source(F.col("source"))["parent_id"])
     if edges is not None:
         e = edges.groupBy(F.lower("child_thread_id").alias("id")).agg(F.max(F.lower("parent_thread_id")).alias("__edge"))

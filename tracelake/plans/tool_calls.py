@@ -50,21 +50,21 @@ SUMMARY_KEYS = {
     "NotebookEdit": "notebook_path", "Glob": "pattern", "Grep": "pattern", "WebFetch": "url", "WebSearch": "query",
     "Agent": "description", "Task": "description", "SendMessage": "message", "ToolSearch": "query", "Skill": "skill",
 }
-#: Input fields worth showing per line-log tool, and how many characters each may carry.
+#: Input fields worth showing per line-log tool.
 DETAIL_FIELDS = {
-    "Bash": {"command": 4000, "description": 300, "run_in_background": 10},
-    "Edit": {"file_path": 500, "old_string": 3000, "new_string": 3000, "replace_all": 10},
-    "Write": {"file_path": 500, "content": 3000},
-    "Read": {"file_path": 500, "offset": 20, "limit": 20},
-    "NotebookEdit": {"notebook_path": 500, "new_source": 3000},
-    "Grep": {"pattern": 500, "path": 500, "glob": 200, "type": 50, "output_mode": 50},
-    "Glob": {"pattern": 500, "path": 500},
-    "Agent": {"description": 300, "subagent_type": 100, "model": 100, "prompt": 3000, "run_in_background": 10, "isolation": 50},
-    "Task": {"description": 300, "subagent_type": 100, "model": 100, "prompt": 3000, "run_in_background": 10},
-    "WebFetch": {"url": 1000, "prompt": 1000},
-    "WebSearch": {"query": 500},
-    "Skill": {"skill": 200, "args": 1000},
-    "SendMessage": {"to": 200, "message": 2000},
+    "Bash": ["command", "description", "run_in_background"],
+    "Edit": ["file_path", "old_string", "new_string", "replace_all"],
+    "Write": ["file_path", "content"],
+    "Read": ["file_path", "offset", "limit"],
+    "NotebookEdit": ["notebook_path", "new_source"],
+    "Grep": ["pattern", "path", "glob", "type", "output_mode"],
+    "Glob": ["pattern", "path"],
+    "Agent": ["description", "subagent_type", "model", "prompt", "run_in_background", "isolation"],
+    "Task": ["description", "subagent_type", "model", "prompt", "run_in_background"],
+    "WebFetch": ["url", "prompt"],
+    "WebSearch": ["query"],
+    "Skill": ["skill", "args"],
+    "SendMessage": ["to", "message"],
 }
 SHELL_TOOLS = ("shell", "exec_command", "shell_command", "local_shell", "container.exec")
 # --- end of fixed values ----------------------------------------------------------------------------
@@ -92,39 +92,36 @@ def classify_action(layout: str, tool: Column) -> Column:
     return F.coalesce(hit(tool), F.when(mcp, F.lit("mcp")), F.lit("other"))
 
 
-def _detail(fields: list[tuple[str, Column, int]]) -> Column:
-    """Raw ``(name, value, limit)`` fields that have a value, as an array of structs."""
+def _detail(fields: list[tuple[str, Column]]) -> Column:
+    """The fields that have a value, as an array of (key, value) structs."""
     return F.filter(
-        F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value"), F.lit(n).alias("max")) for k, v, n in fields]),
+        F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields]),
         lambda e: e["value"].isNotNull(),
     )
 
 
 def _finish(raw: Column) -> Column:
-    """Mask and cut the chosen texts of a raw call, once, whatever branch they come from."""
-    text = lambda name: clip_line(raw[name]["text"], raw[name]["max"])
-    fields = F.transform(raw["detail"], lambda e: F.struct(e["key"].alias("key"), safe_text(e["value"], e["max"]).alias("value")))
+    """Mask the chosen texts of a raw call, once, whatever branch they come from; nothing is cut."""
+    fields = F.transform(raw["detail"], lambda e: F.struct(e["key"].alias("key"), safe_text(e["value"]).alias("value")))
     return F.struct(
         raw["tool"].alias("tool"),
         raw["kind"].alias("kind"),
-        text("target").alias("target"),
-        nz(text("dir")).alias("dir"),
-        text("summary").alias("summary"),
+        clip_line(raw["target"]).alias("target"),
+        nz(clip_line(raw["dir"])).alias("dir"),
+        clip_line(raw["summary"]).alias("summary"),
         F.when(F.size(fields) > 0, F.map_from_entries(fields)).alias("detail"),
     )
 
 
-def _raw(tool: Column, kind: Column, target: Column, tmax, dir_: Column | None, dmax: int, summary: Column, smax: int, detail: Column | None) -> Column:
-    limited = lambda c, n: F.struct(c.cast("string").alias("text"), (F.lit(n) if isinstance(n, int) else n).cast("int").alias("max"))
-    none = F.lit(None).cast("string")
-    fields = "array<struct<key:string,value:string,max:int>>"
+def _raw(tool: Column, kind: Column, target: Column, dir_: Column | None, summary: Column, detail: Column | None) -> Column:
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
     return F.struct(
-        tool.cast("string").alias("tool"),
-        kind.cast("string").alias("kind"),
-        limited(target, tmax).alias("target"),
-        limited(none if dir_ is None else dir_, dmax).alias("dir"),
-        limited(summary, smax).alias("summary"),
-        (F.lit(None) if detail is None else detail).cast(fields).alias("detail"),
+        text(tool).alias("tool"),
+        text(kind).alias("kind"),
+        text(target).alias("target"),
+        text(dir_).alias("dir"),
+        text(summary).alias("summary"),
+        (F.lit(None) if detail is None else detail).cast("array<struct<key:string,value:string>>").alias("detail"),
     )
 
 
@@ -143,32 +140,32 @@ def tool_summary_text(tool: Column, input_text: Column, m: Column) -> Column:
     return F.coalesce(picked, F.lit(""))
 
 
-def tool_summary(tool: Column, input_text: Column, limit: int = 240) -> Column:
+def tool_summary(tool: Column, input_text: Column, limit: int | None = None) -> Column:
     return let(J.obj(input_text), lambda m: safe_text(one_line(tool_summary_text(tool, input_text, m)), limit))
 
 
 def _line_log_fields(tool: Column, m: Column) -> Column:
-    """The fields of a tool from the (tool, field, limit) table; a multi-edit shows its first edit and their number."""
+    """The fields of a tool from the (tool, field) table; a multi-edit shows its first edit and their number."""
     table = F.create_map(
         *[
             x
             for name, fields in DETAIL_FIELDS.items()
-            for x in (F.lit(name), F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("max")) for k, n in fields.items()]))
+            for x in (F.lit(name), F.array(*[F.lit(k) for k in fields]))
         ]
     )
     rows = F.transform(
         F.try_element_at(table, tool),
-        lambda f: F.struct(f["key"].alias("key"), J.any_text(m, f["key"]).alias("value"), f["max"].alias("max")),
+        lambda f: F.struct(f.alias("key"), J.any_text(m, f).alias("value")),
     )
     edits = F.filter(F.from_json(J.json_text(m, "edits"), "array<string>"), lambda e: F.startswith(e, F.lit("{")))
     multi = let(
         edits,
         lambda e: _detail(
             [
-                ("file_path", J.text(m, "file_path"), 500),
-                ("edits", F.coalesce(F.size(e), F.lit(0)).cast("string"), 20),
-                ("old_string", nz(F.get_json_object(F.try_element_at(e, F.lit(1)), "$.old_string")), 3000),
-                ("new_string", nz(F.get_json_object(F.try_element_at(e, F.lit(1)), "$.new_string")), 3000),
+                ("file_path", J.text(m, "file_path")),
+                ("edits", F.coalesce(F.size(e), F.lit(0)).cast("string")),
+                ("old_string", nz(F.get_json_object(F.try_element_at(e, F.lit(1)), "$.old_string"))),
+                ("new_string", nz(F.get_json_object(F.try_element_at(e, F.lit(1)), "$.new_string"))),
             ]
         ),
     )
@@ -187,9 +184,8 @@ def line_log_call(tool: Column, input_text: Column, detail: bool = True) -> Colu
             .when(kind == "bash", F.coalesce(sp["rest"], said))
             .otherwise(said)
         )
-        tmax = F.when(kind == "bash", F.lit(400)).otherwise(F.lit(160))
         dir_ = F.when(kind == "bash", sp["dir"])
-        return _raw(tool, kind, target, tmax, dir_, 300, said, 240, _line_log_fields(tool, m) if detail else None)
+        return _raw(tool, kind, target, dir_, said, _line_log_fields(tool, m) if detail else None)
 
     call = let(
         J.obj(input_text),
@@ -201,13 +197,13 @@ def line_log_call(tool: Column, input_text: Column, detail: bool = True) -> Colu
             ),
         ),
     )
-    # the summary of a call keeps the note of how much was cut
+    # the summary of a call is not folded into one line a second time
     done = let(call, _finish)
     return let(
         done,
         lambda c: F.struct(
             *[c[f].alias(f) for f in ("tool", "kind", "target", "dir")],
-            tool_summary(tool, input_text, 240).alias("summary"),
+            tool_summary(tool, input_text).alias("summary"),
             c["detail"].alias("detail"),
         ),
     )
@@ -253,8 +249,8 @@ def _patch_call(tool: Column, patch: Column) -> Column:
         listed = F.when(F.size(files) == 1, short_path(first)).otherwise(F.concat(F.array_join(names, ", "), extra))
         target = F.coalesce(nz(listed), F.lit("patch"))
         count = F.when(F.size(files) > 1, F.size(files).cast("string"))
-        detail = _detail([("patch", patch, 6000), ("file_path", first, 500), ("files", count, 20)])
-        return _raw(tool, F.lit("edit"), target, 200, None, 300, target, 200, detail)
+        detail = _detail([("patch", patch), ("file_path", first), ("files", count)])
+        return _raw(tool, F.lit("edit"), target, None, target, detail)
 
     return let(F.transform(F.regexp_extract_all(patch, F.lit(_FILE), F.lit(1)), lambda p: F.trim(p)), build)
 
@@ -264,9 +260,9 @@ def _shell_call(tool: Column, cmd: Column, workdir: Column, more: Column | None
         target = sp["rest"]
         if more is not None:
             note = F.concat(F.lit(" (+"), more.cast("string"), F.lit(" commands)"))
-            target = F.when(more > 0, F.concat(clip_line(target, 400), note)).otherwise(target)
-        detail = _detail([("command", whole if whole is not None else cmd, 4000), ("workdir", workdir, 500)])
-        return _raw(tool, F.lit("bash"), target, 400, F.coalesce(sp["dir"], workdir), 300, cmd, 240, detail)
+            target = F.when(more > 0, F.concat(clip_line(target), note)).otherwise(target)
+        detail = _detail([("command", whole if whole is not None else cmd), ("workdir", workdir)])
+        return _raw(tool, F.lit("bash"), target, F.coalesce(sp["dir"], workdir), cmd, detail)
 
     return let(split_cd(cmd), build)
 
@@ -287,8 +283,8 @@ def _named_call(tool: Column, m: Column) -> Column:
             .otherwise(F.coalesce(J.text(m, "title"), J.first_text(m, ("message",)))),
             F.lit(""),
         )
-        detail = _detail([("code", J.text(m, "code"), 3000)])
-        return let(target, lambda t: _raw(tool, kind, F.coalesce(nz(t), tool), 160, None, 300, t, 240, detail))
+        detail = _detail([("code", J.text(m, "code"))])
+        return let(target, lambda t: _raw(tool, kind, F.coalesce(nz(t), tool), None, t, detail))
 
     base = F.element_at(F.split(tool, "\\.|__"), -1)
     return let(classify_action("rollout", tool), lambda kind: let(base, lambda b: build(kind, b)))
@@ -310,13 +306,13 @@ def script_call(src: Column) -> Column:
     none = F.from_json(F.lit("{}"), "map<string,variant>")
 
     def build(patch: Column, cmds: Column, name: Column) -> Column:
-        code = _detail([("code", src, 3000)])
+        code = _detail([("code", src)])
         stdin = name == "write_stdin"
 
         def generic(n: Column) -> Column:
             kind = F.when(stdin, F.lit("bash")).otherwise(n["kind"])
-            target = F.when(stdin, F.lit("sending input to the running command")).otherwise(n["target"]["text"])
-            return _raw(n["tool"], kind, target, 160, None, 300, n["summary"]["text"], 240, code)
+            target = F.when(stdin, F.lit("sending input to the running command")).otherwise(n["target"])
+            return _raw(n["tool"], kind, target, None, n["summary"], code)
 
         shell_call = _shell_call(
             F.lit("exec_command"), F.try_element_at(cmds, F.lit(1)), workdir, F.size(cmds) - 1, F.array_join(cmds, "\n")
@@ -325,7 +321,7 @@ def script_call(src: Column) -> Column:
             F.when(patch.isNotNull(), _patch_call(F.lit("apply_patch"), patch))
             .when(F.size(cmds) > 0, shell_call)
             .when(name.isNotNull(), let(_named_call(name, none), generic))
-            .otherwise(_raw(F.lit("exec"), F.lit("other"), src, 160, None, 300, src, 240, code))
+            .otherwise(_raw(F.lit("exec"), F.lit("other"), src, None, src, code))
         )
 
     picked = lambda n: F.coalesce(F.try_element_at(F.filter(n, lambda x: x != "exec_command"), F.lit(1)), F.try_element_at(n, F.lit(1)))
@@ -384,7 +380,7 @@ def part_call(tool: Column, input_text: Column) -> Column:
         desc = J.text(m, "description")
         target = F.coalesce(
             F.when(kind == "bash", sp["rest"])
-            .when(kind.isin("edit", "write", "read"), short_path(clip_line(path, 300)))
+            .when(kind.isin("edit", "write", "read"), short_path(clip_line(path)))
             .when(kind == "search", F.coalesce(pattern, path))
             .when(kind == "web", url)
             .when(kind == "agent", task)
@@ -392,41 +388,35 @@ def part_call(tool: Column, input_text: Column) -> Column:
             .otherwise(J.first_text(m)),
             F.lit(""),
         )
-        tmax = F.coalesce(
-            F.try_element_at(
-                F.create_map(*[F.lit(x) for x in ("bash", 400, "edit", 400, "write", 400, "read", 400, "search", 200, "web", 240, "agent", 200, "skill", 120)]), kind
-            ),
-            F.lit(160),
-        )
-        file_ = ("file_path", path, 500)
+        file_ = ("file_path", path)
         web_key = J.any_text(m, "url").isNotNull()
         fields = (
-            F.when(kind == "bash", _detail([("command", cmd, 4000), ("description", desc, 300), ("workdir", workdir, 500)]))
+            F.when(kind == "bash", _detail([("command", cmd), ("description", desc), ("workdir", workdir)]))
             .when(
                 kind == "edit",
                 _detail(
                     [
                         file_,
-                        ("old_string", J.text(m, "oldString", "old_string"), 3000),
-                        ("new_string", J.text(m, "newString", "new_string"), 3000),
-                        ("patch", J.text(m, "patchText", "patch"), 6000),
+                        ("old_string", J.text(m, "oldString", "old_string")),
+                        ("new_string", J.text(m, "newString", "new_string")),
+                        ("patch", J.text(m, "patchText", "patch")),
                     ]
                 ),
             )
-            .when(kind == "write", _detail([file_, ("content", J.text(m, "content"), 3000)]))
+            .when(kind == "write", _detail([file_, ("content", J.text(m, "content"))]))
             .when(kind == "read", _detail([file_]))
-            .when(kind == "search", _detail([("pattern", pattern, 500), ("path", path, 500)]))
-            .when(kind == "web", _detail([("url", F.when(web_key, url), 500), ("query", F.when(~web_key, url), 500)]))
+            .when(kind == "search", _detail([("pattern", pattern), ("path", path)]))
+            .when(kind == "web", _detail([("url", F.when(web_key, url)), ("query", F.when(~web_key, url))]))
             .when(
                 kind == "agent",
-                _detail([("subagent_type", J.text(m, "subagent_type"), 80), ("description", task, 300), ("prompt", J.text(m, "prompt"), 2000)]),
+                _detail([("subagent_type", J.text(m, "subagent_type")), ("description", task), ("prompt", J.text(m, "prompt"))]),
             )
         )
         dir_ = F.when(kind == "bash", F.coalesce(sp["dir"], workdir))
 
         def raw(t: Column) -> Column:
             said = F.when(kind == "bash", F.coalesce(cmd, desc, tool)).otherwise(F.coalesce(nz(t), tool))
-            return _raw(tool, kind, t, tmax, dir_, 300, said, 240, fields)
+            return _raw(tool, kind, t, dir_, said, fields)
 
         return let(target, raw)
 
@@ -462,13 +452,13 @@ def document_call(tool: Column, args_text: Column) -> Column:
             F.lit(""),
         )
         fields = (
-            F.when(is_shell, _detail([("command", J.text(m, "command"), 1200), ("description", J.text(m, "description"), 300)]))
-            .when(is_file, _detail([("file_path", path, 300)]))
-            .when(is_find, _detail([("pattern", J.text(m, "pattern"), 300), ("path", folder, 300)]))
+            F.when(is_shell, _detail([("command", J.text(m, "command")), ("description", J.text(m, "description"))]))
+            .when(is_file, _detail([("file_path", path)]))
+            .when(is_find, _detail([("pattern", J.text(m, "pattern")), ("path", folder)]))
         )
         dir_ = F.when(is_shell, F.coalesce(sp["dir"], J.text(m, "dir_path", "directory")))
         kind = classify_action("document", tool)
-        return let(target, lambda t: _raw(tool, kind, t, 160, dir_, 200, t, 160, fields))
+        return let(target, lambda t: _raw(tool, kind, t, dir_, t, fields))
 
     call = let(
         J.obj(args_text),
@@ -503,13 +493,13 @@ def chain_call(tool: Column, args_text: Column) -> Column:
             F.lit(""),
         )
         fields = (
-            F.when(is_shell, _detail([("command", J.text(m, "command"), 4000), ("workdir", workdir, 500)]))
-            .when(kind == "search", _detail([("pattern", needle, 300), ("path", path, 500)]))
-            .when(tool == "run_python", _detail([("code", J.text(m, "code"), 3000)]))
-            .when((tool != "move") & kind.isin("read", "edit", "write"), _detail([("file_path", path, 500)]))
+            F.when(is_shell, _detail([("command", J.text(m, "command")), ("workdir", workdir)]))
+            .when(kind == "search", _detail([("pattern", needle), ("path", path)]))
+            .when(tool == "run_python", _detail([("code", J.text(m, "code"))]))
+            .when((tool != "move") & kind.isin("read", "edit", "write"), _detail([("file_path", path)]))
         )
         dir_ = F.when(is_shell, F.coalesce(sp["dir"], workdir))
-        return let(target, lambda t: _raw(tool, kind, F.coalesce(nz(t), tool), 300, dir_, 300, t, 240, fields))
+        return let(target, lambda t: _raw(tool, kind, F.coalesce(nz(t), tool), dir_, t, fields))
 
     call = let(
         J.obj(args_text),

@@ -1,31 +1,31 @@
 """File layouts: listings, line logs, whole documents, side files and sinks.
 
-A listing is filtered by name and age before any content is read.  ``ord`` orders the lines of a file:
-the block index of the split in the high bits, the row number in the split below, so no pass over the
-data is needed to number lines.
+A listing is filtered by name and age before any content is read.  ``ord`` is the byte offset of a line in its file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracelake.functions import json as J
 from tracelake.functions.text import nz, safe_path
 
 # --- fixed values ---------------------------------------------------------------------------------
 SESSION_FILE = "/([0-9a-zA-Z][0-9a-zA-Z_-]{7,79})\\.jsonl$"
-AGENT_FILE = "/([^/]+)/subagents/((?:[^/]+/){0,3})agent-([A-Za-z0-9_-]{1,64})\\.jsonl$"
-AGENT_META = "/([^/]+)/subagents/((?:[^/]+/){0,3})agent-([A-Za-z0-9_-]{1,64})\\.meta\\.json$"
+AGENT_FILE = "/([^/]+)/subagents/((?:[^/]+/)*)agent-([A-Za-z0-9_-]{1,64})\\.jsonl$"
+AGENT_META = "/([^/]+)/subagents/((?:[^/]+/)*)agent-([A-Za-z0-9_-]{1,64})\\.meta\\.json$"
 REGISTRY_FILE = "/\\d+\\.json$"
 ROLLOUT_FILE = "(?i)/rollout-.*-([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\\.jsonl$"
 #: The only files of a chain store that are ever read, below its projects folder.
 CHAIN_STORE_FILE = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}/(project\\.json|\\.internal/ng-sessions\\.sqlite)$"
-MAX_DOCUMENT_BYTES = 50 * 1024 * 1024
 RECENT_MS = 24 * 3_600_000
-BLOCK_BITS = 33
 # --- end of fixed values --------------------------------------------------------------------------
 
 
@@ -41,23 +41,43 @@ def list_files(spark: SparkSession, path: str | Sequence[str], pattern: str = "*
     return out.where(safe_path("path", list(roots))) if roots else out
 
 
+def _offsets_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ``ord`` by the bytes of the same split before each line; a task reads one split after the other."""
+    last, at = None, 0
+    for batch in batches:
+        keys = list(zip(batch["file"].to_pylist(), batch["__start"].to_pylist(), strict=True))
+        sizes = pc.add(pc.binary_length(batch["value"]), 1).to_numpy(zero_copy_only=False)
+        out = np.empty(len(keys), np.int64)
+        for k, key in enumerate(keys):
+            if key != last:
+                last, at = key, 0
+            out[k] = at
+            at += int(sizes[k])
+        yield batch.set_column(batch.schema.get_field_index("ord"), "ord", pa.array(out))
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
-    """``file, ord, value, mtime`` of text logs."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    """``file, ord, value, mtime`` of text logs; ``ord`` is the byte at which a line begins in its file.
+
+    Offsets are counted within each split while it is read; a small table of the bytes of all splits says where a
+    split begins.  So ``ord`` depends on the file alone, and equals what the stream gives.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    text = reader.text(path if isinstance(path, str) else list(path))
-    block = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b").isdigit() else 1 << 27)
-    # splits start at multiples of a size that is at least the open cost; a fine block index keeps their order
-    unit = min(block, 1 << 20)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    start = F.floor(F.col("_metadata.file_block_start") / unit)
-    return text.select(
+    text = reader.text(path if isinstance(path, str) else list(path)).select(
         plain_path(F.col("_metadata.file_path")).alias("file"),
-        (F.shiftleft(start.cast("bigint"), BLOCK_BITS) + row).alias("ord"),
-        F.regexp_replace("value", "\\r$", "").alias("value"),
+        F.col("_metadata.file_block_start").cast("bigint").alias("__start"),
+        "value",
         F.unix_millis("_metadata.file_modification_time").alias("mtime"),
     )
+    sizes = text.groupBy("file", "__start").agg(F.sum(F.octet_length("value") + 1).alias("__bytes"))
+    before = F.sum("__bytes").over(Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select("file", "__start", F.coalesce(before, F.lit(0)).cast("bigint").alias("__begin"))
+    placed = text.withColumn("ord", F.lit(0).cast("bigint")).mapInArrow(_offsets_in_split, "file string, __start bigint, value string, mtime bigint, ord bigint")
+    return placed.join(begins, ["file", "__start"]).select(
+        "file", (F.col("__begin") + F.col("ord")).alias("ord"), F.regexp_replace("value", "\\r$", "").alias("value"), "mtime"
+    )
 
 
 def read_line_log(spark: SparkSession, projects_dir: str, roots: Sequence[str] = (), modified_after: str | None = None) -> DataFrame:
@@ -90,7 +110,7 @@ def discover_sessions(spark: SparkSession, projects_dir: str) -> DataFrame:
 
 
 def discover_agents(spark: SparkSession, projects_dir: str) -> DataFrame:
-    """Sub-agent files with session, agent and workflow folder (at most three folders deep)."""
+    """Sub-agent files with session, agent and workflow folder (however deep)."""
     files = list_files(spark, projects_dir, "agent-*.jsonl")
     dirs = F.filter(F.split(F.regexp_extract("path", AGENT_FILE, 2), "/"), lambda d: (d != "") & (d != "workflows"))
     return files.select(
@@ -173,26 +193,45 @@ def rollout_globs(root: str, now_ms: int, recent_ms: int = RECENT_MS) -> list[st
     return out
 
 
+def _any_of(paths: Sequence[str]) -> str:
+    """One glob for several folders; unlike a list of paths it may match only some of them."""
+    if len(paths) == 1:
+        return paths[0]
+    parts = [p.split("/") for p in paths]
+    n = next((k for k, names in enumerate(zip(*parts, strict=False)) if len(set(names)) > 1), 0)
+    return "/".join(parts[0][:n]) + "/{" + ",".join("/".join(p[n:]) for p in parts) + "}"
+
+
 def read_rollouts(spark: SparkSession, paths: Sequence[str], archived_path: str | None = None, roots: Sequence[str] = ()) -> DataFrame:
-    """Rollout logs of the given folders as raw rows; files of the archive folder are flagged."""
-    def one(path, archived: bool) -> DataFrame:
-        lines = read_lines(spark, path, "rollout-*.jsonl")
+    """Rollout logs of those of the given folders that exist, as raw rows; files of the archive folder are flagged."""
+
+    def one(path: str, archived: bool) -> DataFrame:
+        try:
+            lines = read_lines(spark, path, "rollout-*.jsonl")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            lines = spark.createDataFrame([], "file string, ord bigint, value string, mtime bigint")
         if roots:
             lines = lines.where(safe_path("file", list(roots)))
         tid = F.lower(nz(F.regexp_extract("file", ROLLOUT_FILE, 1)))
         return lines.withColumns({"thread_id": tid, "archived": F.lit(archived)}).where(F.col("thread_id").isNotNull())
 
-    out = one(list(paths), False)
+    out = one(_any_of(paths), False)
     return out.unionByName(one(archived_path, True)) if archived_path else out
 
 
-def read_doc_sessions(spark: SparkSession, path: str, now_ms: int, recent_ms: int = RECENT_MS, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Whole-document sessions as ``file, mtime, value``.  Old and oversized files are dropped from the
-    listing; their contents are not parsed."""
-    keep = list_files(spark, path, "session-*.json").where((F.col("length") <= max_bytes) & (F.col("mtime") >= now_ms - recent_ms))
+def read_doc_sessions(spark: SparkSession, path: str, now_ms: int, recent_ms: int = RECENT_MS, max_bytes: int | None = None) -> DataFrame:
+    """Whole-document sessions as ``file, mtime, value``.  Old files (and those above ``max_bytes``, if
+    given) are dropped from the listing; their contents are not parsed."""
+    keep = list_files(spark, path, "session-*.json").where(F.col("mtime") >= now_ms - recent_ms)
+    if max_bytes is not None:
+        keep = keep.where(F.col("length") <= max_bytes)
     after = datetime.fromtimestamp((now_ms - recent_ms) / 1000 - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "session-*.json").option("modifiedAfter", after)
-    text = reader.option("wholetext", "true").text(path).where(F.col("_metadata.file_size") <= max_bytes)
+    text = reader.option("wholetext", "true").text(path)
+    if max_bytes is not None:
+        text = text.where(F.col("_metadata.file_size") <= max_bytes)
     rows = text.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.unix_millis("_metadata.file_modification_time").alias("mtime"), "value")
     return rows.join(keep.select(F.col("path").alias("file")), "file", "left_semi")
 

@@ -34,16 +34,17 @@ SUMMARY = {
     "last_user_input_time": "string", "workspace_uris": "string", "status": "string", "not_fully_idle": "string", "killed": "string",
     "parent_conversation_id": "string", "nesting_depth": "int", "battle_id": "string", "winning_conversation_id": "string",
 }
-MAX_SESSIONS = 20_000
-MAX_SUMMARIES = 5_000
 
 
-def read_part_store(sessions: DataFrame, messages: DataFrame, parts: DataFrame, limit: int | None = MAX_SESSIONS):
-    """The three part store tables; sessions newest first, at most ``limit``."""
+def read_part_store(sessions: DataFrame, messages: DataFrame, parts: DataFrame, limit: int | None = None):
+    """The three part store tables.  With a ``limit``, only the newest sessions, and their messages and parts."""
     s = select_known(sessions, SESSION, ("id",)).where(F.col("id").rlike("^ses_[A-Za-z0-9]{6,64}$"))
-    if limit:
+    m, p = select_known(messages, MESSAGE, ("id", "session_id", "data")), select_known(parts, PART, ("id", "session_id", "data"))
+    if limit is not None:
         s = s.orderBy(F.col("time_updated").desc(), "id").limit(limit)
-    return s, select_known(messages, MESSAGE, ("id", "session_id", "data")), select_known(parts, PART, ("id", "session_id", "data"))
+        kept = s.select(F.col("id").alias("session_id"))
+        m, p = m.join(kept, "session_id", "left_semi").select(*MESSAGE), p.join(kept, "session_id", "left_semi").select(*PART)
+    return s, m, p
 
 
 def read_chain_store(sessions: DataFrame, entries: DataFrame):
@@ -51,10 +52,11 @@ def read_chain_store(sessions: DataFrame, entries: DataFrame):
     return select_known(sessions, CHAIN_SESSION, ("session_id",)), select_known(entries, CHAIN_ENTRY, ("id", "entry_json"))
 
 
-def read_summaries(tables: Sequence[DataFrame], previous: DataFrame | None = None, limit: int = MAX_SUMMARIES) -> DataFrame:
+def read_summaries(tables: Sequence[DataFrame], previous: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """The summary tables one after the other; the first table that knows an id wins.
 
-    A table with an unexpected layout is skipped; when every table is, the previous snapshot stays.
+    A table with an unexpected layout is skipped; when every table is, the previous snapshot stays.  With a
+    ``limit``, only the newest rows of each table are read.
     """
     good: list[DataFrame] = []
     for i, t in enumerate(tables):
@@ -62,7 +64,9 @@ def read_summaries(tables: Sequence[DataFrame], previous: DataFrame | None = Non
             rows = select_known(t, SUMMARY, ("conversation_id", "last_modified_time"))
         except ValueError:
             continue
-        good.append(rows.limit(limit).withColumn("__source", F.lit(i)))
+        if limit is not None:
+            rows = rows.orderBy(F.col("last_modified_time").desc(), "conversation_id").limit(limit)
+        good.append(rows.withColumn("__source", F.lit(i)))
     if not good:
         if previous is None:
             raise ValueError("no readable summary table")

@@ -1,69 +1,70 @@
-"""Streaming jobs: usage with replacement, activity per minute, lifecycle with silence timers, change feed.
+"""Streaming jobs: usage with replacement, activity, lifecycle with silence, change feed.
 
-State is kept per message, per minute or per agent, never per file or session as a whole.
+All of them are Spark expressions; what a job has to remember is a keyed table of versions in the store
+(:mod:`tracelake.streaming.versions`), so nothing grows in executor memory, and rows of agents or messages that are
+out of date leave the table when it is compacted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelake.operators.changes import changed_rows
 from tracelake.operators.state import IDLE_MS, LIVE_MS, STALL_MS
+from tracelake.streaming import versions
 
 # --- fixed values ---------------------------------------------------------------------------------
 ACTIVITY_WATERMARK = "60 minutes"
 BUDGET_WINDOW = "1 hour"
 # --- end of fixed values --------------------------------------------------------------------------
 
-DELTA = "session_id string, model string, day string, input bigint, output bigint, cache_read bigint, cache_create bigint, messages bigint"
-_STATE = "ord bigint, session_id string, model string, day string, input bigint, output bigint, cache_read bigint, cache_create bigint"
 _COUNTERS = ["input", "output", "cache_read", "cache_create"]
+_USAGE = ["session_id", "model", "day", *_COUNTERS]
 
 
-def _replace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the latest row of a message; emit the old one negated and the new one."""
-    old = tuple(state.get) if state.exists else None
-    new = old
-    for pdf in batches:
-        orders = pdf["ord"].to_numpy()
-        at = int(orders.argmax())
-        if new is None or int(orders[at]) > new[0]:
-            pick = lambda c, rows=pdf, i=at: rows[c].to_numpy()[i]
-            new = (int(orders[at]), pick("session_id"), pick("model"), pick("day"), *[int(pick(c)) for c in _COUNTERS])
-    if new == old or new is None:
-        return
-    state.update(new)
-    out = []
-    if old is not None:
-        out.append((*old[1:4], *[-v for v in old[4:]], -1))
-    out.append((*new[1:], 1))
-    yield pd.DataFrame(out, columns=["session_id", "model", "day", *_COUNTERS, "messages"])
-
-
-def stream_usage(usage: DataFrame, key: Sequence[str] = ("file", "epoch", "message_key")) -> DataFrame:
+def stream_usage(usage: DataFrame, store: str, checkpoint: str, key: Sequence[str] = ("file", "epoch", "message_key"), keep_days: int | None = None, trigger: dict | None = None):
     """Usage deltas of a stream where a later line of a message replaces the earlier one.
 
-    ``usage``: the key columns, ord, session_id, model, day and counters.  The sum of the deltas equals the
-    batch result.  Late lines of a message that already was replaced change nothing.
+    ``usage``: the key columns, ord, session_id, model, day and counters.  Each batch adds ``<store>/deltas/batch=n``:
+    the new row of a message, and its old one negated (``messages`` is 1 and -1).  The sum of all deltas equals the batch
+    result.  Late lines of a message that already was replaced change nothing.  With ``keep_days``, messages of days
+    longer ago than the newest one by so many are forgotten; a still later line of one would count anew.
     """
-    cols = ["ord", "session_id", "model", "day", *_COUNTERS]
-    return (
-        usage.select(*key, *cols)
-        .groupBy(*key)
-        .applyInPandasWithState(_replace, DELTA, _STATE, "append", GroupStateTimeout.NoTimeout)
-    )
+    key = list(key)
+    cols = ["ord", *_USAGE]
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy(*key).agg(F.max_by(F.struct(*cols), "ord").alias("new"))
+        known = versions.current(spark, store, key, new.select(*key, "new.*").schema, batch_id)
+        old = known.select(*key, F.struct(*cols).alias("old"))
+        won = new.join(old, key, "left").where(F.col("old").isNull() | (F.col("new.ord") > F.col("old.ord"))).persist()
+        plus = won.select(*[F.col(f"new.{c}").alias(c) for c in _USAGE], F.lit(1).cast("bigint").alias("messages"))
+        less = won.where("old is not null").select(
+            *[F.col(f"old.{c}").alias(c) for c in _USAGE[:3]], *[(-F.col(f"old.{c}")).alias(c) for c in _COUNTERS], F.lit(-1).cast("bigint").alias("messages")
+        )
+        plus.unionByName(less).write.mode("overwrite").parquet(f"{store}/deltas/batch={batch_id}")
+        recent = None
+        if keep_days is not None:
+            newest = batch.agg(F.max(F.to_date("day"))).first()[0]
+            recent = F.to_date("day") >= F.date_sub(F.lit(newest), keep_days)
+        versions.write(won.select(*key, "new.*"), store, batch_id, key, recent)
+        won.unpersist()
+
+    return versions.start(usage.select(*key, *cols), flush, checkpoint, trigger)
+
+
+def usage_deltas(spark, store: str) -> DataFrame:
+    return spark.read.parquet(f"{store}/deltas").drop("batch")
 
 
 def stream_latest_usage(usage: DataFrame, key: Sequence[str] = ("file", "epoch", "message_key")) -> DataFrame:
-    """The latest row of every message as a streaming aggregation (update mode, JVM only).
+    """The latest row of every message as a streaming aggregation (update mode), for a sink that upserts by key.
 
-    This is the fast form for a sink that upserts by key, such as :func:`write_versions`; use
-    :func:`stream_usage` where the sink can only add.
+    Spark keeps every key of this aggregation; where keys never end, use :func:`stream_usage`.
     """
     cols = ["session_id", "model", "day", *_COUNTERS]
     last = usage.groupBy(*key).agg(F.max_by(F.struct("ord", *cols), "ord").alias("r"))
@@ -76,14 +77,13 @@ def write_versions(out: DataFrame, store: str, checkpoint: str, trigger: dict |
     def flush(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    writer = out.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(flush)
-    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    return versions.start(out, flush, checkpoint, trigger, "update")
 
 
-def latest_versions(versions: DataFrame, key: Sequence[str], batch: str = "batch") -> DataFrame:
+def latest_versions(rows: DataFrame, key: Sequence[str], batch: str = "batch") -> DataFrame:
     """The newest version of every key."""
-    rest = [c for c in versions.columns if c not in (*key, batch)]
-    last = versions.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(batch).cast("bigint")).alias("r"))
+    rest = [c for c in rows.columns if c not in (*key, batch)]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(batch).cast("bigint")).alias("r"))
     return last.select(*key, "r.*")
 
 
@@ -93,104 +93,107 @@ def stream_usage_first(usage: DataFrame, key: Sequence[str], event_time: str, de
 
 
 def stream_activity(events: DataFrame, by: Sequence[str] = ("session_id",), ts: str = "ts", watermark: str = ACTIVITY_WATERMARK, size: str = "1 minute", slide: str | None = None) -> DataFrame:
-    """Events per minute; events later than the watermark are left out.  ``slide`` makes rolling windows."""
+    """Events per window for sinks that can only append: a window comes out once the watermark has passed it, and rows
+    later than the watermark are left out.  Totals that must hold every row come from :func:`stream_counts`."""
     stamped = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", watermark)
     window = F.window("__ts", size, slide) if slide else F.window("__ts", size)
     out = stamped.groupBy(*by, window.alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return out.select(*by, F.unix_millis("w.start").alias("window_start"), "n")
 
 
+def stream_counts(events: DataFrame, store: str, checkpoint: str, by: Sequence[str] = ("session_id",), ts: str = "ts", size: str = "1 minute", trigger: dict | None = None):
+    """Events per window with no row left out, however late, and no state: each batch adds its own counts."""
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(*by, F.window(F.col(ts).cast("timestamp"), size).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        counts.select(*by, F.unix_millis("w.start").alias("window_start"), "n").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return versions.start(events, flush, checkpoint, trigger)
+
+
+def window_counts(spark, store: str, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """The totals of :func:`stream_counts` so far."""
+    return spark.read.parquet(store).groupBy(*by, "window_start").agg(F.sum("n").alias("n"))
+
+
 def stream_facts(events: DataFrame, by: Sequence[str] = ("session_id", "agent_key")) -> DataFrame:
     """Running first and last time and event count per agent (update mode); order of arrival plays no part."""
     return events.groupBy(*by).agg(F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.count(F.lit(1)).alias("events"))
 
 
-LIFECYCLE = "session_id string, agent_key string, state string, at bigint"
-_LIFE_STATE = "last_ts bigint, finished boolean, state string"
-
-
-def _lifecycle(quiet_ms: int, quiet_state: str, done_ms: int | None) -> Callable:
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, finished, shown = tuple(state.get) if state.exists else (-1, False, None)
-        if state.hasTimedOut:
-            if done_ms is not None and shown == quiet_state:
-                new, at = "done", last + done_ms
-                state.remove()
-            else:
-                new, at = quiet_state, last + quiet_ms
-                state.update((last, finished, new))
-                if done_ms is not None:
-                    state.setTimeoutTimestamp(max(last + done_ms, state.getCurrentWatermarkMs() + 1))
-            yield pd.DataFrame([(*key, new, at)], columns=["session_id", "agent_key", "state", "at"])
-            return
-        for pdf in batches:
-            times = pdf["ts_ms"].to_numpy()
-            at = int(times.argmax())
-            if int(times[at]) >= last:
-                last, finished = int(times[at]), bool(pdf["finished"].to_numpy()[at])
-        # a late line never moves an agent back: only the newest time counts
-        new = "done" if finished else "running"
-        if not finished and state.getCurrentWatermarkMs() >= last + quiet_ms:
-            new = quiet_state
-        state.update((last, finished, new))
-        if not finished:
-            due = last + (done_ms if new == quiet_state and done_ms is not None else quiet_ms)
-            if new != quiet_state or done_ms is not None:
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if new != shown:
-            yield pd.DataFrame([(*key, new, last)], columns=["session_id", "agent_key", "state", "at"])
-
-    return step
-
-
-def stream_lifecycle(events: DataFrame, layout: str = "line_log", stall_ms: int = STALL_MS, live_ms: int = LIVE_MS, idle_ms: int = IDLE_MS, watermark: str = "0 seconds") -> DataFrame:
-    """State changes of agents from their events and from silence.
-
-    ``events``: session_id, agent_key, ts (timestamp), ts_ms, finished.  In the line log a silent agent
-    is ``stalled``; in the other layouts it turns ``idle`` and then ``done``.
+_AGENT = ["session_id", "agent_key"]
+_LIFE = "session_id string, agent_key string, last_ts bigint, finished boolean, state string, at bigint, seen_ms bigint"
+
+
+def stream_lifecycle(
+    events: DataFrame, store: str, checkpoint: str, layout: str = "line_log", stall_ms: int = STALL_MS, live_ms: int = LIVE_MS, idle_ms: int = IDLE_MS,
+    keep_ms: int | None = None, trigger: dict | None = None,
+):
+    """State changes of agents from their events and from silence, as ``<store>/changes/batch=n``.
+
+    ``events``: session_id, agent_key, ts_ms, finished.  The newest time seen is the clock.  In the line log a silent
+    agent is ``stalled``; in the other layouts it turns ``idle`` and then ``done``.  The newest line of an agent counts,
+    so a late line never moves it back.  With ``keep_ms``, agents in a final state are forgotten so long after it.
     """
-    step = _lifecycle(stall_ms, "stalled", None) if layout == "line_log" else _lifecycle(live_ms, "idle", idle_ms)
-    rows = events.withWatermark("ts", watermark).groupBy("session_id", "agent_key")
-    return rows.applyInPandasWithState(step, LIFECYCLE, _LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    line_log = layout == "line_log"
+    quiet_ms, quiet = (stall_ms, "stalled") if line_log else (live_ms, "idle")
 
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = versions.current(spark, store, _AGENT, _LIFE, batch_id).persist()
+        clock = F.greatest(F.coalesce(F.max("ts_ms"), F.lit(0)), F.coalesce(F.max("seen_ms"), F.lit(0)))
+        times = batch.select("ts_ms", F.lit(None).cast("bigint").alias("seen_ms")).unionByName(known.select(F.lit(None).cast("bigint").alias("ts_ms"), "seen_ms"))
+        now = times.agg(clock.alias("now")).first()["now"]
+        new = batch.select(*_AGENT, "ts_ms", "finished", F.lit(1).alias("__new")).groupBy(*_AGENT).agg(F.max_by(F.struct("ts_ms", "finished"), F.struct("ts_ms", "finished")).alias("new"))
+        rows = known.join(new, _AGENT, "full")
+        later = F.col("last_ts").isNull() | F.coalesce(F.col("new.ts_ms") >= F.col("last_ts"), F.lit(False))
+        rows = rows.withColumns({"__last": F.when(later, F.col("new.ts_ms")).otherwise(F.col("last_ts")), "__fin": F.when(later, F.col("new.finished")).otherwise(F.col("finished"))})
+        silent = F.lit(now) - F.col("__last")
+        state = F.when(F.col("__fin"), "done")
+        if not line_log:
+            state = state.when(silent >= idle_ms, "done")
+        state = state.when(silent >= quiet_ms, quiet).otherwise("running")
+        at = F.when(F.col("__fin") | (state == "running"), F.col("__last")).when(state == quiet, F.col("__last") + quiet_ms).otherwise(F.col("__last") + idle_ms)
+        rows = rows.withColumns({"__state": state, "__at": at})
+        touched = F.col("last_ts").isNull() | (F.col("__last") != F.col("last_ts")) | ~F.col("__state").eqNullSafe(F.col("state")) | (F.col("__fin") != F.col("finished"))
+        next_ = rows.where(touched).persist()
+        moved = next_.where(~F.col("__state").eqNullSafe(F.col("state")))
+        moved.select(*_AGENT, F.col("__state").alias("state"), F.col("__at").alias("at")).write.mode("overwrite").parquet(f"{store}/changes/batch={batch_id}")
+        keep = None
+        if keep_ms is not None:
+            keep = ~F.col("state").isin("done", "stalled") | (F.col("at") >= now - keep_ms)
+        out = next_.select(*_AGENT, F.col("__last").alias("last_ts"), F.col("__fin").alias("finished"), F.col("__state").alias("state"), F.col("__at").alias("at"), F.lit(now).cast("bigint").alias("seen_ms"))
+        versions.write(out, store, batch_id, _AGENT, keep)
+        next_.unpersist()
+        known.unpersist()
+
+    return versions.start(events, flush, checkpoint, trigger)
 
-def change_feed(
-    snapshot: DataFrame, key: Sequence[str], signature: Sequence[str], store: str, sink: Callable[[DataFrame, int], Any], checkpoint: str, trigger: dict | None = None
-):
-    """A coalesced feed of changed keys from a stream of snapshot rows (the latest rows per key of a batch).
 
-    Each trigger compares the batch with the stored snapshot, hands the changed keys to ``sink`` and writes
-    the next snapshot version.  A replayed batch finds its own input version again, so it is repeatable.
+def change_feed(
+    snapshot: DataFrame, key: Sequence[str], signature: Sequence[str], store: str, sink: Callable[[DataFrame, int], Any], checkpoint: str, trigger: dict | None = None,
+    version: str | None = None,
+):
+    """A coalesced feed of changed keys from a stream of snapshot rows.
+
+    Of several rows of a key in one batch the one with the largest ``version`` (a column; without it, the largest
+    signature) is the snapshot.  Each trigger compares the batch with the stored rows of its keys, hands the changed keys
+    to ``sink`` and stores the changed rows only.  A replayed batch finds its own input again, so it is repeatable.
     """
-    cols = [*key, *signature]
+    key, signature = list(key), list(signature)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = f"{store}/v{batch_id}"
-        cur = batch.select(*cols).dropDuplicates(list(key))
-        prev_path = _previous_version(spark, store, batch_id)
-        prev = spark.read.parquet(prev_path) if prev_path else spark.createDataFrame([], cur.schema)
-        touched = prev.join(cur.select(*key), list(key), "left_semi")
-        sink(changed_rows(touched, cur, key, signature), batch_id)
-        prev.join(cur.select(*key), list(key), "left_anti").unionByName(cur).write.mode("overwrite").parquet(path)
-
-    writer = snapshot.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(flush)
-    return writer.trigger(**(trigger or {"processingTime": "300 milliseconds"})).start()
-
-
-def _previous_version(spark, store: str, batch_id: int) -> str | None:
-    """The newest complete snapshot before this batch."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and int(name[1:]) < batch_id and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            done.append(int(name[1:]))
-    return f"{store}/v{max(done)}" if done else None
+        order = F.col(version) if version else F.struct(*signature)
+        cur = batch.groupBy(*key).agg(F.max_by(F.struct(*signature), order).alias("s")).select(*key, "s.*").persist()
+        prev = versions.current(spark, store, key, cur.schema, batch_id).join(cur.select(*key), key, "left_semi").persist()
+        changed = changed_rows(prev, cur, key, signature)
+        sink(changed, batch_id)
+        versions.write(cur.join(changed.select(*key), key, "left_semi"), store, batch_id, key)
+        cur.unpersist()
+        prev.unpersist()
+
+    return versions.start(snapshot, flush, checkpoint, trigger or {"processingTime": "300 milliseconds"}, "update")
 
 
 def hourly_budget(calls: DataFrame, ts: str = "ts", slide: str = "1 minute") -> DataFrame:

@@ -1,132 +1,54 @@
-"""A streaming source that follows growing files by byte offset (Python data source).
+"""Log lines as a stream.
 
-The built-in file source sees new files, never bytes appended to a known file.  Here an offset is
-``{path: [epoch, bytes]}``; a batch is one input partition per file range.  Only newline-terminated
-lines are delivered.  When a file shrinks its epoch goes up and it is read from the start, so state keyed
-by (file, epoch) starts over.  The driver lists files and looks for the last newline; executors read lines.
-
-Use it where every executor reaches the paths (a shared file system).  For object stores land the log
-as chunk files and read them with the built-in source (:func:`read_chunks`).
+Logs are landed as chunk files by whatever ships them (every log shipper rotates): ``<file>.<epoch>.<offset>`` holds the
+bytes of ``<file>`` from ``<offset>`` on, ends at a line end, and never changes.  The epoch goes up when a file was
+truncated, so state kept by (file, epoch) starts over.  A file without that suffix is its own first chunk.  Spark's file
+source finds new chunks; executors read them, and nothing is read on the driver.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-
-# --- fixed values ---------------------------------------------------------------------------------
-CHUNK = 8 * 1024 * 1024
-MAX_LINE = 256 * 1024 * 1024
-# --- end of fixed values --------------------------------------------------------------------------
-
-
-class Range(InputPartition):
-    def __init__(self, path: str, epoch: int, start: int, end: int):
-        self.path, self.epoch, self.start, self.end = path, epoch, start, end
-
-
-def last_newline(path: str, start: int, size: int, chunk: int = CHUNK) -> int:
-    """The offset after the last newline of the next chunk; widened for a long line, ``start`` if there is none."""
-    want = chunk
-    while True:
-        length = min(want, size - start)
-        if length <= 0:
-            return start
-        with open(path, "rb") as f:
-            f.seek(start)
-            at = f.read(length).rfind(b"\n")
-        if at >= 0:
-            return start + at + 1
-        if start + length >= size or want >= MAX_LINE:
-            return start
-        want *= 2
-
-
-def read_range(path: str, start: int, end: int) -> Iterator[tuple[int, str]]:
-    """``(offset, line)`` of a byte range that ends after a newline."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        at = start
-        while at < end:
-            raw = f.readline()
-            if not raw:
-                return
-            yield at, raw.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
-            at += len(raw)
-
-
-class TailReader(DataSourceStreamReader):
-    def __init__(self, options: dict):
-        self.pattern = options["path"]
-        self.chunk = int(options.get("chunkbytes", CHUNK))
-        self.known: dict[str, list[int]] = {}
-
-    def initialOffset(self) -> dict:
-        return {}
-
-    def latestOffset(self) -> dict:
-        for path in sorted(glob.glob(self.pattern, recursive=True)):
-            try:
-                size = os.path.getsize(path)
-            except OSError:
-                continue
-            epoch, at = self.known.get(path, [0, 0])
-            if size < at:
-                epoch, at = epoch + 1, 0
-            if size > at:
-                at = last_newline(path, at, size, self.chunk)
-            self.known[path] = [epoch, at]
-        return dict(self.known)
-
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        out = []
-        for path, (epoch, at) in end.items():
-            old_epoch, old_at = start.get(path, [0, 0])
-            begin = old_at if old_epoch == epoch else 0
-            if at > begin:
-                out.append(Range(path, epoch, begin, at))
-            # after a restart from a checkpoint the reader goes on from there
-            self.known.setdefault(path, [epoch, at])
-        return out
-
-    def read(self, partition: Range):
-        try:
-            mtime = int(os.path.getmtime(partition.path) * 1000)
-            for offset, line in read_range(partition.path, partition.start, partition.end):
-                yield partition.path, partition.epoch, offset, line, mtime
-        except FileNotFoundError:
-            return
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-class TailDataSource(DataSource):
-    """``spark.readStream.format("tail").option("path", "/logs/**/*.jsonl").load()``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tail"
 
-    def schema(self) -> str:
-        return "file string, epoch int, ord bigint, value string, mtime bigint"
+from tracelake.sources.files import plain_path
 
-    def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options)
+_CHUNK = "^(.*)\\.(\\d+)\\.(\\d+)$"
+LINES = "file string, epoch int, ord bigint, value string, mtime bigint"
 
 
-def read_tail(spark: SparkSession, path: str, chunk_bytes: int = CHUNK) -> DataFrame:
-    spark.dataSource.register(TailDataSource)
-    return spark.readStream.format("tail").option("path", path).option("chunkBytes", str(chunk_bytes)).load()
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            raw = row["value"].encode("utf-8", "surrogatepass").split(b"\n")
+            sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
+            begin = row["ord"] + np.cumsum(sizes) - sizes
+            if raw and not raw[-1]:
+                raw, begin = raw[:-1], begin[:-1]  # what follows the last line end
+            for at in range(0, len(raw), 10_000):
+                part = [r.removesuffix(b"\r").decode("utf-8", "replace") for r in raw[at : at + 10_000]]
+                n = len(part)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "file": pa.array([row["file"]] * n, pa.string()), "epoch": pa.array([row["epoch"]] * n, pa.int32()), "ord": pa.array(begin[at : at + n], pa.int64()),
+                        "value": pa.array(part, pa.string()), "mtime": pa.array([row["mtime"]] * n, pa.int64()),
+                    }
+                )
 
 
 def read_chunks(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Landed chunk files as a stream of lines (the default way to ingest)."""
-    reader = spark.readStream.option("recursiveFileLookup", "true")
+    """``file, epoch, ord, value, mtime`` of landed chunks as a stream; ``ord`` is the byte offset in ``file``."""
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    name = plain_path(F.col("_metadata.file_path"))
+    chunk = name.rlike(_CHUNK)
+    number = lambda g: F.when(chunk, F.regexp_extract(name, _CHUNK, g)).otherwise("0")
+    rows = reader.text(path).select(
+        F.when(chunk, F.regexp_extract(name, _CHUNK, 1)).otherwise(name).alias("file"), number(2).cast("int").alias("epoch"), number(3).cast("bigint").alias("ord"),
+        "value", F.unix_millis("_metadata.file_modification_time").alias("mtime"),
+    )
+    return rows.mapInArrow(_lines, LINES)
