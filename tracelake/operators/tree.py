@@ -193,9 +193,10 @@ def walk_chain(
     spans 2**k hops.  A cycle is cut behind its smallest id first, so a chain that runs into one ends there.
     """
     keys = list(by)
-    breakers = cycle_breakers(valid_parents(entries.select(*keys, id, prev), id, prev, keys), id, prev, keys)
+    entries = entries.select(*keys, id, F.when(F.col(prev) != F.col(id), F.col(prev)).alias(prev))
+    breakers = cycle_breakers(valid_parents(entries, id, prev, keys), id, prev, keys)
     cut = breakers.withColumnRenamed("id", id).withColumn("__cut", F.lit(True)) if id != "id" else breakers.withColumn("__cut", F.lit(True))
-    entries = entries.select(*keys, id, prev).join(cut, [*keys, id], "left")
+    entries = entries.join(cut, [*keys, id], "left")
     entries = entries.withColumn(prev, F.when(F.col("__cut").isNull(), F.col(prev))).drop("__cut")
     one = entries.select(*keys, F.col(id).alias("__at"), F.col(prev).alias("__to"))
     known_ids = entries.select(*keys, F.col(id).alias("__to")).distinct()
