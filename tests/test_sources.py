@@ -104,12 +104,12 @@ def test_rollout_folders_may_be_absent(spark, tmp_path):
 
 def test_documents_rollouts_tables_and_sinks(spark, tmp_path):
     (tmp_path / "chats").mkdir()
-    (tmp_path / "chats" / "session-a.json").write_text('{"sessionId":"a","messages":[]}')
+    (tmp_path / "chats" / "session-a.json").write_text('{"sessionId":"a",\n"messages":[]}')
     (tmp_path / "chats" / "session-old.json").write_text('{"sessionId":"o","messages":[]}')
     os.utime(tmp_path / "chats" / "session-old.json", (1, 1))
     now = int(os.path.getmtime(tmp_path / "chats" / "session-a.json") * 1000) + 1000
     docs = S.read_doc_sessions(spark, str(tmp_path / "chats"), now).collect()
-    assert [d.value for d in docs] == ['{"sessionId":"a","messages":[]}']
+    assert [d.value for d in docs] == ['{"sessionId":"a",\n"messages":[]}']
     assert S.rollout_globs("/r", 1_767_270_000_000)[0] == "/r/sessions/2025/12/30" and len(S.rollout_globs("/r", 1_767_270_000_000)) == 4
     day = tmp_path / "sessions" / "2026" / "01" / "01"
     day.mkdir(parents=True)

@@ -123,7 +123,7 @@ def discover_agents(spark: SparkSession, projects_dir: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     return text.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.unix_millis("_metadata.file_modification_time").alias("mtime"), "value")
 
 
@@ -229,7 +229,7 @@ def read_doc_sessions(spark: SparkSession, path: str, now_ms: int, recent_ms: in
         keep = keep.where(F.col("length") <= max_bytes)
     after = datetime.fromtimestamp((now_ms - recent_ms) / 1000 - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "session-*.json").option("modifiedAfter", after)
-    text = reader.option("wholetext", "true").text(path)
+    text = reader.text(path, wholetext=True)
     if max_bytes is not None:
         text = text.where(F.col("_metadata.file_size") <= max_bytes)
     rows = text.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.unix_millis("_metadata.file_modification_time").alias("mtime"), "value")

@@ -41,13 +41,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_chunks(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """``file, epoch, ord, value, mtime`` of landed chunks as a stream; ``ord`` is the byte offset in ``file``."""
-    reader = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     name = plain_path(F.col("_metadata.file_path"))
     chunk = name.rlike(_CHUNK)
     number = lambda g: F.when(chunk, F.regexp_extract(name, _CHUNK, g)).otherwise("0")
-    rows = reader.text(path).select(
+    rows = reader.text(path, wholetext=True).select(
         F.when(chunk, F.regexp_extract(name, _CHUNK, 1)).otherwise(name).alias("file"), number(2).cast("int").alias("epoch"), number(3).cast("bigint").alias("ord"),
         "value", F.unix_millis("_metadata.file_modification_time").alias("mtime"),
     )
