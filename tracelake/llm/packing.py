@@ -16,105 +16,129 @@ empty result.  Input columns beside id and text are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tracelake.llm.common import col, stash
+from tracelake.llm.common import col, give_back, stash
 
 MAX_TOKENS, END_ID = 4096, 1
-#: Words whose ids a task remembers, characters looked up at a time, and rows of a length that are ranked together.
-CACHE_WORDS, PART_CHARS, RANK_ROWS = 300_000, 500_000, 50_000
+#: Runs whose ids a worker remembers, characters looked up at a time, and rows of a length that are ranked together.
+CACHE_RUNS, PART_CHARS, RANK_ROWS = 400_000, 500_000, 50_000
 
 
 def _classes() -> tuple[re.Pattern, re.Pattern]:
-    """Words of Latin characters whose lower case is one character, and their pieces as the tokenizer splits them."""
-    plain = [chr(c) for c in range(0x180) if c != 0x130 and not chr(c).isspace() and c not in (0x85, 0xA0)] + [chr(c) for c in range(0x1C, 0x20)]
-    kind = lambda k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k)
+    """Texts of Latin characters whose lower case is one character, and their runs as the tokenizer splits them."""
+    latin = [chr(c) for c in range(0x180) if c != 0x130]
+    space = [chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0)]
+    kind = lambda k: "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == k)
     letters, digits = kind("L"), kind("N")
     # fixed value: the tokenizer's pattern, with its classes spelled out for these characters
-    pieces = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}]+"
-    return re.compile("[" + "".join(map(re.escape, plain)) + "]+"), re.compile(pieces)
+    runs = f"[{letters}]+|[{digits}]|'s|'t|'re|'ve|'m|'ll|'d|[^{letters}{digits}{''.join(map(re.escape, space))}]+"
+    return re.compile("[" + "".join(map(re.escape, latin)) + "]*"), re.compile(runs)
+
+
+def _shape(config: dict) -> list:
+    """What decides how a tokenizer splits texts."""
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (config["normalizer"] or {}).get("normalizers", [])]
+    split = [(p["type"], p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("use_regex")) for p in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return [steps, split, config["model"].get("end_of_word_suffix"), config["model"].get("dropout")]
+
+
+# fixed value: the shape of the tokenizer that runs are cut for
+SHAPE = [
+    [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)],
+    [("Split", {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "Removed", True, None), ("ByteLevel", None, None, None, False)],
+    "</w>",
+    None,
+]
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins what white space separates, remembered word by word.
+    """Ids of texts by a tokenizer of the file at ``path``.
 
-    The tokenizer lower-cases, splits words into runs of letters, single digits and runs of signs, and marks the last id
-    of each run.  So a new word is cut into its runs here, the unknown runs are encoded together, and the marks say where
-    each ends.  Words with other characters than Latin ones are encoded one by one.
+    A tokenizer of another ``SHAPE`` encodes whole texts.  One of this shape lower-cases, drops white space and never
+    joins what it splits, so what it has split once is remembered.  It splits texts into runs of letters, single digits and runs of signs, and marks the last id of each run.  So a text is
+    cut into its runs here, unknown runs are encoded together, and the marks say where each ends.  What holds other
+    characters than Latin ones is encoded as a whole, from white space to white space.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        self.splits = _shape(config) == SHAPE
+        # for runs, which are cut and in lower case already: the same merges without the steps before them
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.latin, self.pieces = _classes()
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_runs(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 2000):
-            some = runs[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        self.latin, self.run = _classes()
+        self.known: dict[str, bytes] = {}
+
+    def _runs(self, text: str) -> list[str]:
+        if self.latin.fullmatch(text) and "<|" not in text:
+            return self.run.findall(text.lower())
+        out = []
+        for word in text.encode("utf-8", "replace").split():  # ASCII white space; the tokenizer sees to the rest
+            w = word.decode()
+            if self.latin.fullmatch(w) and "<|" not in w:
+                out += self.run.findall(w.lower())
+            else:
+                out.append(w)
+        return out
+
+    def _learn(self, runs: list[str]) -> None:
+        plain = [r for r in runs if self.latin.fullmatch(r) and "<|" not in r]
+        parts = [plain[at : at + 2000] for at in range(0, len(plain), 2000)]
+        for some, found in zip(parts, self.merges.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
+            if len(ends) == len(some) and ends[-1] == len(ids):
                 raw, cuts = ids.tobytes(), (4 * np.append(0, ends)).tolist()
-                self.runs.update((r, raw[a:b]) for r, a, b in zip(some, cuts, cuts[1:], strict=False))
+                self.known.update((r, raw[a:b]) for r, a, b in zip(some, cuts, cuts[1:], strict=False))
             else:
-                self.runs.update(zip(some, self._encode(some), strict=True))
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.runs) > CACHE_WORDS:
-            self.runs.clear()
-        parts, odd, new = [], [], set()
-        for w in words:
-            text = w.decode()
-            if self.latin.fullmatch(text) and "<|" not in text:
-                runs = self.pieces.findall(text.lower())
-                parts.append((w, runs))
-                new.update(runs)
-            else:
-                odd.append(w)
-        self._learn_runs([r for r in new if r not in self.runs])
-        get = self.runs.__getitem__
-        self.known.update((w, b"".join(map(get, runs))) for w, runs in parts)
-        self.known.update(zip(odd, self._encode([w.decode() for w in odd]), strict=True))
+                self._learn_each(some)
+        self._learn_each([r for r in runs if r not in self.known])
+
+    def _learn_each(self, texts: list[str]) -> None:
+        for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.known[t] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.splits:
+            for t in texts:
+                yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+            return
         at = 0
         while at < len(texts):
             held, size = [], 0
             while at < len(texts) and size < PART_CHARS:
-                words = (texts[at] or "").encode("utf-8", "replace").split()
-                held.append(words)
+                held.append(self._runs(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
-            wanted = set().union(*held)
-            missing = wanted.difference(self.known)
+            if len(self.known) > CACHE_RUNS:
+                self.known.clear()
+            missing = set(filterfalse(self.known.__contains__, chain.from_iterable(held)))
             if missing:
-                if len(self.known) > CACHE_WORDS:
-                    self.known.clear()
-                    missing = wanted
-                self._learn(missing)
+                self._learn(sorted(missing))
             get = self.known.__getitem__
-            for words in held:
-                yield b"".join(map(get, words))
+            for runs in held:
+                yield b"".join(map(get, runs))
 
 
 @cache
@@ -142,6 +166,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=columns)
+            give_back()
 
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long, ids binary").fields])
     columns = schema.names
