@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -43,6 +44,16 @@ def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers wait for the next task with what they hold."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

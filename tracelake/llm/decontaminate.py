@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracelake.llm.common import col, unused
+from tracelake.llm.common import col, give_back, unused
 
 WIDTH, SAMPLE, SHARD_BYTES, BLOCK_WINDOWS = 10, 8, 1_000_000, 200_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -248,6 +248,7 @@ def _search(text: Column, block: Windows, shard_bytes: int) -> Column:
                 rows += Shard(part, powers).report(block)
                 part, size = [], 0
         rows += Shard(part, powers).report(block) if part else []
+        give_back()
         return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
     return search(text)

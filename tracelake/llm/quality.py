@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracelake.llm.common import col, empty_if_null, unused
+from tracelake.llm.common import col, empty_if_null, give_back, unused
 
 #: Labelled rows that the model is fitted on at most (chosen by a hash of the id), and hash buckets of words.
-TRAIN_ROWS, BUCKETS = 6000, 1 << 14
+TRAIN_ROWS, BUCKETS = 5000, 1 << 14
 THRESHOLD = 0.5
 #: Site tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -133,15 +133,26 @@ class Model(NamedTuple):
         return out
 
 
-def fit(texts: list[str | None], good: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model | None:
+def described(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Statistics and distinct buckets of each text."""
+    stats, buckets = [], []
+    for at in range(0, len(texts), 50):
+        x, row, bucket = features(texts[at : at + 50])
+        stats.append(x)
+        buckets += np.split(bucket, np.searchsorted(row, np.arange(1, len(x))))
+    return np.concatenate(stats) if stats else np.zeros((0, STATS)), buckets
+
+
+def fit(texts: list[str | None], good: np.ndarray, **options) -> Model | None:
+    return fit_features(*described(texts), good, **options)
+
+
+def fit_features(x: np.ndarray, buckets: list[np.ndarray], good: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model | None:
     """Logistic regression by Adam on the whole sample; None unless both kinds are there."""
     if not 0 < good.sum() < len(good):
         return None
-    parts = [features(texts[k : k + 50]) for k in range(0, len(texts), 50)]
-    x = np.concatenate([p[0] for p in parts])
-    row = np.concatenate([p[1] + 50 * k for k, p in enumerate(parts)])
-    bucket = np.concatenate([p[2] for p in parts])
     n = len(x)
+    row, bucket = np.repeat(np.arange(n), [len(b) for b in buckets]), np.concatenate(buckets).astype(np.int64)
     count = np.maximum(1, np.bincount(row, minlength=n))
     value = 1 / np.sqrt(count[row])
     mean, scale = x.mean(0), x.std(0) + 1e-6
@@ -161,12 +172,27 @@ def fit(texts: list[str | None], good: np.ndarray, steps: int = 400, rate: float
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled documents, those whose ids come first in hash order."""
+    """Fit on at most ``rows`` labelled documents, those whose ids come first in hash order.
+
+    The texts are described where they are; only their statistics and buckets reach the driver.
+    """
     wanted = labels.select(col(id).alias("i"), col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     wanted = wanted.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").orderBy(F.xxhash64("i"), "i").limit(rows)
     body = docs.select(col(id).alias("i"), col(text).cast("string").alias("t"))
-    sample = sorted(body.join(F.broadcast(wanted.select("i", "y")), "i").collect(), key=lambda r: (r["i"], r["t"] or ""))[: 2 * rows]
-    return fit([r["t"] for r in sample], np.array([r["y"] > 0 for r in sample], float)) if sample else None
+
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        x, buckets = described(list(texts))
+        return pd.DataFrame({"x": list(x), "buckets": [b.astype(np.int32) for b in buckets]})
+
+    found = body.join(F.broadcast(wanted.select("i", "y")), "i").limit(2 * rows)
+    found = found.select("i", "y", F.pandas_udf(describe, "x array<double>, buckets array<int>")("t").alias("d"))
+    sample = sorted(found.select("i", "y", "d.x", "d.buckets").collect(), key=lambda r: (r["i"], r["x"]))
+    if not sample:
+        return None
+    model = fit_features(np.array([r["x"] for r in sample]), [np.array(r["buckets"], np.int64) for r in sample], np.array([r["y"] > 0 for r in sample], float))
+    del sample
+    give_back()
+    return model
 
 
 def evidence(text: Column, model: Model | None) -> Column:
@@ -175,7 +201,9 @@ def evidence(text: Column, model: Model | None) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.round(model.evidence(list(texts)), 6))
+        out = pd.Series(np.round(model.evidence(list(texts)), 6))
+        give_back()
+        return out
 
     return score(text.cast("string"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracelake.llm.common import col, stash, unused
+from tracelake.llm.common import col, give_back, stash, unused
 
 SHINGLE, BUDGET, BITS, SEED = 4, 4, 64, 42
 #: Fingerprints that one task may hold before its node is cut into child nodes, and bits of one cut.
@@ -55,7 +55,9 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint_of(t, shingle) for t in texts], np.uint64).view(np.int64))
+        out = pd.Series(np.array([fingerprint_of(t, shingle) for t in texts], np.uint64).view(np.int64))
+        give_back()
+        return out
 
     return prints(text.cast("string"))
 
