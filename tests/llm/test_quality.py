@@ -15,7 +15,7 @@ def rows(n=300, seed=3):
         if not good:
             t = " ".join(w.upper() + "!!" for w in t.split()) if k % 2 else " ".join(w for w in t.split()[:6] for _ in range(8))
         docs.append((k, t, "en", f"host{k % 3}/p{k % 5}", len(t)))
-        if k % 2 == 0:
+        if k % 3:
             labels.append((k, int(good)))
         truth[k] = good
     docs += [(900, None, None, None, None), (901, "", "en", "rare", 0), docs[5], docs[5]]

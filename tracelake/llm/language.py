@@ -48,8 +48,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _read(d: Direction, x: np.ndarray, trace: list | None = None) -> np.ndarray:
-    """States (T, H, B) after each byte of x (T, B)."""
+def _read(d: Direction, x: np.ndarray, trace: list | None = None, within: np.ndarray | None = None) -> np.ndarray:
+    """States (T, H, B) after each byte of x (T, B); outside ``within`` (T, B) the state stays at its start."""
     h_n = d.back.shape[1]
     h = np.zeros((h_n, x.shape[1]), d.back.dtype)
     states = np.empty((len(x), h_n, x.shape[1]), d.back.dtype)
@@ -62,6 +62,8 @@ def _read(d: Direction, x: np.ndarray, trace: list | None = None) -> np.ndarray:
         if trace is not None:
             trace.append((h, z, r, n, u[2 * h_n :]))
         h = n + z * (h - n)
+        if within is not None:
+            h = h * within[t]
         states[t] = h
     return states
 
@@ -138,11 +140,12 @@ def fit(excerpts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: i
     return Network(languages, Direction(*theta[:2]), Direction(*theta[2:4]), theta[4], theta[5])
 
 
-def _positions(net: Network, x: np.ndarray) -> np.ndarray:
-    """Probabilities (T, languages, B) of each position of x (T, B)."""
+def _positions(net: Network, x: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Probabilities (T, languages, B) of each position of x (T, B), whose columns hold ``lens`` bytes."""
+    within = None if lens.min() == len(x) else (np.arange(len(x))[:, None] < lens)[::-1].astype(net.backward.back.dtype)
     h_n = net.forward.back.shape[1]
     logits = np.matmul(net.out[:, :h_n], _read(net.forward, x)) + net.bias
-    logits += np.matmul(net.out[:, h_n:], _read(net.backward, x[::-1])[::-1])
+    logits += np.matmul(net.out[:, h_n:], _read(net.backward, x[::-1], within=within)[::-1])
     return _softmax(logits, 1)
 
 
@@ -160,7 +163,7 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
             x = np.full((lens.max(), len(some)), 32, np.uint8)
             for k, (_, s) in enumerate(some):
                 x[: len(s), k] = s
-            p = _positions(net, x)
+            p = _positions(net, x, lens)
             p *= (np.arange(len(x))[:, None] < lens)[:, None, :]
             np.add.at(total, [d for d, _ in some], p.sum(axis=0).T)
         pending.clear()
