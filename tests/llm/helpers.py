@@ -15,7 +15,7 @@ def prose(rng: random.Random, words: int, kind: str = "en") -> str:
 def documents(seed: int = 1, n: int = 60) -> list[tuple]:
     rng = random.Random(seed)
     texts: list = [None, "", " ", "\n\n", "one", "two words", "x" * 5000, "é中\U0001f600 mixed ß"]
-    base = [prose(rng, rng.randint(5, 120), rng.choice(["en", "fr"])) for _ in range(n)]
+    base = [prose(rng, rng.randint(5, 120), rng.choice(["en", "fr"])) for _ in range(max(n, 6))]
     texts += base
     texts += [base[0], base[0].replace(" ", "\t\n", 3), base[1] + " tail", base[1] + " tail", base[2].upper(), base[3] + " " + base[4]]
     rows = [(k, t, rng.choice(["en", "fr"]), rng.choice(["src0", "src1", None]), None if t is None else len(t)) for k, t in enumerate(texts)]

@@ -79,7 +79,7 @@ def _block(windows: list[tuple[bytes, list[str]]], width: int) -> Windows:
     vocabulary = sorted({w for text, _ in windows for w in text.split(b" ")})
     joined = b" ".join(vocabulary)
     data = np.frombuffer(joined, np.uint8)
-    lens = np.array([len(w) for w in vocabulary])
+    lens = np.array([len(w) for w in vocabulary], np.int64)
     ends = np.cumsum(lens + 1) - 1
     hashes = _hash_words(data, ends - lens, ends, _powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1))
     unique = np.unique(hashes)
@@ -263,13 +263,13 @@ def _merge(n_words: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFra
     rows = []
     for n, parts, found in zip(n_words, spans, items, strict=True):
         out: list[dict] = []
-        for s in sorted((dict(s) for p in parts for s in p), key=lambda s: (s["word"], -s["words"])):
+        for s in sorted(map(dict, parts), key=lambda s: (s["word"], -s["words"])):
             if out and s["word"] <= (end := out[-1]["word"] + out[-1]["words"]):
                 if s["word"] + s["words"] > end:
                     out[-1] |= {"words": s["word"] + s["words"] - out[-1]["word"], "end": s["end"]}
             else:
                 out.append(s)
-        rows.append((n, out, sorted({i for p in found for i in p})))
+        rows.append((n, out, sorted(set(found))))
     return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
 
@@ -313,7 +313,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     if len(parts) == 1:
         return out.withColumnRenamed(parts[0], as_)
     field = lambda f: F.array(*[col(p)[f] for p in parts])
-    return out.withColumn(as_, _merged(field("n_words")[0], field("spans"), field("items"))).drop(*parts)
+    return out.withColumn(as_, _merged(field("n_words")[0], F.flatten(field("spans")), F.flatten(field("items")))).drop(*parts)
 
 
 def hits(found: Column) -> Column:
