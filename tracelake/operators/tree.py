@@ -37,13 +37,19 @@ def cycle_breakers(nodes: DataFrame, id: str = "id", parent: str = "parent", by:
     cur = cut_lineage(cur)
     left, reach = cur.count(), 1
     while left and reach < left:
+        before = left
         nxt = cur.select(*keys, F.col("id").alias("anc"), F.col("anc").alias("__anc"), F.col("low").alias("__low"))
         cur = cut_lineage(
             cur.join(nxt, [*keys, "anc"]).select(
-                *keys, "id", F.col("__anc").alias("anc"), F.least("low", "__low").alias("low")
+                *keys, "id", F.col("__anc").alias("anc"), F.least("low", "__low").alias("low"), (F.col("__low") < F.col("low")).alias("lower")
             )
         )
-        left, reach = cur.count(), reach * 2
+        state = cur.agg(F.count(F.lit(1)).alias("n"), F.count_if("lower").alias("lower")).first()
+        cur = cur.drop("lower")
+        left, reach = state["n"], reach * 2
+        # no pointer ran off a root and no minimum fell while the reach doubled: neither will
+        if left == before and not state["lower"]:
+            break
     on_cycle = cur.select(*keys, F.col("anc").alias("id")).distinct()
     return cur.join(on_cycle, [*keys, "id"], "left_semi").where(F.col("id") == F.col("low")).select(*keys, "id")
 
