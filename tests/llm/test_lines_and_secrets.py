@@ -97,3 +97,16 @@ def test_secret_edges(spark):
     assert len(secrets.scanned(df, back, []).collect()) == len(rows)
     empty = spark.createDataFrame([], DOCS)
     assert secrets.scanned(empty, secrets.background(empty), []).count() == 0
+
+
+def test_every_assigned_value_is_a_candidate():
+    values = {
+        'password = "Tr0ub4dor"': "Tr0ub4dor", "pwd: hunter2x9": "hunter2x9", "secret: 'aB3dE6gH'": "aB3dE6gH", 'password = "correct-horse-battery"': "correct-horse-battery",
+        "password=a!b$c#d%e&f*": "a!b$c#d%e&f*", "db_token=x": "x", '{"api_key": "p q", "n": 1}': "p q", "secret: token=abc.": "abc", 'pwd="open ended': "open",
+    }
+    for text, value in values.items():
+        found = secrets.candidates(f"so {text}\nand more")
+        assert [f[2] for f in found] == [value], text
+        assert secrets.label_by_form(found[0]) == 1
+    assert [f[2] for f in secrets.candidates("token=one&secret=two3 Ab3dEf9h, plainword")] == ["one&", "two3", "Ab3dEf9h"]
+    assert not secrets.candidates('password = "" ') and not secrets.candidates("token: ") and not secrets.candidates(None)

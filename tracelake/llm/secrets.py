@@ -1,6 +1,7 @@
 """Secret scan with a random forest that takes out false findings.
 
-Candidates are runs of characters that keys, tokens and passwords are made of.  A candidate is described by its length,
+Candidates are runs of characters that keys, tokens and passwords are made of, and every value that is assigned to a
+name such as ``password``, whatever its length, case and signs.  A candidate is described by its length,
 the kinds of its characters, how likely its character transitions are in the corpus, how much of it dictionary words
 cover, where it stands in the text and in its source, and hashed neighbouring words.  A forest of decision
 trees, grown here in numpy on labelled findings, decides.
@@ -27,10 +28,13 @@ from tracelake.llm.common import col, empty_if_null
 #: Labelled candidates that the forest is grown on at most, its trees, their depth, and dictionary words.
 TRAIN_ROWS, TREES, DEPTH, DICTIONARY = 8000, 25, 8, 20_000
 THRESHOLD = 0.5
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-=.:@]{12,}")
+LEAST = 8
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-=.:@]{%d,}" % LEAST)
 _NEAR = re.compile(r"\w+")
 #: Fixed values of the labelling by form: names of secret values, prefixes of key formats, and harmless forms.
-NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?\s*[:=]+\s*[\"']?$")
+_ASSIGNED = r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?\s*[:=]+\s*"
+ASSIGNED, NAMED = re.compile(_ASSIGNED), re.compile(_ASSIGNED + r"[\"']?$")
+QUOTED = re.compile(r"""(["'])((?:(?!\1)[^\\\n]|\\.)*)\1""")
 PREFIXES = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|AIza|glpat-)")
 HARMLESS = re.compile(r"[\d.:/\-]+|[\w.+\-]+@[\w.\-]+|https?[:/].*|[a-z.\-:=]+|[A-Z.\-:=]?[a-z.\-:=]+")
 NEIGHBOURS = 16
@@ -44,19 +48,51 @@ class Background(NamedTuple):
     words: frozenset
 
 
-def candidates(text: str | None) -> list[tuple[int, int, str, str, str]]:
-    """(start, stop, value, text before, text behind) of each candidate with a digit or mixed case."""
+def assigned(text: str) -> list[tuple[int, int, int]]:
+    """(start of the name, start and stop of the value) of each value that is not blank and is assigned to such a name."""
     out = []
-    for m in CANDIDATE.finditer(text or ""):
-        start, value = m.start(), m[0].rstrip(".:=")
-        if "=" in value and (cut := value.index("=") + 1) < len(value) and value[: cut - 1].isidentifier():
-            start, value = start + cut, value[cut:].lstrip("=")  # a name and its value
-            start = m.start() + m[0].index(value, cut) if value else start
-        if len(value) >= 8 and (any(c.isdigit() for c in value) or value != value.lower() and value[1:] != value[1:].lower()):
-            out.append((start, start + len(value), value, text[max(0, start - 40) : start], text[start + len(value) : start + len(value) + 40]))
+    done, m = 0, ASSIGNED.search(text)
+    while m:
+        name, start = m.start(), m.end()
+        while name > done and (text[name - 1].isalnum() or text[name - 1] in "_-"):
+            name -= 1
+        if quoted := QUOTED.match(text, start):
+            start, stop = quoted.span(2)
+            after = ASSIGNED.search(text, quoted.end())
+        else:
+            start += text[start : start + 1] in ("'", '"')
+            stop = start
+            while stop < len(text) and not text[stop].isspace():
+                stop += 1
+            after = ASSIGNED.search(text, start)
+            if after and after.start() < stop:  # a name inside the value has a value of its own
+                stop = after.start()
+            bare = text[start:stop].rstrip(".,;:)]}>\"'")
+            stop = start + len(bare) if bare else stop
+        if text[start:stop].strip():
+            out.append((name, start, stop))
+            done = stop
+        m = after
     return out
 
 
+def candidates(text: str | None) -> list[tuple[int, int, str, str, str]]:
+    """(start, stop, value, text before, text behind) of each assigned value, and of each other run with a digit or mixed case."""
+    text, out, at = text or "", [], 0
+    for name, start, stop in [*assigned(text), (len(text), 0, 0)]:
+        for m in CANDIDATE.finditer(text, at, name):
+            begin, value = m.start(), m[0].rstrip(".:=")
+            if "=" in value and (cut := value.index("=") + 1) < len(value) and value[: cut - 1].isidentifier():
+                begin, value = begin + cut, value[cut:].lstrip("=")  # a name and its value
+                begin = m.start() + m[0].index(value, cut) if value else begin
+            if len(value) >= LEAST and (any(c.isdigit() for c in value) or value != value.lower() and value[1:] != value[1:].lower()):
+                out.append((begin, begin + len(value)))
+        if stop:
+            out.append((start, stop))
+            at = stop
+    return [(a, b, text[a:b], text[max(0, a - 40) : a], text[b : b + 40]) for a, b in out]
+
+
 def _bucket(word: str) -> int:
     h = 2166136261
     for b in word.lower().encode():
