@@ -62,6 +62,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(columns: list[str], new: list[str]) -> list[str]:
+    """``columns`` without those that new ones replace, whatever their letter case."""
+    taken = {c.lower() for c in new}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def col(name: str) -> Column:
     """A column by its plain name, also where the name holds dots or backquotes."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelake.llm import decontaminate, exact_dedup, language, line_dedup, packing, quality, secrets, simhash, suffix_dedup, warc
+from tracelake.llm import conversation, decision_list, decontaminate, exact_dedup, language, line_dedup, packing, quality, secrets, simhash, suffix_dedup, warc, whitening
 from tracelake.llm.common import read, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,21 @@ FROM d
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     return exact_dedup.exact_groups(docs, carry=["doc_id"])
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whiten(read(spark, sf, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query()
+def op12_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return decision_list.judged(docs, read(spark, sf, "labels"), carry=["doc_id"])[0]
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "conversations")
+    return conversation.repair(conversation.damaged(rows), rows)
