@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 @query()
 def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
-    return suffix_dedup.without_repeats(docs, carry=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.without_repeats(docs, carry=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
 @query()
