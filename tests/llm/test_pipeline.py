@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +16,7 @@ import corpus_pipeline
 from tests.llm.helpers import DOCS, prose
 from tests.llm.test_decontaminate import brute as leaks, words
 from tests.llm.test_packing import best_fit_decreasing, check
-from tests.llm.test_simhash import roots
-from tracelake.llm import decontaminate, simhash
+from tracelake.llm import decontaminate
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +43,11 @@ def tables(spark, tmp_path_factory):
     return folder, docs, items
 
 
+def five_word_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
 def test_pipeline_equals_plain_stages(spark, tables):
     folder, docs, items = tables
     stages = dict(corpus_pipeline.STAGES)
@@ -58,13 +62,16 @@ def test_pipeline_equals_plain_stages(spark, tables):
     for k in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[k] or ""), k)
     kept = {k: kept[k] for k in first.values()}
-    # near copies: smallest id of a component stays
-    prints = {k: simhash.fingerprint_of(t) for k, t in kept.items()}
-    of = roots(sorted(set(prints.values())), simhash.BUDGET)
-    low = defaultdict(list)
-    for k, v in prints.items():
-        low[of[v]].append(k)
-    kept = {min(ks): kept[min(ks)] for ks in low.values()}
+    # near copies (five-word shingles, Jaccard 0.8 or more): smallest id of a component stays
+    sets = {k: five_word_shingles(t) for k, t in kept.items()}
+    of = {k: k for k in kept}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((of[a], of[b]))
+                of = {k: low if v == high else v for k, v in of.items()}
+    assert any(k != v for k, v in of.items())
+    kept = {k: t for k, t in kept.items() if of[k] == k}
     # benchmark passages are cut out
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
@@ -99,9 +106,25 @@ def test_stages_on_empty_tables_and_repeated_rows(spark, tables):
     assert corpus_pipeline.near_dedup(spark, twice, folder).count() <= 12
 
 
+def test_clashing_columns_are_carried(spark, tables):
+    folder, docs, _ = tables
+    names = ["kept", "keep_id", "component_id", "text_sha256", "group_size", "uid", "evidence", "score", "a.b", "_in0", "Kept2"]
+    wide = spark.createDataFrame([(*r, *["x"] * len(names)) for r in docs[:30] + docs[-8:]], DOCS + "".join(f", `{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns, name
+        assert 0 < out.where("kept = 'x' AND `a.b` = 'x'").count() == out.count()
+
+
+def test_whole_pipeline_on_empty_tables(spark, tmp_path):
+    for name, ddl in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and {"op6_legacy_archive", "op9_line_dedup", "op10_exact_dedup"} <= set(entry.oracle_sql())
 

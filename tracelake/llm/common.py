@@ -35,15 +35,34 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stash(df: DataFrame, name: str, partition_by: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a table of the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    paths: takes the folder's name, for ``drop``.
+    """
     small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    paths.clear()
+
+
+def renamed(docs: DataFrame, prefix: str = "_in") -> DataFrame:
+    """``docs`` with numbered column names: whatever its columns are called, they clash with nothing."""
+    return docs.toDF(*[f"{prefix}{k}" for k in range(len(docs.columns))])
+
+
 def give_back() -> None:
     """Return what a Python worker has freed to the system: workers wait for the next task with what they hold."""
     import pyarrow as pa

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracelake.llm.common import col, empty_if_null, give_back, unused
+from tracelake.llm.common import col, empty_if_null, give_back, stash, unused
 
 #: Labelled rows that the model is fitted on at most (chosen by a hash of the id), and hash buckets of words.
 TRAIN_ROWS, BUCKETS = 5000, 1 << 14
@@ -239,7 +239,8 @@ def sites(scored: DataFrame, model_rate: float, evidence: str = "evidence", host
     """Posterior rates of hosts and paths from all rows."""
     p = 1 / (1 + F.exp(-(col(evidence) + math.log(model_rate / (1 - model_rate)))))
     rows = scored.select(col(host).alias("h"), col(path).alias("p"), F.round(p * _UNIT).cast("long").alias("good"))
-    paths = rows.groupBy("h", "p").agg(F.count("*").alias("n"), F.sum("good").alias("good")).persist()
+    paths = rows.groupBy("h", "p").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    paths = stash(paths, "site-counts")
     n_paths = paths.count()
     whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = (float(whole["good"] or 0) / _UNIT + 1) / ((whole["n"] or 0) + 2)
@@ -277,6 +278,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     names = {c: f"_q{k}" for k, c in enumerate(docs.columns)}
     inner = docs.select(*[col(c).alias(n) for c, n in names.items()])
     part = lambda c: empty_if_null(col(names[c])) if c in names else F.lit("")
-    rows = graded(inner, model, names["text"], part("source"), F.concat_ws("/", part("source"), part("lang")))
+    rows = stash(graded(inner, model, names["text"], part("source"), F.concat_ws("/", part("source"), part("lang"))), "graded-documents")
     kept = decide(rows, sites(rows, model.rate), threshold).where("kept")
     return kept.select(*[col(n).alias(c) for c, n in names.items()])
