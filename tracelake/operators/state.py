@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelake.functions.text import col, nz
-from tracelake.operators.segments import carry_last, previous_row, running_total
+from tracelake.operators.segments import previous_row, running_total
 from tracelake.session import cut_lineage
 
 # --- fixed values: time limits in ms and state names ----------------------------------------------
@@ -171,6 +171,60 @@ def agent_mode(is_main: Column, request_shape: Column, spawn_background: Column)
 
 
 # ------------------------------------------------------------------------------------ turns
+#: Order values of a segment of ends, and what stands for "no start" and "no clear yet".
+TURN_SPAN, _NO_START, _NO_CLEAR = 4096, -(1 << 62), -(1 << 62) + 1
+
+
+def _after(steps: Column, last: Column) -> Column:
+    """The last clear after a segment from the last clear before it."""
+    return F.coalesce(F.try_element_at(F.filter(steps, lambda s: s["o"] < last), F.lit(1))["r"], last)
+
+
+def _clears(ends: DataFrame, by: Sequence[str], order: str, opened: str = "__opened", span: int | None = None) -> DataFrame:
+    """Those ends that clear all turns, as columns ``__clear_<key>``.
+
+    All that the past says to an end is where the last clear was: the end is a clear if that is later than the start of
+    its turn (no start: always), and then it is the last clear itself.  So a segment of ends maps the last clear before it
+    to that after it by a step function, and such functions compose: an end that starts further back than all before it
+    makes one step of all, any other end lifts the first steps, which merge.  One pass turns segments into step functions,
+    one goes over the few functions of each thread, and one goes over the ends of each segment from what it then knows.
+    """
+    span = span or TURN_SPAN
+    long = lambda c: F.col(c).cast("bigint")
+    own = ends.select(*by, long(order).alias("e"), F.coalesce(long(opened), F.lit(_NO_START)).alias("o"))
+    own = own.withColumn("__seg", F.floor(F.col("e") / span))
+    own = own.groupBy(*by, "__seg").agg(F.array_sort(F.collect_list(F.struct("e", "o"))).alias("ends"))
+    step = lambda o, r: F.array(F.struct(o.alias("o"), r.alias("r")))
+
+    def grown(acc, x):
+        lifted = F.filter(acc["steps"], lambda s: s["r"] > x["o"])
+        kept = F.filter(acc["steps"], lambda s: s["r"] <= x["o"])
+        steps = (
+            F.when(x["o"] < acc["least"], step(x["o"], x["e"]))
+            .when(F.size(lifted) > 0, F.concat(step(F.element_at(lifted, -1)["o"], x["e"]), kept))
+            .otherwise(acc["steps"])
+        )
+        return F.struct(F.least(acc["least"], x["o"]).alias("least"), steps.alias("steps"))
+
+    none = F.array().cast("array<struct<o:bigint,r:bigint>>")
+    first = F.struct(F.col("ends")[0]["e"].alias("least"), none.alias("steps"))
+    functions = own.select(*by, "__seg", F.aggregate("ends", first, grown, lambda acc: acc["steps"]).alias("steps"))
+    in_order = functions.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__seg", "steps"))).alias("all"))
+    start = F.struct(F.lit(_NO_CLEAR).alias("last"), F.array().cast("array<struct<seg:bigint,last:bigint>>").alias("out"))
+    known = F.aggregate(
+        "all", start, lambda acc, x: F.struct(_after(x["steps"], acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(x["__seg"].alias("seg"), acc["last"].alias("last")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    known = in_order.select(*[F.col(k).alias(f"__k_{k}") for k in by], F.explode(known).alias("s"))
+    same = F.expr(" AND ".join([*(f"`{k}` <=> `__k_{k}`" for k in by), "__seg = s.seg"]))
+    seen = F.struct(F.col("s.last").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    walked = F.aggregate(
+        "ends", seen, lambda acc, x: F.when(acc["last"] > x["o"], F.struct(x["e"].alias("last"), F.concat(acc["out"], F.array(x["e"])).alias("out"))).otherwise(acc), lambda acc: acc["out"]
+    )
+    out = own.join(known, same).select(*[F.col(k).alias(f"__clear_{k}") for k in by], F.explode(walked).alias("__clear_e"))
+    return out.withColumn(f"__clear_{order}", F.col("__clear_e")).drop("__clear_e")
+
+
 def scan_turns(
     turns: DataFrame, by: Sequence[str] = ("file",), order: str = "ord", turn: str = "turn_id", started: str = "started"
 ) -> DataFrame:
@@ -178,23 +232,18 @@ def scan_turns(
 
     A start opens its turn.  An end closes its turn when that is open, else it clears *all* open turns.
     An end is a clear when its turn has no start since the turn's last end, or when another clear lies
-    between that start and it.  The second case is resolved in rounds of segmented scans (one or two in
-    practice), so no thread is folded in a single task.
+    between that start and it.  The second case is settled by composition (``_clears``) in a fixed number of jobs, and no
+    thread is folded in a single task.
     """
     keys = list(by)
     t = turns.withColumn("__turn", F.coalesce(F.col(turn), F.when(F.col(started), F.concat(F.lit("o"), F.col(order).cast("string")))))
     t = previous_row(t, [*keys, "__turn"], order, [order, started], "__before")
     matched = F.when(F.col("__before")[started], F.col("__before")[order])
-    t = t.withColumn("__opened", F.when(~F.col(started) & F.col("__turn").isNotNull(), matched))
-    t = cut_lineage(t.withColumn("is_clear", ~F.col(started) & F.col("__opened").isNull()).drop("__before"))
-    while True:
-        seen = carry_last(t, by, order, F.when(F.col("is_clear"), F.col(order)), "__clear", inclusive=False)
-        again = F.col("is_clear") | (~F.col(started) & F.coalesce(F.col("__clear") > F.col("__opened"), F.lit(False)))
-        nxt = cut_lineage(seen.withColumn("__next", again))
-        changed = nxt.where(F.col("__next") & ~F.col("is_clear")).limit(1).count()
-        t = nxt.withColumn("is_clear", F.col("__next")).drop("__next", "__clear")
-        if not changed:
-            break
+    t = t.withColumn("__opened", F.when(~F.col(started) & F.col("__turn").isNotNull(), matched)).drop("__before")
+    t = cut_lineage(t)  # read twice below
+    clears = _clears(t.where(~F.col(started)), keys, order)
+    t = t.join(clears, F.expr(" AND ".join(f"`{k}` <=> `__clear_{k}`" for k in [*keys, order])), "left")
+    t = cut_lineage(t.withColumn("is_clear", F.col(f"__clear_{order}").isNotNull()).drop(*[f"__clear_{k}" for k in [*keys, order]]))
     # within one epoch (between clears) the number of open turns is a running total
     t = running_total(t, by, order, F.col("is_clear").cast("bigint"), "__epoch")
     epoch = [*keys, "__epoch"]
