@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracelake.session import cut_lineage
 from tracelake.operators.segments import position
 
 # --- fixed values ---------------------------------------------------------------------------------
@@ -87,24 +88,62 @@ def pick_bucket(span_ms: float, max_buckets: int = 300) -> int:
     return CONCURRENCY_BUCKETS[-1]
 
 
+def _edges(intervals: DataFrame, by: Sequence[str], start: str, end: str, bucket_ms: int) -> DataFrame:
+    """The buckets at which the number of intervals alive changes, and by how much.
+
+    Each interval contributes +1 at its first bucket and -1 after its last one.  The end is exclusive by one ms, and an empty
+    interval fills one bucket.
+    """
+    first = F.floor(F.col(start) / bucket_ms).cast("bigint")
+    last = F.floor(F.greatest(F.col(start), F.col(end) - 1) / bucket_ms).cast("bigint")
+    rows = intervals.where(F.col(start).isNotNull()).select(*by, first.alias("__i0"), last.alias("__i1"))
+    one = lambda bucket, d: F.struct(bucket.alias("bucket"), F.lit(d).alias("d"))
+    steps = rows.select(*by, F.explode(F.array(one(F.col("__i0"), 1), one(F.col("__i1") + 1, -1))).alias("__s")).select(*by, "__s.*")
+    # a bucket where as many begin as end stays: it may be the first or the last
+    return steps.groupBy(*by, "bucket").agg(F.sum("d").alias("d"))
+
+
+def prefix_sums(rows: DataFrame, order: str, value: str, as_: str, next_: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row in the order of the unique ``order``, and the next row's ``order``.
+
+    Rows are sorted by range once; each range part is summed by itself, the few sums of parts are added up, and their
+    totals become offsets.  No task sees more than a part.
+    """
+    placed = cut_lineage(rows.orderBy(order).withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    parts = placed.groupBy("__part").agg(F.sum(value).alias("__sum"), F.min(order).alias("__low"))
+    listed = F.array_sort(F.collect_list(F.struct("__part", "__sum", "__low")))
+    grown = F.aggregate(
+        "__all", F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, x: F.struct((acc["sum"] + x["__sum"]).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")), lambda acc: acc["out"],
+    )
+    known = parts.groupBy().agg(listed.alias("__all")).select(F.posexplode(F.arrays_zip("__all", grown.alias("__before"))).alias("__i", "__p"), "__all")
+    known = known.select(F.col("__p.__all.__part").alias("__part"), F.col("__p.__before").alias("__before"), F.try_element_at("__all", F.col("__i") + 2)["__low"].alias("__following"))
+    w = Window.partitionBy("__part").orderBy(order)
+    out = placed.join(known, "__part")
+    out = out.withColumns({as_: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before"), next_: F.coalesce(F.lead(order).over(w), "__following")})
+    return out.select(*rows.columns, as_, next_)
+
+
+def concurrency_runs(intervals: DataFrame, by: Sequence[str] = (), start: str = "started_at", end: str = "ended_at", bucket_ms: int = MINUTE_MS) -> DataFrame:
+    """Intervals alive as runs ``bucket_start`` to ``run_end`` (exclusive) between changes: the result grows with the intervals, not with
+    the time between them."""
+    change = _edges(intervals, by, start, end, bucket_ms)
+    if by:
+        order = Window.partitionBy(*by).orderBy("bucket")
+        runs = change.withColumns({"__next": F.lead("bucket").over(order), "alive": F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    else:
+        runs = prefix_sums(change, "bucket", "d", "alive", "__next")
+    runs = runs.where(F.col("__next").isNotNull())
+    return runs.select(*by, (F.col("bucket") * bucket_ms).alias("bucket_start"), (F.col("__next") * bucket_ms).alias("run_end"), F.col("alive").cast("bigint").alias("alive"))
+
+
 def concurrency(
     intervals: DataFrame, by: Sequence[str] = (), start: str = "started_at", end: str = "ended_at", bucket_ms: int = MINUTE_MS
 ) -> DataFrame:
     """Intervals alive per bucket, zero-filled between the first and the last.
 
-    Each interval contributes +1 at its first bucket and -1 after its last one, so a long interval is two
-    rows, not one per bucket.  The end is exclusive by one ms, and an empty interval fills one bucket.
+    One row per bucket, also across gaps; where a wild time may open a gap, take :func:`concurrency_runs`.
     """
-    first = F.floor(F.col(start) / bucket_ms).cast("bigint")
-    last = F.floor(F.greatest(F.col(start), F.col(end) - 1) / bucket_ms).cast("bigint")
-    rows = intervals.where(F.col(start).isNotNull()).select(*by, first.alias("__i0"), last.alias("__i1"))
-    steps = rows.select(
-        *by, F.explode(F.array(F.struct(F.col("__i0").alias("bucket"), F.lit(1).alias("d")), F.struct((F.col("__i1") + 1).alias("bucket"), F.lit(-1).alias("d")))).alias("__s")
-    ).select(*by, "__s.*")
-    change = steps.groupBy(*by, "bucket").agg(F.sum("d").alias("d"))
-    key = list(by)
-    edges = change.withColumn("__next", F.lead("bucket").over(Window.partitionBy(*key).orderBy("bucket")))
-    w = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    runs = edges.withColumn("alive", F.sum("d").over(w)).where(F.col("__next").isNotNull())
-    dense = runs.withColumn("bucket", F.explode(F.sequence(F.col("bucket"), F.col("__next") - 1)))
-    return dense.select(*by, (F.col("bucket") * bucket_ms).alias("bucket_start"), F.col("alive").cast("bigint").alias("alive"))
+    runs = concurrency_runs(intervals, by, start, end, bucket_ms)
+    dense = runs.withColumn("bucket_start", F.explode(F.sequence(F.col("bucket_start"), F.col("run_end") - bucket_ms, F.lit(bucket_ms).cast("bigint"))))
+    return dense.select(*by, "bucket_start", "alive")

@@ -28,6 +28,7 @@ from tracelake.functions.topic_text import (
     title_tokens,
     title_words,
 )
+from tracelake.operators.components import components
 from tracelake.operators.changes import facts_hash
 from tracelake.session import cut_lineage
 
@@ -288,26 +289,56 @@ def merge_titles(
     return rows.withColumn("id", F.array_join("__tokens", " ")).join(found, [*scope, "id"]).drop("id", "__tokens")
 
 
+def similar_pairs(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope: Sequence[str] = (), threshold: float = MERGE_THRESHOLD) -> DataFrame:
+    """All pairs (``id_a`` < ``id_b``) of sets of one scope whose Jaccard similarity reaches the threshold, with it.
+
+    A positional prefix index: tokens are ordered from rare to frequent, and each set has one posting (token, id, size,
+    position) for each of its first n - ceil(threshold * n) + 1 tokens, so the index grows with the tokens and holds no
+    set.  Two similar sets meet in it.  Sizes, and what both sets have left from the first shared token on, rule out pairs
+    before any set is fetched.
+    """
+    scope = list(scope)
+    s = sets.withColumn(tokens, F.array_distinct(tokens)).where(F.size(tokens) > 0)
+    n = F.size(tokens)
+    exploded = s.select(*scope, id, n.alias("n"), F.explode(tokens).alias("token"))
+    freq = exploded.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df"))
+    # one row per set; a title has a bounded number of words
+    ranked = exploded.join(freq, [*scope, "token"]).groupBy(*scope, id, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__r"))
+    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    postings = ranked.select(*scope, id, "n", F.posexplode(F.slice("__r", F.lit(1), first)).alias("at", "t")).select(*scope, id, "n", "at", F.col("t.token").alias("token"))
+    postings = cut_lineage(postings)
+    other = postings.select(*scope, "token", F.col(id).alias("__id"), F.col("n").alias("__n"), F.col("at").alias("__at"))
+    fits = F.least("n", "__n") >= F.greatest("n", "__n") * threshold - 1e-9
+    met = postings.join(other, [*scope, "token"]).where((F.col(id) < F.col("__id")) & fits)
+    met = met.select(*scope, F.col(id).alias("id_a"), F.col("__id").alias("id_b"), (F.col("n") + F.col("__n")).alias("both"), F.least(F.col("n") - F.col("at"), F.col("__n") - F.col("__at")).alias("rest"))
+    pairs = met.groupBy(*scope, "id_a", "id_b").agg(F.max("both").alias("both"), F.max("rest").alias("rest"))
+    pairs = pairs.where(F.col("rest") >= F.col("both") * (threshold / (1 + threshold)) - 1e-9).select(*scope, "id_a", "id_b")
+    own = lambda k: s.select(*scope, F.col(id).alias(f"id_{k}"), F.col(tokens).alias(f"__{k}"))
+    scored = pairs.join(own("a"), [*scope, "id_a"]).join(own("b"), [*scope, "id_b"]).withColumn("jaccard", _set_jaccard(F.col("__a"), F.col("__b")))
+    return scored.where(F.col("jaccard") >= threshold).select(*scope, "id_a", "id_b", "jaccard")
+
+
 def jaccard_pairs(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope: Sequence[str] = (), threshold: float = MERGE_THRESHOLD) -> DataFrame:
     """Each token set (``id_b``) with the most similar earlier set at or above the threshold (the smallest id among equals).
 
-    Candidates come from the prefix index.  One partner per set says what groups with what; all pairs of a group of n
-    near copies would be n² rows.
+    That is one link per set; which sets belong together by all links says :func:`jaccard_groups`.
     """
     scope = list(scope)
-    s = sets.withColumn(tokens, F.array_distinct(tokens))
-    keys = similarity_keys(s, id, tokens, scope, threshold)
-    a = keys.join(s.select(*scope, id, tokens), [*scope, id])
-    b = a.select(*scope, "key", F.col(id).alias("__id"), F.col(tokens).alias("__t"))
-    hits = a.join(b, [*scope, "key"]).where(F.col(id) < F.col("__id"))
-    score = _set_jaccard(F.col(tokens), F.col("__t"))
-    return (
-        hits.withColumn("__score", score)
-        .where(F.col("__score") >= threshold)
-        .groupBy(*scope, F.col("__id").alias("id_b"))
-        .agg(F.min_by(F.struct(F.col(id).alias("id_a"), F.col("__score").alias("jaccard")), F.struct(-F.col("__score"), F.col(id))).alias("__best"))
-        .select(*scope, "__best.id_a", "id_b", "__best.jaccard")
-    )
+    best = F.min_by(F.struct("id_a", "jaccard"), F.struct(-F.col("jaccard"), F.col("id_a"))).alias("__best")
+    found = similar_pairs(sets, id, tokens, scope, threshold).groupBy(*scope, "id_b").agg(best)
+    return found.select(*scope, "__best.id_a", "id_b", "__best.jaccard")
+
+
+def jaccard_groups(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope: Sequence[str] = (), threshold: float = MERGE_THRESHOLD) -> DataFrame:
+    """Every token set with its number of ``links`` and its ``group``: the smallest id that links reach, itself included.
+
+    Ids must be unique over all scopes.
+    """
+    pairs = cut_lineage(similar_pairs(sets, id, tokens, scope, threshold).select("id_a", "id_b"))
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias(id)).groupBy(id).agg(F.count(F.lit(1)).alias("links"))
+    roots = components(pairs, "id_a", "id_b").withColumnRenamed("node", id)
+    out = sets.select(*scope, id).join(ends, id, "left").join(roots, id, "left")
+    return out.select(*scope, id, F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.coalesce("root", id).alias("group"))
 
 
 def title_slots(c: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:

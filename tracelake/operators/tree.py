@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.session import cut_lineage
 
@@ -165,6 +165,31 @@ def collapse_finished(
     return tree.join(shown, [*by, id], "left_semi")
 
 
+def pick_collapsed(
+    tree: DataFrame, finished: Column, room: int, end: str = "ended_at", id: str = "id", by: Sequence[str] = (), main: Column | None = None
+) -> DataFrame:
+    """Like :func:`collapse_finished`, with room for ``room`` more rows per tree, and the column ``hidden`` (rows that found none).
+
+    All collapsed nodes show if they fit.  Otherwise one row is left for the note that more are hidden, and the others go to
+    those that ended last (then by id); what shows keeps its ancestors.  The rank limit comes before any other sort.
+    """
+    shown = collapse_finished(tree, finished, id, by, main).select(*by, id)
+    hidden = tree.join(shown, [*by, id], "left_anti")
+    sizes = hidden.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else hidden.agg(F.count(F.lit(1)).alias("__n"))
+    newest = Window.partitionBy(*by).orderBy(F.col(end).desc_nulls_last(), F.col(id))
+    near = hidden.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= max(room, 0))
+    near = near.join(sizes, list(by)) if by else near.crossJoin(sizes)
+    picked = near.where((F.col("__n") <= room) | (F.lit(room > 1) & (F.col("__r") < room)))
+    left = picked.groupBy(*by).agg(F.count(F.lit(1)).alias("__p"))
+    keep = shown.unionByName(picked.select(*by, F.explode("path").alias(id))).distinct()
+    out = tree.join(keep, [*by, id], "left_semi")
+    if by:
+        out = out.join(sizes, list(by), "left").join(left, list(by), "left")
+    else:
+        out = out.crossJoin(sizes).crossJoin(left)
+    return out.withColumn("hidden", F.coalesce("__n", F.lit(0)) - F.coalesce("__p", F.lit(0))).drop("__n", "__p")
+
+
 def add_missing_ancestors(
     selected: DataFrame, all_rows: DataFrame, id: str = "id", parent: str = "parent", passes: int | None = None
 ) -> DataFrame:

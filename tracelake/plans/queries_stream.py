@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracelake.functions.text import local_day
 from tracelake.operators.usage import dedup_usage
 from tracelake.plans.binding import EVENTS_SQL, table
-from tracelake.streaming import jobs, versions
+from tracelake.session import shared_folder
+from tracelake.streaming import jobs, tail, versions
 
 #: Micro-batches that the event table is landed as.
 BATCHES = 4
@@ -29,13 +29,8 @@ def query(sql: str | None = None):
 
 
 def _run_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="tracelake-stream-")
-    return f"{base}/run-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,3 +125,83 @@ def stream_change_feed(spark, sf):
     told = spark.read.parquet(f"{where}/feed").select("user_id").distinct()
     kept = versions.current(spark, f"{where}/store", ["user_id"], "user_id bigint, newest bigint")
     return kept.join(told, "user_id", "left_semi").select("user_id", F.col("newest").alias("last_seen"))
+
+
+# ---------------------------------------------------------------------------------------------- landed chunks (S16, ST1, ST7)
+_LINES = """l AS (SELECT 'u' || CAST(user_id % 7 AS VARCHAR) AS file, CAST(event_id >= 6000 AS INTEGER) AS epoch, event_id // 1500 AS chunk, event_id,
+      CAST(event_id AS VARCHAR) || ',' || event_type || CASE WHEN event_id % 3 = 0 THEN ' é' ELSE '' END AS body, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS cr FROM events),
+    o AS (SELECT *, octet_length(encode(body)) + cr + 1 AS size FROM l),
+    p AS (SELECT *, sum(size) OVER (PARTITION BY file, epoch ORDER BY event_id) - size AS ord FROM o)"""
+
+
+@query(f"WITH {_LINES} SELECT file, epoch, count(*) AS n, CAST(sum(ord) AS BIGINT) AS offsets, CAST(max(ord) AS BIGINT) AS last, CAST(sum(event_id) AS BIGINT) AS ids, sum(length(body)) AS chars FROM p GROUP BY 1, 2")
+def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw bytes to lines: several chunks a log, line ends of both kinds, and a truncated log (a new epoch starts at 0)."""
+    run = _run_dir(spark)
+    e = table(spark, sf, "events")
+    body = F.concat_ws(",", F.col("event_id").cast("string"), "event_type")
+    body = F.concat(body, F.when(F.col("event_id") % 3 == 0, F.lit(" é")).otherwise(""), F.when(F.col("event_id") % 2 == 0, F.lit("\r")).otherwise(""))
+    rows = e.select(
+        F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("file"), (F.col("event_id") >= 6000).cast("int").alias("epoch"), F.expr("event_id div 1500").alias("chunk"), "event_id", body.alias("value")
+    )
+    sizes = rows.groupBy("file", "epoch", "chunk").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    before = F.sum("bytes").over(Window.partitionBy("file", "epoch").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.select("file", "epoch", "chunk", F.coalesce(before, F.lit(0)).cast("bigint").alias("offset"))
+    landed = rows.join(placed, ["file", "epoch", "chunk"]).repartition("file", "epoch", "offset").sortWithinPartitions("file", "epoch", "offset", "event_id")
+    landed.select("file", "epoch", "offset", "value").write.partitionBy("file", "epoch", "offset").text(f"{run}/landed")
+    lines = tail.read_chunks(spark, f"{run}/landed", max_files=9).select("file", "epoch", "ord", "value")
+    q = lines.writeStream.format("parquet").option("checkpointLocation", f"{run}/ck").option("path", f"{run}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema(lines.schema).parquet(f"{run}/out")
+    return out.groupBy("file", "epoch").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ord").alias("offsets"), F.max("ord").alias("last"), F.sum(F.split("value", ",")[0].cast("bigint")).alias("ids"), F.sum(F.length("value")).alias("chars")
+    )
+
+
+def _in_time(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
+    """The event table landed batch after batch in the order of time; with ``late`` every tenth row comes one batch later."""
+    landed = f"{_run_dir(spark)}/landed"
+    events = table(spark, sf, "events")
+    batch = F.least(F.floor(F.dayofmonth("ts") / 8), F.lit(BATCHES - 1))
+    dealt = events.withColumn("deal", batch + F.when(F.lit(late) & (F.col("event_id") % 10 == 0), 1).otherwise(0))
+    for k in range(BATCHES + late):
+        dealt.where(F.col("deal") == k).coalesce(1).write.mode("append").parquet(landed)
+    e = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    return e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day"))
+
+
+@query("SELECT user_id, count(*) AS days, min(day) AS first_day FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events) GROUP BY 1")
+def stream_first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the lines of a user and day the first that comes stays; what is remembered of a day leaves with the watermark."""
+    run = _run_dir(spark)
+    first = jobs.stream_usage_first(_in_time(spark, sf), ["user_id", "day"], "ts", "1 day").select("user_id", "day")
+    q = first.writeStream.format("parquet").option("checkpointLocation", f"{run}/ck").option("path", f"{run}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(first.schema).parquet(f"{run}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("days"), F.min("day").alias("first_day"))
+
+
+_SLIDING = "SELECT (epoch_ms(ts) // {slide} - i) * {slide} AS window_start, count(*) AS n FROM events, (SELECT unnest(range({k})) AS i) GROUP BY 1"
+
+
+def _rolling(spark: SparkSession, sf: str, size: str, slide: str) -> DataFrame:
+    """The last count of every sliding window, from updates over several batches with late rows."""
+    run = _run_dir(spark)
+    counts = jobs.stream_activity(_in_time(spark, sf, late=True), (), "ts", "17 days", size, slide)
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{run}/out/batch={batch_id}")
+
+    versions.start(counts, flush, f"{run}/ck", {"availableNow": True}, "update").awaitTermination()
+    return spark.read.parquet(f"{run}/out").groupBy("window_start").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query(_SLIDING.format(slide=600_000, k=3))
+def stream_rolling_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of the last 30 minutes, every 10 minutes."""
+    return _rolling(spark, sf, "30 minutes", "10 minutes")
+
+
+@query(_SLIDING.format(slide=900_000, k=4))
+def stream_rolling_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of the last hour, every quarter."""
+    return _rolling(spark, sf, "1 hour", "15 minutes")

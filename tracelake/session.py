@@ -31,6 +31,17 @@ def build_session(app: str = "tracelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors reach: ``spark.checkpoint.dir``.  One of our own is made only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="tracelake-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint an iterative result into the shared folder named by ``spark.checkpoint.dir``.
 
@@ -42,7 +53,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             path = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
         sc.setCheckpointDir(path)

@@ -2,7 +2,8 @@
 
 Logs are landed as chunk files by whatever ships them (every log shipper rotates): ``<file>.<epoch>.<offset>`` holds the
 bytes of ``<file>`` from ``<offset>`` on, ends at a line end, and never changes.  The epoch goes up when a file was
-truncated, so state kept by (file, epoch) starts over.  A file without that suffix is its own first chunk.  Spark's file
+truncated, so state kept by (file, epoch) starts over.  A chunk written by a job lies in folders instead:
+``file=<file>/epoch=<epoch>/offset=<offset>/part``.  A file that is neither is its own first chunk.  Spark's file
 source finds new chunks; executors read them, and nothing is read on the driver.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracelake.sources.files import plain_path
 
 _CHUNK = "^(.*)\\.(\\d+)\\.(\\d+)$"
+_FOLDERS = "/file=([^/]+)/epoch=(\\d+)/offset=(\\d+)/[^/]+$"
 LINES = "file string, epoch int, ord bigint, value string, mtime bigint"
 
 
@@ -45,10 +47,11 @@ def read_chunks(spark: SparkSession, path: str, max_files: int | None = None) ->
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     name = plain_path(F.col("_metadata.file_path"))
-    chunk = name.rlike(_CHUNK)
-    number = lambda g: F.when(chunk, F.regexp_extract(name, _CHUNK, g)).otherwise("0")
+    chunk, folders = name.rlike(_CHUNK), name.rlike(_FOLDERS)
+    part = lambda g: F.when(folders, F.regexp_extract(name, _FOLDERS, g)).when(chunk, F.regexp_extract(name, _CHUNK, g))
+    number = lambda g: F.coalesce(part(g), F.lit("0"))
     rows = reader.text(path, wholetext=True).select(
-        F.when(chunk, F.regexp_extract(name, _CHUNK, 1)).otherwise(name).alias("file"), number(2).cast("int").alias("epoch"), number(3).cast("bigint").alias("ord"),
+        F.coalesce(part(1), name).alias("file"), number(2).cast("int").alias("epoch"), number(3).cast("bigint").alias("ord"),
         "value", F.unix_millis("_metadata.file_modification_time").alias("mtime"),
     )
     return rows.mapInArrow(_lines, LINES)
