@@ -165,6 +165,31 @@ def collapse_finished(
     return tree.join(shown, [*by, id], "left_semi")
 
 
+def accept_links(links: DataFrame, child: str = "child", target: str = "target", order: str = "order") -> DataFrame:
+    """The links that are taken when they come in the order of the unique ``order``: each child takes the first that closes no cycle.
+
+    child is a root that may be hung below another root (target).  Every child first picks its earliest link, which makes a
+    functional graph.  The latest link of each of its cycles is one that comes when all others of the cycle are there, so it is
+    refused and its child picks its next one; without cycles all picks stand.  Cycles are found by pointer doubling, in which
+    children whose way ends at a root drop out.
+    """
+    left = cut_lineage(links.select(child, target, order))
+    while True:
+        picked = cut_lineage(left.groupBy(child).agg(F.min_by(F.struct(target, order), order).alias("l")).select(child, f"l.{target}", f"l.{order}"))
+        walk = picked.select(F.col(child).alias("c"), F.col(target).alias("at"), F.col(order).alias("most"))
+        open_, reach = walk.count(), 1
+        while open_ and reach < open_:
+            ahead = walk.select(F.col("c").alias("k"), F.col("at").alias("next"), F.col("most").alias("later"))
+            walk = cut_lineage(walk.join(ahead, F.col("at") == F.col("k")).select("c", F.col("next").alias("at"), F.greatest("most", "later").alias("most")))
+            open_, reach = walk.count(), reach * 2
+        if open_ == 1:  # one left: does it point at itself?
+            open_ = walk.where(F.col("c") == F.col("at")).count()
+        if not open_:
+            return picked
+        on_cycle = walk.select(F.col("at").alias("c")).distinct().join(walk, "c").select(F.col("most").alias(order)).distinct()
+        left = cut_lineage(left.join(on_cycle, order, "left_anti").select(child, target, order))
+
+
 def pick_collapsed(
     tree: DataFrame, finished: Column, room: int, end: str = "ended_at", id: str = "id", by: Sequence[str] = (), main: Column | None = None
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from tracelake.functions.text import clip_line, mask_secrets, nz, safe_text
 from tracelake.operators import sessions as S
 from tracelake.operators.activity import activity_buckets, tick_offsets
 from tracelake.operators.state import end_columns, infer_state
-from tracelake.operators.tree import resolve_tree, valid_parents, walk_chain
+from tracelake.operators.tree import accept_links, resolve_tree, valid_parents, walk_chain
 from tracelake.plans.part_store import iso_text
 from tracelake.plans.tool_calls import chain_call
 from tracelake.session import cut_lineage
@@ -172,10 +172,13 @@ def nodes(sessions: DataFrame, entries: DataFrame, now: int, recent_ms: int = 86
     owner = scoped.select(F.col("native_id").alias("session_id"), F.col("root").alias("__owner_root"), F.col("project_id").alias("__project"))
     named = refs.join(owner, "session_id").where(F.col("session_id") != F.col("child_id"))
     title = named.groupBy(F.col("child_id").alias("native_id")).agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.struct("session_id", "pos"))).alias("ref_title"))
-    # a reference sets the parent of a root, unless the owner hangs under that root already
-    adopt = named.where(F.col("__owner_root") != F.col("child_id")).groupBy(F.col("child_id").alias("native_id"), F.col("__project").alias("project_id")).agg(
-        F.min_by("session_id", F.struct("session_id", "pos")).alias("__adopter")
-    )
+    # references are taken in the order of (session, position); one sets the parent of a root, unless the owner hangs under
+    # that root already, also by a reference taken before
+    roots = scoped.where(F.col("native_id") == F.col("root")).select(F.col("native_id").alias("child_id"), F.col("project_id").alias("__project"))
+    loose = named.where(F.col("__owner_root") != F.col("child_id")).join(roots, ["child_id", "__project"], "left_semi")
+    loose = loose.select("child_id", F.col("__owner_root").alias("target"), F.struct("session_id", "pos", "__project").alias("order"))
+    taken = accept_links(loose, "child_id")
+    adopt = taken.select(F.col("child_id").alias("native_id"), F.col("order.__project").alias("project_id"), F.col("order.session_id").alias("__adopter"))
     linked = scoped.drop("root", "depth", "path").join(title, "native_id", "left").join(adopt, ["native_id", "project_id"], "left")
     linked = linked.withColumn("parent", F.coalesce("parent", "__adopter")).drop("__adopter", "__newest").join(an, "native_id", "left")
     linked = linked.withColumns(
