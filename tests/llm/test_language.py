@@ -77,3 +77,11 @@ def test_segments_of_any_batch_give_the_same(monkeypatch):
     two = language.pooled(net, texts)
     assert np.allclose(one, two, atol=1e-5)
     assert np.allclose(one.sum(axis=1), [1.0 if t else 0.0 for t in texts], atol=1e-4)
+
+
+def test_every_label_is_learned(spark):
+    """More labels than any fixed number of frequent ones: a rare one is among what can be predicted."""
+    rows = [(100 * k + j, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} " * 20, f"l{k:02d}") for k in range(70) for j in range(3 if k else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(docs, F.lit(True), rows_per_language=3, rounds=2)
+    assert len(net.languages) == 70

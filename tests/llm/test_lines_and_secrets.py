@@ -95,6 +95,10 @@ def test_secret_edges(spark):
     back = secrets.background(df)
     assert secrets.train(df, back) == []
     assert len(secrets.scanned(df, back, []).collect()) == len(rows)
+    # without a forest the form decides; not everything is a secret
+    some = spark.createDataFrame([(1, 'password = "Tr0ub4dor" and Ab3dEf9hIj2 alone', "en", "s", 1)], DOCS)
+    [r] = secrets.scanned(some, back, []).collect()
+    assert [(f.value, f.score) for f in r.findings] == [("Tr0ub4dor", 1.0), ("Ab3dEf9hIj2", 0.0)]
     empty = spark.createDataFrame([], DOCS)
     assert secrets.scanned(empty, secrets.background(empty), []).count() == 0
 

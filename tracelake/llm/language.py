@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracelake.llm.common import col
 
 HIDDEN, STEPS, BATCH, EPOCH_STEPS, RATE = 8, 64, 128, 320, 0.02
-#: Labelled rows of each language that are sampled (by a hash), languages, and excerpts of each row.
-ROWS_PER_LANGUAGE, LANGUAGES, EXCERPTS = 400, 64, 4
+#: Labelled rows of each language and in total that are sampled (by a hash), and excerpts of each row.  Every label is learned.
+ROWS_PER_LANGUAGE, TRAIN_ROWS, EXCERPTS = 400, 25_600, 4
 #: Bytes of a segment in prediction, and segments computed side by side.
 SEGMENT, SIDE_BY_SIDE = 256, 2048
 UNDETERMINED = "und"
@@ -192,11 +192,12 @@ def _excerpts(texts: pd.Series) -> pd.Series:
 
 
 def train(docs: DataFrame, usable: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, **options) -> Network | None:
-    """Fit on a hash sample of the ``usable`` rows with a label: about ``rows_per_language`` of each language."""
+    """Fit on a hash sample of the ``usable`` rows with a label: about ``rows_per_language`` of each language, of very many fewer each."""
     rows = docs.where(usable).select(col(id).cast("string").alias("i"), col(text).cast("string").alias("t"), col(lang).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()}
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy("l").collect()}
     if not counts:
         return None
+    rows_per_language = max(1, min(rows_per_language, TRAIN_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * rows_per_language / n))])
     drawn = rows.where(F.pmod(F.xxhash64("i", "l"), F.lit(1_000_000)) < F.element_at(share, F.col("l")) * 1_000_000)
     drawn = drawn.limit(2 * rows_per_language * len(counts)).select("l", "i", F.pandas_udf(_excerpts, "array<binary>")("t").alias("e"))
