@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracelake.session import cut_lineage
 
 # --- fixed values: price table ----------------------------------------------------------------------
-# (model, pattern, input, output, cache write, cache write 1h, cache read, verified)
+# US dollars a million tokens; (model, pattern, input, output, cache write, cache write 1h, cache read)
 _SNAPSHOT = "(?:-\\d{8})?"
 _DATED = "(?:-\\d{4}-\\d{2}-\\d{2})?"
 LINE_LOG_PRICES = [

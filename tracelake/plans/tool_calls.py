@@ -12,8 +12,8 @@ KINDS = {
     "line_log": {
         "Bash": "bash", "BashOutput": "bash", "KillShell": "bash", "PowerShell": "bash",
         "Edit": "edit", "MultiEdit": "edit", "NotebookEdit": "edit", "Write": "write",
-        "Read": "read", "NotebookRead": "read", "LS": "read",
-        "Grep": "search", "Glob": "search", "ToolSearch": "search",
+        "Read": "read", "NotebookRead": "read",
+        "Grep": "search", "Glob": "search", "ToolSearch": "search", "LS": "read",
         "Agent": "agent", "Task": "agent", "WebFetch": "web", "WebSearch": "web",
         "TodoWrite": "todo", "TaskCreate": "todo", "TaskUpdate": "todo",
         "SendMessage": "message", "Skill": "skill",
