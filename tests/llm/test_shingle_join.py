@@ -65,3 +65,15 @@ def test_ids_and_repeated_rows(spark):
     got = shingle_join.near_groups(docs).collect()
     assert sorted((r.component_id is None, r.component_id, r.kept) for r in got) == [(False, 3, False), (False, 3, False), (False, 3, True), (False, 9, True), (True, None, True)]
     assert shingle_join.near_groups(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 30, 400, 5000])
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(length):
+    rng = random.Random(length)
+    base = prose(rng, length)
+    for edits in (0, 1, min(9, length), length // 2):
+        a, b = base, edited(rng, base, edits)
+        differ = len(set(shingle_join.shingles(a)) ^ set(shingle_join.shingles(b)))
+        words = shingle_join.sketch(a) ^ shingle_join.sketch(b)
+        assert sum(int(w).bit_count() for w in words.view("u8")) <= differ
+    assert not (shingle_join.sketch(None) ^ shingle_join.sketch("  \n")).any()
