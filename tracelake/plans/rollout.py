@@ -361,7 +361,7 @@ def nodes(lines: DataFrame, now: int, threads: DataFrame | None = None, edges: D
     out = out.join(answered.withColumn("__answered", F.lit(True)), ["thread_id", "last_call_id"], "left").join(asked, ["thread_id", "last_call_id"], "left")
     pending = F.col("__answered").isNull() & F.col("last_call_id").isNotNull() & (F.col("__asked") > F.col("emptied_at"))
     out = out.withColumn("last_action", F.when((F.col("state") == "running") & pending, F.col("last_call"))).drop("__answered", "__asked", "last_call")
-    spawned = _spawn_calls(lines)
+    spawned = spawn_calls(lines)
     out = out.join(spawned, (out["parent"] == spawned["__owner"]) & (out["task"] == spawned["__task"]), "left").drop("__owner", "__task")
     ticks = lines.where((F.col("type") == "response_item") & F.col("ptype").isin("function_call", "custom_tool_call"))
     starts = out.select("thread_id", "started_at")
@@ -374,7 +374,7 @@ def nodes(lines: DataFrame, now: int, threads: DataFrame | None = None, edges: D
     return out.drop(*drop)
 
 
-def _spawn_calls(lines: DataFrame) -> DataFrame:
+def spawn_calls(lines: DataFrame) -> DataFrame:
     """Calls that start an agent, by owner thread and task name (the latest one)."""
     p = F.col("p")
     calls = lines.where((F.col("ptype") == "function_call") & F.endswith(p["name"], F.lit("spawn_agent")) & nz(p["call_id"]).isNotNull())
