@@ -123,8 +123,8 @@ def _part_store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
 @query(
     f"""WITH RECURSIVE c AS (SELECT *, c_custkey AS k, CASE WHEN c_custkey % 11 > 0 THEN c_custkey // 3 END AS up, 'ses_' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id FROM customer),
     r AS (SELECT k, k AS root FROM c WHERE up IS NULL UNION ALL SELECT c.k, r.root FROM r JOIN c ON c.up = r.k),
-    m AS (SELECT o_custkey AS k, o_orderkey AS o, epoch_ms(o_orderdate) AS at, epoch_ms(o_orderdate) + o_orderkey % {DAY_MS} AS seen FROM orders),
-    said AS (SELECT k, o, CASE o % 5 WHEN 0 THEN 'MessageAbortedError' WHEN 1 THEN 'Boom' WHEN 2 THEN 'Error' END AS err FROM m WHERE o % 3 > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY at DESC, o DESC) = 1),
+    m AS (SELECT o_custkey AS k, o_orderkey AS o, epoch_ms(o_orderdate) AS asof_ms, epoch_ms(o_orderdate) + o_orderkey % {DAY_MS} AS seen FROM orders),
+    said AS (SELECT k, o, CASE o % 5 WHEN 0 THEN 'MessageAbortedError' WHEN 1 THEN 'Boom' WHEN 2 THEN 'Error' END AS err FROM m WHERE o % 3 > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY asof_ms DESC, o DESC) = 1),
     p AS (SELECT m.*, l_linenumber AS ln FROM lineitem JOIN m ON o = l_orderkey),
     tally AS (SELECT k, min(seen) AS first_at, count(*) FILTER (WHERE ln % 2 = 0) AS tool_calls FROM p GROUP BY k),
     asked AS (SELECT DISTINCT k, 'ask ' || CAST(o AS VARCHAR) AS prompt FROM (SELECT * FROM p WHERE ln % 2 = 1 AND ln NOT IN (5, 7) AND o % 3 = 0 QUALIFY rank() OVER (PARTITION BY k ORDER BY seen DESC, o DESC) = 1)),
