@@ -8,37 +8,45 @@ from tracelake.functions.text import WS, WS_CHARS, bound, col, js_trim, let
 
 # --- fixed values: word lists -----------------------------------------------------------------------
 #: Prefixes that look like ticket keys but are standards, algorithms or versions.
-TICKET_STOP = (
-    "UTF SHA ISO HTTP HTTPS TLS SSL RFC CVE AES RSA MD IPV GPT ECMA TCP UDP HS RS ES PBKDF "
-    "COVID SQL PDF USB WIN ASCII BASE OAUTH H X IEEE ANSI RGB HSL CRC BLAKE SHAKE HMAC ARM AMD "
-    "GHSA PEP NODE PYTHON LLAMA CLAUDE OPUS SONNET HAIKU QWEN GEMINI CODEX UNICODE UTC GMT OS IOS MACOS "
-    "ED ECDSA EC SM DES RC CBC GCM CTR ECB POSIX LTS TS JS CSS HTML"
-).split()
+TICKET_STOP = [
+    "UTF", "SHA", "ISO", "HTTP", "HTTPS", "TLS", "SSL", "RFC", "CVE", "AES", "RSA", "MD", "IPV", "GPT", "ECMA", "TCP", "UDP", "HS", "RS",
+    "ES", "PBKDF", "COVID", "SQL", "PDF", "USB", "WIN", "ASCII", "BASE", "OAUTH", "H", "X", "IEEE", "ANSI", "RGB", "HSL", "CRC", "BLAKE",
+    "SHAKE", "HMAC", "ARM", "AMD", "GHSA", "PEP", "NODE", "PYTHON", "LLAMA", "CLAUDE", "OPUS", "SONNET", "HAIKU", "QWEN", "GEMINI",
+    "CODEX", "UNICODE", "UTC", "GMT", "OS", "IOS", "MACOS", "ED", "ECDSA", "EC", "SM", "DES", "RC", "CBC", "GCM", "CTR", "ECB", "POSIX",
+    "LTS", "TS", "JS", "CSS", "HTML",
+]
 #: Words that never count as title words.
-TITLE_STOP = (
-    "the and for with from into that this fix add update check run make use new all not are bir ile için ve bu şu her "
-    "den dan gibi daha olan yap yapma kontrol et ama veya sonra önce"
-).split()
+TITLE_STOP = [
+    "the", "and", "for", "with", "from", "into", "that", "this", "fix", "add", "update", "check", "run", "make", "use", "new", "all",
+    "not", "are", "bir", "ile", "için", "ve", "bu", "şu", "her", "den", "dan", "gibi", "daha", "olan", "yap", "yapma", "kontrol", "et",
+    "ama", "veya", "sonra", "önce",
+]
 #: Greetings and placeholders: a title made of these says nothing.
-GENERIC_WORDS = (
-    "selam merhaba naber canım master masteng greeting casual turkish hello goal test deneme yeni sohbet chat session "
-    "oturum selamlaşma"
-).split()
+GENERIC_WORDS = [
+    "selam", "merhaba", "naber", "canım", "master", "masteng", "greeting", "casual", "turkish", "hello", "goal", "test", "deneme", "yeni",
+    "sohbet", "chat", "session", "oturum", "selamlaşma",
+]
 #: Words of development work that say nothing about the subject.
-DEV_WORDS = (
-    "remove verify check audit scan build refresh update write gather measure declare bump prune only page pages analysis "
-    "review plan investigation cleanup clean sweep alert done read prod production with after before other finish compress "
-    "apply state issue issues work kontrol incele inceleme düzelt ekle sil tara ölç hazırla bitir sonra önce test tests "
-    "script config code case cases part parts slice step steps task tasks final full real data make sure ready readiness"
-).split()
+DEV_WORDS = [
+    "remove", "verify", "check", "audit", "scan", "build", "refresh", "update", "write", "gather", "measure", "declare", "bump", "prune",
+    "only", "page", "pages", "analysis", "review", "plan", "investigation", "cleanup", "clean", "sweep", "alert", "done", "read", "prod",
+    "production", "with", "after", "before", "other", "finish", "compress", "apply", "state", "issue", "issues", "work", "kontrol",
+    "incele", "inceleme", "düzelt", "ekle", "sil", "tara", "ölç", "hazırla", "bitir", "sonra", "önce", "test", "tests", "script", "config",
+    "code", "case", "cases", "part", "parts", "slice", "step", "steps", "task", "tasks", "final", "full", "real", "data", "make", "sure",
+    "ready", "readiness",
+]
 #: Flags of the pull request command that take a value.
-PR_VALUE_FLAGS = (
-    "--limit -L --json --jq -q --repo -R --body -b --title -t --base -B --head -H --search -S --state -s --author -A "
-    "--label -l --assignee -a --template -p --milestone -m"
-).split()
+PR_VALUE_FLAGS = [
+    "--limit", "-L", "--json", "--jq", "-q", "--repo", "-R", "--body", "-b", "--title", "-t", "--base", "-B", "--head", "-H", "--search",
+    "-S", "--state", "-s", "--author", "-A", "--label", "-l", "--assignee", "-a", "--template", "-p", "--milestone", "-m",
+]
 #: Trailing folders that are dropped from a module path, and structural folders dropped from its short name.
-MODULE_TAIL = "__tests__ tests test spec __mocks__ fixtures dist build".split()
-MODULE_SKIP = "apps packages libs lib src modules app source".split()
+MODULE_TAIL = [
+    "__tests__", "tests", "test", "spec", "__mocks__", "fixtures", "dist", "build",
+]
+MODULE_SKIP = [
+    "apps", "packages", "libs", "lib", "src", "modules", "app", "source",
+]
 STEM = 5
 # --- end of fixed values ------------------------------------------------------------------------------
 

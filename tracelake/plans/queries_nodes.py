@@ -1,10 +1,10 @@
-"""Node tables of the layouts over rows built from the driver tables: chains of a chain store and sessions of a part store."""
+"""Node tables of the layouts over rows built from the driver tables: chains, sessions of a part store, threads of rollouts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelake.plans import chain_store, part_store
+from tracelake.plans import chain_store, part_store, rollout
 from tracelake.plans.binding import DAY_MS, table
 from tracelake.sources import tables
 
@@ -144,3 +144,53 @@ def part_store_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "native_id", "session_id", "parent_key", "is_main", "model", "started_at", "tool_calls", "input", "output", "total_tokens", "cost_usd", "cost_partial", "state", "last_prompt", "label", "agent_type", "end_reason", "tool_use_id"
     )
+
+
+# ---------------------------------------------------------------------------------------------- rollouts
+_THREAD = "00000000-0000-4000-8000-"
+
+
+@query(
+    f"""WITH l AS (SELECT o_custkey % 97 AS n, o_orderkey AS k, o_orderkey % 9 AS t, 1704067200000 + o_orderkey AS ms FROM orders),
+    a AS (SELECT n, min(ms) AS first_ts, max(ms) AS last_ts, count(*) FILTER (WHERE t IN (4, 5)) AS tool_calls, count(*) FILTER (WHERE t = 3) AS messages,
+      max_by('gpt-' || CAST(k % 5 AS VARCHAR), k) FILTER (WHERE t = 1 AND k % 5 > 0) AS turn_model, max_by('/w/' || CAST(k % 4 AS VARCHAR), k) FILTER (WHERE t = 1) AS turn_cwd,
+      max_by(k, k) FILTER (WHERE t = 0 AND k % 4 > 0) AS head, max_by(CASE WHEN k % 2 = 0 THEN 'high' ELSE 'low' END, k) FILTER (WHERE t = 1 AND k % 3 > 0) AS effort,
+      max_by('ask ' || CAST(k AS VARCHAR) || ' ok', k) FILTER (WHERE t = 2 AND k % 7 > 0) AS last_prompt,
+      max_by(CASE WHEN t = 4 THEN 'ls ' ELSE 'text ' END || CAST(k AS VARCHAR), k) FILTER (WHERE t IN (4, 5)) AS call, max(k) FILTER (WHERE t IN (4, 5)) AS call_k FROM l GROUP BY n)
+    SELECT '{_THREAD}' || lpad(CAST(n AS VARCHAR), 12, '0') AS thread_id, first_ts, last_ts, tool_calls, messages, turn_model, effort, last_prompt,
+      coalesce(turn_cwd, CASE WHEN head IS NOT NULL THEN '/head' END) AS cwd, CASE WHEN head IS NOT NULL THEN CASE head % 3 WHEN 0 THEN 'cli' WHEN 1 THEN 'subagent' ELSE 'desktop' END END AS source_kind,
+      CASE WHEN head % 3 = 1 THEN '{_THREAD}' || lpad(CAST(n + 1 AS VARCHAR), 12, '0') END AS parent_id, CASE WHEN head % 3 = 1 THEN CAST(head % 6 AS INTEGER) END AS depth,
+      CASE WHEN call_k % 9 = 4 THEN call END AS last_command, CASE WHEN call_k % 9 = 4 THEN 'bash' WHEN call_k IS NOT NULL THEN 'edit' END AS last_kind, 'call' || CAST(call_k AS VARCHAR) AS last_call_id FROM a"""
+)
+def rollout_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of threads: the last head that is their own, the last turn's settings, the last prompt that is no injected context, the last call."""
+    k, n = F.col("o_orderkey"), F.col("o_custkey") % 97
+    t, name = k % 9, k.cast("string")
+    thread = lambda c: F.concat(F.lit(_THREAD), F.lpad(c.cast("string"), 12, "0"))
+    none = F.lit(None).cast("string")
+    sub = F.to_json(F.struct(F.struct(F.struct(F.upper(thread(n + 1)).alias("parent_thread_id"), (k % 6).alias("depth")).alias("thread_spawn")).alias("subagent")))
+    source = F.when(k % 3 == 0, "cli").when(k % 3 == 1, sub).otherwise("vscode")
+    block = lambda c: F.struct(F.lit("input_text").alias("type"), c.alias("text"))
+    context = block(F.lit("<environment_context> x"))
+    asked = F.when(k % 7 > 0, F.to_json(F.array(context, block(F.concat(F.lit("ask "), name)), block(F.lit("ok"))))).otherwise(F.to_json(F.array(context)))
+    kinds = F.array(*[F.lit(x) for x in ("session_meta", "turn_context") + ("response_item",) * 4 + ("event_msg", "world_state", "compacted")])
+    ptype = F.when(t.isin(2, 3), "message").when(t == 4, "function_call").when(t == 5, "custom_tool_call")
+    patch = F.concat(F.lit("*** Begin Patch\n*** Update File: f"), name, F.lit("\n*** End Patch"))
+    payload = F.struct(
+        ptype.alias("type"), F.when(t == 0, F.when(k % 4 > 0, F.upper(thread(n))).otherwise(thread(n + 500))).alias("id"), F.when(t == 2, "user").when(t == 3, "assistant").alias("role"),
+        F.when(t == 4, "shell").when(t == 5, "apply_patch").alias("name"), F.when(t.isin(4, 5), F.concat(F.lit("call"), name)).alias("call_id"),
+        F.when(t == 4, F.to_json(F.struct(F.concat(F.lit("ls "), name).alias("command")))).alias("arguments"), F.when(t == 5, patch).alias("input"), F.when(t == 2, asked).alias("content"),
+        F.when(t == 1, F.when(k % 5 > 0, F.concat(F.lit("gpt-"), (k % 5).cast("string"))).otherwise("")).alias("model"),
+        F.when(t == 0, "/head").when(t == 1, F.concat(F.lit("/w/"), (k % 4).cast("string"))).alias("cwd"),
+        F.when((t == 1) & (k % 3 == 1), F.when(k % 2 == 0, "high").otherwise("low")).alias("effort"),
+        F.when((t == 1) & (k % 3 == 2), F.when(k % 2 == 0, "high").otherwise("low")).alias("reasoning_effort"), F.when(t == 0, source).otherwise(none).alias("source"),
+    )
+    at = F.date_format(F.timestamp_millis(F.lit(1_704_067_200_000) + k), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    value = F.to_json(F.struct(at.alias("timestamp"), F.get(kinds, t.cast("int")).alias("type"), payload.alias("payload")))
+    raw = table(spark, sf, "orders").select(F.lit("f").alias("file"), thread(n).alias("thread_id"), k.alias("ord"), value.alias("value"))
+    f = rollout.thread_facts(rollout.parse_lines(raw))
+    call, src = F.col("last_call"), F.col("meta_source")
+    return f.select(
+        "thread_id", "first_ts", "last_ts", "tool_calls", "messages", "turn_model", "effort", "last_prompt", "cwd", src["kind"].alias("source_kind"), src["parent_id"].alias("parent_id"), src["depth"].alias("depth"),
+        F.when(call["kind"] == "bash", call["target"]).alias("last_command"), call["kind"].alias("last_kind"), "last_call_id",
+    )
