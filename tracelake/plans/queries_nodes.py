@@ -1,10 +1,10 @@
-"""Node tables of the layouts over rows built from the driver tables: chains, sessions of a part store, threads of rollouts."""
+"""Node tables and tool calls of the layouts over rows built from the driver tables: chains, part store sessions, rollout threads, calls."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelake.plans import chain_store, part_store, rollout
+from tracelake.plans import chain_store, part_store, rollout, tool_calls
 from tracelake.plans.binding import DAY_MS, table
 from tracelake.sources import tables
 
@@ -194,3 +194,53 @@ def rollout_facts(spark: SparkSession, sf: str) -> DataFrame:
         "thread_id", "first_ts", "last_ts", "tool_calls", "messages", "turn_model", "effort", "last_prompt", "cwd", src["kind"].alias("source_kind"), src["parent_id"].alias("parent_id"), src["depth"].alias("depth"),
         F.when(call["kind"] == "bash", call["target"]).alias("last_command"), call["kind"].alias("last_kind"), "last_call_id",
     )
+
+
+# ---------------------------------------------------------------------------------------------- tool calls
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS t, CAST(o_orderkey AS VARCHAR) AS n FROM orders)
+    SELECT k, CASE t WHEN 0 THEN 'bash' WHEN 1 THEN 'read' WHEN 2 THEN 'search' WHEN 3 THEN 'mcp' WHEN 4 THEN 'edit' WHEN 5 THEN 'other' WHEN 6 THEN 'agent' ELSE 'write' END AS kind,
+      CASE t WHEN 0 THEN 'ls ' || n WHEN 1 THEN '…/c/d/f' || n || '.ts' WHEN 2 THEN 'p' || n || ' · …/b/c' WHEN 3 THEN 'srv · do: x' || n WHEN 4 THEN '/x/f' || n WHEN 5 THEN 'b' || n WHEN 6 THEN 'task ' || n ELSE 'plain ' || n END AS target,
+      CASE t WHEN 0 THEN '/w/' || n END AS dir,
+      CASE t WHEN 0 THEN 'cd /w/' || n || ' && ls ' || n WHEN 1 THEN '/a/b/c/d/f' || n || '.ts' WHEN 2 THEN 'p' || n WHEN 3 THEN 'x' || n WHEN 4 THEN '/x/f' || n WHEN 5 THEN 'b' || n WHEN 6 THEN 'task ' || n ELSE 'plain ' || n END AS summary,
+      CASE t WHEN 0 THEN 'command=cd /w/' || n || ' && ls ' || n || ',description=d ' || n WHEN 1 THEN 'file_path=/a/b/c/d/f' || n || '.ts,offset=' || n WHEN 2 THEN 'path=/a/b/c,pattern=p' || n
+        WHEN 4 THEN 'edits=2,file_path=/x/f' || n || ',new_string=n' || n || ',old_string=o' || n WHEN 6 THEN 'description=task ' || n || ',prompt=p ' || n END AS detail FROM o"""
+)
+def log_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of a line log: what each is about, where it ran and the fields worth showing."""
+    k = F.col("o_orderkey")
+    n, t = k.cast("string"), k % 8
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    obj = lambda **f: F.to_json(F.struct(*[v.alias(c) for c, v in f.items()]))
+    edits = F.array(F.struct(text("o", n).alias("old_string"), text("n", n).alias("new_string")), F.struct(F.lit("z").alias("old_string"), F.lit("").alias("new_string")))
+    given = [
+        obj(command=text("cd /w/", n, " && ls ", n), description=text("d ", n)), obj(file_path=text("/a/b/c/d/f", n, ".ts"), offset=k), obj(pattern=text("p", n), path=F.lit("/a/b/c")),
+        obj(q=text("x", n)), obj(file_path=text("/x/f", n), edits=edits), obj(a=F.lit(""), b=text("b", n)), obj(description=text("task ", n), prompt=text("p ", n)), text("plain ", n),
+    ]
+    tools = F.array(*[F.lit(x) for x in ("Bash", "Read", "Grep", "mcp__srv__do", "MultiEdit", "Frob", "Agent", "Write")])
+    rows = table(spark, sf, "orders").select(k.alias("k"), F.get(tools, t.cast("int")).alias("tool"), F.coalesce(*[F.when(t == i, g) for i, g in enumerate(given)]).alias("input"))
+    calls = rows.select("k", tool_calls.line_log_call(F.col("tool"), F.col("input")).alias("c"))
+    pairs = F.transform(F.array_sort(F.map_entries("c.detail")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return calls.select("k", "c.kind", "c.target", "c.dir", "c.summary", F.array_join(pairs, ",").alias("detail"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS t, CAST(o_orderkey AS VARCHAR) AS n FROM orders)
+    SELECT k, CASE t WHEN 0 THEN 'apply_patch' WHEN 1 THEN 'exec_command' WHEN 2 THEN 'web_search' WHEN 3 THEN 'write_stdin' ELSE 'exec' END AS tool,
+      CASE t WHEN 0 THEN 'edit' WHEN 1 THEN 'bash' WHEN 2 THEN 'web' WHEN 3 THEN 'bash' ELSE 'other' END AS kind,
+      CASE t WHEN 0 THEN '…/b/c/f' || n || '.ts' WHEN 1 THEN 'ls ' || n || ' (+1 commands)' WHEN 2 THEN 'web_search' WHEN 3 THEN 'sending input to the running command' ELSE 'print ' || n END AS target,
+      CASE t WHEN 1 THEN '/w/' || n END AS dir FROM o"""
+)
+def script_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """The first meaningful call inside a tool script, by the shape of the script."""
+    k = F.col("o_orderkey")
+    scripts = (
+        'const p = "*** Begin Patch\\n*** Update File: /a/b/c/f#.ts\\n*** End Patch"; tools.apply_patch(p)',
+        "await tools.exec_command({cmd: 'cd /w/# && ls #', workdir: \"/z\"}); await tools.shell({\"command\": `pwd`})",
+        'const r = await tools.web_search({query: "q#"});',
+        'await tools.write_stdin({chars: "y"})',
+        "print #",
+    )
+    src = F.replace(F.get(F.array(*[F.lit(s) for s in scripts]), (k % 5).cast("int")), F.lit("#"), k.cast("string"))
+    calls = table(spark, sf, "orders").select(k.alias("k"), tool_calls.script_call(src).alias("c"))
+    return calls.select("k", "c.tool", "c.kind", "c.target", "c.dir")
