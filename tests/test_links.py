@@ -74,6 +74,20 @@ def test_similar_pairs_and_groups(spark):
     assert all(groups[a][1] == groups[b][1] for a, b in want) and all(g <= k for k, (_, g) in groups.items())
 
 
+def test_the_index_holds_numbers_of_sets_that_meet(spark):
+    # every set has two of 60 very frequent words, which alone make no pair
+    rng = random.Random(6)
+    sets = [(k, sorted([*rng.sample([f"w{i}" for i in range(60)], 2), f"x{k % 100}", f"y{k % 101}"])) for k in range(2000)]
+    keys = TP.similarity_keys(spark.createDataFrame(sets, "id long, tokens array<string>"), "id", "tokens", [], 0.6)
+    assert {f.name: f.dataType.typeName() for f in keys.schema} == {"key": "long", "id": "long", "n": "integer", "m": "integer"}
+    a, b = keys.alias("a"), keys.alias("b")
+    met = {(r.x, r.y) for r in a.join(b, TP._can_match(0.6) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()}
+    similar = {(x, y) for x, s in sets for y, t in sets[x + 1 :] if len({*s} & {*t}) >= 3}
+    assert similar <= met and len(met) < 60_000
+    apart = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "d"])], "id long, tokens array<string>")
+    assert TP.similarity_keys(apart, "id", "tokens", [], 0.6).count() == 0
+
+
 def test_collapsed_rows_fill_the_room(spark):
     rows = [("m", None, "running", 0), ("a", "m", "done", 5), ("b", "a", "done", 9), ("c", "m", "done", 7), ("d", "m", "running", 1), ("e", "d", "done", None)]
     tree = T.resolve_tree(spark.createDataFrame([(*r, 1) for r in rows], "id string, parent string, state string, ended_at long, s int"), by=["s"])

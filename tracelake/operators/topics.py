@@ -35,6 +35,7 @@ from tracelake.session import cut_lineage
 # --- fixed values ---------------------------------------------------------------------------------
 MERGE_THRESHOLD = 0.6
 MIN_CLUSTER, MIN_BUCKET, MAX_SHARE = 3, 5, 0.6
+RARE = 48  # sets that share a token, up to which it is an index key by itself; it decides what is compared, never what is found
 COLLAPSE_GAIN = 0.5  # go on collapsing copies while a round settles half of what is open
 MODULES_SHOWN, RECENT_SHOWN, TOPICS_OFFERED = 3, 3, 12
 #: English labels (pass another map to localise).
@@ -189,34 +190,52 @@ def _overlap_needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil(F.lit(threshold) / F.lit(1 + threshold) * (a + b) - F.lit(1e-9)).cast("int")
 
 
-def similarity_keys(sets: DataFrame, id: str, tokens: str, scope: Sequence[str], threshold: float) -> DataFrame:
-    """Index keys such that two sets at or above the threshold share at least one: (scope, id, ``key``).
+def similarity_keys(sets: DataFrame, id: str, tokens: str, scope: Sequence[str], threshold: float, carry: Sequence[str] = ()) -> DataFrame:
+    """Index keys such that two sets at or above the threshold share at least one: ``key, id, n, m`` and ``carry``.
 
-    Tokens are ordered from rare to frequent and only a prefix of each set is indexed, one prefix per
-    size of the possible partner.  A token shared by very many sets is therefore used only by pairs that
-    overlap almost entirely.
+    Tokens are ordered from rare to frequent, and two similar sets meet under the first token that both hold.  If it is
+    rare, it is a key by itself (``m`` is 0).  A more frequent one counts together with the sizes n and m of the two
+    sets, and a very frequent one together with the next token that both hold, which lies in a prefix as well.  A key is a
+    hash, so a row holds no token; keys that no two sets can meet under are left out.
     """
-    exploded = sets.select(*scope, id, F.size(tokens).alias("n"), F.explode(tokens).alias("token"))
+    n, m, df = F.col("n"), F.col("m"), F.col("__t.df")
+    exploded = sets.select(*scope, id, *carry, F.size(tokens).alias("n"), F.explode(tokens).alias("token"))
     freq = exploded.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df"))
-    placed = exploded.join(freq, [*scope, "token"])
     # one row per set; a title has a bounded number of words
-    ranked = placed.groupBy(*scope, id, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ranked")
-    )
-    n = F.col("n")
+    ranked = exploded.join(freq, [*scope, "token"]).groupBy(*scope, id, *carry, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__r"))
+    first = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+    placed = ranked.select("*", F.posexplode(F.slice("__r", F.lit(1), first)).alias("__at", "__t"))
+    kept = [id, *carry, "n"]
+    rare = placed.where(df <= RARE).select(F.xxhash64(*scope, "__t.token").alias("key"), *kept, F.lit(0).alias("m"))
     sizes = F.sequence(F.ceil(n * threshold - 1e-9).cast("int"), F.floor(n / threshold + 1e-9).cast("int"))
-    rows = ranked.where(n > 0).select("*", F.explode(sizes).alias("m"))
-    need = _overlap_needed(n, F.col("m"), threshold)
-    prefix = F.slice("ranked", F.lit(1), F.greatest(n - need + 1, F.lit(0)))
-    return rows.where((need <= n) & (need <= F.col("m"))).select(
-        *scope,
-        id,
-        F.explode(
-            F.transform(
-                prefix, lambda t: F.concat_ws("|", F.least(n, F.col("m")).cast("string"), F.greatest(n, F.col("m")).cast("string"), t)
-            )
-        ).alias("key"),
-    )
+    need = _overlap_needed(n, m, threshold)
+    low, high = F.least(n, m), F.greatest(n, m)
+    wide = placed.where(df > RARE).withColumn("m", F.explode(sizes)).where((need <= low) & (F.col("__at") <= n - need))
+    rest = F.slice("__r", F.col("__at") + 2, n - need + 1 - F.col("__at"))
+    pairs = F.transform(rest, lambda u: F.xxhash64(*scope, low, high, F.col("__t.token"), u["token"]))
+    alone = F.array(F.xxhash64(*scope, low, high, F.col("__t.token")))
+    same = F.array(F.xxhash64(*scope, n, F.transform("__r", lambda u: u["token"])))
+    found = F.when((n == m) & (need == n), same).when((df <= RARE * low) | (need < 2), alone).otherwise(pairs)
+    rows = rare.unionByName(wide.select(F.explode(found).alias("key"), *kept, "m"))
+    of = Window.partitionBy("key")
+    counted = rows.withColumns({"__c": F.count(F.lit(1)).over(of), "__low": F.min("n").over(of), "__high": F.max("n").over(of)})
+    meet = (F.col("__c") > 1) & ((m == 0) | (n == m) | (F.col("__low") < F.col("__high")))
+    return counted.where(meet).drop("__c", "__low", "__high")
+
+
+def _can_match(threshold: float) -> Column:
+    """Of two index rows a and b of one key: the sizes are those the key is for, or near enough to each other."""
+    fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9
+    return (F.col("a.key") == F.col("b.key")) & (F.col("a.m") == F.when(F.col("b.m") == 0, 0).otherwise(F.col("b.n"))) & fits
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, id: str, tokens: str, scope: Sequence[str], threshold: float) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are of one scope and similar, with their ``jaccard``."""
+    own = lambda k: sets.select(F.col(id).alias(k), F.col(tokens).alias(f"__{k}"), *[F.col(c).alias(f"__{k}_{i}") for i, c in enumerate(scope)])
+    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("jaccard", _set_jaccard(F.col("__a"), F.col("__b")))
+    for i in range(len(scope)):
+        both = both.where(F.col(f"__a_{i}") == F.col(f"__b_{i}"))
+    return both.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
 def _set_jaccard(a: Column, b: Column) -> Column:
@@ -239,83 +258,68 @@ def merge_titles(
     order_key = F.struct(*[F.col(x) for x in order])
     tokens = F.array_sort(title_tokens(title))
     rows = c.withColumn("__tokens", tokens)
-    sets = rows.groupBy(*scope, "__tokens").agg(F.min(order_key).alias("ord"))
-    sets = cut_lineage(sets.withColumn("id", F.array_join("__tokens", " ")))
-    keys = cut_lineage(similarity_keys(sets, "id", "__tokens", scope, threshold).join(sets.select(*scope, "id", "ord", "__tokens"), [*scope, "id"]))
-    leaders = sets.where(F.size("__tokens") == 0).select(*scope, "id", "ord", "__tokens")
-    undecided = cut_lineage(sets.where(F.size("__tokens") > 0).select(*scope, "id"))
+    sets = cut_lineage(rows.groupBy(*scope, "__tokens").agg(F.min(order_key).alias("ord")).withColumn("uid", F.monotonically_increasing_id()))
+    # the index works on numbers: uid is a set, at its place in the order
+    places = cut_lineage(sets.select("ord").distinct().orderBy("ord").withColumn("at", F.monotonically_increasing_id()))
+    some = cut_lineage(sets.where(F.size("__tokens") > 0).join(places, "ord").select("uid", "at", *scope, "__tokens"))
+    keys = cut_lineage(similarity_keys(some, "uid", "__tokens", scope, threshold, ["at"]))
+    similar = lambda pairs: _verified(pairs.distinct(), some, "uid", "__tokens", scope, threshold)
+    meet = _can_match(threshold)
+    # a set that meets no other leads itself
+    undecided = cut_lineage(keys.select("uid").distinct())
+    leaders = cut_lineage(some.select("uid").join(undecided, "uid", "left_anti"))
     left = undecided.count()
     # 1) collapse groups of near copies: compare each index group with its first set only, while that pays
     while left:
-        live = keys.join(undecided, [*scope, "id"], "left_semi")
-        first = live.groupBy(*scope, "key").agg(F.min("ord").alias("__first"))
-        front = live.join(first, [*scope, "key"]).groupBy(*scope, "id").agg(F.bool_and(F.col("ord") == F.col("__first")).alias("__lead"))
-        new = cut_lineage(front.where("__lead").select(*scope, "id"))
-        leaders = leaders.unionByName(sets.join(new, [*scope, "id"], "left_semi").select(*scope, "id", "ord", "__tokens"))
-        lead_keys = keys.join(new, [*scope, "id"], "left_semi")
-        hit = live.join(
-            lead_keys.select(*scope, "key", F.col("ord").alias("__o"), F.col("__tokens").alias("__t")), [*scope, "key"]
-        ).where((F.col("ord") > F.col("__o")) & (_set_jaccard(F.col("__tokens"), F.col("__t")) >= threshold))
-        gone = hit.select(*scope, "id").unionByName(new).distinct()
-        undecided = cut_lineage(undecided.join(gone, [*scope, "id"], "left_anti"))
+        live = keys.join(undecided, "uid", "left_semi")
+        first = live.groupBy("key").agg(F.min("at").alias("__first"))
+        front = live.join(first, "key").groupBy("uid").agg(F.bool_and(F.col("at") == F.col("__first")).alias("__lead"))
+        new = cut_lineage(front.where("__lead").select("uid"))
+        leaders = leaders.unionByName(new)
+        near = live.alias("b").join(live.join(new, "uid", "left_semi").alias("a"), meet & (F.col("b.at") > F.col("a.at")))
+        gone = similar(near.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"))).select(F.col("b").alias("uid")).unionByName(new).distinct()
+        undecided = cut_lineage(undecided.join(gone, "uid", "left_anti"))
         before, left = left, undecided.count()
         if left > before * COLLAPSE_GAIN:
             break
     # 2) what is left has few similar pairs: a set leads when no earlier similar set is undecided or leads
     if left:
-        live = keys.join(undecided, [*scope, "id"], "left_semi")
-        other = live.select(*scope, "key", F.col("id").alias("__aid"), F.col("ord").alias("__o"), F.col("__tokens").alias("__t"))
-        near = (F.col("ord") > F.col("__o")) & (_set_jaccard(F.col("__tokens"), F.col("__t")) >= threshold)
-        pairs = cut_lineage(live.join(other, [*scope, "key"]).where(near).select(*scope, F.col("__aid").alias("a"), F.col("id").alias("b")).distinct())
+        live = keys.join(undecided, "uid", "left_semi")
+        near = live.alias("a").join(live.alias("b"), meet & (F.col("b.at") > F.col("a.at")))
+        pairs = cut_lineage(similar(near.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"))).select("a", "b"))
         while left:
-            waiting = pairs.join(undecided.withColumnRenamed("id", "a"), [*scope, "a"], "left_semi").select(*scope, F.col("b").alias("id"))
-            new = cut_lineage(undecided.join(waiting, [*scope, "id"], "left_anti"))
-            leaders = leaders.unionByName(sets.join(new, [*scope, "id"], "left_semi").select(*scope, "id", "ord", "__tokens"))
-            members = pairs.join(new.withColumnRenamed("id", "a"), [*scope, "a"], "left_semi").select(*scope, F.col("b").alias("id"))
-            undecided = cut_lineage(undecided.join(new.unionByName(members).distinct(), [*scope, "id"], "left_anti"))
+            waiting = pairs.join(undecided.withColumnRenamed("uid", "a"), "a", "left_semi").select(F.col("b").alias("uid"))
+            new = cut_lineage(undecided.join(waiting, "uid", "left_anti"))
+            leaders = leaders.unionByName(new)
+            members = pairs.join(new.withColumnRenamed("uid", "a"), "a", "left_semi").select(F.col("b").alias("uid"))
+            undecided = cut_lineage(undecided.join(new.unionByName(members).distinct(), "uid", "left_anti"))
             left = undecided.count()
     leaders = cut_lineage(leaders)
-    lead_keys = keys.join(leaders.select(*scope, "id"), [*scope, "id"], "left_semi")
-    lead_side = lead_keys.select(*scope, "key", F.col("id").alias("__lid"), F.col("ord").alias("__o"), F.col("__tokens").alias("__t"))
-    member_keys = keys.join(leaders.select(*scope, "id"), [*scope, "id"], "left_anti")
-    best = (
-        member_keys.join(lead_side, [*scope, "key"])
-        .where((F.col("ord") > F.col("__o")) & (_set_jaccard(F.col("__tokens"), F.col("__t")) >= threshold))
-        .groupBy(*scope, "id")
-        .agg(F.min_by("__lid", "__o").alias("leader"))
-    )
-    own = leaders.select(*scope, "id", F.col("id").alias("leader"))
-    found = own.unionByName(best)
-    return rows.withColumn("id", F.array_join("__tokens", " ")).join(found, [*scope, "id"]).drop("id", "__tokens")
+    led, others = keys.join(leaders, "uid", "left_semi"), keys.join(leaders, "uid", "left_anti")
+    near = others.alias("b").join(led.alias("a"), meet & (F.col("b.at") > F.col("a.at")))
+    near = similar(near.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")))
+    best = near.join(some.select(F.col("uid").alias("a"), "at"), "a").groupBy(F.col("b").alias("uid")).agg(F.min_by("a", "at").alias("__lead"))
+    text = F.array_join("__tokens", " ")
+    lead = best.join(some.select(F.col("uid").alias("__lead"), text.alias("__name")), "__lead").select("uid", "__name")
+    found = sets.join(lead, "uid", "left").select(*scope, text.alias("id"), F.coalesce("__name", text).alias("leader"))
+    return rows.withColumn("id", text).join(found, [*scope, "id"]).drop("id", "__tokens")
 
 
 def similar_pairs(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope: Sequence[str] = (), threshold: float = MERGE_THRESHOLD) -> DataFrame:
     """All pairs (``id_a`` < ``id_b``) of sets of one scope whose Jaccard similarity reaches the threshold, with it.
 
-    A positional prefix index: tokens are ordered from rare to frequent, and each set has one posting (token, id, size,
-    position) for each of its first n - ceil(threshold * n) + 1 tokens, so the index grows with the tokens and holds no
-    set.  Two similar sets meet in it.  Sizes, and what both sets have left from the first shared token on, rule out pairs
-    before any set is fetched.
+    Two similar sets meet under a key of :func:`similarity_keys`, whose rows hold no set.  Only the tokens of pairs that meet
+    are fetched.
     """
     scope = list(scope)
-    s = sets.withColumn(tokens, F.array_distinct(tokens)).where(F.size(tokens) > 0)
-    n = F.size(tokens)
-    exploded = s.select(*scope, id, n.alias("n"), F.explode(tokens).alias("token"))
-    freq = exploded.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df"))
-    # one row per set; a title has a bounded number of words
-    ranked = exploded.join(freq, [*scope, "token"]).groupBy(*scope, id, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__r"))
-    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    postings = ranked.select(*scope, id, "n", F.posexplode(F.slice("__r", F.lit(1), first)).alias("at", "t")).select(*scope, id, "n", "at", F.col("t.token").alias("token"))
-    postings = cut_lineage(postings)
-    other = postings.select(*scope, "token", F.col(id).alias("__id"), F.col("n").alias("__n"), F.col("at").alias("__at"))
-    fits = F.least("n", "__n") >= F.greatest("n", "__n") * threshold - 1e-9
-    met = postings.join(other, [*scope, "token"]).where((F.col(id) < F.col("__id")) & fits)
-    met = met.select(*scope, F.col(id).alias("id_a"), F.col("__id").alias("id_b"), (F.col("n") + F.col("__n")).alias("both"), F.least(F.col("n") - F.col("at"), F.col("__n") - F.col("__at")).alias("rest"))
-    pairs = met.groupBy(*scope, "id_a", "id_b").agg(F.max("both").alias("both"), F.max("rest").alias("rest"))
-    pairs = pairs.where(F.col("rest") >= F.col("both") * (threshold / (1 + threshold)) - 1e-9).select(*scope, "id_a", "id_b")
-    own = lambda k: s.select(*scope, F.col(id).alias(f"id_{k}"), F.col(tokens).alias(f"__{k}"))
-    scored = pairs.join(own("a"), [*scope, "id_a"]).join(own("b"), [*scope, "id_b"]).withColumn("jaccard", _set_jaccard(F.col("__a"), F.col("__b")))
-    return scored.where(F.col("jaccard") >= threshold).select(*scope, "id_a", "id_b", "jaccard")
+    s = sets.withColumn(tokens, F.array_distinct(tokens)).where(F.size(tokens) > 0).select(*scope, id, tokens)
+    s = cut_lineage(s.withColumn("__uid", F.monotonically_increasing_id()))
+    keys = cut_lineage(similarity_keys(s, "__uid", tokens, scope, threshold))
+    met = keys.alias("a").join(keys.alias("b"), _can_match(threshold) & (F.col("a.__uid") < F.col("b.__uid")))
+    pairs = _verified(met.select(F.col("a.__uid").alias("a"), F.col("b.__uid").alias("b")).distinct(), s, "__uid", tokens, scope, threshold)
+    name = lambda k: s.select(F.col("__uid").alias(k), *(scope if k == "a" else []), F.col(id).alias(f"__{k}"))
+    named = pairs.join(name("a"), "a").join(name("b"), "b").where("__a <> __b")
+    return named.select(*scope, F.least("__a", "__b").alias("id_a"), F.greatest("__a", "__b").alias("id_b"), "jaccard")
 
 
 def jaccard_pairs(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope: Sequence[str] = (), threshold: float = MERGE_THRESHOLD) -> DataFrame:
