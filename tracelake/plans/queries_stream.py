@@ -134,6 +134,11 @@ _LINES = """l AS (SELECT 'u' || CAST(user_id % 7 AS VARCHAR) AS file, CAST(event
     p AS (SELECT *, sum(size) OVER (PARTITION BY file, epoch ORDER BY event_id) - size AS ord FROM o)"""
 
 
+def chunk_share(chunks: int) -> int:
+    """Files of a batch, so that so many chunks come in ``BATCHES`` batches (at least 9 files each)."""
+    return max(9, -(-chunks // BATCHES))
+
+
 @query(f"WITH {_LINES} SELECT file, epoch, count(*) AS n, CAST(sum(ord) AS BIGINT) AS offsets, CAST(max(ord) AS BIGINT) AS last, CAST(sum(event_id) AS BIGINT) AS ids, sum(length(body)) AS chars FROM p GROUP BY 1, 2")
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Raw bytes to lines: several chunks a log, line ends of both kinds, and a truncated log (a new epoch starts at 0)."""
@@ -149,7 +154,8 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     placed = sizes.select("file", "epoch", "chunk", F.coalesce(before, F.lit(0)).cast("bigint").alias("offset"))
     landed = rows.join(placed, ["file", "epoch", "chunk"]).repartition("file", "epoch", "offset").sortWithinPartitions("file", "epoch", "offset", "event_id")
     landed.select("file", "epoch", "offset", "value").write.partitionBy("file", "epoch", "offset").text(f"{run}/landed")
-    lines = tail.read_chunks(spark, f"{run}/landed", max_files=9).select("file", "epoch", "ord", "value")
+    # a fixed number of batches, however many chunks there are: each batch lists the whole folder and commits
+    lines = tail.read_chunks(spark, f"{run}/landed", max_files=chunk_share(placed.count())).select("file", "epoch", "ord", "value")
     q = lines.writeStream.format("parquet").option("checkpointLocation", f"{run}/ck").option("path", f"{run}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.schema(lines.schema).parquet(f"{run}/out")
