@@ -376,11 +376,14 @@ def nodes(lines: DataFrame, now: int, threads: DataFrame | None = None, edges: D
 
 def spawn_calls(lines: DataFrame) -> DataFrame:
     """Calls that start an agent, by owner thread and task name (the latest one)."""
-    p = F.col("p")
-    calls = lines.where((F.col("ptype") == "function_call") & F.endswith(p["name"], F.lit("spawn_agent")) & nz(p["call_id"]).isNotNull())
-    m = J.obj(p["arguments"])
-    named = calls.select(F.col("thread_id").alias("__owner"), J.text(m, "task_name", "agent_nickname", "name").alias("__task"), p["call_id"].alias("tool_use_id"), "ord")
-    return named.where(F.col("__task").isNotNull()).groupBy("__owner", "__task").agg(F.max_by("tool_use_id", "ord").alias("tool_use_id"))
+    # a filter on parsed columns would be pushed below the parsing and repeat it for each of its conditions; one behind a
+    # generated row is not
+    line = F.struct("thread_id", "ord", "ptype", F.col("p.name").alias("name"), F.col("p.call_id").alias("call_id"), F.col("p.arguments").alias("arguments"))
+    starts = lambda x: (x["ptype"] == "function_call") & F.endswith(x["name"], F.lit("spawn_agent")) & nz(x["call_id"]).isNotNull()
+    calls = lines.select(F.explode(F.filter(F.array(line), starts)).alias("c"))
+    task = let(J.obj(F.col("c.arguments")), lambda m: J.text(m, "task_name", "agent_nickname", "name"))
+    named = calls.select(F.col("c.thread_id").alias("__owner"), F.explode(F.filter(F.array(task), lambda t: t.isNotNull())).alias("__task"), F.col("c.call_id").alias("tool_use_id"), F.col("c.ord").alias("ord"))
+    return named.groupBy("__owner", "__task").agg(F.max_by("tool_use_id", "ord").alias("tool_use_id"))
 
 
 def sessions(tree: DataFrame, raw: DataFrame, now: int) -> DataFrame:
