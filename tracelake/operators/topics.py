@@ -37,6 +37,7 @@ MERGE_THRESHOLD = 0.6
 MIN_CLUSTER, MIN_BUCKET, MAX_SHARE = 3, 5, 0.6
 RARE = 48  # sets that share a token, up to which it is an index key by itself; it decides what is compared, never what is found
 COLLAPSE_GAIN = 0.5  # go on collapsing copies while a round settles half of what is open
+SPREAD = 32  # tasks that share the agents of one word
 MODULES_SHOWN, RECENT_SHOWN, TOPICS_OFFERED = 3, 3, 12
 #: English labels (pass another map to localise).
 LABELS = {
@@ -360,6 +361,13 @@ def title_slots(c: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
     return c.where(F.col("kind") != "title").unionByName(out.select(*c.columns))
 
 
+def _spread_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of agents' rows with a small table: the rows of one key are dealt to ``SPREAD`` tasks."""
+    salt = F.pmod(F.xxhash64(*KEY), F.lit(SPREAD)).cast("int")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("__salt", salt).join(copies, [*on, "__salt"]).drop("__salt")
+
+
 def cluster_loose(c: DataFrame) -> DataFrame:
     """Keyless sub-agents that share a distinctive word become a topic of their own.
 
@@ -369,25 +377,23 @@ def cluster_loose(c: DataFrame) -> DataFrame:
     is_loose = (F.col("kind") == "other") & ~F.col("is_main")
     sub = c.where(is_loose).withColumn("__words", subject_tokens("label"))
     sizes = sub.groupBy("slot").agg(F.count(F.lit(1)).alias("__size"))
-    words = sub.select("slot", *KEY, "label", F.posexplode("__words").alias("pos", "word"))
+    words = sub.select("slot", *KEY, F.posexplode("__words").alias("pos", "word"))
     freq = words.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "slot")
     usable = freq.where(
         (F.col("__size") >= MIN_BUCKET) & (F.col("df") >= MIN_CLUSTER) & (F.col("df") <= F.col("__size") * MAX_SHARE)
     )
-    best = words.join(usable, ["slot", "word"]).groupBy("slot", *KEY).agg(
+    best = _spread_join(words, usable, ["slot", "word"]).groupBy("slot", *KEY).agg(
         F.min_by("word", F.struct(-F.col("df"), -F.length("word"), F.col("pos"))).alias("word")
     )
     keep = best.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= MIN_CLUSTER).drop("__n")
     # the word as people write it: the most frequent full form, the longest among equals
-    spelled = sub.join(sizes.where(F.col("__size") >= MIN_BUCKET), "slot").select(
-        "slot", "__words", F.explode(F.filter(title_words("label"), lambda w: F.length(w) >= 3)).alias("full")
-    )
+    spelled = sub.select("slot", "__words", F.explode(F.filter(title_words("label"), lambda w: F.length(w) >= 3)).alias("full"))
     spelled = spelled.withColumn("word", F.substring("full", 1, 5)).where(F.array_contains(F.col("__words"), F.col("word")))
     forms = spelled.groupBy("slot", "word", "full").agg(F.count(F.lit(1)).alias("n"))
     name = forms.groupBy("slot", "word").agg(
         F.min_by("full", F.struct(-F.col("n"), -F.length("full"), F.col("full"))).alias("__name")
     )
-    moved = best.join(keep, ["slot", "word"], "left_semi").join(name, ["slot", "word"], "left")
+    moved = _spread_join(best, keep.join(name, ["slot", "word"], "left"), ["slot", "word"])
     a = c.join(moved, ["slot", *KEY], "left")
     hit = is_loose & F.col("word").isNotNull()
     shown = F.coalesce("__name", "word")
