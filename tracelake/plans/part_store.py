@@ -10,6 +10,7 @@ from tracelake.operators.activity import activity_buckets, tick_offsets
 from tracelake.operators.state import end_columns, infer_state
 from tracelake.operators.tree import resolve_tree, valid_parents
 from tracelake.plans.tool_calls import part_call
+from tracelake.session import cut_lineage
 
 LAYOUT = "part_store"
 # --- fixed values ---------------------------------------------------------------------------------
@@ -105,7 +106,9 @@ def nodes(sessions: DataFrame, messages: DataFrame, parts: DataFrame, now: int)
     said = m.where(F.col("d.role") == "assistant").groupBy("session_id").agg(
         F.max_by(F.struct("d.modelID", "d.time.completed", "d.error"), F.struct(created, F.col("id"))).alias("last")
     )
-    p = parts.select("id", "message_id", "session_id", "time_created", "time_updated", F.from_json("data", DATA).alias("d")).where(F.col("d").isNotNull())
+    # behind a generated row no filter is pushed below the parsing, which would parse once more for each condition
+    row = F.struct("id", "message_id", "session_id", "time_created", "time_updated", F.from_json("data", DATA).alias("d"))
+    p = parts.select(F.explode(F.filter(F.array(row), lambda x: x["d"].isNotNull())).alias("r")).select("r.*")
     is_tool = F.col("d.type") == "tool"
     pending = is_tool & ~F.coalesce(F.col("d.state.status").isin("completed", "error"), F.lit(False))
     tally = p.groupBy("session_id").agg(
@@ -149,7 +152,8 @@ def nodes(sessions: DataFrame, messages: DataFrame, parts: DataFrame, now: int)
             "end_reason": F.when(F.col("state") == "stopped", F.lit("Cancelled")).when(F.col("state") == "failed", clip_line(message)),
         }
     )
-    tree = resolve_tree(j, "native_id", "parent", order=[F.col("started_at")])
+    # the tree reads its nodes several times; what the parts say of a session is worked out once
+    tree = resolve_tree(cut_lineage(j), "native_id", "parent", order=[F.col("started_at")])
     tree = tree.join(calls, (tree["parent"] == calls["__owner"]) & (tree["native_id"] == calls["__child"]), "left").drop("__owner", "__child")
     main = F.col("parent").isNull()
     prompt = clip_line("last_prompt")
