@@ -60,6 +60,26 @@ def test_the_stage_takes_out_copies_beyond_four_bits(spark):
     assert sorted(r.doc_id for r in got.collect()) == [k for k, c in enumerate(classes(texts)) if c == k]
 
 
+def test_the_tries_find_links_first(spark, monkeypatch):
+    """Groups within four bits are connected by the tries and checked exactly; the join only gets what is left."""
+    rng = random.Random(6)
+    texts = [prose(rng, 400) for _ in range(6)]
+    texts += [t + " " + prose(rng, 1) for t in texts for _ in range(2)] + [texts[0].upper(), None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    prints = [simhash.fingerprint_of(t, shingle_join.SHINGLE) for t in texts]
+    within = {b for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= simhash.BUDGET}
+    found = {(r.a, r.b) for r in shingle_join.trie_checked(rows).collect()}
+    assert len(within) >= 8 and {b for _, b in found} == within
+    sets = [set(shingle_join.shingles(t)) for t in texts]
+    assert all(shingle_join.similar(sets[a], sets[b]) for a, b in found)
+    called = []
+    trie = simhash.trie_links
+    monkeypatch.setattr(shingle_join, "trie_links", lambda *a: called.append(a) or trie(*a))
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert called and kept == [k for k, c in enumerate(classes(texts)) if c == k]
+
+
 def test_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "A b c d e f"), (3, "A b c d e f"), (9, "z"), (None, "y")], "doc_id long, text string")
     got = shingle_join.near_groups(docs).collect()

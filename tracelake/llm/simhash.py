@@ -258,8 +258,13 @@ def components(links: DataFrame) -> DataFrame:
     def lower(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
 
+    def state_of(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
     edges = stash(lower(links), "links")
-    before = None
+    before = state_of(edges)
+    if not before[0]:
+        return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     while True:
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -269,10 +274,10 @@ def components(links: DataFrame) -> DataFrame:
         joined = edges.join(least, "v")
         small = joined.select(F.col("u").alias("a"), F.col("m").alias("b")).union(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
         edges = stash(lower(small), "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        state = state_of(edges)
+        if state == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        before = tuple(state)
+        before = state
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, carry: list[str] | None = None) -> DataFrame:
