@@ -249,3 +249,16 @@ def test_titles(spark):
 def test_jaccard(spark, a, b, j):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert abs(df.select(T.jaccard("a", "b")).first()[0] - j) < 1e-9
+
+
+def test_trimming_and_title_words_equal_their_patterns(spark):
+    signs = X.WS_SIGNS + "\u200b\x00\x1c\x85:–—-·|,.()[]abİIıçé中\U0001f600^T12"
+    rows = ["".join(RNG.choice(signs) for _ in range(RNG.randint(0, 12))) for _ in range(3000)] + ["", None]
+    ws = X.WS
+    trimmed = F.regexp_replace("s", f"^{ws}+|{ws}+\\z", "")
+    words = F.split(F.regexp_replace(T.lower_tr("s"), f"[^\\p{{L}}{X.WS_CHARS}]+", " "), f"{ws}+")
+    for new, old, again, want in values(spark, rows, X.js_trim("s"), trimmed, T.title_words("s"), words):
+        assert new == old and again == want
+    assert len(set(X.WS_SIGNS)) == len(X.WS_SIGNS) == values(spark, [X.WS_SIGNS], F.length(F.regexp_replace(F.regexp_replace("s", ws, "x"), "[^x]", "")))[0][0]
+    # a regular expression took ten times as long
+    assert "regexp" not in str(X.js_trim("s")).lower()

@@ -101,3 +101,16 @@ def test_jaccard_pairs_against_brute_force(spark):
         if near and -min(near)[0] >= 0.6:
             want.add((min(near)[1], j))
     assert got == want
+
+
+def test_loose_labels_are_read_once(spark):
+    """Words of a label are worked out before the steps that use them, and spelled as before: a word that does not count by itself shares the stem of one that does."""
+    labels = ["strngate strngthss ledger", "Ledger strngate strngthss", "ledgers strngthss strngate", "ledger payment", "ledgers payment", "other things"]
+    rows = [("s", f"k{n}", label, "other", "o|p", "", "p", False) for n, label in enumerate(labels)]
+    c = spark.createDataFrame(rows, "session_id string, agent_key string, label string, kind string, slot string, title string, project string, is_main boolean")
+    # 5 of 6 agents carry "ledge", which is too many; "strng" is carried by 3
+    out = TP.cluster_loose(c)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "split(" not in plan and "label" in plan
+    got = {r.agent_key: (r.kind, r.title, r.slot) for r in out.collect()}
+    assert got == {f"k{n}": ("title", "Strngthss", "c|p|strng") if n < 3 else ("other", "", "o|p") for n in range(6)}

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 WS_CHARS = "\\s\\u000b\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 WS = f"[{WS_CHARS}]"
 NOT_WS = f"[^{WS_CHARS}]"
+#: The same characters one by one, for trimming.
+WS_SIGNS = " \t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # --- fixed values: secret shapes, in the order they are applied: (name, pattern, replacement) -------
 SECRET_RULES = [
@@ -93,7 +95,7 @@ def nz(c: Column | str) -> Column:
 
 
 def js_trim(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(col(c), F.lit(WS_SIGNS))
 
 
 def one_line(c: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tracelake.functions.text import WS, WS_CHARS, bound, col, js_trim, let
+from tracelake.functions.text import WS, WS_CHARS, WS_SIGNS, bound, col, js_trim, let
 
 # --- fixed values: word lists -----------------------------------------------------------------------
 #: Prefixes that look like ticket keys but are standards, algorithms or versions.
@@ -165,20 +165,30 @@ def lower_tr(c: Column | str) -> Column:
 
 
 def title_words(title: Column | str) -> Column:
-    return F.split(F.regexp_replace(lower_tr(title), f"[^\\p{{L}}{WS_CHARS}]+", " "), f"{WS}+")
+    return F.split(lower_tr(title), "\\P{L}+")  # white space is no letter
+
+
+def is_title_word(w: Column) -> Column:
+    return (F.length(w) >= 3) & ~w.isin(TITLE_STOP) & w.rlike("[aeıioöuüy]")
+
+
+def is_subject(stem: Column) -> Column:
+    return ~stem.isin(DEV_STEMS) & ~stem.isin(GENERIC_STEMS)
+
+
+def word_stems(words: Column) -> Column:
+    """Distinct five-letter stems of those of the words that count in a title, in order."""
+    return F.array_distinct(F.transform(F.filter(F.array_distinct(words), is_title_word), lambda w: F.substring(w, 1, STEM)))
 
 
 def title_tokens(title: Column | str) -> Column:
     """Distinct five-letter stems of the title's words, in order."""
-    words = F.filter(
-        F.array_distinct(title_words(title)), lambda w: (F.length(w) >= 3) & ~w.isin(TITLE_STOP) & w.rlike("[aeıioöuüy]")
-    )
-    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, STEM)))
+    return word_stems(title_words(title))
 
 
 def subject_tokens(title: Column | str) -> Column:
     """Title tokens without development and greeting words."""
-    return F.filter(title_tokens(title), lambda t: ~t.isin(DEV_STEMS) & ~t.isin(GENERIC_STEMS))
+    return F.filter(title_tokens(title), is_subject)
 
 
 @bound
@@ -194,9 +204,10 @@ def clean_title(title: Column | str, keys: list[Column] | None = None) -> Column
     t = js_trim(F.regexp_replace(t, f"{WS}+", " "))
     for k in keys or []:
         t = F.replace(t, F.coalesce(k, F.lit("")), F.lit(" "))  # an empty key leaves the text as it is
-    t = F.regexp_replace(t, f"^[{WS_CHARS}:–—\\-·|,.()\\[\\]]+", "")
-    t = F.regexp_replace(t, f"[{WS_CHARS}:–—\\-·|,.(\\[]+\\z", "")
-    t = F.regexp_replace(t, f"{WS}+", " ")
+    t = F.ltrim(t, F.lit(WS_SIGNS + ":–—-·|,.()[]"))
+    t = F.rtrim(t, F.lit(WS_SIGNS + ":–—-·|,.(["))
+    if keys:  # else no two white space characters are left side by side
+        t = F.regexp_replace(t, f"{WS}+", " ")
     return let(t, lambda x: F.when(F.length(x) > 90, F.concat(F.substring(x, 1, 89), F.lit("…"))).otherwise(x))
 
 

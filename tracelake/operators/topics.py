@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelake.functions.text import describe_action, mask_secrets, nz
 from tracelake.functions.topic_text import (
+    STEM,
     clean_title,
     extract_tickets,
     informative_title,
+    is_subject,
+    is_title_word,
     loose_ticket_candidates,
     lower_tr,
     module_of,
@@ -24,9 +27,9 @@ from tracelake.functions.topic_text import (
     project_of,
     prs_from_text,
     short_module,
-    subject_tokens,
     title_tokens,
     title_words,
+    word_stems,
 )
 from tracelake.operators.components import components
 from tracelake.operators.changes import facts_hash
@@ -375,7 +378,13 @@ def cluster_loose(c: DataFrame) -> DataFrame:
     word (longer first, then earlier in its label); clusters that end up below three agents give their members back.
     """
     is_loose = (F.col("kind") == "other") & ~F.col("is_main")
-    sub = c.where(is_loose).withColumn("__words", subject_tokens("label"))
+    # every label is read once: the steps below use its words several times
+    sub = c.where(is_loose).select("slot", *KEY, title_words("label").alias("__all"))
+    sub = sub.select("slot", *KEY, F.filter(word_stems(F.col("__all")), is_subject).alias("__words"), "__all")
+    # full words of the stems; a word that counts has its stem there, others may share one
+    stem = lambda w: F.substring(w, 1, STEM)
+    full = lambda w: (F.length(w) >= 3) & is_subject(stem(w)) & (is_title_word(w) | F.array_contains(F.col("__words"), stem(w)))
+    sub = cut_lineage(sub.select("slot", *KEY, "__words", F.filter("__all", full).alias("__full")))
     sizes = sub.groupBy("slot").agg(F.count(F.lit(1)).alias("__size"))
     words = sub.select("slot", *KEY, F.posexplode("__words").alias("pos", "word"))
     freq = words.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "slot")
@@ -387,8 +396,7 @@ def cluster_loose(c: DataFrame) -> DataFrame:
     )
     keep = best.groupBy("slot", "word").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= MIN_CLUSTER).drop("__n")
     # the word as people write it: the most frequent full form, the longest among equals
-    spelled = sub.select("slot", "__words", F.explode(F.filter(title_words("label"), lambda w: F.length(w) >= 3)).alias("full"))
-    spelled = spelled.withColumn("word", F.substring("full", 1, 5)).where(F.array_contains(F.col("__words"), F.col("word")))
+    spelled = sub.select("slot", F.explode("__full").alias("full")).withColumn("word", F.substring("full", 1, STEM))
     forms = spelled.groupBy("slot", "word", "full").agg(F.count(F.lit(1)).alias("n"))
     name = forms.groupBy("slot", "word").agg(
         F.min_by("full", F.struct(-F.col("n"), -F.length("full"), F.col("full"))).alias("__name")
