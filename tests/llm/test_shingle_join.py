@@ -97,3 +97,18 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(length):
         words = shingle_join.sketch(a) ^ shingle_join.sketch(b)
         assert sum(int(w).bit_count() for w in words.view("u8")) <= differ
     assert not (shingle_join.sketch(None) ^ shingle_join.sketch("  \n")).any()
+
+
+@pytest.mark.parametrize("earlier", [1, 64])
+def test_a_pair_is_made_in_one_of_its_large_lists(spark, monkeypatch, earlier):
+    """Texts that share most shingles meet in many lists; all pairs of the second comparison together are no more rows than pairs."""
+    rng = random.Random(11)
+    base = prose(rng, 200)
+    texts = [edited(rng, base, 9) for _ in range(70)] + [edited(rng, base, 1) for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    made, met = [], shingle_join._met
+    monkeypatch.setattr(shingle_join, "_met", lambda *a: made.append(met(*a)) or made[-1])
+    got = {r.node: r.root for r in simhash.components(shingle_join.links(rows, hubs=1, small=2, sample=8000, earlier=earlier)).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == classes(texts)
+    rows_made, pairs = made[1].count(), made[1].select("a", "b").distinct().count()
+    assert pairs > 100 and (rows_made == pairs if earlier == 64 else rows_made > pairs)
