@@ -1,4 +1,6 @@
+import pathlib
 import random
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -93,3 +95,38 @@ def test_majority_is_strict_and_short_texts_are_one_shingle():
 
 def test_empty_table(spark):
     assert simhash.near_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"task_links": 60}, {"task_links": 1}])
+def test_few_links_travel_in_few_tasks(spark, monkeypatch, options):
+    """A round takes as many tasks as its links need, not as many as a shuffle has parts, and leaves no table of an earlier round."""
+    rng = random.Random(3)
+    pairs = [(k, k + 1) for k in range(0, 120) if k % 9] + [(500, k) for k in range(501, 640)] + [tuple(rng.sample(range(900, 1300), 2)) for _ in range(150)] + [(7, 7)]
+    low = {v: v for p in pairs for v in p}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    made, names, stash = [], [], simhash.stash
+
+    def kept(df, name, *a, **b):
+        out = stash(df, name, *a, **b)
+        made.append(df.rdd.getNumPartitions())
+        names.extend(out.inputFiles()[:1])
+        return out
+
+    monkeypatch.setattr(simhash, "stash", kept)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = simhash.components(spark.createDataFrame(pairs, "a long, b long"), **options)
+        found = {r.node: r.root for r in got.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {v: found.get(v, v) for v in low} == low
+    most = min(24, -(-len(pairs) // options.get("task_links", simhash.TASK_LINKS)))
+    assert len(made) > 2 and max(made[1:]) <= most
+    folders = [pathlib.Path(urllib.parse.urlparse(f).path).parent for f in names]
+    assert [f.exists() for f in folders] == [False] * (len(folders) - 1) + [True]

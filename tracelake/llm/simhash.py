@@ -16,6 +16,7 @@ repeated rows.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracelake.llm.common import col, give_back, stash, unused
+from tracelake.llm.common import col, drop, give_back, stash, unused
 
 SHINGLE, BUDGET, BITS, SEED = 4, 4, 64, 42
 #: Fingerprints that one task may hold before its node is cut into child nodes, and bits of one cut.
 TASK_ROWS, CUT_BITS = 200_000, 6
 #: Node pairs that are held at a time, and pairs of leaves below which two nodes are compared outright.
 WAVE, LEAVES = 400_000, 16
+#: Links that one task of a round of ``components`` takes: few links travel in few tasks, however many parts a shuffle has.
+TASK_LINKS = 20_000
 
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
@@ -248,12 +251,14 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, task_rows: int = TASK_RO
     return tasks.groupBy(*keys).applyInArrow(_task(budget), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, paths: list[str] | None = None, task_links: int = TASK_LINKS) -> DataFrame:
     """Links (a, b) to (node, root), root the smallest node of the component, by alternating star contraction.
 
     Each round hangs the larger neighbours of every node, then all of its smaller ones, below the smallest
     node around; minima are combined before the shuffle, so a node with very many links is no hot spot.
+    Links of a round that is over are deleted.  paths: takes the folder of the last ones, for ``drop``.
     """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def lower(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
@@ -261,23 +266,29 @@ def components(links: DataFrame) -> DataFrame:
     def state_of(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
-    edges = stash(lower(links), "links")
+    held: list[str] = []
+    edges = stash(lower(links), "links", paths=held)
     before = state_of(edges)
-    if not before[0]:
-        return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    while True:
+    while before[0]:
+        tasks = math.ceil(before[0] / task_links)
+        slim = lambda e, tasks=tasks: e.coalesce(tasks) if tasks < parts else e
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("a"), F.col("m").alias("b"))
-        edges = lower(large)
-        least = edges.groupBy("v").agg(F.min("u").alias("m"))
-        joined = edges.join(least, "v")
+        least = slim(slim(both).groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
+        large = slim(both).where("y > x").join(least, "x").select(F.col("y").alias("a"), F.col("m").alias("b"))
+        near = slim(lower(slim(large)))
+        least = slim(near.groupBy("v").agg(F.min("u").alias("m")))
+        joined = near.join(least, "v")
         small = joined.select(F.col("u").alias("a"), F.col("m").alias("b")).union(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
-        edges = stash(lower(small), "links")
+        over, held = held, []
+        edges = stash(slim(lower(slim(small))), "links", paths=held)
         state = state_of(edges)
+        drop(links.sparkSession, over)
         if state == before:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            break
         before = state
+    if paths is not None:
+        paths += held
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, carry: list[str] | None = None) -> DataFrame:
