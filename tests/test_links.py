@@ -1,7 +1,9 @@
 """Links taken in order, components, similar sets and collapsed rows against plain versions."""
 
+import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import topics as TP, tree as T
@@ -94,3 +96,53 @@ def test_collapsed_rows_fill_the_room(spark):
     for room, shown, hidden in [(0, "md", 4), (1, "md", 4), (2, "mdab", 3), (3, "mdabc", 2), (4, "mdabce", 0), (9, "mdabce", 0)]:
         got = T.pick_collapsed(tree, F.col("state") == "done", room, by=["s"]).collect()
         assert {r.id for r in got} == set(shown) and {r.hidden for r in got} == {hidden}, room
+
+
+def sharing_little(seed, n=300):
+    """Sets of twelve tokens; a token each ten sets share is the rarest, the others come from forty."""
+    rng = random.Random(seed)
+    words = ["".join(w) for w in itertools.product("bdgkz", "aeiou", "bdgkz", "aei", "bd")]
+    rng.shuffle(words)
+    sets = [[words[100 + k % 30], *rng.sample(words[:40], 11)] for k in range(n)]
+    return sets + [[*s[:11], words[99]] for s in sets[:20]]  # and some that are similar
+
+
+def similar_of(sets, threshold=0.6):
+    return {(a, b) for b in range(len(sets)) for a in range(b) if len({*sets[a]} & {*sets[b]}) >= threshold * len({*sets[a]} | {*sets[b]}) - 1e-9}
+
+
+def watched(monkeypatch):
+    """Numbers of candidate pairs whose tokens are fetched."""
+    seen, verified = [], TP._verified
+    monkeypatch.setattr(TP, "_verified", lambda pairs, *a: seen.append(pairs.distinct().count()) or verified(pairs, *a))
+    return seen
+
+
+@pytest.mark.parametrize("rare", [1000, 0])
+def test_candidates_are_ruled_out_before_they_are_written(spark, monkeypatch, rare):
+    """A rarest token in common makes no pair; with every token frequent, pairs of tokens are the keys and nothing is lost."""
+    monkeypatch.setattr(TP, "RARE", rare)
+    sets = sharing_little(1)
+    seen = watched(monkeypatch)
+    got = TP.jaccard_pairs(spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "id long, tokens array<string>")).collect()
+    want = similar_of(sets)
+    assert len(want) >= 20 and {r.id_b for r in got} == {b for _, b in want} and {(r.id_a, r.id_b) for r in got} <= want
+    assert len(want) <= seen[0] < 500
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_frequent_tokens_lose_no_link(spark, monkeypatch, threshold):
+    monkeypatch.setattr(TP, "RARE", 2)
+    rng = random.Random(8)
+    sets = [sorted(rng.sample("abcdefghijkl", rng.randint(1, 7))) for _ in range(120)]
+    got = {(r.id_a, r.id_b) for r in TP.similar_pairs(spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>"), threshold=threshold).collect()}
+    assert got == similar_of(sets, threshold)
+
+
+def test_index_rows_of_a_set_depend_on_its_own_size(spark, monkeypatch):
+    """Ten tokens, all of them frequent, make no more rows than pairs of tokens in a prefix, whatever sizes partners have."""
+    monkeypatch.setattr(TP, "RARE", 0)
+    rng = random.Random(9)
+    sets = [(k, sorted(rng.sample("abcdefghijklmnopqr", 10))) for k in range(400)]
+    keys = TP.similarity_keys(spark.createDataFrame(sets, "id long, tokens array<string>"), "id", "tokens", [], 0.6)
+    assert keys.groupBy("id").count().agg(F.max("count")).first()[0] <= 15

@@ -38,7 +38,7 @@ from tracelake.session import cut_lineage
 # --- fixed values ---------------------------------------------------------------------------------
 MERGE_THRESHOLD = 0.6
 MIN_CLUSTER, MIN_BUCKET, MAX_SHARE = 3, 5, 0.6
-RARE = 48  # sets that share a token, up to which it is an index key by itself; it decides what is compared, never what is found
+RARE = 1000  # sets that share a token, up to which it is an index key by itself; it decides what is compared, never what is found
 COLLAPSE_GAIN = 0.5  # go on collapsing copies while a round settles half of what is open
 SPREAD = 32  # tasks that share the agents of one word
 MODULES_SHOWN, RECENT_SHOWN, TOPICS_OFFERED = 3, 3, 12
@@ -194,43 +194,53 @@ def _overlap_needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil(F.lit(threshold) / F.lit(1 + threshold) * (a + b) - F.lit(1e-9)).cast("int")
 
 
+def _sketch(tokens: Column | str) -> Column:
+    """A word of bits of a set; bit k is the parity of the number of tokens whose hash falls on k."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
+
+
 def similarity_keys(sets: DataFrame, id: str, tokens: str, scope: Sequence[str], threshold: float, carry: Sequence[str] = ()) -> DataFrame:
     """Index keys such that two sets at or above the threshold share at least one: ``key, id, n, m`` and ``carry``.
 
     Tokens are ordered from rare to frequent, and two similar sets meet under the first token that both hold.  If it is
-    rare, it is a key by itself (``m`` is 0).  A more frequent one counts together with the sizes n and m of the two
-    sets, and a very frequent one together with the next token that both hold, which lies in a prefix as well.  A key is a
-    hash, so a row holds no token; keys that no two sets can meet under are left out.
+    rare, it is a key by itself, else it counts together with the next token that both hold, which lies in a prefix as
+    well.  n is the size of the set, m the place of the (first) token in it: a later place leaves too few tokens for a
+    partner of some size.  The rows of a set depend on its own size only, not on its partners'.  A key is a
+    hash, so a row holds no token; keys that only one set has are left out.
     """
     n, m, df = F.col("n"), F.col("m"), F.col("__t.df")
     exploded = sets.select(*scope, id, *carry, F.size(tokens).alias("n"), F.explode(tokens).alias("token"))
     freq = exploded.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df"))
     # one row per set; a title has a bounded number of words
     ranked = exploded.join(freq, [*scope, "token"]).groupBy(*scope, id, *carry, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("__r"))
-    first = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    placed = ranked.select("*", F.posexplode(F.slice("__r", F.lit(1), first)).alias("__at", "__t"))
-    kept = [id, *carry, "n"]
-    rare = placed.where(df <= RARE).select(F.xxhash64(*scope, "__t.token").alias("key"), *kept, F.lit(0).alias("m"))
-    sizes = F.sequence(F.ceil(n * threshold - 1e-9).cast("int"), F.floor(n / threshold + 1e-9).cast("int"))
-    need = _overlap_needed(n, m, threshold)
-    low, high = F.least(n, m), F.greatest(n, m)
-    wide = placed.where(df > RARE).withColumn("m", F.explode(sizes)).where((need <= low) & (F.col("__at") <= n - need))
-    rest = F.slice("__r", F.col("__at") + 2, n - need + 1 - F.col("__at"))
-    pairs = F.transform(rest, lambda u: F.xxhash64(*scope, low, high, F.col("__t.token"), u["token"]))
-    alone = F.array(F.xxhash64(*scope, low, high, F.col("__t.token")))
-    same = F.array(F.xxhash64(*scope, n, F.transform("__r", lambda u: u["token"])))
-    found = F.when((n == m) & (need == n), same).when((df <= RARE * low) | (need < 2), alone).otherwise(pairs)
-    rows = rare.unionByName(wide.select(F.explode(found).alias("key"), *kept, "m"))
-    of = Window.partitionBy("key")
-    counted = rows.withColumns({"__c": F.count(F.lit(1)).over(of), "__low": F.min("n").over(of), "__high": F.max("n").over(of)})
-    meet = (F.col("__c") > 1) & ((m == 0) | (n == m) | (F.col("__low") < F.col("__high")))
-    return counted.where(meet).drop("__c", "__low", "__high")
+    least = F.ceil(n * threshold - 1e-9).cast("int")  # tokens shared with the smallest partner
+    first = n - least + 1
+    placed = ranked.select("*", F.posexplode(F.slice("__r", F.lit(1), first)).alias("m", "__t"))
+    kept = [id, *carry, "n", "m"]
+    rare = placed.where(df <= RARE).select(F.xxhash64(*scope, "__t.token").alias("key"), *kept)
+    pairs = F.transform(F.slice("__r", m + 2, first - m), lambda u: F.xxhash64(*scope, F.col("__t.token"), u["token"]))
+    # where a single token may be all that is shared, it is a key for sets that small
+    alone = F.when(least < 2, F.array(F.xxhash64(*scope, "__t.token"))).otherwise(F.array().cast("array<bigint>"))
+    wide = placed.where(df > RARE).select(F.explode(F.concat(pairs, alone)).alias("key"), *kept)
+    counted = rare.unionByName(wide).withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return counted.where("__c > 1").drop("__c")
 
 
 def _can_match(threshold: float) -> Column:
-    """Of two index rows a and b of one key: the sizes are those the key is for, or near enough to each other."""
+    """Of two index rows a and b of one key: the sizes are near enough, and from their places on both have as many tokens as they must share."""
     fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9
-    return (F.col("a.key") == F.col("b.key")) & (F.col("a.m") == F.when(F.col("b.m") == 0, 0).otherwise(F.col("b.n"))) & fits
+    need = _overlap_needed(F.col("a.n"), F.col("b.n"), threshold)
+    return (F.col("a.key") == F.col("b.key")) & fits & (need <= F.least(F.col("a.n") - F.col("a.m"), F.col("b.n") - F.col("b.m")))
+
+
+def _sketches_allow(threshold: float) -> Column:
+    """Of two index rows a and b with the ``__bits`` of their sets: the sketches differ in no more bits than similar sets differ in tokens.
+
+    A token that only one of two sets has changes one bit of one sketch, so differing bits are never more than such tokens.
+    """
+    need = _overlap_needed(F.col("a.n"), F.col("b.n"), threshold)
+    return F.bit_count(F.col("a.__bits").bitwiseXOR(F.col("b.__bits"))) <= F.col("a.n") + F.col("b.n") - 2 * need
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, id: str, tokens: str, scope: Sequence[str], threshold: float) -> DataFrame:
@@ -312,15 +322,16 @@ def merge_titles(
 def similar_pairs(sets: DataFrame, id: str = "id", tokens: str = "tokens", scope: Sequence[str] = (), threshold: float = MERGE_THRESHOLD) -> DataFrame:
     """All pairs (``id_a`` < ``id_b``) of sets of one scope whose Jaccard similarity reaches the threshold, with it.
 
-    Two similar sets meet under a key of :func:`similarity_keys`, whose rows hold no set.  Only the tokens of pairs that meet
-    are fetched.
+    Two similar sets meet under a key of :func:`similarity_keys`, whose rows hold no set.  Most pairs that meet are ruled out
+    by sketches inside the join and never written.  Only the tokens of those that are left are fetched.
     """
     scope = list(scope)
     s = sets.withColumn(tokens, F.array_distinct(tokens)).where(F.size(tokens) > 0).select(*scope, id, tokens)
     s = cut_lineage(s.withColumn("__uid", F.monotonically_increasing_id()))
-    keys = cut_lineage(similarity_keys(s, "__uid", tokens, scope, threshold))
-    met = keys.alias("a").join(keys.alias("b"), _can_match(threshold) & (F.col("a.__uid") < F.col("b.__uid")))
-    pairs = _verified(met.select(F.col("a.__uid").alias("a"), F.col("b.__uid").alias("b")).distinct(), s, "__uid", tokens, scope, threshold)
+    keys = similarity_keys(s.withColumn("__bits", _sketch(tokens)), "__uid", tokens, scope, threshold, ["__bits"])
+    met = keys.alias("a").join(keys.alias("b"), _can_match(threshold) & _sketches_allow(threshold) & (F.col("a.__uid") < F.col("b.__uid")))
+    met = cut_lineage(met.select(F.col("a.__uid").alias("a"), F.col("b.__uid").alias("b")).distinct())
+    pairs = _verified(met, s, "__uid", tokens, scope, threshold)
     name = lambda k: s.select(F.col("__uid").alias(k), *(scope if k == "a" else []), F.col(id).alias(f"__{k}"))
     named = pairs.join(name("a"), "a").join(name("b"), "b").where("__a <> __b")
     return named.select(*scope, F.least("__a", "__b").alias("id_a"), F.greatest("__a", "__b").alias("id_b"), "jaccard")
