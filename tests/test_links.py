@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import topics as TP, tree as T
 from tracelake.operators.components import components
+from tracelake.session import cut_lineage
 
 
 def taken_in_order(links):
@@ -146,3 +148,17 @@ def test_index_rows_of_a_set_depend_on_its_own_size(spark, monkeypatch):
     sets = [(k, sorted(rng.sample("abcdefghijklmnopqr", 10))) for k in range(400)]
     keys = TP.similarity_keys(spark.createDataFrame(sets, "id long, tokens array<string>"), "id", "tokens", [], 0.6)
     assert keys.groupBy("id").count().agg(F.max("count")).first()[0] <= 15
+
+
+def test_shuffle_files_go_with_the_lineage(spark):
+    """What a step shuffled is deleted once its result is written, and the setting is as before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = disk.getAllFiles().size(), spark.conf.get(key)
+    out = cut_lineage(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    assert sorted(r["count"] for r in out.collect()) == [500] * 10 and spark.conf.get(key) == setting
+    for _ in range(50):
+        if disk.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
