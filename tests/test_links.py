@@ -162,3 +162,19 @@ def test_shuffle_files_go_with_the_lineage(spark):
             break
         time.sleep(0.1)
     assert disk.getAllFiles().size() <= before
+
+
+@pytest.mark.parametrize("rare", [1000, 0])
+def test_title_merge_fetches_few_candidates(spark, monkeypatch, rare):
+    """The greedy rule, while hardly any pair but the similar ones is written in a round."""
+    monkeypatch.setattr(TP, "RARE", rare)
+    sets = sharing_little(2)
+    seen = watched(monkeypatch)
+    got = TP.merge_titles(spark.createDataFrame([("p", k, " ".join(s)) for k, s in enumerate(sets)], "project string, n long, title string"), order=["n"]).collect()
+    near, leaders, want = similar_of(sets), [], {}
+    for b in range(len(sets)):
+        lead = next((a for a in leaders if (a, b) in near), b)
+        leaders += [b] if lead == b else []
+        want[b] = " ".join(sorted(sets[lead]))
+    assert {r.n: r.leader for r in got} == want and len(leaders) < len(sets)
+    assert max(seen) < 500

@@ -276,9 +276,9 @@ def merge_titles(
     # the index works on numbers: uid is a set, at its place in the order
     places = cut_lineage(sets.select("ord").distinct().orderBy("ord").withColumn("at", F.monotonically_increasing_id()))
     some = cut_lineage(sets.where(F.size("__tokens") > 0).join(places, "ord").select("uid", "at", *scope, "__tokens"))
-    keys = cut_lineage(similarity_keys(some, "uid", "__tokens", scope, threshold, ["at"]))
-    similar = lambda pairs: _verified(pairs.distinct(), some, "uid", "__tokens", scope, threshold)
-    meet = _can_match(threshold)
+    keys = cut_lineage(similarity_keys(some.withColumn("__bits", _sketch("__tokens")), "uid", "__tokens", scope, threshold, ["at", "__bits"]))
+    similar = lambda pairs: _verified(cut_lineage(pairs.distinct()), some, "uid", "__tokens", scope, threshold)
+    meet = _can_match(threshold) & _sketches_allow(threshold)
     # a set that meets no other leads itself
     undecided = cut_lineage(keys.select("uid").distinct())
     leaders = cut_lineage(some.select("uid").join(undecided, "uid", "left_anti"))
